@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from traceless.operators.closure import fan_out, levels, salted
+from traceless.operators.closure import Adjacency, levels
 from traceless.operators.ranking import group_rank
 from traceless.plans.workspace import union_stored
 
 
-def subject_roots(artifacts: DataFrame, lineage: DataFrame) -> DataFrame:
+def subject_roots(
+    artifacts: DataFrame, lineage: DataFrame, edges: DataFrame | None = None
+) -> DataFrame:
     """Source records of a subject, else its nodes without a parent of the same subject."""
     nodes = artifacts.select("artifact_id", "subject_id", "type")
     has_source = (
@@ -21,10 +23,9 @@ def subject_roots(artifacts: DataFrame, lineage: DataFrame) -> DataFrame:
     )
     explicit = nodes.where(F.col("type") == "SOURCE_RECORD").select("subject_id", "artifact_id")
     orphans = nodes.join(has_source, "subject_id", "left_semi").select("subject_id", "artifact_id")
-    inner = subject_edges(artifacts, lineage).select(
-        "subject_id", F.col("target_id").alias("artifact_id")
-    )
-    return explicit.unionByName(orphans.join(inner, ["subject_id", "artifact_id"], "left_anti"))
+    edges = subject_edges(artifacts, lineage) if edges is None else edges
+    targets = edges.select(F.col("target_id").alias("artifact_id"))
+    return explicit.unionByName(orphans.join(targets, "artifact_id", "left_anti"))
 
 
 def subject_edges(artifacts: DataFrame, lineage: DataFrame) -> DataFrame:
@@ -50,14 +51,16 @@ def shortest_paths(
     A path of minimal length extends a minimal path of its predecessor, so one
     ``min`` per node and level is enough.
     """
-    edges, hot = salted(subject_edges(artifacts, lineage), ["source_id"], "target_id")
-    seed = subject_roots(artifacts, lineage).select(
+    edges = Adjacency(
+        subject_edges(artifacts, lineage).drop("subject_id"), ["source_id"], "target_id"
+    )
+    seed = subject_roots(artifacts, lineage, edges.edges).select(
         "subject_id", "artifact_id", F.array("artifact_id").alias("path")
     )
 
     def step(frontier: DataFrame) -> DataFrame:
-        ends = frontier.select(F.col("artifact_id").alias("source_id"), "path")
-        grown = fan_out(ends, hot, ["source_id"]).join(edges.df, ["source_id", "salt"])
+        ends = frontier.select("subject_id", F.col("artifact_id").alias("source_id"), "path")
+        grown = edges.join(ends)
         return (
             grown.groupBy("subject_id", F.col("target_id").alias("artifact_id"))
             .agg(F.min("path").alias("parent_path"))

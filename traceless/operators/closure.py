@@ -13,27 +13,37 @@ HOT_ROWS = 200_000
 SALTS = 32
 
 
-def salted(edges: DataFrame, keys: list[str], payload: str, hot_rows: int = HOT_ROWS) -> tuple[Stored, DataFrame]:
-    """Write ``edges`` with a salt column that spreads every hot key.
+class Adjacency:
+    """Written edges; every hot key's edges are spread over ``SALTS`` tasks.
 
-    Returns the written edges and the table of hot keys.  A key counts as hot
-    when it owns more than ``hot_rows`` edges, so there are at most
-    ``len(edges) / hot_rows`` of them.
+    A key is hot when it owns more than ``hot_rows`` edges, so there are at most
+    ``len(edges) / hot_rows`` hot keys.  Without hot keys no salt is used.
     """
-    hot = edges.groupBy(*keys).count().where(F.col("count") > hot_rows).select(*keys)
-    hot = Stored(hot, "hot-keys").df
-    if hot.isEmpty():
-        return Stored(edges.withColumn("salt", F.lit(0)), "edges"), hot
-    marked = edges.join(hot.withColumn("is_hot", F.lit(True)), keys, "left")
-    salt = F.when(F.col("is_hot"), F.pmod(F.xxhash64(payload), F.lit(SALTS))).otherwise(0)
-    return Stored(marked.withColumn("salt", salt.cast("int")).drop("is_hot"), "edges"), hot
-
-
-def fan_out(frontier: DataFrame, hot: DataFrame, keys: list[str]) -> DataFrame:
-    """Copy a frontier row once per salt when its key is hot, once otherwise."""
-    marked = frontier.join(hot.withColumn("is_hot", F.lit(True)), keys, "left")
-    salts = F.when(F.col("is_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    return marked.withColumn("salt", F.explode(salts)).drop("is_hot")
+
+    def __init__(self, edges: DataFrame, keys: list[str], payload: str, hot_rows: int = HOT_ROWS):
+        self.keys = keys
+        plain = Stored(edges, "edges")
+        counts = plain.df.groupBy(*keys).count()
+        self.hot = None
+        if not counts.where(F.col("count") > hot_rows).isEmpty():
+            hot = counts.where(F.col("count") > hot_rows).select(*keys)
+            self.hot = Stored(hot, "hot-keys").df.withColumn("is_hot", F.lit(True))
+        if self.hot is None:
+            self.edges = plain.df
+            return
+        salt = F.when(F.col("is_hot"), F.pmod(F.xxhash64(payload), F.lit(SALTS))).otherwise(0)
+        marked = plain.df.join(self.hot, keys, "left").withColumn("salt", salt.cast("int"))
+        self.edges = Stored(marked.drop("is_hot"), "salted-edges").df
+
+    def join(self, frontier: DataFrame) -> DataFrame:
+        """Frontier rows with their outgoing edges (equi-join on the edge keys)."""
+        if self.hot is None:
+            return frontier.join(self.edges, self.keys)
+        salts = F.when(F.col("is_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(
+            F.array(F.lit(0))
+        )
+        copies = frontier.join(self.hot, self.keys, "left").withColumn("salt", F.explode(salts))
+        return copies.drop("is_hot").join(self.edges, [*self.keys, "salt"]).drop("salt")
 
 
 def levels(

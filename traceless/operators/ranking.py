@@ -25,12 +25,14 @@ def group_rank(df: DataFrame, keys: list[str], order: list, name: str = "positio
     slices = _ranged(df, keys, order, "rank")
     columns = [F.col(c) if isinstance(c, str) else c for c in order]
     inner = Window.partitionBy(*keys, "slice").orderBy(*columns)
-    numbered = slices.withColumn("_n", F.row_number().over(inner).cast("long"))
-    return _shift(slices, numbered, keys, F.count(F.lit(1)), "_n", name)
+    numbered = slices.withColumn(name, F.row_number().over(inner).cast("long"))
+    return _shift(slices, numbered, keys, {name: F.count(F.lit(1))})
 
 
-def running_sum(df: DataFrame, keys: list[str], order: list, value: str, name: str) -> DataFrame:
-    """Inclusive running sum of ``value`` per group, in the same two passes."""
+def running_sum(
+    df: DataFrame, keys: list[str], order: list, values: dict[str, str]
+) -> DataFrame:
+    """Inclusive running sums per group; ``values`` maps result names to columns."""
     slices = _ranged(df, keys, order, "running")
     columns = [F.col(c) if isinstance(c, str) else c for c in order]
     inner = (
@@ -38,20 +40,24 @@ def running_sum(df: DataFrame, keys: list[str], order: list, value: str, name: s
         .orderBy(*columns)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    summed = slices.withColumn("_n", F.sum(value).over(inner))
-    return _shift(slices, summed, keys, F.sum(value), "_n", name)
+    summed = slices.withColumns({name: F.sum(c).over(inner) for name, c in values.items()})
+    return _shift(slices, summed, keys, {name: F.sum(c) for name, c in values.items()})
 
 
-def _shift(slices, numbered, keys, total, column, name) -> DataFrame:
-    totals = slices.groupBy(*keys, "slice").agg(total.alias("_t"))
-    before = (
-        Window.partitionBy(*keys)
-        .orderBy("slice")
-        .rowsBetween(Window.unboundedPreceding, -1)
+def _shift(slices: DataFrame, numbered: DataFrame, keys: list[str], totals: dict) -> DataFrame:
+    """Add the totals of a group's earlier slices to the in-slice values."""
+    per_slice = slices.groupBy(*keys, "slice").agg(
+        *[total.alias(f"before_{name}") for name, total in totals.items()]
     )
-    offsets = totals.withColumn("_before", F.coalesce(F.sum("_t").over(before), F.lit(0))).drop("_t")
-    return (
-        numbered.join(offsets, [*keys, "slice"])
-        .withColumn(name, F.col(column) + F.col("_before"))
-        .drop("_before", column, "slice")
+    earlier = (
+        Window.partitionBy(*keys).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     )
+    offsets = per_slice.withColumns(
+        {
+            f"before_{name}": F.coalesce(F.sum(f"before_{name}").over(earlier), F.lit(0))
+            for name in totals
+        }
+    )
+    joined = numbered.join(offsets, [*keys, "slice"])
+    shifted = joined.withColumns({name: F.col(name) + F.col(f"before_{name}") for name in totals})
+    return shifted.drop("slice", *[f"before_{name}" for name in totals])

@@ -11,20 +11,27 @@ from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from traceless.plans.workspace import Stored
+
 SOURCE_TABLES = (
     "region nation customer supplier part orders lineitem events documents "
     "embeddings pages benchmark labels conversations"
 ).split()
 
 PROJECTIONS: dict[str, str] = {}
+_WRITTEN: set[str] = set()
+_TABLES: dict[tuple[str, str, str], Stored] = {}
 
 _NAME = re.compile(r"\{([a-z_0-9]+)\}")
 
 
-def projection(name: str, text: str) -> None:
+def projection(name: str, text: str, written: bool = False) -> None:
+    """Define a projection; ``written`` ones are derived once per session and kept as files."""
     if name in PROJECTIONS or name in SOURCE_TABLES:
         raise ValueError(f"projection {name} is already defined")
     PROJECTIONS[name] = text
+    if written:
+        _WRITTEN.add(name)
 
 
 def inputs_of(text: str) -> list[str]:
@@ -35,9 +42,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The named source table or projection as a lazy DataFrame."""
     if name in SOURCE_TABLES:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key in _TABLES:
+        return _TABLES[key].df
     text = PROJECTIONS[name]
     frames = {item: table(spark, sf_dir, item) for item in inputs_of(text)}
-    return spark.sql(text, **frames)
+    df = spark.sql(text, **frames)
+    if name not in _WRITTEN:
+        return df
+    _TABLES[key] = Stored(df, name)
+    return _TABLES[key].df
 
 
 def _ordered(names: Iterable[str], done: list[str]) -> None:

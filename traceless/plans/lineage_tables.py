@@ -27,6 +27,7 @@ projection(
            max(l_returnflag) as rf, max(l_quantity) as qty
     from {lineitem} group by l_orderkey, l_linenumber
     """,
+    written=True,
 )
 projection(
     "lineage_base",
@@ -54,6 +55,7 @@ projection(
            pk, 'o' || cast(l_orderkey as string)
     from {{lines}} join {{orders}} on l_orderkey = o_orderkey
     """,
+    written=True,
 )
 projection(
     "artifacts",
@@ -63,6 +65,7 @@ projection(
            'e-' || artifact_id as evidence_id, k
     from {lineage_base}
     """,
+    written=True,
 )
 projection(
     "lineage",
@@ -80,6 +83,7 @@ projection(
     select artifact_id, 'c' || cast(k - 1 as string), 'COPIED_TO', true
     from {lineage_base} where parent_id is null and k % 17 = 1
     """,
+    written=True,
 )
 projection(
     "evidence_flat",
@@ -110,6 +114,7 @@ projection(
       case when type = 'AUDIT_RECEIPT' then 'root' end as md_expected_graph_root
     from {lineage_base} where k % 211 <> 1
     """,
+    written=True,
 )
 projection(
     "remediations",
@@ -122,6 +127,7 @@ projection(
     select distinct subject_id, subject_id || '/wipe-copies', cast(6 as bigint), 'ERASED', true, 'COPIES'
     from {lineage_base}
     """,
+    written=True,
 )
 projection(
     "remediation_covers",
