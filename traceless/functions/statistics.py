@@ -30,14 +30,21 @@ def wilson95(successes: Column, trials: Column) -> Column:
 _PRIME = 2147483647
 
 
-def draw(*parts: Column) -> Column:
-    """Deterministic integer in [0, 1 000 000) from integer columns, in 64-bit arithmetic."""
+def mix(*parts: Column) -> Column:
+    """Integer columns folded into one residue, in 64-bit arithmetic."""
     state = F.lit(20011).cast("long")
     for part in parts:
         state = F.pmod(state * 48271 + F.pmod(part.cast("long"), F.lit(_PRIME)) * 69621, F.lit(_PRIME))
-    for _ in range(2):
-        state = F.pmod(state * state + 12345, F.lit(_PRIME))
-    return F.pmod(state, F.lit(1_000_000))
+    return state
+
+
+def scramble(state: Column) -> Column:
+    return F.pmod(state * state + 12345, F.lit(_PRIME))
+
+
+def draw(*parts: Column) -> Column:
+    """Deterministic integer in [0, 1 000 000) from integer columns."""
+    return F.pmod(scramble(scramble(mix(*parts))), F.lit(1_000_000))
 
 
 # Poisson(1) distribution function times one million.

@@ -9,11 +9,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from traceless.functions.statistics import (
-    draw,
     linear_quantile,
+    mix,
     nearest_rank,
     poisson_weight,
     ratio,
+    scramble,
     wilson95,
 )
 
@@ -100,14 +101,18 @@ def outcome_report(trials: DataFrame, by: Sequence[str]) -> DataFrame:
 
 
 def resampled(df: DataFrame, key: str, replicates: int, seed: int) -> DataFrame:
-    """Each row once per replicate with its Poisson(1) weight ``w`` (zero weights dropped).
+    """Each row once per replicate with its Poisson(1) weight ``w``.
 
     Weights come from a hash of (seed, replicate, key), so no draw table is
     shuffled: replicates are formed by the map side of the following aggregate.
     """
     copies = df.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-    weight = poisson_weight(draw(F.lit(seed), F.col("replicate"), F.col(key)))
-    return copies.withColumn("w", weight).where(F.col("w") > 0)
+    # One column per step: the optimizer keeps them apart, so no step is computed twice.
+    staged = copies.withColumn("_mixed", mix(F.lit(seed), F.col("replicate"), F.col(key)))
+    for _ in range(2):
+        staged = staged.withColumn("_mixed", scramble(F.col("_mixed")))
+    staged = staged.withColumn("_uniform", F.pmod("_mixed", F.lit(1_000_000)))
+    return staged.withColumn("w", poisson_weight(F.col("_uniform"))).drop("_mixed", "_uniform")
 
 
 def bootstrap_outcomes(
@@ -150,7 +155,7 @@ def bootstrap_mean(
     means = (
         resampled(df.select(*by, key, value), key, replicates, seed)
         .groupBy(*by, "replicate")
-        .agg((F.sum(F.col("w") * F.col(value)) / F.sum("w")).alias("m"))
+        .agg(F.try_divide(F.sum(F.col("w") * F.col(value)), F.sum("w")).alias("m"))
         .groupBy(*by)
         .agg(F.collect_list("m").alias("ms"))
     )
@@ -323,7 +328,7 @@ def paired_summary(measurements: DataFrame, replicates: int, seed: int) -> DataF
     means = (
         resampled(pairs.select("seed", "log_ratio"), "seed", replicates, seed)
         .groupBy("replicate")
-        .agg(F.exp(F.sum(F.col("w") * F.col("log_ratio")) / F.sum("w")).alias("m"))
+        .agg(F.exp(F.try_divide(F.sum(F.col("w") * F.col("log_ratio")), F.sum("w"))).alias("m"))
         .agg(F.array_sort(F.collect_list("m")).alias("ms"))
     )
 
