@@ -4,6 +4,7 @@ from traceless.queries import (  # noqa: F401
     audit_queries,
     outcome_queries,
     request_queries,
+    temporal_queries,
 )
 from traceless.queries.registry import ORACLES, QUERIES
 
