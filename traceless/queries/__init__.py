@@ -2,6 +2,7 @@
 
 from traceless.queries import (  # noqa: F401
     audit_queries,
+    discovery_queries,
     outcome_queries,
     request_queries,
     temporal_queries,
