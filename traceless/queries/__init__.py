@@ -3,9 +3,13 @@
 from traceless.queries import (  # noqa: F401
     audit_queries,
     discovery_queries,
+    influence_queries,
+    ledger_queries,
     outcome_queries,
     request_queries,
+    sampling_queries,
     temporal_queries,
+    validation_queries,
 )
 from traceless.queries.registry import ORACLES, QUERIES
 
