@@ -202,28 +202,23 @@ def scan_corpus_tokens(documents: DataFrame, identifiers: DataFrame, text: str =
     return tokens.join(wanted, "token").select("identifier", "doc_id").distinct()
 
 
-ANCHOR_WORDS = 3
 ANCHOR_EVERY = 8
 
 
-def _with_anchors(df: DataFrame, text: str, inner: bool) -> DataFrame:
-    """Adds ``anchors``: distinct hashes of word triples in the anchor class.
+def _anchors(text: str, inner: bool) -> Column:
+    """Distinct hashes of the word triples in the anchor class; ``inner`` skips the edge words.
 
-    ``inner`` skips the first and last word.  The words are a column of their
-    own, so a text is split once and not once per triple.
+    The triples come from zipping the word array with its own shifts, so the
+    text is split a fixed number of times, not once per triple.
     """
-    first = 2 if inner else 1
-    split = df.withColumn("_words", F.split(text, r"\s+"))
-    last = F.size("_words") - (ANCHOR_WORDS if inner else ANCHOR_WORDS - 1)
-    triples = F.when(
-        last >= first,
-        F.transform(
-            F.sequence(F.lit(first), last),
-            lambda i: F.xxhash64(F.array_join(F.slice("_words", i, ANCHOR_WORDS), " ")),
-        ),
-    )
-    kept = F.array_distinct(F.filter(triples, lambda h: F.pmod(h, F.lit(ANCHOR_EVERY)) == 0))
-    return split.withColumn("anchors", kept).drop("_words")
+    words = F.split(text, r"\s+")
+    if inner:
+        words = F.slice(words, F.lit(2), F.greatest(F.size(words) - 2, F.lit(0)))
+    shifted = [F.slice(words, F.lit(n), F.size(words)) for n in (2, 3)]
+    pairs = F.zip_with(words, shifted[0], lambda x, y: F.concat(x, F.lit(" "), y))
+    triples = F.zip_with(pairs, shifted[1], lambda x, y: F.xxhash64(F.concat(x, F.lit(" "), y)))
+    complete = F.slice(triples, F.lit(1), F.greatest(F.size(words) - 2, F.lit(0)))
+    return F.array_distinct(F.filter(complete, lambda h: F.pmod(h, F.lit(ANCHOR_EVERY)) == 0))
 
 
 def scan_corpus_text(documents: DataFrame, passages: DataFrame, text: str = "text") -> DataFrame:
@@ -234,9 +229,9 @@ def scan_corpus_text(documents: DataFrame, passages: DataFrame, text: str = "tex
     passage is the join key; only documents with that triple are compared in
     full.  Passages without an anchor (too short) are tested directly.
     """
-    keyed = _with_anchors(passages, "passage", True).withColumn("key", F.array_min("anchors")).drop("anchors")
+    keyed = passages.withColumn("key", F.array_min(_anchors("passage", True)))
     keyed = Stored(keyed.where(F.length("passage") > 0), "passages").df
-    emitted = _with_anchors(documents.select("doc_id", text), text, False).select("doc_id", F.explode("anchors").alias("key"))
+    emitted = documents.select("doc_id", F.explode(_anchors(text, False)).alias("key"))
     anchored = keyed.where(F.col("key").isNotNull())
     candidates = emitted.join(anchored.select("key", "passage_id"), "key").select("doc_id", "passage_id").distinct()
     found = (
