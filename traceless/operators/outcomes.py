@@ -75,10 +75,10 @@ def _rates() -> dict[str, Column]:
 
 
 def _node_counts(trials: DataFrame) -> DataFrame:
-    empty = F.array().cast("array<int>")
-    truth = F.array_distinct(F.coalesce("truth_ids", empty))
-    found = F.array_intersect(truth, F.coalesce("detected_ids", empty))
-    return trials.withColumns({"n_truth": F.size(truth), "n_found": F.size(found)})
+    """Distinct true artifacts and how many of them were found; null arrays count as empty."""
+    truth = F.array_distinct("truth_ids")
+    size = lambda c: F.greatest(F.coalesce(F.size(c), F.lit(0)), F.lit(0))
+    return trials.withColumns({"n_truth": size(truth), "n_found": size(F.array_intersect(truth, "detected_ids"))})
 
 
 def outcome_report(trials: DataFrame, by: Sequence[str]) -> DataFrame:

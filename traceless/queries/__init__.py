@@ -8,6 +8,8 @@ from traceless.queries import (  # noqa: F401
     outcome_queries,
     request_queries,
     sampling_queries,
+    source_queries,
+    streaming_queries,
     temporal_queries,
     validation_queries,
 )
