@@ -313,8 +313,8 @@ def _searched_controls(transitions, initial, residual, coverage_complete, contro
         F.coalesce("ids", _empty()).alias("ids"),
         F.coalesce("costs", F.array().cast("array<bigint>")).alias("costs"),
     )
-    top = F.expr("shiftleft(1, choices) - 1")
-    subsets = Stored(arrays.withColumn("mask", F.explode(F.sequence(F.lit(0), top)).cast("long")), "control-subsets").df
+    every = F.sequence(F.lit(0).cast("long"), F.expr("shiftleft(1L, choices) - 1"))
+    subsets = Stored(arrays.withColumn("mask", F.explode(every)), "control-subsets").df
     per_mask = subsets.select("case_id", "mask")
     guards = (
         subsets.select("case_id", "mask", F.explode(chosen(F.col("ids"), F.col("mask"))).alias("action_id"))

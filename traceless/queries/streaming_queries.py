@@ -96,8 +96,8 @@ def stream_request_lifecycles(spark, sf):
 
 @query(
     "stream_expired_items",
-    """select item_id, deadline_ms from (select 'i' || (event_id % 50) as item_id, max(epoch_ms(ts) + (event_id % 5) * 3600000) as deadline_ms from events group by 1)
-       where deadline_ms <= (select max(epoch_ms(ts)) from events) - 3600000""",
+    """select item_id, deadline_ms from (select 'i' || (event_id % 50) as item_id, max(epoch_us(ts) // 1000 + (event_id % 5) * 3600000) as deadline_ms from events group by 1)
+       where deadline_ms <= (select max(epoch_us(ts)) // 1000 from events) - 3600000""",
 )
 def stream_expired_items(spark, sf):
     k = F.col("event_id")
