@@ -11,7 +11,7 @@ from traceless.functions.digests import PREFIX, commitment
 from traceless.operators.audit import Audit
 from traceless.operators.pathgraph import PathGraph, evaluate_requests
 from traceless.operators.ranking import group_rank
-from traceless.plans.workspace import Stored
+from traceless.plans.workspace import Stored, union_stored
 
 FAN = 1024
 
@@ -29,6 +29,7 @@ def ordered_digest(rows: DataFrame, by: Sequence[str], order: Sequence[str], dig
         ),
         "digests",
     ).df
+    finished: list[Stored] = []
     while True:
         block = F.floor((F.col("place") - 1) / FAN)
         folded = (
@@ -38,8 +39,14 @@ def ordered_digest(rows: DataFrame, by: Sequence[str], order: Sequence[str], dig
             .select(*by, (F.col("block") + 1).alias("place"), F.sha2(F.array_join("o.d", ","), 256).alias("d"))
         )
         level = Stored(folded, "digest-blocks").df
-        if level.where(F.col("place") > 1).isEmpty():
-            return level.select(*by, F.concat(F.lit(PREFIX), "d").alias(name))
+        # Only groups with several blocks go on, so a root never depends on other groups.
+        open_groups = level.where(F.col("place") > 1).select(*by).distinct()
+        root = F.concat(F.lit(PREFIX), "d").alias(name)
+        finished.append(Stored(level.join(open_groups, by, "left_anti").select(*by, root), "digest-roots"))
+        rest = Stored(level.join(open_groups, by, "left_semi"), "digest-open")
+        if rest.is_empty():
+            return union_stored(finished)
+        level = rest.df
 
 
 def graph_root(graph: PathGraph) -> DataFrame:
