@@ -71,7 +71,21 @@ def chosen(ids: Column, mask: Column) -> Column:
     return F.filter(ids, lambda x, i: shift_right(mask, i).bitwiseAND(1) == 1)
 
 
-def chosen_cost(costs: Column, mask: Column) -> Column:
-    """Sum of the costs whose position is set in ``mask``."""
-    indexed = F.filter(costs, lambda x, i: shift_right(mask, i).bitwiseAND(1) == 1)
-    return F.aggregate(indexed, F.lit(0).cast("long"), lambda acc, x: acc + x)
+def subset_key(costs: Column, mask: Column, limit: int) -> list[Column]:
+    """Long columns that order subsets by (cost, size, ids) and end with the mask.
+
+    Ids are numbered in sorted order, so among equally large subsets the one
+    with the smaller id sequence has the larger mirrored mask.
+    """
+    zero = F.lit(0).cast("long")
+    taken = [shift_right(mask, F.lit(i)).bitwiseAND(1) for i in range(limit)]
+    cost, mirrored = zero, zero
+    for i, bit in enumerate(taken):
+        cost = cost + F.coalesce(F.get(costs, F.lit(i)), zero) * bit
+        mirrored = mirrored + bit * (1 << (limit - 1 - i))
+    return [
+        cost.alias("total_cost"),
+        F.bit_count(mask).cast("long").alias("size"),
+        (-mirrored).alias("order"),
+        mask.cast("long").alias("mask"),
+    ]

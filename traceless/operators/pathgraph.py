@@ -553,13 +553,15 @@ class Variants:
         return bit_counts(parts, self.KEYS)
 
 
-def bit_counts(labels: DataFrame, keys: Sequence[str]) -> DataFrame:
+def bit_counts(labels: DataFrame, keys: Sequence[str], weight: str | None = None) -> DataFrame:
     """How many labels of a group have each bit set, as an array indexed by bit.
 
-    The 64 counters are plain sums, so they combine on the map side.
+    Equal labels are counted first, so the 64 counters see few rows.
     """
-    sums = [F.sum(has(F.col("label"), F.lit(i)).cast("long")).alias(f"b{i}") for i in range(64)]
-    counted = labels.where(F.col("label") != 0).groupBy(*keys).agg(*sums)
+    n = F.sum(weight) if weight else F.count(F.lit(1))
+    tallied = labels.where(F.col("label") != 0).groupBy(*keys, "label").agg(n.alias("_n"))
+    sums = [F.sum(F.getbit("label", F.lit(i)).cast("long") * F.col("_n")).alias(f"b{i}") for i in range(64)]
+    counted = tallied.groupBy(*keys).agg(*sums)
     return counted.select(*keys, F.array(*[F.col(f"b{i}") for i in range(64)]).alias("violations"))
 
 

@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from traceless.functions.lattice import blocks, chosen, chosen_cost, has, membership, shift_left, subsets_in_block
-from traceless.operators.pathgraph import PathGraph, Variants, apply_actions, evaluate_requests
+from traceless.functions.lattice import blocks, chosen, has, membership, shift_left, subset_key, subsets_in_block
+from traceless.operators.pathgraph import PathGraph, Variants, apply_actions, bit_counts, evaluate_requests
 from traceless.plans.workspace import Stored, union_stored
 
 MAX_EXACT = 12
@@ -40,14 +40,6 @@ def choice_arrays(numbered: DataFrame, case: str) -> DataFrame:
     return packed.select(case, "choices", F.col("o.action_id").alias("ids"), F.col("o.cost").alias("costs"))
 
 
-def _subset(mask: Column) -> list[Column]:
-    return [
-        chosen_cost(F.col("costs"), mask).alias("total_cost"),
-        F.size(chosen(F.col("ids"), mask)).cast("long").alias("size"),
-        chosen(F.col("ids"), mask).alias("action_ids"),
-    ]
-
-
 def exact_cover(required: DataFrame, actions: DataFrame, covers: DataFrame, limit: int = MAX_EXACT) -> DataFrame:
     """Cheapest action set that covers every required artifact of a subject.
 
@@ -71,36 +63,42 @@ def exact_cover(required: DataFrame, actions: DataFrame, covers: DataFrame, limi
     labels = spread.join(per_artifact, ["subject_id", "artifact_id", "block"], "left").select(
         "subject_id", "block", F.coalesce("bits", F.lit(0).cast("long")).alias("label")
     )
-    counters = [F.sum(has(F.col("label"), F.lit(i)).cast("long")).alias(f"b{i}") for i in range(64)]
-    per_block = labels.groupBy("subject_id", "block").agg(
-        F.count(F.lit(1)).alias("required"), F.bit_and("label").alias("full"), *counters
-    )
-    per_block = per_block.select(
-        "subject_id", "block", "required", "full", F.array(*[F.col(f"b{i}") for i in range(64)]).alias("hits")
-    )
-    joined = per_block.join(arrays, "subject_id", "left").withColumns(
+    # Few distinct labels per subject: count them first, then look at single bits.
+    tallied = labels.groupBy("subject_id", "block", "label").agg(F.count(F.lit(1)).alias("n"))
+    tallied = Stored(tallied, "cover-labels").df
+    per_block = tallied.groupBy("subject_id", "block").agg(F.sum("n").alias("required"), F.bit_and("label").alias("full"))
+    solvable = per_block.groupBy("subject_id").agg(F.bool_or(F.col("full") != 0).alias("solvable"))
+    per_block = per_block.join(solvable, "subject_id").join(arrays, "subject_id", "left").withColumns(
         {
             "choices": F.coalesce("choices", F.lit(0)),
             "ids": F.coalesce("ids", F.array().cast("array<string>")),
             "costs": F.coalesce("costs", F.array().cast("array<bigint>")),
         }
     )
-    subsets = joined.withColumn("bit", F.explode(subsets_in_block(F.col("choices")))).withColumn(
-        "mask", F.col("block") * 64 + F.col("bit")
-    )
-    # A complete subset covers everything, so (-covered, cost, size, ids) orders both cases.
-    key = F.struct(
-        (-F.element_at("hits", F.col("bit") + 1)).alias("minus_covered"), *_subset(F.col("mask"))
-    )
-    best = subsets.groupBy("subject_id").agg(F.min(key).alias("best"), F.max("required").alias("required"))
-    exact = best.select(
-        "subject_id",
-        "best.action_ids",
-        "best.total_cost",
-        (-F.col("best.minus_covered")).alias("covered"),
-        (F.col("required") + F.col("best.minus_covered")).alias("uncovered"),
-        F.lit("OPTIMAL").alias("solver_status"),
-    )
+
+    def best(subsets: DataFrame, covered: Column) -> DataFrame:
+        numbered_subsets = subsets.withColumn("mask", F.col("block") * 64 + F.col("bit"))
+        key = F.struct((-covered).alias("minus"), *subset_key(F.col("costs"), F.col("mask"), limit))
+        picked = numbered_subsets.groupBy("subject_id").agg(
+            F.min(key).alias("b"), F.max("required").alias("required"), F.first("ids").alias("ids")
+        )
+        return picked.select(
+            "subject_id",
+            chosen(F.col("ids"), F.col("b.mask")).alias("action_ids"),
+            "b.total_cost",
+            (-F.col("b.minus")).alias("covered"),
+            (F.col("required") + F.col("b.minus")).alias("uncovered"),
+            F.lit("OPTIMAL").alias("solver_status"),
+        )
+
+    bits = F.explode(subsets_in_block(F.col("choices")))
+    complete = per_block.where("solvable").withColumn("bit", bits).where(has(F.col("full"), F.col("bit")))
+    # Only subjects without a complete subset need coverage counts per subset.
+    open_labels = tallied.join(solvable.where(~F.col("solvable")), "subject_id", "left_semi")
+    counts = bit_counts(open_labels, ["subject_id", "block"], "n")
+    partial = per_block.where(~F.col("solvable")).join(counts, ["subject_id", "block"], "left").withColumn("bit", bits)
+    hits = F.coalesce(F.element_at("violations", F.col("bit") + 1), F.lit(0))
+    exact = best(complete, F.col("required")).unionByName(best(partial, hits))
     if over.isEmpty():
         return exact
     rest = required.join(over, "subject_id", "left_semi")
@@ -190,10 +188,12 @@ def min_cost_actions(
         "bit", F.explode(subsets_in_block(F.col("choices")))
     ).withColumn("mask", F.col("block") * 64 + F.col("bit"))
     closing = subsets.where(has(F.col("complete"), F.col("bit")))
-    best = closing.groupBy("request_id").agg(F.min(F.struct(*_subset(F.col("mask")))).alias("best"))
+    key = F.struct(*subset_key(F.col("costs"), F.col("mask"), limit))
+    best = closing.groupBy("request_id").agg(F.min(key).alias("best"), F.first("ids").alias("ids"))
+    taken = chosen(F.col("ids"), F.col("best.mask")).alias("action_ids")
     optimal = best.select(
         "request_id",
-        "best.action_ids",
+        taken,
         "best.total_cost",
         F.lit("COMPLETE").alias("verdict"),
         F.lit("OPTIMAL").alias("solver_status"),
@@ -211,10 +211,10 @@ def min_cost_actions(
         .withColumn("n", F.coalesce(F.element_at("violations", F.col("bit") + 1), F.lit(0)))
     )
     verdict = F.when(has(F.col("incomplete"), F.col("bit")), "INCOMPLETE").otherwise("UNVERIFIED")
-    key = F.struct("n", *_subset(F.col("mask")), verdict.alias("verdict"))
-    worst = partial.groupBy("request_id").agg(F.min(key).alias("best")).select(
+    key = F.struct("n", *subset_key(F.col("costs"), F.col("mask"), limit), verdict.alias("verdict"))
+    worst = partial.groupBy("request_id").agg(F.min(key).alias("best"), F.first("ids").alias("ids")).select(
         "request_id",
-        "best.action_ids",
+        taken,
         "best.total_cost",
         "best.verdict",
         F.lit("INFEASIBLE").alias("solver_status"),

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from traceless.functions.lattice import ALL, blocks, chosen, chosen_cost, has, membership, subsets_in_block, without
+from traceless.functions.lattice import ALL, blocks, chosen, has, membership, subset_key, subsets_in_block, without
 from traceless.operators.remediation import MAX_EXACT, choice_arrays, numbered_choices
 from traceless.plans.workspace import Stored, union_stored
 
@@ -206,6 +206,7 @@ class ControlLattice:
     """Safety of every subset of a case's controls, 64 subsets per row."""
 
     def __init__(self, transitions: DataFrame, initial: DataFrame, residual: DataFrame, controls: DataFrame, scenario: Sequence[str] = (), limit: int = MAX_EXACT):
+        self.limit = limit
         scenario = list(scenario)
         spread_keys = ["case_id", *scenario]
         over = controls.where("permitted").groupBy("case_id").count().where(F.col("count") > limit)
@@ -255,12 +256,9 @@ class ControlLattice:
             .where(has(F.col("safe"), F.col("bit")))
         )
         mask = F.col("block") * 64 + F.col("bit")
-        key = F.struct(
-            chosen_cost(F.col("costs"), mask).alias("total_cost"),
-            F.size(chosen(F.col("ids"), mask)).alias("size"),
-            chosen(F.col("ids"), mask).alias("control_ids"),
-        )
-        return subsets.groupBy(*over).agg(F.min(key).alias("b")).select(*over, "b.control_ids", "b.total_cost")
+        key = F.struct(*subset_key(F.col("costs"), mask, self.limit))
+        best = subsets.groupBy(*over).agg(F.min(key).alias("b"), F.first("ids").alias("ids"))
+        return best.select(*over, chosen(F.col("ids"), F.col("b.mask")).alias("control_ids"), "b.total_cost")
 
 
 def _plan(cases: DataFrame, best: DataFrame, status: Column) -> DataFrame:
@@ -327,14 +325,9 @@ def _searched_controls(transitions, initial, residual, coverage_complete, contro
         spread(coverage_complete.select("case_id").withColumn("complete", F.lit(True))), ["case_id", "mask"], guards,
     )
     safe = reports.where(F.col("verdict") == "RSE_VERIFIED").select("case_id", "mask")
-    key = F.struct(
-        chosen_cost(F.col("costs"), F.col("mask")).alias("total_cost"),
-        F.size(chosen(F.col("ids"), F.col("mask"))).alias("size"),
-        chosen(F.col("ids"), F.col("mask")).alias("control_ids"),
-    )
-    return subsets.join(safe, ["case_id", "mask"]).groupBy("case_id").agg(F.min(key).alias("b")).select(
-        "case_id", "b.control_ids", "b.total_cost"
-    )
+    key = F.struct(*subset_key(F.col("costs"), F.col("mask"), limit))
+    best = subsets.join(safe, ["case_id", "mask"]).groupBy("case_id").agg(F.min(key).alias("b"), F.first("ids").alias("ids"))
+    return best.select("case_id", chosen(F.col("ids"), F.col("b.mask")).alias("control_ids"), "b.total_cost")
 
 
 def robust_controls(

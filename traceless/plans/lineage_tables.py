@@ -137,6 +137,7 @@ projection(
      and (r.covers_type = a.type
           or (r.covers_type = 'COPIES' and a.type in ('CACHE_ENTRY', 'BACKUP_COPY', 'SEARCH_INDEX_ENTRY')))
     """,
+    written=True,
 )
 
 _METADATA_KEYS = (

@@ -121,6 +121,9 @@ def envelope_decisions(spark, sf):
     "select subject_id, residuals, invalid, status from {status}",
     {
         **_ENVELOPES,
+        "judged": _ENVELOPES["judged"].replace(
+            "from {envelope_base} e", "from (select b.* from {envelope_base} b semi join {evidence_flat} f on f.artifact_id = b.artifact_id) e"
+        ),
         **AUDIT_CTES,
         "checks": AUDIT_CTES["checks"].replace(
             "left join {evidence_flat} e on",
