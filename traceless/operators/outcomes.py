@@ -229,7 +229,7 @@ def score_holdout(records: DataFrame, max_upper: float = 0.05) -> DataFrame:
 def missing_records(records: DataFrame) -> DataFrame:
     """(case, method) pairs that are absent or recorded more than once."""
     methods = records.select("method").distinct()
-    expected = records.select("case_id").distinct().crossJoin(F.broadcast(methods))
+    expected = records.select("case_id").distinct().crossJoin(methods)
     seen = records.groupBy("case_id", "method").count()
     return (
         expected.join(seen, ["case_id", "method"], "left")

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from traceless.functions.lattice import blocks, chosen, has, membership, shift_left, subset_key, subsets_in_block
 from traceless.operators.pathgraph import PathGraph, Variants, apply_actions, bit_counts, evaluate_requests
+from traceless.operators.ranking import group_rank
 from traceless.plans.workspace import Stored, union_stored
 
 MAX_EXACT = 12
@@ -179,7 +180,8 @@ def min_cost_actions(
     """Cheapest permitted action set that closes each request.
 
     All subsets of a request are evaluated together as 64-bit labels.  Requests
-    that no subset closes get the subset with the fewest violations.
+    that no subset closes get the subset with the fewest violations; requests
+    beyond ``limit`` permitted actions go to :func:`greedy_actions`.
     """
     arrays, spread, members = _lattice(graph, actions, limit)
     variants = Variants(graph, spread.select("request_id", "block"), members, transitions, channels)
@@ -222,7 +224,19 @@ def min_cost_actions(
         F.lit(0).cast("long").alias("lower_bound"),
         F.lit(None).cast("long").alias("upper_bound"),
     )
-    return optimal.unionByName(worst)
+    exact = optimal.unionByName(worst)
+    over = actions.where("permitted").groupBy("request_id").count().where(F.col("count") > limit).select("request_id")
+    if over.isEmpty():
+        return exact
+    over = Stored(over, "large-requests").df
+    rest = greedy_actions(_restricted(graph, over), actions.join(over, "request_id", "left_semi"), transitions, channels)
+    done = F.col("verdict") == "COMPLETE"
+    return exact.unionByName(
+        rest.select(
+            "request_id", "action_ids", "total_cost", "verdict", "solver_status", "violations",
+            F.lit(0).cast("long").alias("lower_bound"), F.when(done, F.col("total_cost")).alias("upper_bound"),
+        )
+    )
 
 
 def greedy_actions(graph: PathGraph, actions: DataFrame, transitions: DataFrame, channels: DataFrame) -> DataFrame:
@@ -232,9 +246,9 @@ def greedy_actions(graph: PathGraph, actions: DataFrame, transitions: DataFrame,
     ``i`` of a block stands for "the chosen set plus the i-th action".
     """
     permitted = actions.where("permitted").select("request_id", "action_id", "cost")
-    order = Window.partitionBy("request_id").orderBy("action_id")
+    ranked = group_rank(permitted, ["request_id"], ["action_id"], "place")
     numbered = Stored(
-        permitted.withColumn("n", F.row_number().over(order) - 1).select(
+        ranked.withColumn("n", F.col("place") - 1).select(
             "request_id",
             "action_id",
             "cost",
@@ -300,7 +314,7 @@ def greedy_actions(graph: PathGraph, actions: DataFrame, transitions: DataFrame,
         picked.append(level)
         active = level.df.select("request_id")
     final = union_stored(history).groupBy("request_id").agg(
-        F.max(F.struct("round", "verdict")).alias("last")
+        F.max(F.struct("round", "verdict", "current")).alias("last")
     )
     chosen_ids = (
         union_stored(picked).groupBy("request_id").agg(
@@ -315,6 +329,7 @@ def greedy_actions(graph: PathGraph, actions: DataFrame, transitions: DataFrame,
         F.coalesce("total_cost", F.lit(0)).alias("total_cost"),
         F.col("last.verdict").alias("verdict"),
         F.when(F.col("last.verdict") == "COMPLETE", "APPROXIMATE").otherwise("INFEASIBLE").alias("solver_status"),
+        F.col("last.current").alias("violations"),
     )
 
 
