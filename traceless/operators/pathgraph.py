@@ -6,6 +6,7 @@ CLOSED or UNKNOWN; a walk that touches anything UNKNOWN is uncertain.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 from dataclasses import dataclass, replace
 
@@ -107,7 +108,7 @@ def classify_reachability(graph: PathGraph) -> DataFrame:
     )
 
 
-def enumerate_paths(graph: PathGraph, max_depth: int = 16) -> DataFrame:
+def enumerate_paths(graph: PathGraph, max_depth: int = 64) -> DataFrame:
     """Every simple path from a start to a sink, with its certainty.
 
     Only needed for violation counts.  ``max_depth`` bounds the loop; rows that
@@ -398,6 +399,7 @@ class Variants:
             both(F.col("start"), F.col("u")).alias("q"),
         ).where(either(F.col("c"), F.col("q")) != 0)
 
+    @functools.cached_property
     def _adjacency(self) -> Adjacency:
         usable = self.edges.where(
             both(either(F.col("a"), F.col("u")), either(F.col("ta"), F.col("tu"))) != 0
@@ -413,7 +415,7 @@ class Variants:
 
     def reach(self) -> DataFrame:
         """Labels of certain (``c``) and uncertain (``q``) walks per reached node."""
-        edges = self._adjacency()
+        edges = self._adjacency
         found = [Stored(self._starts(), "bits-0")]
         while True:
             known = union_stored(found).groupBy(*self.KEYS, "node_id").agg(
@@ -444,6 +446,7 @@ class Variants:
     def _sinks(self) -> DataFrame:
         return self.graph.request_nodes.where(F.col("role") == "sink").select("request_id", "node_id")
 
+    @functools.cached_property
     def channel_labels(self) -> DataFrame:
         """Per channel: labels where it is mandatory, fails, and is unknown."""
         base = self.graph.channels.join(self.blocks.select("request_id", "block"), "request_id").select(
@@ -468,18 +471,21 @@ class Variants:
             )
 
         merged = effects.withColumn("s", F.aggregate("e", start, fold))
-        return merged.select(*self.KEYS, "name", "stratum", "s.m", "s.f", "s.u")
+        return Stored(merged.select(*self.KEYS, "name", "stratum", "s.m", "s.f", "s.u"), "channel-labels").df
 
-    def verdicts(self) -> DataFrame:
-        """Labels ``complete`` and ``incomplete`` per (request, block)."""
+    def verdicts(self, walks: DataFrame | None = None) -> DataFrame:
+        """Labels ``complete`` and ``incomplete`` per (request, block).
+
+        Enumerated ``walks`` are used where they exist; otherwise reachability.
+        """
         zero = F.lit(0).cast("long")
         paths = (
-            self.reach()
+            (self.reach() if walks is None else walks)
             .join(self._sinks(), ["request_id", "node_id"], "left_semi")
             .groupBy(*self.KEYS)
             .agg(F.bit_or("c").alias("active"), F.bit_or("q").alias("unknown"))
         )
-        labels = Stored(self.channel_labels(), "channel-labels").df
+        labels = self.channel_labels
         summary = labels.groupBy(*self.KEYS).agg(
             F.bit_or("m").alias("any_m"), F.bit_or("f").alias("fail"), F.bit_or("u").alias("cu")
         )
@@ -506,12 +512,9 @@ class Variants:
             *self.KEYS, "name", F.bitwise_not(F.coalesce("m", F.lit(0).cast("long"))).alias("missing")
         )
 
-    def violations(self, only: DataFrame | None = None, max_depth: int = 16) -> DataFrame:
-        """Paths and channels that break each action set: one count per (request, block, bit).
-
-        ``only`` restricts the simple-path enumeration to some requests.
-        """
-        edges = self._adjacency()
+    def walks(self, only: DataFrame | None = None, max_depth: int = 64) -> DataFrame:
+        """Simple walks with their labels; ``only`` restricts them to some requests."""
+        edges = self._adjacency
         first = self._starts()
         if only is not None:
             first = first.join(only.select("request_id").distinct(), "request_id", "left_semi")
@@ -539,8 +542,12 @@ class Variants:
             found.append(level)
         else:
             raise RuntimeError(f"simple paths longer than {max_depth} nodes exist")
-        walks = union_stored(found).join(self._sinks(), ["request_id", "node_id"], "left_semi")
-        labels = Stored(self.channel_labels(), "channel-labels").df
+        return union_stored(found)
+
+    def violations(self, walks: DataFrame, only: DataFrame | None = None) -> DataFrame:
+        """Paths and channels that break each action set: one count per (request, block, bit)."""
+        walks = walks.join(self._sinks(), ["request_id", "node_id"], "left_semi")
+        labels = self.channel_labels
         parts = (
             walks.select(*self.KEYS, "c").withColumnRenamed("c", "label")
             .unionByName(walks.select(*self.KEYS, F.col("q").alias("label")))

@@ -206,7 +206,7 @@ def min_cost_actions(
     open_requests = Stored(
         arrays.select("request_id").join(best, "request_id", "left_anti"), "open-requests"
     ).df
-    counts = variants.violations(open_requests)
+    counts = variants.violations(variants.walks(open_requests), open_requests)
     partial = (
         subsets.join(open_requests, "request_id", "left_semi")
         .join(counts, ["request_id", "block"], "left")
@@ -283,8 +283,8 @@ def greedy_actions(graph: PathGraph, actions: DataFrame, transitions: DataFrame,
         )
         live = block_table.join(active, "request_id", "left_semi")
         variants = Variants(_restricted(graph, active), live, members, transitions, channels)
-        verdicts = variants.verdicts()
-        scored = verdicts.join(variants.violations(), ["request_id", "block"], "left").select(
+        walks = variants.walks()
+        scored = variants.verdicts(walks).join(variants.violations(walks), ["request_id", "block"], "left").select(
             "request_id", "block", "complete", "incomplete",
             F.coalesce("violations", F.array_repeat(F.lit(0).cast("long"), 64)).alias("v"),
         )
