@@ -87,3 +87,61 @@ def cosine_neighbours(rows: list[tuple], query_ids, k: int = 5) -> dict:
         order = [j for j in np.lexsort((ids, -score)) if ids[j] != q][:k]
         found[q] = [(int(ids[j]), float(score[j])) for j in order]
     return found
+
+
+_BASE = [
+    ("email", re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")),
+    ("ip", re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")),
+    ("card", re.compile(r"[0-9]([\x20-]?[0-9])+")),
+    ("phone", re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")),
+]
+
+
+def base_spans(text: str) -> list[tuple[int, str, int]]:
+    """Base spans ``(start, kind, end)`` by the patterns as they stand."""
+    found = []
+    for order, (kind, pattern) in enumerate(_BASE):
+        for m in pattern.finditer(text):
+            digits = re.sub("[^0-9]", "", m[0])
+            if kind == "ip" and any(int(p) > 255 for p in m[0].split(".")):
+                continue
+            if kind == "card":
+                total = sum(sum(divmod(int(c) * (1 + k % 2), 10)) for k, c in enumerate(reversed(digits)))
+                if not 14 <= len(digits) <= 19 or total % 10:
+                    continue
+            if kind == "phone" and not 10 <= len(digits) <= 15:
+                continue
+            found.append((m.start(), order, kind, m.end()))
+    return [(s, k, e) for s, _, k, e in sorted(found)]
+
+
+def jaccard_groups(texts: list[str], width: int = 5, similarity: float = 0.8) -> list[int]:
+    """Smallest index of each text's group; groups are linked by shingle similarity."""
+    sets = []
+    for t in texts:
+        words = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        sets.append({" ".join(words[k : k + width]) for k in range(max(1, len(words) - width + 1))} if words else set())
+    parent = list(range(len(texts)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    where = defaultdict(list)
+    for i, s in enumerate(sets):
+        for shingle in s or {""}:
+            where[shingle].append(i)
+    tried = set()
+    for members in where.values():
+        for i in members[1:]:
+            for j in members:
+                if j >= i:
+                    break
+                if (j, i) not in tried:
+                    tried.add((j, i))
+                    both = len(sets[i] & sets[j])
+                    if both >= similarity * (len(sets[i]) + len(sets[j]) - both):
+                        a, b = find(i), find(j)
+                        parent[max(a, b)] = min(a, b)
+    return [find(i) for i in range(len(texts))]

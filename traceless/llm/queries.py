@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from traceless.llm import ann, bpe, chat, exact, mixing, simhash, suffix, toxicity, warc
+from traceless.llm import ann, bpe, chat, exact, mixing, pii, simhash, suffix, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -153,3 +153,9 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op1_cross_polytope")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+@register("op5_personal_data")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return pii.find(docs, pii.fit(docs))

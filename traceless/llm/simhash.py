@@ -54,18 +54,18 @@ def blocks_of_three() -> list[tuple[int, ...]]:
     return [t for t in combinations(range(POSITIONS), 3) if chosen(t)]
 
 
-def shingle_hashes(text: str, width: int) -> list[int]:
+def shingle_hashes(text: str, width: int, seed: int = SEED) -> list[int]:
     """XXH64 of every shingle of ``width`` words, A-Z in lower case."""
     words = text.encode("utf-8", "surrogatepass").lower().split()
     if not words:
         return []
     joined = b" ".join(words)
     if len(words) <= width:
-        return [xxhash.xxh64_intdigest(joined, SEED)]
+        return [xxhash.xxh64_intdigest(joined, seed)]
     ends = np.cumsum([len(w) + 1 for w in words])
     starts = [0, *ends[:-width].tolist()]
     digest, stops = xxhash.xxh64_intdigest, (ends[width - 1 :] - 1).tolist()
-    return [digest(joined[a:b], SEED) for a, b in zip(starts, stops)]
+    return [digest(joined[a:b], seed) for a, b in zip(starts, stops)]
 
 
 def majority_bits(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -244,25 +244,3 @@ def near_duplicates(docs: DataFrame, width: int = 4, max_bits: int = 4) -> DataF
     return attach(rows, groups, ["fp"], "n_rows").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
-
-
-def keep_one(docs: DataFrame, width: int = 4, max_bits: int = 4) -> DataFrame:
-    """The documents with one of each near-duplicate group, all columns as they are.
-
-    The document with the smallest ``doc_id`` stays; rows that share it are kept
-    apart only by their text, so exact dedup should come first.
-    """
-    classes = near_duplicates(docs, width, max_bits)
-    first = classes.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    first = Stored(first, "kept-ids")
-    chosen = first.df.select(F.col("doc_id").alias("__kept_id"))
-    chosen = F.broadcast(chosen) if first.size_in_bytes() <= 16 << 20 else chosen
-    kept = docs.join(chosen, docs["doc_id"].eqNullSafe(F.col("__kept_id")), "left_semi")
-    repeated = Stored(kept.groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
-    if repeated.is_empty():
-        return kept
-    marks = repeated.df.select(F.col("doc_id").alias("__kept_id"))
-    twice = kept["doc_id"].eqNullSafe(F.col("__kept_id"))
-    return kept.join(marks, twice, "left_anti").unionByName(
-        kept.join(marks, twice, "left_semi").dropDuplicates(["doc_id"])
-    )

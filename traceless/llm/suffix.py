@@ -45,7 +45,7 @@ from traceless.plans.workspace import Stored
 WIDTH = 400
 #: Parameter of the difference cover: period 24 r^2 + 36 r + 13, 6 r + 4 positions of it.
 COVER = 2
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 #: Keys that a bucket has on average.
 BUCKET_KEYS = 1 << 20
 #: Positions hashed at once.

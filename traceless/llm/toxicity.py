@@ -30,8 +30,8 @@ from traceless.plans.workspace import Stored
 #: Labelled documents in the training sample; the sample is drawn by hash.
 MAX_ROWS = 16_384
 BITS = 22
-EPOCHS = 3
-ALPHA, BETA, L1, L2 = 0.5, 1.0, 1.0, 0.0
+EPOCHS = 6
+ALPHA, BETA, L1, L2 = 8.0, 1.0, 6.0, 0.0
 THRESHOLD = 0.7
 MEMO_WORDS = 500_000
 _WORD = re.compile(r"\w+")
