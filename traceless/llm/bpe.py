@@ -23,7 +23,7 @@ import heapq
 import json
 import re
 import unicodedata
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +34,9 @@ from pyspark.sql import functions as F
 from traceless.llm.shared import slices, text_of
 
 #: Words whose tokens a task remembers, and the longest such word.
-MEMO_WORDS, MEMO_CHARS = 200_000, 64
+MEMO_WORDS, MEMO_CHARS = 400_000, 64
+#: Symbols up to which a plain list is faster than a heap.
+SHORT = 48
 #: Ids decoded at once.
 DECODE_IDS = 1 << 16
 #: White space of the vocabulary's pattern; ``str.split`` knows these and four more.
@@ -93,9 +95,10 @@ class Transducer:
 
     def __init__(self, model: dict) -> None:
         vocab, suffix = model["vocab"], model["suffix"]
-        self.ranks = {}
+        self.ranks: dict[tuple[int, int], int] = {}
         for rank, (a, b) in enumerate(model["merges"]):
-            self.ranks.setdefault((vocab[a], vocab[b]), (rank, vocab[a + b]))
+            self.ranks.setdefault((vocab[a], vocab[b]), rank)
+        self.products = [vocab[a + b] for a, b in model["merges"]]
         alphabet = byte_alphabet()
         self.inner = [vocab[c] for c in alphabet]
         self.final = [vocab[c + suffix] for c in alphabet]
@@ -108,7 +111,8 @@ class Transducer:
         # the pattern's own white space class, spelled out
         self.pieces = regex.compile(model["pattern"].replace(r"[^\s", f"[^{_SPACE}"))
         self.spaces = re.compile(f"[{_SPACE}]+")
-        self.memo = _Memo(self)
+        self.memo = _Memo(self.word)
+        self.piece_memo = _Memo(self.piece)
 
     def encode(self, text: str) -> Iterator[bytes]:
         """Ids as little-endian 32-bit numbers, a run at a time."""
@@ -127,10 +131,11 @@ class Transducer:
 
     def word(self, word: str) -> bytes:
         """Ids of a run without white space."""
-        ids: list[int] = []
-        for piece in self.pieces.finditer(word):
-            ids.extend(self.stream(piece[0].encode("utf-8", "surrogatepass")))
-        return np.array(ids, "<u4").tobytes()
+        return b"".join([self.piece_memo[p] for p in self.pieces.findall(word)])
+
+    def piece(self, piece: str) -> bytes:
+        ids = np.fromiter(self.stream(piece.encode("utf-8", "surrogatepass")), "<u4")
+        return ids.tobytes()
 
     def stream(self, data: bytes) -> Iterator[int]:
         """Tokens of one piece; each is given as soon as it is final."""
@@ -151,37 +156,52 @@ class Transducer:
 
     def merged(self, ids: list[int]) -> list[int]:
         """Merge the pair of lowest rank, the leftmost first, until none is left."""
+        if len(ids) > SHORT:
+            return self.merged_by_heap(ids)
+        get, none = self.ranks.get, len(self.products)
+        ranks = [get(pair, none) for pair in zip(ids, ids[1:])]
+        while ranks and (low := min(ranks)) < none:
+            i = ranks.index(low)
+            ids[i] = self.products[low]
+            del ids[i + 1], ranks[i]
+            if i:
+                ranks[i - 1] = get((ids[i - 1], ids[i]), none)
+            if i < len(ranks):
+                ranks[i] = get((ids[i], ids[i + 1]), none)
+        return ids
+
+    def merged_by_heap(self, ids: list[int]) -> list[int]:
         n, ranks = len(ids), self.ranks
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(*ranks[pair][:1], i, pair) for i, pair in enumerate(zip(ids, ids[1:])) if pair in ranks]
+        heap = [(ranks[pair], i, pair) for i, pair in enumerate(zip(ids, ids[1:])) if pair in ranks]
         heapq.heapify(heap)
         while heap:
-            _, i, pair = heapq.heappop(heap)
+            rank, i, pair = heapq.heappop(heap)
             j = after[i]
             if j >= n or (ids[i], ids[j]) != pair:
                 continue
-            ids[i], ids[j] = ranks[pair][1], -1
+            ids[i], ids[j] = self.products[rank], -1
             after[i] = after[j]
             if after[j] < n:
                 before[after[j]] = i
             for a, b in ((before[i], i), (i, after[i])):
-                if a >= 0 and b < n and (found := ranks.get((ids[a], ids[b]))):
-                    heapq.heappush(heap, (found[0], a, (ids[a], ids[b])))
+                if a >= 0 and b < n and (ids[a], ids[b]) in ranks:
+                    heapq.heappush(heap, (ranks[ids[a], ids[b]], a, (ids[a], ids[b])))
         return [i for i in ids if i >= 0]
 
 
 class _Memo(dict):
-    """Ids of words seen before; started anew when it is full."""
+    """Results for texts seen before; started anew when it is full."""
 
-    def __init__(self, transducer: Transducer) -> None:
-        self.transducer = transducer
+    def __init__(self, make: Callable[[str], bytes]) -> None:
+        self.make = make
 
-    def __missing__(self, word: str) -> bytes:
-        found = self.transducer.word(word)
-        if len(word) <= MEMO_CHARS:
+    def __missing__(self, text: str) -> bytes:
+        found = self.make(text)
+        if len(text) <= MEMO_CHARS:
             if len(self) >= MEMO_WORDS:
                 self.clear()
-            self[word] = found
+            self[text] = found
         return found
 
 
