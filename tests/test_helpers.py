@@ -106,3 +106,20 @@ def test_certify_needs_every_stage(spark):
     prove = spark.createDataFrame([("a", "OPTIMAL"), ("c", "INFEASIBLE")], "request_id string, prove_status string")
     got = {r.request_id: r.verdict for r in D.certify(find, erase, prove).collect()}
     assert got == {"a": "COMPLETE_WITHIN_ENVELOPE", "b": "UNVERIFIED", "c": "INCOMPLETE", "d": "UNVERIFIED", "e": "INCOMPLETE"}
+
+
+def test_redaction_of_nested_values():
+    from traceless.functions.digests import redacted_text
+
+    keys = frozenset({"token", "secret"})
+    cases = {
+        '{"token": {"a": {"b": "SECRET"}}, "x":1}': '{"token": "[REDACTED]", "x":1}',
+        '[{"Secret":["}", [2]]}, {"a": "token"}]': '[{"Secret":"[REDACTED]"}, {"a": "token"}]',
+        '{"tok\\u0065n" : "\\"x", "deep": {"token": null}}': '{"tok\\u0065n" : "[REDACTED]", "deep": {"token": "[REDACTED]"}}',
+        '"token"': '"token"',
+        '{"token": 1': None,
+        None: None,
+        "[" * 100_000: None,
+    }
+    for text, want in cases.items():
+        assert redacted_text(text, keys) == want

@@ -182,3 +182,39 @@ def test_closing_actions_match_enumeration(spark):
             assert mixed[request].solver_status in ("APPROXIMATE", "INFEASIBLE")
         else:
             assert mixed[request] == got
+
+
+def test_exact_cover_of_many_actions(spark):
+    """Fourteen and thirty actions: two of cost 5 beat a tempting one and all dear ones."""
+    for case, dear in (("c14", 11), ("c30", 27)):
+        required = [(case, f"a{k}") for k in range(6)]
+        actions = [(case, "A", 5, True), (case, "B", 5, True), (case, "G", 4, True)] + [(case, f"x{k:02}", 50, True) for k in range(dear)]
+        covers = [("A", f"a{k}") for k in (0, 1, 2)] + [("B", f"a{k}") for k in (3, 4, 5)]
+        covers += [("G", f"a{k}") for k in (0, 1, 3, 4)] + [(f"x{k:02}", f"a{k % 6}") for k in range(dear)]
+        row = P.exact_cover(
+            spark.createDataFrame(required, "subject_id string, artifact_id string"),
+            spark.createDataFrame(actions, "subject_id string, action_id string, cost long, permitted boolean"),
+            spark.createDataFrame(covers, "action_id string, artifact_id string"),
+        ).first()
+        assert (row.action_ids, row.total_cost, row.solver_status) == (["A", "B"], 10, "OPTIMAL")
+
+
+def test_choices_match_enumeration():
+    from traceless.functions.choices import all_smallest, cheapest
+
+    rng = random.Random(1)
+    for _ in range(400):
+        n = rng.randrange(1, 9)
+        masks = [rng.randrange(1, 1 << n) for _ in range(rng.randrange(0, 8))]
+        costs = [rng.randrange(0, 6) for _ in range(n)]
+        hits = [s for k in range(n + 1) for s in combinations(range(n), k) if all(any(m >> i & 1 for i in s) for m in masks)]
+        best = min((sum(costs[i] for i in s), len(s), s) for s in hits)
+        assert tuple(cheapest(masks, costs)) == best[2]
+        assert all_smallest(masks) == sorted([list(s) for s in hits if len(s) == len(hits[0])])
+    assert all_smallest([0, 3]) is None and all_smallest([]) == [[]]
+
+
+def test_hitting_sets_of_many_operations(spark):
+    paths = [("g", f"p{k}", [f"o{k:02}", "hub"]) for k in range(40)] + [("free", "p", []), ("other", "p", ["x"])]
+    rows = P.min_hitting_sets(spark.createDataFrame(paths, "graph_id string, path_id string, operations array<string>")).collect()
+    assert {(r.graph_id, r.size, tuple(r.operations or ())) for r in rows} == {("g", 1, ("hub",)), ("free", None, ()), ("other", 1, ("x",))}

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,15 +50,47 @@ SENSITIVE_KEYS = (
 )
 
 
-def redact_json(text: Column, keys: Sequence[str] = SENSITIVE_KEYS) -> Column:
-    """Values of sensitive keys replaced at any depth of a compact or spaced JSON text.
+_TOKEN = re.compile(r'"(?:[^"\\]|\\.)*"|[{}\[\],:]|[^\s{}\[\],:"]+')
+
+
+def redacted_text(text: str | None, keys: frozenset[str]) -> str | None:
+    """The JSON text with the values of ``keys`` replaced at any depth, all else as it was.
 
-    Covers string, number, boolean and null values of such keys; nested objects
-    and arrays below a sensitive key are replaced when they hold no further braces.
+    Keys are compared as decoded names in lower case.  What does not parse gives
+    nothing, so no part of a broken text comes through.
     """
-    names = "|".join(k.replace("-", "\\-") for k in keys)
-    value = r'("(?:[^"\\]|\\.)*"|\{[^{}]*\}|\[[^\[\]]*\]|[^,}\]\s]+)'
-    return F.regexp_replace(text, rf'(?i)("(?:{names})"\s*:\s*){value}', f'$1"{REDACTED}"')
+    try:
+        json.loads(text)
+    except (TypeError, ValueError, RecursionError):
+        return None
+    parts, done, tokens = [], 0, list(_TOKEN.finditer(text))
+    i = 0
+    while i < len(tokens) - 1:
+        is_key = tokens[i][0].startswith('"') and tokens[i + 1][0] == ":"
+        i += 1
+        if not is_key or json.loads(tokens[i - 1][0]).lower() not in keys:
+            continue
+        first = last = i + 1
+        depth = 0
+        while True:
+            depth += (tokens[last][0] in "{[") - (tokens[last][0] in "}]")
+            if depth == 0:
+                break
+            last += 1
+        parts += [text[done : tokens[first].start()], f'"{REDACTED}"']
+        done, i = tokens[last].end(), last + 1
+    return "".join(parts) + text[done:]
+
+
+def redact_json(text: Column, keys: Sequence[str] = SENSITIVE_KEYS) -> Column:
+    """Values of sensitive keys, whole objects and arrays included, replaced at any depth."""
+    names = frozenset(k.lower() for k in keys)
+
+    @F.pandas_udf("string")
+    def hidden(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: redacted_text(t, names))
+
+    return hidden(text)
 
 
 def redact_url(url: Column, keys: Sequence[str] = SENSITIVE_KEYS) -> Column:

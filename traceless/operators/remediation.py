@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from traceless.functions.choices import all_smallest, cheapest
 from traceless.functions.lattice import blocks, chosen, has, membership, shift_left, subset_key, subsets_in_block
 from traceless.operators.pathgraph import PathGraph, Variants, apply_actions, bit_counts, evaluate_requests
 from traceless.operators.ranking import group_rank
 from traceless.plans.workspace import Stored, union_stored
 
 MAX_EXACT = 12
+#: Permitted actions of a subject up to which a cover is solved exactly.
+MAX_COVER = 30
 
 
 def required_artifacts(audit) -> DataFrame:
@@ -41,65 +47,38 @@ def choice_arrays(numbered: DataFrame, case: str) -> DataFrame:
     return packed.select(case, "choices", F.col("o.action_id").alias("ids"), F.col("o.cost").alias("costs"))
 
 
-def exact_cover(required: DataFrame, actions: DataFrame, covers: DataFrame, limit: int = MAX_EXACT) -> DataFrame:
+def exact_cover(required: DataFrame, actions: DataFrame, covers: DataFrame, limit: int = MAX_COVER) -> DataFrame:
     """Cheapest action set that covers every required artifact of a subject.
 
-    Each artifact carries a label of the subsets that cover it; the AND over a
-    subject's artifacts marks complete subsets, so artifacts are never joined
-    with subsets.  Without a complete subset the best partial one is returned.
-    Subjects beyond ``limit`` permitted actions go to :func:`greedy_cover`.
+    An artifact becomes the bit set of the actions that cover it; a subject then
+    is its few different bit sets with their counts, and one row holds it.  Rows
+    are solved exactly where they are.  Artifacts that no permitted action covers
+    stay uncovered.  Subjects beyond ``limit`` permitted actions go to
+    :func:`greedy_cover`.
     """
     numbered = Stored(numbered_choices(actions, "subject_id", limit), "choices").df
     arrays = choice_arrays(numbered, "subject_id")
     over = actions.where("permitted").groupBy("subject_id").count().where(F.col("count") > limit)
     needed = required.join(over, "subject_id", "left_anti")
-    useful = covers.join(numbered, "action_id").select("subject_id", "artifact_id", "idx", "choices")
-    labelled = useful.withColumn("block", F.explode(blocks(F.col("choices")))).withColumn(
-        "bits", membership(F.col("idx"), F.col("block"))
+    useful = covers.join(numbered, "action_id").select("subject_id", "artifact_id", shift_left(F.lit(1).cast("long"), F.col("idx")).alias("bit"))
+    masks = useful.groupBy("subject_id", "artifact_id").agg(F.bit_or("bit").alias("mask"))
+    signed = needed.join(masks, ["subject_id", "artifact_id"], "left").select(
+        "subject_id", F.coalesce("mask", F.lit(0).cast("long")).alias("mask")
     )
-    per_artifact = labelled.groupBy("subject_id", "artifact_id", "block").agg(F.bit_or("bits").alias("bits"))
-    spread = needed.join(arrays.select("subject_id", "choices"), "subject_id", "left").withColumn(
-        "block", F.explode(blocks(F.coalesce("choices", F.lit(0))))
+    tallied = signed.groupBy("subject_id", "mask").agg(F.count(F.lit(1)).alias("n"))
+    subjects = tallied.groupBy("subject_id").agg(
+        F.collect_list("mask").alias("masks"),
+        F.sum("n").alias("required"),
+        F.sum(F.when(F.col("mask") == 0, F.col("n")).otherwise(0)).alias("uncovered"),
     )
-    labels = spread.join(per_artifact, ["subject_id", "artifact_id", "block"], "left").select(
-        "subject_id", "block", F.coalesce("bits", F.lit(0).cast("long")).alias("label")
+    rows = subjects.join(arrays, "subject_id", "left").select(
+        "subject_id", "masks", "required", "uncovered",
+        F.coalesce("ids", F.array().cast("array<string>")).alias("ids"),
+        F.coalesce("costs", F.array()).cast("array<bigint>").alias("costs"),
     )
-    # Few distinct labels per subject: count them first, then look at single bits.
-    tallied = labels.groupBy("subject_id", "block", "label").agg(F.count(F.lit(1)).alias("n"))
-    tallied = Stored(tallied, "cover-labels").df
-    per_block = tallied.groupBy("subject_id", "block").agg(F.sum("n").alias("required"), F.bit_and("label").alias("full"))
-    solvable = per_block.groupBy("subject_id").agg(F.bool_or(F.col("full") != 0).alias("solvable"))
-    per_block = per_block.join(solvable, "subject_id").join(arrays, "subject_id", "left").withColumns(
-        {
-            "choices": F.coalesce("choices", F.lit(0)),
-            "ids": F.coalesce("ids", F.array().cast("array<string>")),
-            "costs": F.coalesce("costs", F.array().cast("array<bigint>")),
-        }
+    exact = rows.mapInArrow(_solve_covers, _typed(required, "subject_id") + ", action_ids array<string>, total_cost bigint, covered bigint, uncovered bigint").withColumn(
+        "solver_status", F.lit("OPTIMAL")
     )
-
-    def best(subsets: DataFrame, covered: Column) -> DataFrame:
-        numbered_subsets = subsets.withColumn("mask", F.col("block") * 64 + F.col("bit"))
-        key = F.struct((-covered).alias("minus"), *subset_key(F.col("costs"), F.col("mask"), limit))
-        picked = numbered_subsets.groupBy("subject_id").agg(
-            F.min(key).alias("b"), F.max("required").alias("required"), F.first("ids").alias("ids")
-        )
-        return picked.select(
-            "subject_id",
-            chosen(F.col("ids"), F.col("b.mask")).alias("action_ids"),
-            "b.total_cost",
-            (-F.col("b.minus")).alias("covered"),
-            (F.col("required") + F.col("b.minus")).alias("uncovered"),
-            F.lit("OPTIMAL").alias("solver_status"),
-        )
-
-    bits = F.explode(subsets_in_block(F.col("choices")))
-    complete = per_block.where("solvable").withColumn("bit", bits).where(has(F.col("full"), F.col("bit")))
-    # Only subjects without a complete subset need coverage counts per subset.
-    open_labels = tallied.join(solvable.where(~F.col("solvable")), "subject_id", "left_semi")
-    counts = bit_counts(open_labels, ["subject_id", "block"], "n")
-    partial = per_block.where(~F.col("solvable")).join(counts, ["subject_id", "block"], "left").withColumn("bit", bits)
-    hits = F.coalesce(F.element_at("violations", F.col("bit") + 1), F.lit(0))
-    exact = best(complete, F.col("required")).unionByName(best(partial, hits))
     if over.isEmpty():
         return exact
     rest = required.join(over, "subject_id", "left_semi")
@@ -107,6 +86,24 @@ def exact_cover(required: DataFrame, actions: DataFrame, covers: DataFrame, limi
     return exact.unionByName(greedy)
 
 
+def _typed(df: DataFrame, name: str) -> str:
+    return f"{name} {df.schema[name].dataType.simpleString()}"
+
+
+def _solve_covers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = []
+        for row in batch.select(["masks", "ids", "costs", "required", "uncovered"]).to_pylist():
+            taken = cheapest(row["masks"], row["costs"])
+            found.append(([row["ids"][i] for i in taken], sum(row["costs"][i] for i in taken), row["required"] - row["uncovered"], row["uncovered"]))
+        ids, costs, covered, uncovered = zip(*found) if found else ((), (), (), ())
+        longs = [pa.array(x, pa.int64()) for x in (costs, covered, uncovered)]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("subject_id"), pa.array(ids, pa.list_(pa.string())), *longs],
+            ["subject_id", "action_ids", "total_cost", "covered", "uncovered"],
+        )
+
+
 def greedy_cover(required: DataFrame, actions: DataFrame, covers: DataFrame) -> DataFrame:
     """Repeatedly take the action with the least cost per newly covered artifact."""
     permitted = actions.where("permitted").select("subject_id", "action_id", "cost")
@@ -377,39 +374,38 @@ def risk_control_plan(outcomes: DataFrame, controls: DataFrame, closes: DataFram
         F.col("subject_id").alias("case_id"),
         F.when(solved, F.col("action_ids")).otherwise(F.array().cast("array<string>")).alias("action_ids"),
         F.when(solved, F.col("total_cost")).otherwise(0).alias("total_cost"),
-        F.when(F.col("uncovered").isNull(), "NOTHING_REQUIRED").when(solved, "OPTIMAL").otherwise("INFEASIBLE").alias("status"),
+        F.when(F.col("uncovered").isNull(), "NOTHING_REQUIRED").when(solved, F.col("solver_status")).otherwise("INFEASIBLE").alias("status"),
     )
 
 
-def min_hitting_sets(paths: DataFrame, limit: int = MAX_EXACT) -> DataFrame:
+def min_hitting_sets(paths: DataFrame) -> DataFrame:
     """All smallest operation sets that meet every path of a graph.
 
     ``paths(graph_id, path_id, operations)``; a graph with an empty path cannot
     be controlled, and one without paths needs nothing.  ``size`` is null when
     uncontrollable.
     """
-    exploded = paths.select("graph_id", "path_id", F.explode_outer("operations").alias("operation"))
-    names = exploded.where(F.col("operation").isNotNull()).groupBy("graph_id").agg(
-        F.array_sort(F.collect_set("operation")).alias("ids")
-    )
-    names = names.withColumn("choices", F.size("ids"))
-    if not names.where(F.col("choices") > limit).isEmpty():
-        raise ValueError(f"more than {limit} operations on recurrence paths")
-    placed = exploded.join(names, "graph_id").withColumn("block", F.explode(blocks(F.col("choices"))))
-    bits = membership(F.array_position("ids", F.col("operation")).cast("int") - 1, F.col("block"))
-    per_path = placed.withColumn("bits", F.when(F.col("operation").isNotNull(), bits).otherwise(0)).groupBy(
-        "graph_id", "path_id", "block"
-    ).agg(F.bit_or("bits").alias("bits"))
-    hit = per_path.groupBy("graph_id", "block").agg(F.bit_and("bits").alias("hit")).join(names, "graph_id")
-    subsets = hit.withColumn("bit", F.explode(subsets_in_block(F.col("choices")))).where(
-        has(F.col("hit"), F.col("bit"))
-    )
-    sized = subsets.withColumn("mask", F.col("block") * 64 + F.col("bit")).withColumn("size", F.bit_count("mask").cast("long"))
-    least = sized.groupBy("graph_id").agg(F.min("size").alias("size"))
-    sets = sized.join(least, ["graph_id", "size"]).select(
-        "graph_id", "size", chosen(F.col("ids"), F.col("mask")).alias("operations")
-    )
-    return paths.select("graph_id").distinct().join(sets, "graph_id", "left")
+    listed = paths.select("graph_id", F.array_sort(F.array_distinct("operations")).alias("operations")).distinct()
+    graphs = listed.groupBy("graph_id").agg(F.collect_list("operations").alias("paths"))
+    return graphs.mapInArrow(_solve_hits, _typed(paths, "graph_id") + ", size bigint, operations array<string>")
+
+
+def _solve_hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Smallest hitting sets of each graph's different paths."""
+    for batch in batches:
+        at, sizes, sets = [], [], []
+        for k, paths in enumerate(batch.column("paths").to_pylist()):
+            names = sorted({o for path in paths for o in path or ()})
+            index = {o: i for i, o in enumerate(names)}
+            found = all_smallest(sum(1 << index[o] for o in path or ()) for path in paths)
+            for one in [None] if found is None else found:
+                at.append(k)
+                sizes.append(None if one is None else len(one))
+                sets.append(None if one is None else [names[i] for i in one])
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("graph_id").take(pa.array(at, pa.int64())), pa.array(sizes, pa.int64()), pa.array(sets, pa.list_(pa.string()))],
+            ["graph_id", "size", "operations"],
+        )
 
 
 def calibrate_costs(measurements: DataFrame, by: str) -> DataFrame:

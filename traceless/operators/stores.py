@@ -154,26 +154,19 @@ def readable_backups(ciphers: DataFrame, keys: DataFrame) -> DataFrame:
     return ciphers.select("subject_id").distinct().join(keys.select("subject_id").distinct(), "subject_id")
 
 
-def replay_workflows(subjects: DataFrame, carriers: DataFrame, guards: DataFrame, tombstones: DataFrame) -> DataFrame:
-    """Which online stores a subject returns to when every unguarded workflow runs once.
-
-    ``carriers(subject_id, carrier)`` with carriers backup, export, queue and
-    checkpoint; ``guards(subject_id, transition_id)``.  A recreated source row
-    rebuilds index, cache and model.
+def replay_workflows(
+    subjects: DataFrame, carriers: DataFrame, routes: DataFrame, guards: DataFrame, tombstones: DataFrame
+) -> DataFrame:
+    """Which online stores a subject returns to when every unguarded route runs once.
+
+    ``carriers(subject_id, carrier)``; ``routes(carrier, transition_id, store)``
+    say what a carrier recreates; ``guards(subject_id, transition_id)``.  A
+    recreated source row rebuilds index, cache and model.
     """
-    # Carrier, transition, store it recreates.
-    routes = (
-        ("backup", "backup_restore", "source"),
-        ("export", "legacy_export_import", "source"),
-        ("queue", "retry_queue_replay", "cache"),
-        ("checkpoint", "checkpoint_redeploy", "model"),
-    )
-    table = F.array(*[F.struct(F.lit(c).alias("carrier"), F.lit(t).alias("transition_id"), F.lit(s).alias("store")) for c, t, s in routes])
     live = (
         carriers.join(tombstones.select("subject_id"), "subject_id", "left_anti")
-        .withColumn("route", F.explode(table))
-        .where(F.col("carrier") == F.col("route.carrier"))
-        .select("subject_id", "route.transition_id", "route.store")
+        .join(routes, "carrier")
+        .select("subject_id", "transition_id", "store")
         .join(guards, ["subject_id", "transition_id"], "left_anti")
     )
     flag = lambda s: F.bool_or(F.col("store") == s)

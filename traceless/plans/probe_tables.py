@@ -1,67 +1,42 @@
-"""Users as discovery cases over a catalogue of candidate recovery graphs."""
+"""Users as discovery cases over candidate recovery graphs that follow from `nation` and `region`."""
 
 from __future__ import annotations
 
 from traceless.plans.catalog import projection
 
-
-def _rows(columns: list[str], rows: list[tuple]) -> str:
-    def literal(v) -> str:
-        return f"'{v}'" if isinstance(v, str) else str(v).lower() if isinstance(v, bool) else str(v)
-
-    first = "select " + ", ".join(f"{literal(v)} as {c}" for c, v in zip(columns, rows[0], strict=True))
-    rest = ["select " + ", ".join(literal(v) for v in row) for row in rows[1:]]
-    return " union all ".join([first, *rest])
-
-
-# The catalogue of nodes, edges, graphs and probes.
-EDGES = {
-    "alt-rebuild": ("cache", "vector", "rebuild"),
-    "alt-replay": ("backup", "cache", "replay"),
-    "direct": ("backup", "vector", "direct"),
-    "index": ("worker", "vector", "index"),
-    "log": ("database", "telemetry", "log"),
-    "restore": ("backup", "database", "restore"),
-    "sync": ("database", "worker", "sync"),
-}
-GRAPHS = {
-    "g-alt": ("alt-rebuild", "alt-replay"),
-    "g-combo": ("direct", "index", "restore", "sync"),
-    "g-direct": ("direct",),
-    "g-multi": ("index", "restore", "sync"),
-    "g-multi-log": ("index", "log", "restore", "sync"),
-    "g-safe": (),
-}
-PROBES = {
-    "q-all": (("direct", "index", "log", "rebuild", "replay", "restore", "sync"), 7),
-    "q-alt": (("rebuild", "replay"), 2),
-    "q-direct": (("direct",), 1),
-    "q-index": (("index",), 1),
-    "q-multi": (("index", "restore", "sync"), 3),
-    "q-restore": (("restore",), 1),
-    "q-sync": (("sync",), 1),
-}
-NODES = ("backup", "cache", "database", "telemetry", "vector", "worker")
-CHECKPOINTS = ("cache", "database", "vector", "worker")
+#: Candidate graphs, by number; the last one has no edge.
+GRAPHS = ("h0", "h1", "h2", "h3", "h4", "h5")
 BUCKETS = 3
 
+# A nation is a hop from its own region to another; the first region is where copies start
+# and the last one is where none may arrive.  Nations share operations by number.
+projection(
+    "hyp_hops",
+    """
+    select n_nationkey as k, lower(n_name) as edge_id, lower(a.r_name) as source_id, lower(b.r_name) as target_id,
+      'o' || cast(n_nationkey % 7 as string) as operation_id
+    from {nation} join {region} a on n_regionkey = a.r_regionkey
+    join {region} b on b.r_regionkey = (n_regionkey + 1 + n_nationkey % 3) % 5
+    """,
+)
 projection(
     "hyp_edges",
-    _rows(
-        ["graph_id", "edge_id", "source_id", "target_id", "operation_id"],
-        [(g, e, *EDGES[e]) for g, es in GRAPHS.items() for e in es],
-    ),
+    """
+    select 'h' || cast(g.g as string) as graph_id, edge_id, source_id, target_id, operation_id
+    from {hyp_hops} join (select distinct n_nationkey % 6 as g from {nation}) g on g.g < 5 and k % 5 in (g.g, (g.g + 2) % 5)
+    """,
 )
 projection(
     "hyp_nodes",
-    _rows(
-        ["graph_id", "node_id", "is_initial", "is_residual"],
-        [(g, n, n == "backup", n == "vector") for g in GRAPHS for n in NODES],
-    ),
+    """
+    select 'h' || cast(g.g as string) as graph_id, lower(r_name) as node_id, r_regionkey = 0 as is_initial, r_regionkey = 4 as is_residual
+    from {region} cross join (select distinct n_nationkey % 6 as g from {nation}) g
+    """,
 )
-projection("probes", _rows(["probe_id", "time_buckets", "declared_cost"], [(p, BUCKETS, c) for p, (_, c) in PROBES.items()]))
-projection("probe_ops", _rows(["probe_id", "operation_id"], [(p, o) for p, (ops, _) in PROBES.items() for o in ops]))
-projection("probe_checkpoints", _rows(["probe_id", "node_id"], [(p, n) for p in PROBES for n in CHECKPOINTS]))
+# Probe p runs every p-th operation and costs as much as it runs.
+projection("probe_ops", "select distinct 'p' || cast(a.n_nationkey + 1 as string) as probe_id, 'o' || cast(b.n_nationkey as string) as operation_id from {nation} a cross join {nation} b where a.n_nationkey < 7 and b.n_nationkey < 7 and b.n_nationkey % (a.n_nationkey + 1) = 0")
+projection("probes", f"select probe_id, {BUCKETS} as time_buckets, cast(count(*) as int) as declared_cost from {{probe_ops}} group by probe_id")
+projection("probe_checkpoints", "select probe_id, lower(r_name) as node_id from {probes} cross join {region} where r_regionkey > 0")
 
 projection(
     "probe_steps",
@@ -71,14 +46,14 @@ projection(
     "arrivals",
     """
     select graph_id, probe_id, node_id, min(bucket) as bucket from (
-      select graph_id, probe_id, target_id as node_id, 1 as bucket from {probe_steps} where source_id = 'backup'
+      select graph_id, probe_id, target_id as node_id, 1 as bucket from {probe_steps} where source_id in (select lower(r_name) from {region} where r_regionkey = 0)
       union all
       select b.graph_id, b.probe_id, b.target_id, 2 from {probe_steps} a join {probe_steps} b
-        on a.graph_id = b.graph_id and a.probe_id = b.probe_id and a.target_id = b.source_id where a.source_id = 'backup'
+        on a.graph_id = b.graph_id and a.probe_id = b.probe_id and a.target_id = b.source_id where a.source_id in (select lower(r_name) from {region} where r_regionkey = 0)
       union all
       select c.graph_id, c.probe_id, c.target_id, 3 from {probe_steps} a join {probe_steps} b
         on a.graph_id = b.graph_id and a.probe_id = b.probe_id and a.target_id = b.source_id join {probe_steps} c
-        on c.graph_id = b.graph_id and c.probe_id = b.probe_id and b.target_id = c.source_id where a.source_id = 'backup') x
+        on c.graph_id = b.graph_id and c.probe_id = b.probe_id and b.target_id = c.source_id where a.source_id in (select lower(r_name) from {region} where r_regionkey = 0)) x
     group by graph_id, probe_id, node_id
     """,
 )
@@ -96,7 +71,7 @@ projection(
     "discovery_cases",
     """
     select 'u' || cast(user_id as string) as case_id, user_id as k,
-      case user_id % 6 when 0 then 'g-alt' when 1 then 'g-combo' when 2 then 'g-direct' when 3 then 'g-multi' when 4 then 'g-multi-log' else 'g-safe' end as truth_graph,
+      'h' || cast(user_id % 6 as string) as truth_graph,
       user_id % 50 <> 0 as truth_known, user_id % 40 <> 1 as evidence_ok, case when user_id % 30 = 7 then 1 else 0 end as budget
     from (select distinct user_id from {events}) u
     """,
@@ -106,8 +81,8 @@ projection(
     "truth_traces",
     """
     select c.case_id, t.probe_id, t.bucket, t.node_id,
-      case when not c.truth_known and t.bucket = 2 and t.node_id = 'database' then not t.bit
-           when c.k % 30 = 7 and t.bucket = 3 and t.node_id = 'cache' then not t.bit else t.bit end as bit
+      case when not c.truth_known and t.bucket = 2 and t.node_id = 'asia' then not t.bit
+           when c.k % 30 = 7 and t.bucket = 3 and t.node_id = 'europe' then not t.bit else t.bit end as bit
     from {discovery_cases} c join {trace_table} t on t.graph_id = c.truth_graph
     """,
     written=True,
@@ -116,7 +91,7 @@ projection(
     "executed_probes",
     """
     select distinct 'u' || cast(user_id as string) as case_id,
-      case event_id % 7 when 0 then 'q-all' when 1 then 'q-alt' when 2 then 'q-direct' when 3 then 'q-index' when 4 then 'q-multi' when 5 then 'q-restore' else 'q-sync' end as probe_id
+      'p' || cast(event_id % 7 + 1 as string) as probe_id
     from {events} where event_type = 'error' and value < 30
     """,
     written=True,

@@ -7,63 +7,65 @@ from pyspark.sql import functions as F
 
 from traceless.plans.catalog import projection, table
 
+# Shipping routes: crates that lie about go to one of two docks, by a hub or past it to the store.
+# The first eight nations name the routes; keys and remainders give their ends.
 projection(
     "workflow_steps",
     """
-    select 'backup_restore' as transition_id, 'carrier-backup' as req, 'postgres' as adds, 'backup-audit' as sensor_id, -1 as optional_bit
-    union all select 'checkpoint_redeploy', 'carrier-checkpoint', 'model', 'model-registry-audit', 0
-    union all select 'legacy_export_import', 'carrier-export', 'postgres', 'export-audit', 1
-    union all select 'model_retrain', 'vector-index', 'model', 'pipeline-audit', -1
-    union all select 'nightly_etl', 'postgres', 'cache', 'pipeline-audit', -1
-    union all select 'retry_queue_replay', 'carrier-queue', 'cache', 'queue-audit', 2
-    union all select 'vector_rebuild', 'postgres', 'vector-index', 'pipeline-audit', -1
+    select n_nationkey as n, 'ship-' || lower(n_name) as transition_id,
+      case when n_nationkey < 4 then 'crate-' || cast(n_nationkey as string) when n_nationkey = 4 then 'dock-0' when n_nationkey = 6 then 'hub' else 'dock-1' end as req,
+      case when n_nationkey < 4 then 'dock-' || cast(n_nationkey % 2 as string) when n_nationkey < 6 then 'hub' else 'store' end as adds,
+      case when n_nationkey < 4 then 'gate-' || cast(n_nationkey % 3 as string) else 'line' end as sensor_id,
+      case when n_nationkey between 1 and 3 then cast(n_nationkey - 1 as int) else -1 end as optional_bit
+    from {nation} where n_nationkey < 8
     """,
 )
 projection(
     "workflow_transitions",
     """
-    select 'v' || cast(s_suppkey as string) as case_id, transition_id, req, adds, sensor_id, optional_bit, s_suppkey as k
+    select 'v' || cast(s_suppkey as string) as case_id, transition_id, req, adds, sensor_id, optional_bit, s_suppkey as k, n
     from {supplier} cross join {workflow_steps}
     """,
 )
 projection(
     "workflow_observations",
     """
-    select case_id, 'obs-' || transition_id as obs_id, sensor_id, case when k % 31 = 9 and transition_id = 'nightly_etl' then 'shadow_job' else transition_id end as transition_id,
-      not (k % 12 = 7 and transition_id = 'vector_rebuild') as verified
-    from {workflow_transitions} where not (k % 17 = 5 and transition_id = 'backup_restore')
+    select case_id, 'obs-' || transition_id as obs_id, sensor_id, case when k % 31 = 9 and n = 4 then 'unlisted-route' else transition_id end as transition_id,
+      not (k % 12 = 7 and n = 6) as verified
+    from {workflow_transitions} where not (k % 17 = 5 and n = 0)
+    """,
+)
+projection(
+    "workflow_guards",
+    """
+    select 'seal-' || cast(n as string) as control_id, 2 + (5 * n) % 4 as cost, transition_id as guarded from {workflow_steps} where n < 4
+    union all select 'shut-' || req, 6, string_agg(transition_id, ',') from {workflow_steps} where req = 'dock-1' group by req
+    union all select 'shut-hub', 7, string_agg(transition_id, ',') from {workflow_steps} where req = 'hub' or adds = 'hub'
+    union all select 'recall-all', 21, string_agg(transition_id, ',') from {workflow_steps} where n < 4
     """,
 )
 projection(
     "workflow_controls",
     """
     select 'v' || cast(s_suppkey as string) as case_id, control_id, cast(cost + s_suppkey % 3 as bigint) as cost,
-      not (s_suppkey % 9 = 4 and control_id = 'persistent_subject_tombstone') as permitted, guarded
-    from {supplier} cross join (
-      select 'backup_restore_filter' as control_id, 3 as cost, 'backup_restore' as guarded
-      union all select 'checkpoint_deploy_filter', 5, 'checkpoint_redeploy'
-      union all select 'destroy_all_latent_carriers', 60, 'backup_restore,checkpoint_redeploy,legacy_export_import,retry_queue_replay'
-      union all select 'legacy_import_filter', 4, 'legacy_export_import'
-      union all select 'persistent_subject_tombstone', 7, 'backup_restore,checkpoint_redeploy,legacy_export_import,retry_queue_replay'
-      union all select 'retry_queue_filter', 2, 'retry_queue_replay') c
+      not (s_suppkey % 9 = 4 and control_id = 'shut-hub') as permitted, guarded
+    from {supplier} cross join {workflow_guards}
     """,
 )
 projection(
     "workflow_initial",
     """
-    select 'v' || cast(s_suppkey as string) as case_id, fact, optional_bit from {supplier} cross join (
-      select 'carrier-backup' as fact, -1 as optional_bit union all select 'carrier-checkpoint', 0
-      union all select 'carrier-export', 1 union all select 'carrier-queue', 2) f
-    where not (fact = 'carrier-backup' and s_suppkey % 5 = 0)
+    select 'v' || cast(s_suppkey as string) as case_id, req as fact, optional_bit from {supplier} cross join {workflow_steps}
+    where n < 4 and not (n = 0 and s_suppkey % 5 = 0)
     union all
-    select 'v' || cast(s_suppkey as string), 'model', -1 from {supplier} where s_suppkey % 23 = 6
+    select 'v' || cast(s_suppkey as string), 'store', -1 from {supplier} where s_suppkey % 23 = 6
     """,
 )
 projection(
     "workflow_residual",
     """
-    select 'v' || cast(s_suppkey as string) as case_id, fact from {supplier} cross join (select 'model' as fact union all select 'cache') f
-    where fact = 'model' or s_suppkey % 2 = 0
+    select distinct 'v' || cast(s_suppkey as string) as case_id, adds as fact from {supplier} cross join {workflow_steps}
+    where adds = 'store' or (adds = 'hub' and s_suppkey % 2 = 0)
     """,
 )
 projection(

@@ -304,21 +304,21 @@ def information_bounds(spark, sf):
 @query(
     "policy_replay",
     """select c.case_id, m.graphs as action, 3::bigint as cost, 1::bigint as probes from {discovery_cases} c
-       left join {tw} f on f.case_id = c.case_id and f.probe_id = 'q-multi'
-       left join (select word, string_agg(graph_id, ',' order by graph_id) as graphs from {words} where probe_id = 'q-multi' group by word) m using (word)""",
+       left join {tw} f on f.case_id = c.case_id and f.probe_id = 'p3'
+       left join (select word, string_agg(graph_id, ',' order by graph_id) as graphs from {words} where probe_id = 'p3' group by word) m using (word)""",
     {
         "words": _SELECTION["words"],
         "tw": "select case_id, probe_id, string_agg(bit::int, '' order by bucket, node_id) as word from {truth_traces} group by all",
     },
 )
 def policy_replay(spark, sf):
-    """One-probe policy: run q-multi, then act on the graphs that share the observed trace."""
+    """One-probe policy: run p3, then act on the graphs that share the observed trace."""
     c, predicted, _, _ = catalogue_facts(spark, sf)
-    classes = predicted.where("probe_id = 'q-multi'").groupBy("trace").agg(
+    classes = predicted.where("probe_id = 'p3'").groupBy("trace").agg(
         F.array_join(F.array_sort(F.collect_set("graph_id")), ",").alias("graphs")
     )
     leaf = F.concat(F.lit("leaf-"), F.col("trace").cast("string"))
-    root = c.probes.where("probe_id = 'q-multi'").select(
+    root = c.probes.where("probe_id = 'p3'").select(
         F.lit("root").alias("state"), F.lit(None).cast("string").alias("action"), "probe_id", F.col("declared_cost").cast("long").alias("declared_cost")
     )
     policy = root.unionByName(
@@ -399,12 +399,12 @@ def discovered_scenarios(spark, sf):
     """select case_id, subject, array_to_string(list_sort(list_distinct(list(node_id))), ',') as reached from {moved} join {discovery_cases} on graph_id = truth_graph group by case_id, subject""",
     {
         "moved": """select distinct graph_id, s.subject, s.subject = 'target' as is_target, node_id from {hyp_nodes}, (select 'target' as subject union all select 'retained') s where is_initial
-            union select m.graph_id, m.subject, m.is_target, e.target_id from {moved} m join {hyp_edges} e on e.graph_id = m.graph_id and e.source_id = m.node_id where not (m.is_target and e.edge_id in ('direct', 'index'))""",
+            union select m.graph_id, m.subject, m.is_target, e.target_id from {moved} m join {hyp_edges} e on e.graph_id = m.graph_id and e.source_id = m.node_id where not (m.is_target and e.operation_id in ('o1', 'o2'))""",
     },
 )
 def subject_propagation(spark, sf):
     c = catalogue_facts(spark, sf)[0]
-    guards = c.edges.where("edge_id in ('direct', 'index')").select("graph_id", "edge_id")
+    guards = c.edges.where("operation_id in ('o1', 'o2')").select("graph_id", "edge_id")
     who = F.explode(F.array(F.lit("target"), F.lit("retained")))
     nodes = c.nodes.where("is_initial").withColumn("subject", who).withColumn("is_target", F.col("subject") == "target")
     reached = E.propagate(c.edges, nodes, guards).withColumnRenamed("graph_id", "truth_graph")

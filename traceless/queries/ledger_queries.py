@@ -410,23 +410,21 @@ def readable_backup_inventory(spark, sf):
     return X.readable_backups(rows.where("store_id = 'backup'"), rows.where("store_id = 'model'"))
 
 
-_CARRIERS = """select subject_id, case store_id when 'backup' then 'backup' when 'index' then 'export' when 'cache' then 'queue' when 'model' then 'checkpoint' end as carrier from {store_rows} where store_id <> 'source'"""
-
-
 @query(
     "workflow_replay",
-    """select r.subject_id, coalesce(bool_or(carrier in ('backup', 'export')), false) as source, source as index, source or coalesce(bool_or(carrier = 'queue'), false) as cache,
-         source or coalesce(bool_or(carrier = 'checkpoint'), false) as model, source or cache or model as regenerated
-       from (select distinct subject_id from {store_rows}) r left join (select * from {c} where subject_id not in (select subject_id from {erasure_requests}) and not (carrier = 'export' and subject_id like '%4')) x using (subject_id) group by r.subject_id""",
-    {"c": _CARRIERS},
+    """select r.subject_id, coalesce(bool_or(carrier in ('backup', 'index')), false) as source, source as index, source or coalesce(bool_or(carrier = 'cache'), false) as cache,
+         source or coalesce(bool_or(carrier = 'model'), false) as model, source or cache or model as regenerated
+       from (select distinct subject_id from {store_rows}) r left join (select subject_id, store_id as carrier from {store_rows} where store_id <> 'source'
+         and subject_id not in (select subject_id from {erasure_requests}) and not (store_id = 'index' and subject_id like '%4')) x using (subject_id) group by r.subject_id""",
 )
 def workflow_replay(spark, sf):
     rows = table(spark, sf, "store_rows")
-    names = F.create_map(*[F.lit(x) for x in ("backup", "backup", "index", "export", "cache", "queue", "model", "checkpoint")])
-    carriers = rows.where("store_id <> 'source'").select("subject_id", F.element_at(names, F.col("store_id")).alias("carrier"))
+    carriers = rows.where("store_id <> 'source'").select("subject_id", F.col("store_id").alias("carrier"))
+    back = F.when(F.col("carrier").isin("backup", "index"), "source").otherwise(F.col("carrier"))
+    routes = carriers.select("carrier").distinct().select("carrier", F.concat(F.lit("from-"), "carrier").alias("transition_id"), back.alias("store"))
     subjects = rows.select("subject_id").distinct()
-    guards = subjects.where("subject_id like '%4'").withColumn("transition_id", F.lit("legacy_export_import"))
-    return X.replay_workflows(subjects, carriers, guards, table(spark, sf, "erasure_requests"))
+    guards = subjects.where("subject_id like '%4'").withColumn("transition_id", F.lit("from-index"))
+    return X.replay_workflows(subjects, carriers, routes, guards, table(spark, sf, "erasure_requests"))
 
 
 @query(
@@ -535,12 +533,15 @@ def corpus_residual_flags(spark, sf):
 
 @query(
     "redacted_props",
-    """select event_id, '{"meta": {"k": "v"}, "token": "[REDACTED]", "inner": {"Password": "[REDACTED]"}, "props": ' || props || '}' as body from events""",
+    r"""select event_id, case when event_id % 10 = 3 then null else '{"meta": {"k": "v}{"}, "token": "[REDACTED]", "inner": [{"Password": "[REDACTED]"}, {"x": [1, {"secret":  "[REDACTED]"}]}], "tok\u0065n": "[REDACTED]", "props": ' || props || '}' end as body from events""",
 )
 def redacted_props(spark, sf):
     body = F.concat(
-        F.lit('{"meta": {"k": "v"}, "token": "t'), F.col("event_id").cast("string"),
-        F.lit('", "inner": {"Password": 12}, "props": '), F.col("props"), F.lit("}"),
+        F.lit('{"meta": {"k": "v}{"}, "token": {"a": {"b": "t'), F.col("event_id").cast("string"),
+        F.lit('}"}, "c": [[1], {}]}, "inner": [{"Password": 12}, {"x": [1, {"secret":  ["]", {"d": null}]}]}], "tok\\u0065n": true, "props": '),
+        F.col("props"),
+        # every tenth text is cut off and must not come through
+        F.when(F.col("event_id") % 10 == 3, "").otherwise("}"),
     )
     return table(spark, sf, "events").select("event_id", H0.redact_json(body).alias("body"))
 

@@ -110,7 +110,7 @@ _SUBSETS = {
     "options": "select case_id, control_id, cost, guarded, row_number() over (partition by case_id order by control_id) - 1 as idx from {workflow_controls} where permitted",
     "masks": """select s.case_id, m.mask, coalesce(sum(o.cost), 0)::bigint as cost, coalesce(list(o.control_id order by o.control_id) filter (o.control_id is not null), []) as ids,
         coalesce(list_distinct(flatten(list(string_split(o.guarded, ',')) filter (o.guarded is not null))), []) as guarded
-        from (select distinct case_id from {workflow_transitions}) s cross join (select unnest(range(0, 64)) as mask) m left join {options} o on o.case_id = s.case_id and (m.mask >> o.idx) & 1 = 1
+        from (select distinct case_id from {workflow_transitions}) s cross join (select unnest(range(0, 128)) as mask) m left join {options} o on o.case_id = s.case_id and (m.mask >> o.idx) & 1 = 1
         where m.mask < (1 << (select count(*) from {options} x where x.case_id = s.case_id)) group by all""",
 }
 _CASE_PLAN = {
