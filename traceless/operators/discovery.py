@@ -8,6 +8,8 @@ per graph, so cases are never crossed with graphs.
 
 from __future__ import annotations
 
+from itertools import count
+
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
@@ -15,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from traceless.functions.lattice import both, shift_left, without
+from traceless.operators.ranking import group_rank
 from traceless.plans.workspace import Stored, union_stored
 
 
@@ -79,8 +82,10 @@ def _positions(checkpoints: DataFrame) -> DataFrame:
 
 def pack_traces(traces: DataFrame, checkpoints: DataFrame, keys: Sequence[str], flat: bool = False) -> DataFrame:
     """One long per (keys, probe): bit (bucket-1)*width + checkpoint rank; ``flat`` keeps only "any bit"."""
-    placed = traces.join(F.broadcast(_positions(checkpoints)), ["probe_id", "node_id"])
+    placed = traces.join(_positions(checkpoints), ["probe_id", "node_id"])
     position = (F.col("bucket") - 1) * F.col("width") + F.col("place")
+    too_long = F.raise_error(F.lit("a trace of more than 63 bits does not fit")).cast("long")
+    position = F.when(position > 62, too_long).otherwise(position)
     value = F.when(F.col("bit"), shift_left(F.lit(1).cast("long"), position)).otherwise(F.lit(0).cast("long"))
     packed = placed.groupBy(*keys, "probe_id").agg(F.bit_or(value).alias("trace"))
     if flat:
@@ -160,9 +165,9 @@ class VersionSpace:
 
     def __init__(self, predicted: DataFrame, observed: DataFrame, cases: DataFrame, signatures: DataFrame):
         graphs = predicted.select("graph_id").distinct()
-        order = Window.orderBy("graph_id")  # the catalogue is capped, so one task is enough
+        ranked = group_rank(graphs, [], ["graph_id"], "idx")
         self.index = Stored(
-            graphs.withColumn("idx", F.row_number().over(order) - 1).select(
+            ranked.withColumn("idx", F.col("idx") - 1).select(
                 "graph_id",
                 "idx",
                 F.floor(F.col("idx") / 64).alias("block"),
@@ -319,7 +324,7 @@ def discover(
     trace_oracle: DataFrame | Callable[[DataFrame], DataFrame],
     strategy: str = "minimax",
     seed: int = 0,
-    max_steps: int = 32,
+    max_steps: int | None = None,
 ) -> DataFrame:
     """Active discovery of all cases at once: choose a probe, look up its trace, filter, repeat.
 
@@ -335,7 +340,8 @@ def discover(
     )
     log: list[Stored] = []
     guesses = Stored(predicted.select("graph_id", "probe_id", F.col("trace").alias("guess")), "guesses").df
-    for step in range(1, max_steps + 1):
+    # every step uses up a probe, so a case ends after as many steps as there are probes
+    for step in count(1) if max_steps is None else range(1, max_steps + 1):
         keyed = state.df.withColumn("state_id", _state_id())
         distinct = keyed.select("state_id", "graphs", "used").distinct()
         choice = select_probe(distinct, predicted, probes, strategy)
@@ -411,7 +417,11 @@ def information_bound(predicted: DataFrame, actions: DataFrame, by: Sequence[str
 
 def replay_policy(policy: DataFrame, branches: DataFrame, cases: DataFrame, trace_oracle: DataFrame, max_steps: int = 64) -> DataFrame:
     """Walk a decision table per case: ``policy(state, action, probe_id, declared_cost)`` and
-    ``branches(state, trace, next_state)``; ends at an action or without a branch."""
+    ``branches(state, trace, next_state)``; ends at an action or without a branch.
+
+    Cases that are still open after ``max_steps`` probes come back without an
+    action and with the status ``OPEN_AT_LIMIT``, all others with ``ENDED``.
+    """
     current = Stored(
         cases.select("case_id", "state", F.lit(0).cast("long").alias("cost"), F.lit(0).cast("long").alias("probes")), "policy-0"
     )
@@ -433,7 +443,10 @@ def replay_policy(policy: DataFrame, branches: DataFrame, cases: DataFrame, trac
         if moved.is_empty():
             break
         current = moved
-    return union_stored(done)
+    ended = union_stored(done).withColumn("status", F.lit("ENDED"))
+    last = current.df.join(ended.select("case_id"), "case_id", "left_anti")
+    open_cases = last.select("case_id", F.lit(None).cast("string").alias("action"), "cost", "probes", F.lit("OPEN_AT_LIMIT").alias("status"))
+    return ended.unionByName(open_cases)
 
 
 def discovery_metrics(trials: DataFrame, by: Sequence[str] = ("strategy",)) -> DataFrame:

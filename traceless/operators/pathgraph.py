@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import functools
 from collections.abc import Sequence
+from itertools import count
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
@@ -69,8 +70,9 @@ def open_edges(graph: PathGraph) -> DataFrame:
 def classify_reachability(graph: PathGraph) -> DataFrame:
     """Per reached sink: certain walk, uncertain walk and the shortest walk.
 
-    The state of the search is (request, node, uncertain); a shortest walk never
-    repeats a node, so the first level that reaches a state holds its best path.
+    The state of the search is (request, node, uncertain), so ``has_unknown`` says
+    that a walk over an uncertain node or edge reaches the sink, whether or not it
+    repeats a node.  The shortest walk of a sink never repeats one.
     """
     keys = ["request_id", "node_id", "uncertain"]
     edges = Adjacency(open_edges(graph), ["request_id", "source_id"], "target_id")
@@ -88,8 +90,7 @@ def classify_reachability(graph: PathGraph) -> DataFrame:
     def step(frontier: DataFrame) -> DataFrame:
         grown = edges.join(frontier.withColumnRenamed("node_id", "source_id"))
         return (
-            grown.where(~F.array_contains("path", F.col("target_id")))
-            .withColumn("uncertain", F.col("uncertain") | F.col("edge_uncertain"))
+            grown.withColumn("uncertain", F.col("uncertain") | F.col("edge_uncertain"))
             .groupBy("request_id", F.col("target_id").alias("node_id"), "uncertain")
             .agg(F.min("path").alias("path"))
             .withColumn("path", F.concat("path", F.array("node_id")))
@@ -108,11 +109,11 @@ def classify_reachability(graph: PathGraph) -> DataFrame:
     )
 
 
-def enumerate_paths(graph: PathGraph, max_depth: int = 64) -> DataFrame:
+def enumerate_paths(graph: PathGraph) -> DataFrame:
     """Every simple path from a start to a sink, with its certainty.
 
-    Only needed for violation counts.  ``max_depth`` bounds the loop; rows that
-    could still grow at the bound raise instead of being dropped.
+    Only needed for violation counts.  A simple path ends on its own, so the loop
+    runs until none grows any more.
     """
     edges = Adjacency(open_edges(graph), ["request_id", "source_id"], "target_id")
     starts = request_starts(graph).join(
@@ -128,7 +129,7 @@ def enumerate_paths(graph: PathGraph, max_depth: int = 64) -> DataFrame:
         "simple-0",
     )
     found = [frontier]
-    for depth in range(1, max_depth + 1):
+    for depth in count(1):
         grown = (
             edges.join(found[-1].df)
             .where(~F.array_contains("path", F.col("target_id")))
@@ -144,8 +145,6 @@ def enumerate_paths(graph: PathGraph, max_depth: int = 64) -> DataFrame:
         if level.is_empty():
             break
         found.append(level)
-    else:
-        raise RuntimeError(f"simple paths longer than {max_depth} nodes exist")
     sinks = graph.request_nodes.where(F.col("role") == "sink").select(
         "request_id", F.col("node_id").alias("source_id")
     )
@@ -512,14 +511,14 @@ class Variants:
             *self.KEYS, "name", F.bitwise_not(F.coalesce("m", F.lit(0).cast("long"))).alias("missing")
         )
 
-    def walks(self, only: DataFrame | None = None, max_depth: int = 64) -> DataFrame:
+    def walks(self, only: DataFrame | None = None) -> DataFrame:
         """Simple walks with their labels; ``only`` restricts them to some requests."""
         edges = self._adjacency
         first = self._starts()
         if only is not None:
             first = first.join(only.select("request_id").distinct(), "request_id", "left_semi")
         found = [Stored(first.withColumn("path", F.array("node_id")), "walk-0")]
-        for depth in range(1, max_depth + 1):
+        for depth in count(1):
             grown = edges.join(found[-1].df.withColumnRenamed("node_id", "source_id")).where(
                 ~F.array_contains("path", F.col("target_id"))
             )
@@ -540,8 +539,6 @@ class Variants:
             if level.is_empty():
                 break
             found.append(level)
-        else:
-            raise RuntimeError(f"simple paths longer than {max_depth} nodes exist")
         return union_stored(found)
 
     def violations(self, walks: DataFrame, only: DataFrame | None = None) -> DataFrame:

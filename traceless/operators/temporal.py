@@ -128,7 +128,7 @@ def regeneration(
     exceeded = F.when(risky, F.col("states") - 1).otherwise(F.col("states")) > max_states
     verdict = (
         F.when(snapshot, "SNAPSHOT_INCOMPLETE")
-        .when(exceeded, F.lit(None))
+        .when(exceeded, "UNVERIFIED")
         .when(risky, "REGENERATION_RISK")
         .when(F.col("complete"), "RSE_VERIFIED")
         .otherwise("INCOMPLETE_COVERAGE")
@@ -369,7 +369,7 @@ def shortest_adversarial_witness(reports: DataFrame) -> DataFrame:
     )
 
 
-def propagate(edges: DataFrame, nodes: DataFrame, guards: DataFrame, max_rounds: int = 64) -> DataFrame:
+def propagate(edges: DataFrame, nodes: DataFrame, guards: DataFrame) -> DataFrame:
     """Spread subjects along edges; a guard stops only the target subject.
 
     ``nodes(graph_id, subject, is_target, node_id)`` is the initial placement.
@@ -380,7 +380,7 @@ def propagate(edges: DataFrame, nodes: DataFrame, guards: DataFrame, max_rounds:
     ).df
     keys = ["graph_id", "subject", "is_target", "node_id"]
     found = [Stored(nodes.select(*keys), "spread-0")]
-    while len(found) <= max_rounds:
+    while True:
         grown = (
             found[-1].df.join(links, ["graph_id", "node_id"])
             .where(~(F.col("guarded") & F.col("is_target")))

@@ -20,7 +20,7 @@ SOURCE_TABLES = (
 
 PROJECTIONS: dict[str, str] = {}
 _WRITTEN: set[str] = set()
-_TABLES: dict[tuple[str, str, str], Stored] = {}
+_TABLES: dict[tuple, Stored] = {}
 
 _NAME = re.compile(r"\{([a-z_0-9]+)\}")
 
@@ -38,14 +38,35 @@ def inputs_of(text: str) -> list[str]:
     return sorted(set(_NAME.findall(text)))
 
 
+def sources_of(name: str) -> set[str]:
+    """The given tables that a projection is derived from."""
+    if name in SOURCE_TABLES:
+        return {name}
+    return set().union(*(sources_of(item) for item in inputs_of(PROJECTIONS[name])))
+
+
+def file_state(spark: SparkSession, path: str) -> tuple:
+    """Times and lengths of a table's files; another state means other data."""
+    context = spark.sparkContext
+    hadoop = context._jvm.org.apache.hadoop.fs.Path(path)
+    system = hadoop.getFileSystem(context._jsc.hadoopConfiguration())
+    return tuple(sorted((f.getPath().getName(), f.getModificationTime(), f.getLen()) for f in system.listStatus(hadoop)))
+
+
+def data_state(spark: SparkSession, sf_dir: str, names: Iterable[str]) -> tuple:
+    return tuple(file_state(spark, f"{sf_dir}/{name}.parquet") for name in sorted(names))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The named source table or projection as a lazy DataFrame."""
     if name in SOURCE_TABLES:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    key = (spark.sparkContext.applicationId, sf_dir, name)
-    if key in _TABLES:
-        return _TABLES[key].df
     text = PROJECTIONS[name]
+    key = ()
+    if name in _WRITTEN:
+        key = (spark.sparkContext.applicationId, sf_dir, name, data_state(spark, sf_dir, sources_of(name)))
+        if key in _TABLES:
+            return _TABLES[key].df
     frames = {item: table(spark, sf_dir, item) for item in inputs_of(text)}
     df = spark.sql(text, **frames)
     if name not in _WRITTEN:
@@ -54,6 +75,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return _TABLES[key].df
 
 
+def write_projections(spark: SparkSession, sf_dir: str) -> None:
+    """Derive all projections that are kept as files."""
+    for name in sorted(_WRITTEN):
+        table(spark, sf_dir, name)
+
+
 def _ordered(names: Iterable[str], done: list[str]) -> None:
     for name in names:
         if name in SOURCE_TABLES or name in done:

@@ -9,7 +9,7 @@ from traceless.operators import pathgraph as G
 from traceless.operators import remediation as P
 from traceless.operators import temporal as E
 from traceless.plans import probe_tables  # noqa: F401
-from traceless.plans.catalog import table
+from traceless.plans.catalog import data_state, table
 from traceless.plans.workspace import Stored
 from traceless.queries.outcome_queries import rounded
 from traceless.queries.registry import query
@@ -26,7 +26,7 @@ _KEPT: dict = {}
 
 def catalogue_facts(spark, sf):
     """Packed predictions, recurrence paths and signatures of the catalogue (small, kept as files)."""
-    key = (spark.sparkContext.applicationId, sf)
+    key = (spark.sparkContext.applicationId, sf, data_state(spark, sf, ["nation", "region"]))
     if key not in _KEPT:
         c = catalogue(spark, sf)
         predicted = Stored(D.pack_traces(D.predict_traces(c), c.checkpoints, ["graph_id"]), "predicted").df
@@ -303,7 +303,7 @@ def information_bounds(spark, sf):
 
 @query(
     "policy_replay",
-    """select c.case_id, m.graphs as action, 3::bigint as cost, 1::bigint as probes from {discovery_cases} c
+    """select c.case_id, m.graphs as action, 3::bigint as cost, 1::bigint as probes, 'ENDED' as status from {discovery_cases} c
        left join {tw} f on f.case_id = c.case_id and f.probe_id = 'p3'
        left join (select word, string_agg(graph_id, ',' order by graph_id) as graphs from {words} where probe_id = 'p3' group by word) m using (word)""",
     {

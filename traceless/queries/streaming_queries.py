@@ -28,18 +28,34 @@ def _ts():
 
 @query(
     "stream_nonce_filter",
-    "select key_id, nonce from (select event_id, event_id % 3 as key_id, event_id % 1000 as nonce, event_id % 7 <> 2 as ok from events) where ok and key_id < 2 group by all",
+    "select key_id, nonce from (select event_id, event_id % 3 as key_id, event_id % 1000 as nonce, event_id % 7 <> 2 and event_id % 101 <> 5 as ok from events) where ok and key_id < 2 group by all",
 )
 def stream_nonce_filter(spark, sf):
     stream = event_stream(spark, sf).select(
         (F.col("event_id") % 3).alias("key_id"), (F.col("event_id") % 1000).alias("nonce"), F.lit("v1").alias("schema_version"),
-        (F.col("event_id") % 7 != 2).alias("signature_ok"), _ts().alias("issued_at"),
+        (F.col("event_id") % 7 != 2).alias("signature_ok"),
+        # Some validly signed envelopes bear a date of the next century and must not move the watermark.
+        F.when(F.col("event_id") % 101 == 5, _ts() + F.expr("interval 100 years")).otherwise(_ts()).alias("issued_at"),
     )
     trust = table(spark, sf, "nation").select((F.col("n_nationkey") % 2).cast("long").alias("key_id"))
     accepted = K.stream_accept(stream, trust, "3650 days", "v1")
     return K.run_available(accepted.select("key_id", "nonce"), "nonces")
 
 
+@query(
+    "stream_refused_envelopes",
+    """select event_id, case when event_id % 7 = 2 then 'signature' when event_id % 101 = 5 then 'issued in the future' else 'key is not trusted' end as reason
+       from events where event_id % 7 = 2 or event_id % 101 = 5 or event_id % 3 = 2""",
+)
+def stream_refused_envelopes(spark, sf):
+    stream = event_stream(spark, sf).select(
+        "event_id", (F.col("event_id") % 3).alias("key_id"), F.lit("v1").alias("schema_version"), (F.col("event_id") % 7 != 2).alias("signature_ok"),
+        F.when(F.col("event_id") % 101 == 5, _ts() + F.expr("interval 100 years")).otherwise(_ts()).alias("issued_at"),
+    )
+    trust = table(spark, sf, "nation").select((F.col("n_nationkey") % 2).cast("long").alias("key_id"))
+    return K.run_available(K.stream_refusals(stream, trust, "v1").select("event_id", "reason"), "refusals")
+
+
 @query(
     "stream_tombstone_guard",
     "select event_id, 's' || user_id as subject_id from events where 's' || user_id not in (select subject_id from {erasure_requests})",

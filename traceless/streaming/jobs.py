@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
@@ -38,14 +38,27 @@ def run_available(stream: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{base}/rows")
 
 
-def stream_accept(envelopes: DataFrame, trust: DataFrame, ttl: str, schema: str) -> DataFrame:
+def envelope_reason(schema: str, now: Column | None = None, max_age: str | None = None) -> Column:
+    """Why an envelope is refused, in checking order; null for one that is fit."""
+    now = F.current_timestamp() if now is None else now
+    reason = F.when(~(F.col("schema_version") == F.lit(schema)), "schema version").when(~F.col("signature_ok"), "signature")
+    reason = reason.when(F.col("issued_at").isNull(), "no time").when(F.col("issued_at") > now, "issued in the future")
+    if max_age is not None:
+        reason = reason.when(F.col("issued_at") < now - F.expr(f"interval {max_age}"), "too old")
+    return reason.when(F.col("schema_version").isNull() | F.col("signature_ok").isNull(), "incomplete")
+
+
+def stream_accept(
+    envelopes: DataFrame, trust: DataFrame, ttl: str, schema: str, now: Column | None = None, max_age: str | None = None
+) -> DataFrame:
     """First trusted envelope of each (key, nonce) within the watermark.
 
-    ``ttl`` must cover the maximum age: a replay that arrives after its state
-    is dropped is older than the watermark and is rejected as late.
+    Unfit and future-dated envelopes go before the watermark, which they must not
+    move.  ``ttl`` must cover the maximum age: a replay that arrives after its
+    state is dropped is older than the watermark and is rejected as late.
     """
     trusted = trust.select("key_id").distinct()
-    fit = envelopes.where((F.col("schema_version") == schema) & F.col("signature_ok"))
+    fit = envelopes.where(envelope_reason(schema, now, max_age).isNull())
     return (
         fit.join(trusted, "key_id", "left_semi")
         .withWatermark("issued_at", ttl)
@@ -53,6 +66,15 @@ def stream_accept(envelopes: DataFrame, trust: DataFrame, ttl: str, schema: str)
     )
 
 
+def stream_refusals(
+    envelopes: DataFrame, trust: DataFrame, schema: str, now: Column | None = None, max_age: str | None = None
+) -> DataFrame:
+    """Envelopes that :func:`stream_accept` leaves out before the replay check, each with its ``reason``."""
+    known = trust.select("key_id").distinct().withColumn("is_trusted", F.lit(True))
+    reason = F.coalesce(envelope_reason(schema, now, max_age), F.when(F.col("is_trusted").isNull(), "key is not trusted"))
+    return envelopes.join(known, "key_id", "left").withColumn("reason", reason).where("reason is not null").drop("is_trusted")
+
+
 def stream_guard(restores: DataFrame, tombstones: DataFrame) -> DataFrame:
     """Restores whose subject has no tombstone."""
     return restores.join(tombstones.select("subject_id").distinct(), "subject_id", "left_anti")
