@@ -87,4 +87,86 @@ def test_state_limit_is_reported_not_raised(spark):
         spark.createDataFrame([("x", True)], "case_id string, complete boolean"),
         max_states=10,
     ).collect()[0]
-    assert row.limit_exceeded and row.verdict is None
+    assert row.limit_exceeded and row.verdict == "UNVERIFIED"
+
+
+def _monotone(rng, n_controls, count):
+    """Random monotone cases as rows of transitions, initial, residual and controls, and a plain form."""
+    facts = "abcdefg"
+    cases, t, i, r, c = {}, [], [], [], []
+    for k in range(count):
+        case = f"m{k:02d}"
+        start = frozenset(rng.sample(facts[:3], 2))
+        steps = [
+            (f"t{s}", frozenset(rng.sample(facts, rng.randint(0, 2)) if s else ["a"]), frozenset(rng.sample(facts[2:], rng.randint(1, 2))))
+            for s in range(6)
+        ]
+        options = [(f"k{j:02d}", rng.randint(1, 5), frozenset(rng.sample([s[0] for s in steps], rng.randint(1, 2)))) for j in range(n_controls)]
+        cases[case] = (start, frozenset("g"), steps, options)
+        t += [(case, n, sorted(a), sorted(b)) for n, a, b in steps]
+        i += [(case, f) for f in start]
+        r.append((case, "g"))
+        c += [(case, n, cost, True, sorted(g)) for n, cost, g in options]
+    return cases, t, i, r, c
+
+
+def _frames(spark, cases, t, i, r, c):
+    return (
+        spark.createDataFrame(t, "case_id string, transition_id string, requires array<string>, adds array<string>"),
+        spark.createDataFrame(i, "case_id string, fact string"),
+        spark.createDataFrame(r, "case_id string, fact string"),
+        spark.createDataFrame([(k, True) for k in cases], "case_id string, complete boolean"),
+        spark.createDataFrame(c, "case_id string, control_id string, cost long, permitted boolean, guarded array<string>"),
+    )
+
+
+def _reaches(start, bad, steps, guards):
+    held = set(start)
+    while True:
+        more = {f for n, need, adds in steps if n not in guards and need <= held for f in adds} - held
+        if not more:
+            return bool(held & bad)
+        held |= more
+
+
+def test_many_controls_match_enumeration(spark):
+    cases, *rows = _monotone(random.Random(12), 14, 3)
+    plans = {r.case_id: r for r in E.min_cost_controls(*_frames(spark, cases, *rows)).collect()}
+    for case, (start, bad, steps, options) in cases.items():
+        safe = {}
+        best = None
+        for n in range(len(options) + 1):
+            for s in combinations(options, n):
+                guards = frozenset().union(*(g for _, _, g in s))
+                if guards not in safe:
+                    safe[guards] = not _reaches(start, bad, steps, guards)
+                key = (sum(x[1] for x in s), n, [x[0] for x in s])
+                if safe[guards] and (best is None or key < best):
+                    best = key
+        row = plans[case]
+        assert (row.status == "INFEASIBLE") if best is None else (row.total_cost, len(row.control_ids), row.control_ids) == best
+
+
+def test_changing_case_beyond_the_limit_is_a_row(spark):
+    cases, t, i, r, c = _monotone(random.Random(5), 13, 2)
+    frames = list(_frames(spark, cases, t, i, r, c))
+    removes = "case when case_id = 'm00' then array('a') else cast(array() as array<string>) end as removes"
+    frames[0] = frames[0].selectExpr("*", removes)
+    rows = {r.case_id: r.status for r in E.min_cost_controls(*frames).collect()}
+    assert rows["m00"] == "LIMIT_EXCEEDED" and rows["m01"] in ("OPTIMAL", "INFEASIBLE")
+
+
+def test_robust_controls_with_removals(spark):
+    """``stop`` is safe in both scenarios; in the second one ``a`` is needed and removed on the way."""
+    t = [("c", "0", "t1", ["a"], ["b"], []), ("c", "0", "t2", ["b"], ["leak"], []), ("c", "1", "t1", ["a"], ["b"], ["a"]), ("c", "1", "t2", ["a", "b"], ["leak"], [])]
+    transitions = spark.createDataFrame(t, "case_id string, scenario_id string, transition_id string, requires array<string>, adds array<string>, removes array<string>")
+    initial = spark.createDataFrame([("c", "0", "a"), ("c", "1", "a")], "case_id string, scenario_id string, fact string")
+    residual = spark.createDataFrame([("c", "0", "leak"), ("c", "1", "leak")], "case_id string, scenario_id string, fact string")
+    covered = spark.createDataFrame([("c", "0", True), ("c", "1", True)], "case_id string, scenario_id string, complete boolean")
+    controls = spark.createDataFrame([("c", "stop", 5, True, ["t1"]), ("c", "late", 2, True, ["t2"])], "case_id string, control_id string, cost long, permitted boolean, guarded array<string>")
+    row = E.robust_controls(transitions, initial, residual, covered, controls).first()
+    assert (row.status, row.control_ids, row.total_cost) == ("OPTIMAL", ["late"], 2)
+    only_second = covered.where("scenario_id = '1'")
+    pick = lambda df: df.where("scenario_id = '1'")
+    row = E.robust_controls(pick(transitions), pick(initial), pick(residual), only_second, controls).first()
+    assert (row.status, row.control_ids, row.total_cost) == ("OPTIMAL", [], 0)

@@ -6,11 +6,13 @@ keyed by ``keys`` (``["case_id"]``, or with a scenario or subset number).
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from traceless.functions.choices import cheapest
 from traceless.functions.lattice import ALL, blocks, chosen, has, membership, subset_key, subsets_in_block, without
 from traceless.operators.remediation import MAX_EXACT, choice_arrays, numbered_choices
 from traceless.plans.workspace import Stored, union_stored
@@ -209,9 +211,6 @@ class ControlLattice:
         self.limit = limit
         scenario = list(scenario)
         spread_keys = ["case_id", *scenario]
-        over = controls.where("permitted").groupBy("case_id").count().where(F.col("count") > limit)
-        if not over.isEmpty():
-            raise ValueError(f"exact control search supports at most {limit} permitted controls per case")
         named = controls.withColumnRenamed("control_id", "action_id")
         numbered = Stored(numbered_choices(named, "case_id", limit), "controls").df
         cases = transitions.select(*spread_keys).unionByName(initial.select(*spread_keys)).distinct()
@@ -261,8 +260,15 @@ class ControlLattice:
         return best.select(*over, chosen(F.col("ids"), F.col("b.mask")).alias("control_ids"), "b.total_cost")
 
 
-def _plan(cases: DataFrame, best: DataFrame, status: Column) -> DataFrame:
-    joined = cases.join(best, "case_id", "left")
+def _plan(cases: DataFrame, best: DataFrame, refused: DataFrame) -> DataFrame:
+    """One row per case; a case beyond the search limit says so instead of ending the job."""
+    joined = cases.join(best, "case_id", "left").join(refused.withColumn("is_refused", F.lit(True)), "case_id", "left")
+    status = (
+        F.when(~F.col("complete"), "UNVERIFIED")
+        .when(F.col("is_refused"), "LIMIT_EXCEEDED")
+        .when(F.col("total_cost").isNull(), "INFEASIBLE")
+        .otherwise("OPTIMAL")
+    )
     return joined.select(
         "case_id",
         F.when(status == "OPTIMAL", F.col("control_ids")).otherwise(_empty()).alias("control_ids"),
@@ -274,38 +280,146 @@ def _plan(cases: DataFrame, best: DataFrame, status: Column) -> DataFrame:
 def min_cost_controls(
     transitions: DataFrame, initial: DataFrame, residual: DataFrame, coverage_complete: DataFrame, controls: DataFrame, limit: int = MAX_EXACT
 ) -> DataFrame:
-    """Cheapest guards that make a case safe for good.
+    """Cheapest guards that make a case safe for good, one row per case."""
+    best, refused = _best_controls(transitions, initial, residual, coverage_complete, controls, (), limit)
+    return _plan(coverage_complete.select("case_id", "complete"), best, refused)
+
+
+def _changing(transitions: DataFrame) -> DataFrame:
+    """Cases in which a transition removes a fact or needs one to be absent."""
+    any_size = F.lit(0)
+    for name in ("removes", "forbids"):
+        if name in transitions.columns:
+            any_size = any_size + F.coalesce(F.size(name), F.lit(0))
+    return transitions.where(any_size > 0).select("case_id").distinct()
 
-    Monotone cases use the label lattice; a case with ``removes`` or ``forbids``
-    is searched once per subset.
+
+def _best_controls(
+    transitions: DataFrame, initial: DataFrame, residual: DataFrame, cases: DataFrame, controls: DataFrame, scenario: Sequence[str], limit: int
+) -> tuple[DataFrame, DataFrame]:
+    """Cheapest safe control set per case, and the cases that no search covers.
+
+    Monotone cases up to ``limit`` permitted controls use the label lattice, larger
+    ones hitting sets of the ways to a residual fact.  A case that removes or
+    forbids facts is searched once per subset; beyond ``limit`` it is refused.
     """
-    changing = None
-    if "removes" in transitions.columns or "forbids" in transitions.columns:
-        has_any = F.lit(False)
-        for name in ("removes", "forbids"):
-            if name in transitions.columns:
-                has_any = has_any | (F.size(name) > 0)
-        changing = Stored(transitions.where(has_any).select("case_id").distinct(), "changing-cases").df
-    if changing is None or changing.isEmpty():
-        best = ControlLattice(transitions, initial, residual, controls, (), limit).best()
-    else:
-        keep = lambda df, how: df.join(changing, "case_id", how)
-        best = ControlLattice(
-            keep(transitions, "left_anti"), keep(initial, "left_anti"), residual, keep(controls, "left_anti"), (), limit
-        ).best().unionByName(
-            _searched_controls(
-                keep(transitions, "left_semi"), keep(initial, "left_semi"), keep(residual, "left_semi"),
-                keep(coverage_complete, "left_semi"), keep(controls, "left_semi"), limit,
-            )
+    changing = Stored(_changing(transitions), "changing-cases").df
+    counts = controls.where("permitted").groupBy("case_id").count()
+    large = Stored(counts.where(F.col("count") > limit).select("case_id"), "large-cases").df
+    refused = changing.join(large, "case_id", "left_semi")
+
+    def only(keep: list[DataFrame], drop: list[DataFrame]) -> list[DataFrame]:
+        frames = [transitions, initial, residual, controls, cases]
+        for other in keep:
+            frames = [f.join(other, "case_id", "left_semi") for f in frames]
+        for other in drop:
+            frames = [f.join(other, "case_id", "left_anti") for f in frames]
+        return frames
+
+    if changing.isEmpty() and large.isEmpty():
+        return ControlLattice(transitions, initial, residual, controls, scenario, limit).best(), refused
+    t, i, r, c, _ = only([], [changing, large])
+    best = ControlLattice(t, i, r, c, scenario, limit).best()
+    if not large.isEmpty():
+        best = best.unionByName(hitting_controls(*only([large], [changing]), scenario))
+    if not changing.isEmpty():
+        best = best.unionByName(_searched_controls(*only([changing], [large]), scenario, limit))
+    return best, refused
+
+
+def _supports(steps: DataFrame, initial: DataFrame, keys: list[str]) -> DataFrame:
+    """Facts that can come to hold, each with the controls on one way to it as a bit set."""
+    steps = Stored(steps.select(*keys, "transition_id", "requires", "adds", "guard", F.size("requires").alias("n")), "open-steps").df
+    found = [Stored(initial.select(*keys, "fact", F.lit(0).cast("long").alias("support")).distinct(), "supports-0")]
+    needs = steps.withColumn("fact", F.explode("requires"))
+    while True:
+        known = union_stored(found)
+        met = (
+            needs.join(known, [*keys, "fact"])
+            .groupBy(*keys, "transition_id", "adds", "guard", "n")
+            .agg(F.bit_or("support").alias("support"), F.count(F.lit(1)).alias("matched"))
+            .where("matched = n")
         )
-    status = F.when(~F.col("complete"), "UNVERIFIED").when(F.col("total_cost").isNull(), "INFEASIBLE").otherwise("OPTIMAL")
-    return _plan(coverage_complete.select("case_id", "complete"), best, status)
+        fired = met.select(*keys, "adds", F.col("support").bitwiseOR(F.col("guard")).alias("support"))
+        if len(found) == 1:
+            fired = fired.unionByName(steps.where("n = 0").select(*keys, "adds", F.col("guard").alias("support")))
+        fresh = fired.select(*keys, F.explode("adds").alias("fact"), "support").join(known, [*keys, "fact"], "left_anti")
+        least = fresh.groupBy(*keys, "fact").agg(F.min(F.struct(F.bit_count("support").alias("size"), "support")).alias("s"))
+        level = Stored(least.select(*keys, "fact", "s.support"), f"supports-{len(found)}")
+        if level.is_empty():
+            break
+        found.append(level)
+    return union_stored(found)
+
 
+def hitting_controls(
+    transitions: DataFrame, initial: DataFrame, residual: DataFrame, controls: DataFrame, cases: DataFrame, scenario: Sequence[str] = ()
+) -> DataFrame:
+    """Cheapest guard sets of monotone cases with many controls, exactly.
 
-def _searched_controls(transitions, initial, residual, coverage_complete, controls, limit: int) -> DataFrame:
+    A way to a residual fact is a demand: one of the controls on it must be taken.
+    Each round takes the cheapest set that meets a case's demands so far and looks
+    for a way that is still open.  Sets only grow dearer, so the first one that
+    leaves no way is the cheapest safe set.
+    """
+    keys = ["case_id", *scenario]
+    named = controls.withColumnRenamed("control_id", "action_id")
+    numbered = Stored(numbered_choices(named, "case_id", 62), "many-controls").df
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("idx").cast("int"))
+    guards = (
+        numbered.join(named.select("case_id", "action_id", F.explode("guarded").alias("transition_id")), ["case_id", "action_id"])
+        .groupBy("case_id", "transition_id")
+        .agg(F.bit_or(bit).alias("guard"))
+    )
+    steps = transitions.join(guards, ["case_id", "transition_id"], "left").withColumn("guard", F.coalesce("guard", F.lit(0).cast("long")))
+    steps = Stored(steps, "guarded-steps").df
+    arrays = Stored(
+        cases.select("case_id").distinct().join(choice_arrays(numbered, "case_id"), "case_id", "left").select(
+            "case_id", F.coalesce("ids", _empty()).alias("ids"), F.coalesce("costs", F.array()).cast("array<bigint>").alias("costs")
+        ),
+        "control-arrays",
+    ).df
+    taken = Stored(arrays.select("case_id", F.lit(0).cast("long").alias("mask")), "taken").df
+    demands: list[Stored] = []
+    done: list[Stored] = []
+    while True:
+        open_steps = steps.join(taken, "case_id").where(F.col("guard").bitwiseAND(F.col("mask")) == 0)
+        facts = _supports(open_steps, initial.join(taken.select("case_id"), "case_id", "left_semi"), keys)
+        ways = facts.join(residual, [*keys, "fact"], "left_semi").select("case_id", F.col("support").alias("demand")).distinct()
+        demands.append(Stored(ways, f"demands-{len(demands)}"))
+        done.append(Stored(taken.join(demands[-1].df.select("case_id"), "case_id", "left_anti"), f"safe-cases-{len(done)}"))
+        if demands[-1].is_empty():
+            break
+        # a way without a control on it can't be closed
+        hopeless = demands[-1].df.where("demand = 0").select("case_id")
+        still = taken.join(demands[-1].df.select("case_id"), "case_id", "left_semi").join(hopeless, "case_id", "left_anti")
+        listed = union_stored(demands).join(still.select("case_id"), "case_id", "left_semi").groupBy("case_id").agg(
+            F.collect_set("demand").alias("demands")
+        )
+        rows = listed.join(arrays, "case_id").select("case_id", "demands", "costs")
+        kind = cases.schema["case_id"].dataType.simpleString()
+        taken = Stored(rows.mapInArrow(_solve_demands, f"case_id {kind}, mask bigint"), f"taken-{len(demands)}").df
+    plans = union_stored(done).join(arrays, "case_id").select(
+        "case_id", chosen(F.col("ids"), F.col("mask")).alias("control_ids"), chosen(F.col("costs"), F.col("mask")).alias("picked")
+    )
+    total = F.aggregate("picked", F.lit(0).cast("long"), lambda a, x: a + x)
+    return plans.select("case_id", "control_ids", total.alias("total_cost"))
+
+
+def _solve_demands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = zip(batch.column("demands").to_pylist(), batch.column("costs").to_pylist())
+        masks = [sum(1 << i for i in cheapest(demands, costs)) for demands, costs in rows]
+        yield pa.RecordBatch.from_arrays([batch.column("case_id"), pa.array(masks, pa.int64())], ["case_id", "mask"])
+
+
+def _searched_controls(
+    transitions: DataFrame, initial: DataFrame, residual: DataFrame, controls: DataFrame, cases: DataFrame, scenario: Sequence[str], limit: int
+) -> DataFrame:
+    keys = ["case_id", *scenario]
     named = controls.withColumnRenamed("control_id", "action_id")
     numbered = Stored(numbered_choices(named, "case_id", limit), "controls").df
-    arrays = coverage_complete.select("case_id").join(choice_arrays(numbered, "case_id"), "case_id", "left").select(
+    arrays = cases.select("case_id").distinct().join(choice_arrays(numbered, "case_id"), "case_id", "left").select(
         "case_id",
         F.coalesce("choices", F.lit(0)).alias("choices"),
         F.coalesce("ids", _empty()).alias("ids"),
@@ -314,30 +428,32 @@ def _searched_controls(transitions, initial, residual, coverage_complete, contro
     every = F.sequence(F.lit(0).cast("long"), F.expr("shiftleft(1L, choices) - 1"))
     subsets = Stored(arrays.withColumn("mask", F.explode(every)), "control-subsets").df
     per_mask = subsets.select("case_id", "mask")
+    spread = lambda df: df.join(per_mask, "case_id")
     guards = (
         subsets.select("case_id", "mask", F.explode(chosen(F.col("ids"), F.col("mask"))).alias("action_id"))
         .join(named.select("case_id", "action_id", F.explode("guarded").alias("transition_id")), ["case_id", "action_id"])
         .select("case_id", "mask", "transition_id")
     )
-    spread = lambda df: df.join(per_mask, "case_id")
+    if scenario:
+        guards = guards.join(cases.select(*keys).distinct(), "case_id")
     reports = regeneration(
         spread(transitions), spread(initial), spread(residual),
-        spread(coverage_complete.select("case_id").withColumn("complete", F.lit(True))), ["case_id", "mask"], guards,
+        spread(cases.select(*keys).distinct().withColumn("complete", F.lit(True))), [*keys, "mask"], guards,
     )
-    safe = reports.where(F.col("verdict") == "RSE_VERIFIED").select("case_id", "mask")
+    # a set must be safe in every scenario of its case
+    held = reports.groupBy("case_id", "mask").agg(F.bool_and(F.col("verdict") == "RSE_VERIFIED").alias("safe"))
     key = F.struct(*subset_key(F.col("costs"), F.col("mask"), limit))
-    best = subsets.join(safe, ["case_id", "mask"]).groupBy("case_id").agg(F.min(key).alias("b"), F.first("ids").alias("ids"))
+    best = subsets.join(held.where("safe"), ["case_id", "mask"]).groupBy("case_id").agg(F.min(key).alias("b"), F.first("ids").alias("ids"))
     return best.select("case_id", chosen(F.col("ids"), F.col("b.mask")).alias("control_ids"), "b.total_cost")
 
 
 def robust_controls(
     transitions: DataFrame, initial: DataFrame, residual: DataFrame, coverage_complete: DataFrame, controls: DataFrame, limit: int = MAX_EXACT
 ) -> DataFrame:
-    """One guard set that is safe in every scenario of a case (monotone scenarios)."""
-    best = ControlLattice(transitions, initial, residual, controls, ["scenario_id"], limit).best()
+    """One guard set that is safe in every scenario of a case."""
+    best, refused = _best_controls(transitions, initial, residual, coverage_complete, controls, ["scenario_id"], limit)
     cases = coverage_complete.groupBy("case_id").agg(F.bool_and("complete").alias("complete"))
-    status = F.when(~F.col("complete"), "UNVERIFIED").when(F.col("total_cost").isNull(), "INFEASIBLE").otherwise("OPTIMAL")
-    return _plan(cases, best, status)
+    return _plan(cases, best, refused)
 
 
 def robustness_premium(nominal: DataFrame, robust: DataFrame) -> DataFrame:
