@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from traceless.llm.shared import attach, maybe_broadcast
+from traceless.llm.shared import attach, bound_batches, maybe_broadcast
 from traceless.operators.ranking import group_rank
 from traceless.plans.workspace import Stored
 
@@ -102,7 +102,7 @@ def valid(rows: DataFrame) -> DataFrame:
 def _entries(rows: DataFrame, k: int) -> tuple[Stored, Stored]:
     """Ids with their vector's key, and one entry per different vector with its ``k`` smallest ids."""
     text = F.array_join(F.transform("embedding", lambda x: x.cast("string")), ",")
-    keyed = valid(rows).withColumn("vkey", F.sha2(text, 256))
+    keyed = valid(bound_batches(rows)).withColumn("vkey", F.sha2(text, 256))
     stored = Stored(keyed, "vectors")
     ids = Stored(stored.df.select("vkey", "vec_id").distinct(), "vector-ids")
     counts = Stored(ids.df.groupBy("vkey").agg(F.min("vec_id").alias("first"), F.count(F.lit(1)).alias("n")), "vector-counts")

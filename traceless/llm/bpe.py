@@ -31,10 +31,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from traceless.llm.shared import slices, text_of
+from traceless.llm.shared import bound_batches, slices, text_of
 
 #: Words whose tokens a task remembers, and the longest such word.
-MEMO_WORDS, MEMO_CHARS = 400_000, 64
+MEMO_WORDS, MEMO_CHARS = 150_000, 64
 #: Symbols up to which a plain list is faster than a heap.
 SHORT = 48
 #: Ids decoded at once.
@@ -268,7 +268,7 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), ids], ["doc_id", "ids"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", text_of("text").alias("text")).mapInArrow(run, f"doc_id {kind}, ids array<int>")
+    return bound_batches(docs).select("doc_id", text_of("text").alias("text")).mapInArrow(run, f"doc_id {kind}, ids array<int>")
 
 
 def round_trip(docs: DataFrame, path: str) -> DataFrame:
@@ -300,4 +300,4 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
-    return docs.select("doc_id", text_of("text").alias("text")).mapInArrow(run, schema)
+    return bound_batches(docs).select("doc_id", text_of("text").alias("text")).mapInArrow(run, schema)

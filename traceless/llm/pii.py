@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from traceless.llm.shared import slices, text_of
+from traceless.llm.shared import bound_batches, slices, text_of
 from traceless.plans.workspace import Stored
 
 KINDS = ("email", "ip", "card", "phone")
@@ -250,7 +250,7 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> dict | None:
     About ``sample_docs`` documents, whatever the table's size, go to one task as
     feature rows; the model that comes back is a few kilobytes.
     """
-    texts = docs.select(text_of("text").alias("text")).where(F.col("text").rlike("[0-9@]"))
+    texts = bound_batches(docs).select(text_of("text").alias("text")).where(F.col("text").rlike("[0-9@]"))
     texts = texts.withColumn("draw", F.pmod(F.xxhash64("text"), F.lit(1 << 30)))
     total = texts.count()
     chosen = texts.where(F.col("draw") < int(min(1.0, sample_docs / max(1, total)) * (1 << 30))).distinct()
@@ -323,7 +323,7 @@ def find(docs: DataFrame, model: dict | None) -> DataFrame:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     counts = ", ".join(f"{n} bigint" for n in names)
-    texts = docs.select("doc_id", text_of("text").alias("text"))
+    texts = bound_batches(docs).select("doc_id", text_of("text").alias("text"))
     return texts.mapInArrow(run, f"doc_id {kind}, {counts}, base_sha256 string, spans string")
 
 

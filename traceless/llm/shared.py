@@ -15,7 +15,9 @@ from traceless.plans.workspace import Stored
 #: Largest frame, in bytes of its files, that is broadcast.
 BROADCAST_BYTES = 32 << 20
 #: Text bytes handled at once inside a task.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
+#: Bytes of an Arrow batch between the JVM and a task's Python.
+BATCH_BYTES = 8 << 20
 
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -36,6 +38,18 @@ def small(frame: Stored) -> bool:
     return frame.size_in_bytes() <= BROADCAST_BYTES
 
 
+def bound_batches(df: DataFrame) -> DataFrame:
+    """The frame; its session sends Arrow batches of ``BATCH_BYTES`` at most, a longer row alone.
+
+    Without this a batch has ten thousand rows, however long they are.
+    """
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    plain = conf.get(name).rstrip("bB")  # Spark writes its default with a unit
+    if not plain.isdigit() or int(plain) > BATCH_BYTES:
+        conf.set(name, str(BATCH_BYTES))
+    return df
+
+
 def maybe_broadcast(frame: Stored) -> DataFrame:
     """The written frame, marked for broadcast only if its files are small."""
     return F.broadcast(frame.df) if small(frame) else frame.df

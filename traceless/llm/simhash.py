@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from traceless.llm.components import components
-from traceless.llm.shared import attach, maybe_broadcast, slices, text_of
+from traceless.llm.shared import attach, bound_batches, maybe_broadcast, slices, text_of
 from traceless.plans.workspace import Stored, union_stored
 
 POSITIONS = 8
@@ -104,7 +104,7 @@ def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(bits)], ["doc_id", "fp"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    texts = docs.select("doc_id", text_of("text").alias("text"))
+    texts = bound_batches(docs).select("doc_id", text_of("text").alias("text"))
     return texts.mapInArrow(run, f"doc_id {kind}, fp bigint")
 
 

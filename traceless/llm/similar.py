@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from traceless.llm.components import components
-from traceless.llm.shared import maybe_broadcast, slices, text_of
+from traceless.llm.shared import bound_batches, maybe_broadcast, slices, text_of
 from traceless.llm.simhash import POSITIONS, SEED, majority_bits, shingle_hashes
 from traceless.plans.workspace import Stored
 
@@ -161,7 +161,7 @@ def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFr
     mark = "__row"
     while mark in docs.columns:
         mark += "_"
-    numbered = Stored(docs.withColumn(mark, F.monotonically_increasing_id()), "numbered")
+    numbered = Stored(bound_batches(docs).withColumn(mark, F.monotonically_increasing_id()), "numbered")
     texts = numbered.df.select(F.col(mark).alias("row"), text_of("text").alias("text"))
     prints = Stored(two_fingerprints(texts, width), "two-fingerprints")
     entries = Stored(prints.df.groupBy("fp0", "fp1").agg(F.min("row").alias("row"), F.count(F.lit(1)).alias("n")), "fp-entries")

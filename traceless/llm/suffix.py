@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from traceless.llm.shared import attach, maybe_broadcast, text_of
+from traceless.llm.shared import attach, bound_batches, maybe_broadcast, text_of
 from traceless.plans.workspace import Stored
 
 WIDTH = 400
@@ -277,7 +277,7 @@ def remove_repeats(
 ) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` of every document."""
     text = text_of("text")
-    texts = docs.select("doc_id", text.cast("binary").alias("text"), F.sha2(text, 256).alias("sha"))
+    texts = bound_batches(docs).select("doc_id", text.cast("binary").alias("text"), F.sha2(text, 256).alias("sha"))
     rows = Stored(texts.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "sha"), "texts")
     counts = rows.df.where(F.col("n_bytes") >= width).groupBy("sha").agg(F.count(F.lit(1)).alias("n"))
     copied = Stored(counts.where("n > 1"), "copied")

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from traceless.llm.shared import slices, text_of
+from traceless.llm.shared import bound_batches, slices, text_of
 from traceless.plans.workspace import Stored
 
 #: Labelled documents in the training sample; the sample is drawn by hash.
@@ -33,7 +33,7 @@ BITS = 22
 EPOCHS = 6
 ALPHA, BETA, L1, L2 = 8.0, 1.0, 6.0, 0.0
 THRESHOLD = 0.7
-MEMO_WORDS = 500_000
+MEMO_WORDS = 150_000
 _WORD = re.compile(r"\w+")
 #: Fixed odd multipliers of the feature hash.
 _LEFT, _RIGHT, _SKIP, _MIX = (
@@ -136,7 +136,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, epochs: in
     rows = rows.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     draw = F.xxhash64("doc_id")
     sample = Stored(rows.withColumn("draw", draw).orderBy("draw", "doc_id").limit(max_rows), "toxic-sample")
-    texts = docs.select("doc_id", text_of("text").alias("text")).join(F.broadcast(sample.df), "doc_id")
+    texts = bound_batches(docs).select("doc_id", text_of("text").alias("text")).join(F.broadcast(sample.df), "doc_id")
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = _Words()
@@ -152,15 +152,20 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, epochs: in
     examples = Stored(texts.select("draw", "doc_id", "toxic", "text").mapInArrow(extract, schema), "toxic-examples")
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, state = [], Ftrl()
-        bias = np.int64(2 << BITS)
+        bias, flat, sizes, labels = np.array([2 << BITS], np.int32), [], [], []
         for batch in batches:
-            for at, label in zip(batch.column("at"), batch.column("toxic").to_pylist()):
-                seen.append((np.append(at.values.to_numpy(zero_copy_only=False), bias), label))
-        order = np.random.default_rng(0)
-        for _ in range(epochs):
-            for k in order.permutation(len(seen)):
-                state.learn(*seen[k])
+            column = batch.column("at")
+            flat.append(column.flatten().to_numpy(zero_copy_only=False).copy())
+            sizes.append(np.diff(column.offsets.to_numpy()))
+            labels += batch.column("toxic").to_pylist()
+        state, order = Ftrl(), np.random.default_rng(0)
+        if labels:
+            values, stops = np.concatenate(flat), np.cumsum(np.concatenate(sizes))
+            flat.clear()
+            for _ in range(epochs):
+                for k in order.permutation(len(labels)):
+                    mine = values[stops[k - 1] if k else 0 : stops[k]]
+                    state.learn(np.append(mine, bias), labels[k])
         used = np.flatnonzero(np.abs(state.z) > L1)
         weight = state.weights(used)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(weight)], ["feature", "weight"])
@@ -174,7 +179,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, epochs: in
 
 
 def _scorer(docs: DataFrame, model: Model):
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = bound_batches(docs).sparkSession.sparkContext.broadcast(model)
 
     def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
         memo, table = _Words(), shared.value.table()
