@@ -89,17 +89,19 @@ def _ordered(names: Iterable[str], done: list[str]) -> None:
         done.append(name)
 
 
-def duckdb_text(body: str, extra: dict[str, str] | None = None) -> str:
+def duckdb_text(body: str, extra: dict[str, str] | None = None, materialized: bool = False) -> str:
     """``body`` with every ``{projection}`` it needs prepended as a CTE.
 
     ``extra`` holds further CTEs (DuckDB only) that may refer to projections and
-    to each other in the given order.
+    to each other in the given order.  ``materialized`` keeps DuckDB from working
+    out a part again for each of its uses.
     """
     extra = extra or {}
     wanted: list[str] = []
     for text in [*extra.values(), body]:
         _ordered([n for n in inputs_of(text) if n not in extra], wanted)
-    parts = [f"{name} as ({_NAME.sub(lambda m: m.group(1), PROJECTIONS[name])})" for name in wanted]
-    parts += [f"{name} as ({_NAME.sub(lambda m: m.group(1), text)})" for name, text in extra.items()]
+    kept = "as materialized" if materialized else "as"
+    parts = [f"{name} {kept} ({_NAME.sub(lambda m: m.group(1), PROJECTIONS[name])})" for name in wanted]
+    parts += [f"{name} {kept} ({_NAME.sub(lambda m: m.group(1), text)})" for name, text in extra.items()]
     plain = _NAME.sub(lambda m: m.group(1), body)
     return f"with recursive {', '.join(parts)} {plain}" if parts else plain

@@ -118,6 +118,7 @@ def shortest_lineage_paths(spark, sf):
     "evidence_checks",
     "select artifact_id, valid, reason, effective_state from {checks}",
     {"checks": CHECKS},
+    materialized=True,
 )
 def evidence_checks(spark, sf):
     artifacts, _, evidence = audit_inputs(spark, sf)

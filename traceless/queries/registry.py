@@ -14,7 +14,7 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(name: str, sql: str | None = None, ctes: dict[str, str] | None = None):
+def query(name: str, sql: str | None = None, ctes: dict[str, str] | None = None, materialized: bool = False):
     """Register ``fn(spark, sf_dir)``; ``sql`` names projections as ``{name}``."""
 
     def register(fn: Query) -> Query:
@@ -22,7 +22,7 @@ def query(name: str, sql: str | None = None, ctes: dict[str, str] | None = None)
             raise ValueError(f"query {name} is already registered")
         QUERIES[name] = fn
         if sql is not None:
-            ORACLES[name] = duckdb_text(sql, ctes)
+            ORACLES[name] = duckdb_text(sql, ctes, materialized)
         return fn
 
     return register
