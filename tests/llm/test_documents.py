@@ -343,3 +343,14 @@ def test_repeats(spark, none):
     got = suffix.remove_repeats(docs, width=40, cover=0, block_bytes=600, bucket_keys=50)
     assert Counter(tuple(r) for r in got.collect()) == Counter((d, *w) for (d, _), w in zip(rows, want))
     assert suffix.remove_repeats(none).count() == 0
+
+
+def test_without_broadcasts(spark, docs, none, monkeypatch):
+    """The same results where no written frame is small enough to be broadcast."""
+    from traceless.llm import shared
+
+    monkeypatch.setattr(shared, "BROADCAST_BYTES", -1)
+    test_exact_dedup(docs, none)
+    test_simhash(docs, none)
+    test_repeats(spark, none)
+    test_similar_texts(spark, docs, none)

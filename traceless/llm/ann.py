@@ -140,7 +140,8 @@ def _posted(entries: DataFrame, columns: str, tables: int, parts: int, probed: f
         for batch in batches:
             for at, matrix in _vectors(batch.column("embedding")):
                 hasher = Hasher(matrix.shape[1], tables, parts, seed)
-                probes = max(1, math.ceil((2 * hasher.size) ** parts * probed)) if probed else 1
+                # finer buckets are probed in a better order: eight times as many per further part
+                probes = max(1, math.ceil(2 * hasher.size * probed * 8 ** (parts - 1))) if probed else 1
                 unit = _unit(matrix)
                 for table in range(tables):
                     buckets = hasher.buckets(unit, table, probes)
