@@ -354,3 +354,9 @@ def test_without_broadcasts(spark, docs, none, monkeypatch):
     test_simhash(docs, none)
     test_repeats(spark, none)
     test_similar_texts(spark, docs, none)
+
+
+def test_similar_texts_in_long_lists(spark, docs, none, monkeypatch):
+    monkeypatch.setattr(similar, "LIST_ROWS", 4)
+    monkeypatch.setattr(similar, "COUNTED", 1)
+    test_similar_texts(spark, docs, none)
