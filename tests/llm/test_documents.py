@@ -154,6 +154,53 @@ def test_similar_texts(spark, docs, none):
     assert similar.keep_one(none).count() == 0
 
 
+def edited_copies(groups: int, copies: int) -> list[str]:
+    """Groups of copies of which most pairs have a similarity between 0.7 and 0.85."""
+    rng = random.Random(11)
+    texts = []
+    for group in range(groups):
+        base = prose(500 + group, 120).split()
+        for copy in range(copies):
+            words = list(base)
+            for place in rng.sample(range(5, 115), rng.randrange(1, 3)):
+                words[place] = f"edit{group}x{copy}x{place}"
+            texts.append(" ".join(words))
+    return texts
+
+
+def test_groups_of_edited_copies(spark):
+    texts = edited_copies(60, 12)
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    want = {k for k, g in enumerate(brute.jaccard_groups(texts)) if k == g}
+    assert {r.doc_id for r in similar.keep_one(frame).collect()} == want
+
+
+def test_pairs_behind_a_refused_tree(spark, monkeypatch):
+    # the closest pairs by fingerprint, a-c and b-c, are refused; a-b is true
+    texts = {0: "a", 1: "b", 2: "c", 3: "far"}
+    bits = {0: 0, 1: (1 << 20) - 1, 2: (1 << 10) - 1, 3: -1}
+    bands = [7] * similar.BANDS
+    entries = spark.createDataFrame([(r, b, 0, bands) for r, b in bits.items()], "row long, fp0 long, fp1 long, bands array<long>")
+    monkeypatch.setattr(similar, "verified", lambda pairs, *_: pairs.where("a = 0 and b = 1"))
+    rows = spark.createDataFrame(list(texts.items()), "row long, text string")
+    found = similar.Stored(similar.candidates(entries), "found")
+    assert {(r.a, r.b) for r in found.df.collect()} == {(0, 2), (1, 2)}
+    roots = {r.node: r.root for r in similar._linked(found, similar.Stored(entries, "entries"), rows, 5, 0.8).df.collect()}
+    assert set(roots) == {0, 1} and roots[0] == roots[1]
+
+
+def test_every_partner_is_named_in_the_end(spark, monkeypatch):
+    monkeypatch.setattr(similar, "PARTNERS", 2)
+    tried = []
+    monkeypatch.setattr(similar, "verified", lambda pairs, *_: tried.extend((r.a, r.b) for r in pairs.collect()) or pairs.limit(0))
+    schema = "row long, fp0 long, fp1 long, bands array<long>"
+    entries = similar.Stored(spark.createDataFrame([(k, (1 << k) - 1, 0, [7] * similar.BANDS) for k in range(30)], schema), "entries")
+    found = similar.Stored(similar.candidates(entries.df), "found")
+    texts = spark.createDataFrame([(k, "") for k in range(30)], "row long, text string")
+    similar._linked(found, entries, texts, 5, 0.8)
+    assert sorted(tried) == [(a, b) for a in range(30) for b in range(a + 1, 30)]
+
+
 def test_mix(docs, none):
     rows = awkward()
     sizes = Counter()

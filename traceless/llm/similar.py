@@ -3,13 +3,16 @@
 Four bits of 64 reach only texts that are almost equal.  Texts of which four
 fifths of the shingles agree differ in about a sixth of their bits, so this form
 keeps two fingerprints of 64 bits, posts every text under all pairs of positional
-bytes of each (28 lists a fingerprint) and takes pairs that meet in a list and
-differ in ``MAX_BITS`` of 128 bits at most as candidates.  The shingle sets of
-candidates are compared, so only true pairs link.
+bytes of each (28 lists a fingerprint) and under ``BANDS`` hashes of least shingles,
+and takes pairs that meet in a list and differ in ``MAX_BITS`` of 128 bits at most
+as candidates.  The shingle sets of candidates are compared, so only true pairs link.
 
-A list yields a spanning tree of its closest pairs, not all pairs.  Texts with
-equal fingerprints are one entry.  A list longer than ``LIST_ROWS`` is worked off
-in pairs of slices, whatever its length.
+A list first yields a spanning tree of its closest pairs.  Where a pair of a tree
+is refused, the parts it should have joined are searched again: every member names
+its nearest partners in other parts, eight times as many per round, until no pair
+within reach is left untried between two parts.  Texts with equal fingerprints are
+one entry.  A list longer than ``LIST_ROWS`` is worked off in pairs of slices,
+whatever its length.
 
 Defined cases: a null or blank text has no shingles and is similar to every other
 such text; repeated rows are copies; an empty table gives no rows; of a group, the
@@ -29,7 +32,7 @@ from pyspark.sql import functions as F
 from traceless.llm.components import components
 from traceless.llm.shared import bound_batches, maybe_broadcast, slices, text_of
 from traceless.llm.simhash import POSITIONS, SEED, majority_bits, shingle_hashes
-from traceless.plans.workspace import Stored
+from traceless.plans.workspace import Stored, union_stored
 
 #: Mean distance of texts with similarity 0.8 is 19 of 128 bits; this is over three deviations more.
 MAX_BITS = 34
@@ -37,10 +40,27 @@ LIST_ROWS = 4096
 #: One in so many entries is counted to find the long lists.
 COUNTED = 16
 _SPREAD = np.uint64(0xD6E8FEB86659FD93)
+#: Lists by the least of ``BAND_ROWS`` orders of the shingles each; at 0.8 one list is shared with 41 %.
+BANDS, BAND_ROWS = 12, 4
+_ORDERS = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * BAND_ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
+#: Partners that a member names in the first search after the trees, and their growth per round.
+PARTNERS = 8
+
+
+def least_bands(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """``BANDS`` hashes per text of the least of its hashes in several orders."""
+    result = np.zeros((len(counts), BANDS), np.uint64)
+    some = np.flatnonzero(counts)
+    if len(some):
+        firsts = np.cumsum(counts[some]) - counts[some]
+        for n, order in enumerate(_ORDERS):
+            band = result[some, n // BAND_ROWS] * _SPREAD
+            result[some, n // BAND_ROWS] = (band ^ (band >> np.uint64(32))) + np.minimum.reduceat(hashes * order, firsts)
+    return result
 
 
 def two_fingerprints(rows: DataFrame, width: int) -> DataFrame:
-    """``row, fp0, fp1`` of every whole text; the second has bits of the remixed hashes."""
+    """``row, fp0, fp1, bands`` of every whole text; the second has bits of the remixed hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
@@ -50,13 +70,15 @@ def two_fingerprints(rows: DataFrame, width: int) -> DataFrame:
             again = (flat ^ (flat >> np.uint64(31))) * _SPREAD
             again ^= again >> np.uint64(29)
             bits = [pa.array(majority_bits(h, counts).view(np.int64)) for h in (flat, again)]
-            yield pa.RecordBatch.from_arrays([batch.column("row"), *bits], ["row", "fp0", "fp1"])
+            flat_bands = pa.array(least_bands(flat, counts).view(np.int64).ravel())
+            bands = pa.ListArray.from_arrays(pa.array(np.arange(len(counts) + 1, dtype=np.int32) * BANDS), flat_bands)
+            yield pa.RecordBatch.from_arrays([batch.column("row"), *bits, bands], ["row", "fp0", "fp1", "bands"])
 
-    return rows.mapInArrow(run, "row bigint, fp0 bigint, fp1 bigint")
+    return rows.mapInArrow(run, "row bigint, fp0 bigint, fp1 bigint, bands array<bigint>")
 
 
-def _postings(entries: DataFrame) -> DataFrame:
-    """Entries under every pair of positional bytes of either fingerprint."""
+def _postings(entries: DataFrame, columns: list[str]) -> DataFrame:
+    """Entries under every pair of positional bytes of either fingerprint and under every band."""
     places = []
     for word in (0, 1):
         for pair in combinations(range(POSITIONS), 2):
@@ -65,7 +87,9 @@ def _postings(entries: DataFrame) -> DataFrame:
             block = F.lit(word << 8 | sum(1 << p for p in pair)).cast("int")
             key = F.col(f"fp{word}").bitwiseAND(F.lit(mask).cast("long"))
             places.append(F.struct(block.alias("block"), key.alias("key")))
-    return entries.select("*", F.explode(F.array(*places)).alias("p")).select("p.block", "p.key", "row", "fp0", "fp1")
+    for band in range(BANDS):
+        places.append(F.struct(F.lit(2 << 8 | band).cast("int").alias("block"), F.col("bands")[band].alias("key")))
+    return entries.select("*", F.explode(F.array(*places)).alias("p")).select("p.block", "p.key", *columns)
 
 
 def _trees(first: np.ndarray, second: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -95,6 +119,48 @@ def _trees(first: np.ndarray, second: np.ndarray, max_bits: int) -> tuple[np.nda
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
+def _partners(first: np.ndarray, second: np.ndarray, root: np.ndarray, max_bits: int, most: int) -> Iterator[tuple]:
+    """Members of one list, each with its ``most`` nearest partners of other parts within reach.
+
+    Yields members, their partners, and the members that have more of them.
+    """
+    m = len(first)
+    step = max(1, (1 << 20) // m)
+    for at in range(0, m, step):
+        distance = np.bitwise_count(first[at : at + step, None] ^ first).astype(np.int16)
+        distance += np.bitwise_count(second[at : at + step, None] ^ second)
+        distance[root[at : at + step, None] == root] = 1000
+        near = distance <= max_bits
+        more = near.sum(axis=1) > most
+        if more.any():
+            nearest = np.argsort(distance[more], axis=1, kind="stable")[:, :most]
+            kept = np.zeros((len(nearest), m), bool)
+            np.put_along_axis(kept, nearest, True, axis=1)
+            near[more] &= kept
+        a, b = np.nonzero(near)
+        yield a + at, b, np.flatnonzero(more) + at
+
+
+def _searcher(max_bits: int, most: int):
+    """Pairs ``a < b`` between parts; a row with ``b`` null says that ``a`` has further partners."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column("members")
+            row, fp0, fp1, root = (f.to_numpy(zero_copy_only=False) for f in column.flatten().flatten())
+            offsets = column.offsets.to_numpy() - column.offsets[0].as_py()
+            for start, stop in zip(offsets[:-1], offsets[1:]):
+                own = slice(start, stop)
+                names = row[own]
+                for a, b, more in _partners(fp0[own].view(np.uint64), fp1[own].view(np.uint64), root[own], max_bits, most):
+                    pair = np.sort(np.stack([names[a], names[b]]), axis=0)
+                    pair = np.unique(pair, axis=1) if pair.size else pair
+                    ends = pa.concat_arrays([pa.array(pair[1]), pa.nulls(len(more), pa.int64())])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([pair[0], names[more]])), ends], ["a", "b"])
+
+    return run
+
+
 def _linker(max_bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -117,9 +183,14 @@ def _linker(max_bits: int):
     return run
 
 
-def candidates(entries: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """Pairs ``a < b`` of rows that meet in a list and lie within ``max_bits``."""
-    counted = _postings(entries.where(F.pmod(F.xxhash64("row"), F.lit(COUNTED)) == 0))
+def candidates(entries: DataFrame, max_bits: int = MAX_BITS, most: int = 0) -> DataFrame:
+    """Pairs ``a < b`` of rows that meet in a list and lie within ``max_bits``.
+
+    Without ``most``, those of the lists' spanning trees; else what :func:`_searcher`
+    finds between the parts in the column ``root``.
+    """
+    columns = ["row", "fp0", "fp1", "root"] if most else ["row", "fp0", "fp1"]
+    counted = _postings(entries.where(F.pmod(F.xxhash64("row"), F.lit(COUNTED)) == 0), ["row"])
     sizes = counted.groupBy("block", "key").agg((F.count(F.lit(1)) * COUNTED).alias("n"))
     long_lists = Stored(sizes.where(F.col("n") > LIST_ROWS), "long-lists")
     half = LIST_ROWS // 2
@@ -129,15 +200,15 @@ def candidates(entries: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
         F.sequence(F.lit(0), F.col("parts") - 1),
         lambda other: F.struct(F.least("own", other).alias("i"), F.greatest("own", other).alias("j")),
     )
-    marked = _postings(entries)
+    marked = _postings(entries, columns)
     if not long_lists.is_empty():
         marked = marked.join(maybe_broadcast(long_lists), ["block", "key"], "left").withColumn("parts", parts)
         marked = marked.withColumn("own", own).withColumn("s", F.explode(met)).select("*", "s.i", "s.j")
     else:
         marked = marked.withColumns({"i": F.lit(0), "j": F.lit(0)})
-    listed = marked.groupBy("block", "key", "i", "j").agg(F.collect_list(F.struct("row", "fp0", "fp1")).alias("members"))
-    pairs = listed.where(F.size("members") > 1).select("members").mapInArrow(_linker(max_bits), "a bigint, b bigint")
-    return pairs.distinct()
+    listed = marked.groupBy("block", "key", "i", "j").agg(F.collect_list(F.struct(*columns)).alias("members"))
+    run = _searcher(max_bits, most) if most else _linker(max_bits)
+    return listed.where(F.size("members") > 1).select("members").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
 def verified(pairs: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
@@ -156,6 +227,37 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, similarity: float)
     return pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a bigint, b bigint")
 
 
+def _linked(found: Stored, entries: Stored, texts: DataFrame, width: int, similarity: float) -> Stored:
+    """``node, root`` of the rows that true pairs link, from the pairs of the trees on."""
+    tried: list[Stored] = []
+    links: list[Stored] = []
+    most = PARTNERS
+    while True:
+        pairs = found.df.where("b is not null")
+        for earlier in tried:
+            pairs = pairs.join(earlier.df, ["a", "b"], "left_anti")
+        tried.append(Stored(pairs, f"pairs-{len(tried)}"))
+        pairs = tried[-1].df
+        wanted = pairs.select(F.col("a").alias("row")).unionByName(pairs.select(F.col("b").alias("row"))).distinct()
+        some = texts.join(maybe_broadcast(Stored(wanted, "candidate-rows")), "row", "left_semi")
+        links.append(Stored(verified(pairs, some, width, similarity), f"similar-{len(links)}"))
+        roots = Stored(components(union_stored(links), "similar"), "similar-roots")
+        rooted = entries.df.join(roots.df.withColumnRenamed("node", "row"), "row", "left").withColumn("root", F.coalesce("root", "row"))
+        if len(tried) == 1:
+            # an untried pair between two parts has a refused pair of a tree at either part
+            refused = pairs.join(links[0].df, ["a", "b"], "left_anti")
+            rows = refused.select(F.explode(F.array("a", "b")).alias("row")).distinct()
+            parts = Stored(rooted.join(rows, "row").select("root").distinct(), "open-parts")
+            active = Stored(rooted.join(maybe_broadcast(parts), "root", "left_semi"), "open-entries")
+        else:
+            rows = Stored(found.df.where("b is null").select(F.col("a").alias("row")), "open-rows")
+            active = Stored(rooted.join(maybe_broadcast(rows), "row", "left_semi"), "open-entries")
+        if active.is_empty():
+            return roots
+        found = Stored(candidates(active.df, most=most), f"candidates-{len(tried)}")
+        most *= PARTNERS
+
+
 def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
     """The documents with one of each group of linked texts, all columns as they are."""
     mark = "__row"
@@ -164,15 +266,13 @@ def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFr
     numbered = Stored(bound_batches(docs).withColumn(mark, F.monotonically_increasing_id()), "numbered")
     texts = numbered.df.select(F.col(mark).alias("row"), text_of("text").alias("text"))
     prints = Stored(two_fingerprints(texts, width), "two-fingerprints")
-    entries = Stored(prints.df.groupBy("fp0", "fp1").agg(F.min("row").alias("row"), F.count(F.lit(1)).alias("n")), "fp-entries")
+    least = F.min_by("bands", "row").alias("bands")
+    entries = Stored(prints.df.groupBy("fp0", "fp1").agg(F.min("row").alias("row"), F.count(F.lit(1)).alias("n"), least), "fp-entries")
     shared = Stored(entries.df.where("n > 1").select("fp0", "fp1", F.col("row").alias("first")), "fp-shared")
     same = prints.df.join(maybe_broadcast(shared), ["fp0", "fp1"]).where("row <> first")
-    near = candidates(entries.df.select("row", "fp0", "fp1"))
-    pairs = Stored(near.unionByName(same.select(F.col("first").alias("a"), F.col("row").alias("b"))), "candidates")
-    wanted = pairs.df.select(F.col("a").alias("row")).unionByName(pairs.df.select(F.col("b").alias("row"))).distinct()
-    some = texts.join(maybe_broadcast(Stored(wanted, "candidate-rows")), "row", "left_semi")
-    links = Stored(verified(pairs.df, some, width, similarity), "similar")
-    roots = Stored(components(links.df, "similar"), "similar-roots")
+    near = candidates(entries.df)
+    found = Stored(near.unionByName(same.select(F.col("first").alias("a"), F.col("row").alias("b"))), "candidates")
+    roots = _linked(found, entries, texts, width, similarity)
     ids = numbered.df.select(F.col(mark).alias("node"), "doc_id")
     grouped = roots.df.join(ids, "node")
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "node")
