@@ -175,6 +175,28 @@ def test_groups_of_edited_copies(spark):
     assert {r.doc_id for r in similar.keep_one(frame).collect()} == want
 
 
+def test_repeated_shingles_weigh_once(spark):
+    line = prose(900, 20)
+    texts = []
+    for k in range(6):
+        own = prose(910 + k, 300)
+        texts += [own, f"{own} " + f"{line} " * 30]
+    want = {k for k, g in enumerate(brute.jaccard_groups(texts)) if k == g}
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert len(want) == 6 and {r.doc_id for r in similar.keep_one(frame).collect()} == want
+
+
+def test_equal_fingerprints_of_different_texts(spark, monkeypatch):
+    texts = [prose(950, 60), prose(951, 60), prose(951, 60) + " end", prose(952, 60)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+
+    def equal(rows, width, real=similar.two_fingerprints):
+        return real(rows, width).withColumns({"fp0": F.lit(0).cast("long"), "fp1": F.lit(0).cast("long")})
+
+    monkeypatch.setattr(similar, "two_fingerprints", equal)
+    assert {r.doc_id for r in similar.keep_one(frame).collect()} == {0, 1, 3}
+
+
 def test_pairs_behind_a_refused_tree(spark, monkeypatch):
     # the closest pairs by fingerprint, a-c and b-c, are refused; a-b is true
     texts = {0: "a", 1: "b", 2: "c", 3: "far"}

@@ -10,8 +10,9 @@ as candidates.  The shingle sets of candidates are compared, so only true pairs
 A list first yields a spanning tree of its closest pairs.  Where a pair of a tree
 is refused, the parts it should have joined are searched again: every member names
 its nearest partners in other parts, eight times as many per round, until no pair
-within reach is left untried between two parts.  Texts with equal fingerprints are
-one entry.  A list longer than ``LIST_ROWS`` is worked off in pairs of slices,
+within reach is left untried between two parts.  Fingerprints are taken over the
+different shingles, as the comparison is.  Texts with the same shingles are one entry;
+others are entries of their own even with equal fingerprints.  A list longer than ``LIST_ROWS`` is worked off in pairs of slices,
 whatever its length.
 
 Defined cases: a null or blank text has no shingles and is similar to every other
@@ -60,21 +61,29 @@ def least_bands(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 def two_fingerprints(rows: DataFrame, width: int) -> DataFrame:
-    """``row, fp0, fp1, bands`` of every whole text; the second has bits of the remixed hashes."""
+    """``row, fp0, fp1, whole, bands`` of every whole text's different shingles.
+
+    ``fp1`` has bits of the remixed hashes; ``whole`` is a hash of the shingle set.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            each = [shingle_hashes(t, width) for t in batch.column("text").to_pylist()]
+            each = [set(shingle_hashes(t, width)) for t in batch.column("text").to_pylist()]
             counts = np.array([len(h) for h in each], np.int64)
             flat = np.fromiter((h for one in each for h in one), np.uint64, int(counts.sum()))
             again = (flat ^ (flat >> np.uint64(31))) * _SPREAD
             again ^= again >> np.uint64(29)
             bits = [pa.array(majority_bits(h, counts).view(np.int64)) for h in (flat, again)]
+            sums = np.zeros(len(counts), np.uint64)
+            some = np.flatnonzero(counts)
+            if len(some):
+                sums[some] = np.add.reduceat(again * _ORDERS[0] ^ (again >> np.uint64(32)), np.cumsum(counts[some]) - counts[some])
+            bits.append(pa.array(sums.view(np.int64)))
             flat_bands = pa.array(least_bands(flat, counts).view(np.int64).ravel())
             bands = pa.ListArray.from_arrays(pa.array(np.arange(len(counts) + 1, dtype=np.int32) * BANDS), flat_bands)
-            yield pa.RecordBatch.from_arrays([batch.column("row"), *bits, bands], ["row", "fp0", "fp1", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), *bits, bands], ["row", "fp0", "fp1", "whole", "bands"])
 
-    return rows.mapInArrow(run, "row bigint, fp0 bigint, fp1 bigint, bands array<bigint>")
+    return rows.mapInArrow(run, "row bigint, fp0 bigint, fp1 bigint, whole bigint, bands array<bigint>")
 
 
 def _postings(entries: DataFrame, columns: list[str]) -> DataFrame:
@@ -267,9 +276,9 @@ def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFr
     texts = numbered.df.select(F.col(mark).alias("row"), text_of("text").alias("text"))
     prints = Stored(two_fingerprints(texts, width), "two-fingerprints")
     least = F.min_by("bands", "row").alias("bands")
-    entries = Stored(prints.df.groupBy("fp0", "fp1").agg(F.min("row").alias("row"), F.count(F.lit(1)).alias("n"), least), "fp-entries")
-    shared = Stored(entries.df.where("n > 1").select("fp0", "fp1", F.col("row").alias("first")), "fp-shared")
-    same = prints.df.join(maybe_broadcast(shared), ["fp0", "fp1"]).where("row <> first")
+    entries = Stored(prints.df.groupBy("fp0", "fp1", "whole").agg(F.min("row").alias("row"), F.count(F.lit(1)).alias("n"), least), "fp-entries")
+    shared = Stored(entries.df.where("n > 1").select("fp0", "fp1", "whole", F.col("row").alias("first")), "fp-shared")
+    same = prints.df.join(maybe_broadcast(shared), ["fp0", "fp1", "whole"]).where("row <> first")
     near = candidates(entries.df)
     found = Stored(near.unionByName(same.select(F.col("first").alias("a"), F.col("row").alias("b"))), "candidates")
     roots = _linked(found, entries, texts, width, similarity)
