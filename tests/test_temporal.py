@@ -147,6 +147,14 @@ def test_many_controls_match_enumeration(spark):
         assert (row.status == "INFEASIBLE") if best is None else (row.total_cost, len(row.control_ids), row.control_ids) == best
 
 
+def test_more_controls_than_a_word_has_bits(spark):
+    t = [("w", "t0", ["a"], ["b"]), ("w", "t1", ["b"], ["g"]), ("w", "t2", ["a"], ["g"])]
+    c = [("w", f"k{j:03d}", 100 - j, True, [f"t{j % 3}"]) for j in range(70)]
+    frames = _frames(spark, ["w"], t, [("w", "a")], [("w", "g")], c)
+    row = E.min_cost_controls(*frames).first()
+    assert (row.status, row.control_ids, row.total_cost) == ("OPTIMAL", ["k068", "k069"], 63)
+
+
 def test_changing_case_beyond_the_limit_is_a_row(spark):
     cases, t, i, r, c = _monotone(random.Random(5), 13, 2)
     frames = list(_frames(spark, cases, t, i, r, c))

@@ -18,6 +18,8 @@ from traceless.operators.remediation import MAX_EXACT, choice_arrays, numbered_c
 from traceless.plans.workspace import Stored, union_stored
 
 NO_TEXT = "array<string>"
+#: Monotone cases are searched whatever the number of their controls.
+ANY_NUMBER = (1 << 31) - 1
 
 
 def _empty() -> Column:
@@ -327,24 +329,33 @@ def _best_controls(
     return best, refused
 
 
+def _no_numbers() -> Column:
+    return F.array().cast("array<int>")
+
+
+def _together(column: str) -> Column:
+    """Aggregate: the different numbers of all arrays, in order."""
+    return F.array_sort(F.array_distinct(F.flatten(F.collect_set(column))))
+
+
 def _supports(steps: DataFrame, initial: DataFrame, keys: list[str]) -> DataFrame:
-    """Facts that can come to hold, each with the controls on one way to it as a bit set."""
+    """Facts that can come to hold, each with the numbers of the controls on one way to it."""
     steps = Stored(steps.select(*keys, "transition_id", "requires", "adds", "guard", F.size("requires").alias("n")), "open-steps").df
-    found = [Stored(initial.select(*keys, "fact", F.lit(0).cast("long").alias("support")).distinct(), "supports-0")]
+    found = [Stored(initial.select(*keys, "fact").distinct().withColumn("support", _no_numbers()), "supports-0")]
     needs = steps.withColumn("fact", F.explode("requires"))
     while True:
         known = union_stored(found)
         met = (
             needs.join(known, [*keys, "fact"])
             .groupBy(*keys, "transition_id", "adds", "guard", "n")
-            .agg(F.bit_or("support").alias("support"), F.count(F.lit(1)).alias("matched"))
+            .agg(_together("support").alias("support"), F.count(F.lit(1)).alias("matched"))
             .where("matched = n")
         )
-        fired = met.select(*keys, "adds", F.col("support").bitwiseOR(F.col("guard")).alias("support"))
+        fired = met.select(*keys, "adds", F.array_sort(F.array_union("support", "guard")).alias("support"))
         if len(found) == 1:
             fired = fired.unionByName(steps.where("n = 0").select(*keys, "adds", F.col("guard").alias("support")))
         fresh = fired.select(*keys, F.explode("adds").alias("fact"), "support").join(known, [*keys, "fact"], "left_anti")
-        least = fresh.groupBy(*keys, "fact").agg(F.min(F.struct(F.bit_count("support").alias("size"), "support")).alias("s"))
+        least = fresh.groupBy(*keys, "fact").agg(F.min(F.struct(F.size("support").alias("size"), "support")).alias("s"))
         level = Stored(least.select(*keys, "fact", "s.support"), f"supports-{len(found)}")
         if level.is_empty():
             break
@@ -364,14 +375,13 @@ def hitting_controls(
     """
     keys = ["case_id", *scenario]
     named = controls.withColumnRenamed("control_id", "action_id")
-    numbered = Stored(numbered_choices(named, "case_id", 62), "many-controls").df
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("idx").cast("int"))
+    numbered = Stored(numbered_choices(named, "case_id", ANY_NUMBER), "many-controls").df
     guards = (
         numbered.join(named.select("case_id", "action_id", F.explode("guarded").alias("transition_id")), ["case_id", "action_id"])
         .groupBy("case_id", "transition_id")
-        .agg(F.bit_or(bit).alias("guard"))
+        .agg(F.array_sort(F.collect_set("idx")).alias("guard"))
     )
-    steps = transitions.join(guards, ["case_id", "transition_id"], "left").withColumn("guard", F.coalesce("guard", F.lit(0).cast("long")))
+    steps = transitions.join(guards, ["case_id", "transition_id"], "left").withColumn("guard", F.coalesce("guard", _no_numbers()))
     steps = Stored(steps, "guarded-steps").df
     arrays = Stored(
         cases.select("case_id").distinct().join(choice_arrays(numbered, "case_id"), "case_id", "left").select(
@@ -379,11 +389,11 @@ def hitting_controls(
         ),
         "control-arrays",
     ).df
-    taken = Stored(arrays.select("case_id", F.lit(0).cast("long").alias("mask")), "taken").df
+    taken = Stored(arrays.select("case_id", _no_numbers().alias("taken")), "taken").df
     demands: list[Stored] = []
     done: list[Stored] = []
     while True:
-        open_steps = steps.join(taken, "case_id").where(F.col("guard").bitwiseAND(F.col("mask")) == 0)
+        open_steps = steps.join(taken, "case_id").where(~F.arrays_overlap("guard", "taken"))
         facts = _supports(open_steps, initial.join(taken.select("case_id"), "case_id", "left_semi"), keys)
         ways = facts.join(residual, [*keys, "fact"], "left_semi").select("case_id", F.col("support").alias("demand")).distinct()
         demands.append(Stored(ways, f"demands-{len(demands)}"))
@@ -391,16 +401,20 @@ def hitting_controls(
         if demands[-1].is_empty():
             break
         # a way without a control on it can't be closed
-        hopeless = demands[-1].df.where("demand = 0").select("case_id")
+        hopeless = demands[-1].df.where("size(demand) = 0").select("case_id")
         still = taken.join(demands[-1].df.select("case_id"), "case_id", "left_semi").join(hopeless, "case_id", "left_anti")
         listed = union_stored(demands).join(still.select("case_id"), "case_id", "left_semi").groupBy("case_id").agg(
             F.collect_set("demand").alias("demands")
         )
         rows = listed.join(arrays, "case_id").select("case_id", "demands", "costs")
         kind = cases.schema["case_id"].dataType.simpleString()
-        taken = Stored(rows.mapInArrow(_solve_demands, f"case_id {kind}, mask bigint"), f"taken-{len(demands)}").df
+        taken = Stored(rows.mapInArrow(_solve_demands, f"case_id {kind}, taken array<int>"), f"taken-{len(demands)}").df
+
+    def picked(column: str) -> Column:
+        return F.filter(column, lambda _, i: F.array_contains("taken", i))
+
     plans = union_stored(done).join(arrays, "case_id").select(
-        "case_id", chosen(F.col("ids"), F.col("mask")).alias("control_ids"), chosen(F.col("costs"), F.col("mask")).alias("picked")
+        "case_id", picked("ids").alias("control_ids"), picked("costs").alias("picked")
     )
     total = F.aggregate("picked", F.lit(0).cast("long"), lambda a, x: a + x)
     return plans.select("case_id", "control_ids", total.alias("total_cost"))
@@ -409,8 +423,8 @@ def hitting_controls(
 def _solve_demands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = zip(batch.column("demands").to_pylist(), batch.column("costs").to_pylist())
-        masks = [sum(1 << i for i in cheapest(demands, costs)) for demands, costs in rows]
-        yield pa.RecordBatch.from_arrays([batch.column("case_id"), pa.array(masks, pa.int64())], ["case_id", "mask"])
+        taken = [cheapest([sum(1 << i for i in demand) for demand in demands], costs) for demands, costs in rows]
+        yield pa.RecordBatch.from_arrays([batch.column("case_id"), pa.array(taken, pa.list_(pa.int32()))], ["case_id", "taken"])
 
 
 def _searched_controls(
