@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from traceless.llm import ann, bpe, chat, exact, mixing, pii, simhash, suffix, toxicity, warc
+from traceless.llm import ann, bpe, chat, exact, merkle, mixing, pii, simhash, suffix, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -159,3 +159,70 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     return pii.find(docs, pii.fit(docs))
+
+
+def _crc32(text: str) -> str:
+    """SQL for the unsigned CRC-32 of an ASCII text, a bit at a time."""
+    bits = f"flatten(list_transform(string_split({text}, ''), lambda ch: list_transform(range(8), lambda i: (ord(ch) >> i) & 1)))"
+    step = "xor(c // 2, 3988292384 * (xor(c, x) & 1))"
+    return f"xor(list_reduce(list_prepend(4294967295::bigint, {bits}), lambda c, x: {step}), 4294967295::bigint)"
+
+
+def _field(value: str) -> str:
+    text = f"({value})::varchar"
+    return f"case when {value} is null then '-' else octet_length(encode({text})) || ':' || {text} end"
+
+
+_LEAF = "sha256(" + " || ".join(_field(c) for c in ["doc_id", "source", "lang", "{n_chars}", "text"]) + ")"
+
+
+@register(
+    "op11_merkle_manifest",
+    f"""
+    with recursive d as (
+        select row_number() over () as row, doc_id, coalesce('+' || lang, '') as lk,
+            {_LEAF.replace("{n_chars}", "n_chars")} as leaf,
+            case when {_crc32("doc_id::varchar")} % 7 = 0 then {_LEAF.replace("{n_chars}", "(n_chars + 1)")} end as changed
+        from documents),
+    ranked as (
+        select *, row_number() over (partition by lk order by doc_id nulls first, leaf, row) - 1 as pos,
+            count(*) over (partition by lk) as n
+        from d),
+    low as (
+        select 0 as lvl, lk, pos, leaf as h, n from ranked
+        union all
+        select lvl + 1, lk, pos // 2, sha256(string_agg(h, '' order by pos)), (any_value(n) + 1) // 2
+        from low where n > 1 group by lvl, lk, pos // 2),
+    tops as (select lk, lvl as height, h as subroot from low where n = 1),
+    high as (
+        select 0 as lvl, row_number() over (order by lk) - 1 as pos, subroot as h, count(*) over () as n from tops
+        union all
+        select lvl + 1, pos // 2, sha256(string_agg(h, '' order by pos)), (any_value(n) + 1) // 2
+        from high where n > 1 group by lvl, pos // 2),
+    nodes as (
+        select lk, lvl, pos, h from low where n > 1
+        union all select tops.lk, tops.height + high.lvl, high.pos, high.h from tops, high where high.n > 1),
+    heads as (select lk, subroot, height, row_number() over (order by lk) - 1 as seat from tops),
+    tall as (select max(lvl) as rest, max(h) filter (n = 1) as root from high),
+    fold as (
+        select 0 as lvl, row, lk, pos, coalesce(changed, leaf) as h, '' as proof from ranked
+        union all
+        select f.lvl + 1, f.row, f.lk, case when f.lvl + 1 = heads.height then heads.seat else f.pos // 2 end,
+            sha256(case when f.pos % 2 = 1 then s.h || f.h else f.h || coalesce(s.h, '') end), f.proof || coalesce(s.h, '')
+        from fold f join heads on f.lk = heads.lk cross join tall
+        left join nodes s on s.lk = f.lk and s.lvl = f.lvl and s.pos = xor(f.pos, 1)
+        where f.lvl < heads.height + rest)
+    select r.doc_id, r.leaf, heads.subroot, root, sha256(f.proof) as proof_sha256, f.h as folded_root, f.h = root as verified
+    from ranked r join heads on r.lk = heads.lk cross join tall
+    join fold f on f.row = r.row and f.lvl = heads.height + rest
+    """,
+)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(
+        read(spark, sf_dir, "documents"),
+        ["doc_id", "source", "lang", "n_chars", "text"],
+        group="lang",
+        order="doc_id",
+        changed={"n_chars": F.col("n_chars") + 1},
+        where=F.crc32(F.col("doc_id").cast("string")) % 7 == 0,
+    )
