@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from traceless.llm import ann, bpe, chat, exact, merkle, mixing, pii, simhash, suffix, toxicity, warc
+from traceless.llm import ann, bpe, cascade, chat, exact, merkle, mixing, pii, simhash, suffix, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -226,3 +226,37 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
         changed={"n_chars": F.col("n_chars") + 1},
         where=F.crc32(F.col("doc_id").cast("string")) % 7 == 0,
     )
+
+
+#: The rules that every run judges by.
+URL_RULES = [
+    (cascade.ALLOW, "org/"),
+    (cascade.BLOCK, "example.org/es/"),
+    (cascade.BLOCK, "example.org/en/1"),
+    (cascade.ALLOW, "com/fr/"),
+    (cascade.BLOCK, "com/de/"),
+]
+
+
+@register(
+    "op13_url_cascade",
+    r"""
+    with t as (
+        select page_id,
+            translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1),
+                'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+            regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 2) as path
+        from pages),
+    r as (select * from (values ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'),
+        ('allow', 'com', '/fr/'), ('block', 'com', '/de/')) v(verdict, rhost, rpath)),
+    m as (
+        select row, max(struct_pack(n := length(rhost || rpath), h := length(rhost), b := verdict, rule := rhost || rpath)) as best
+        from (select *, row_number() over () as row from t) u, r
+        where (host = rhost or ends_with(host, '.' || rhost)) and starts_with(path, rpath)
+        group by row)
+    select page_id, host, path, best.rule as rule, coalesce(best.b, 'allow') as verdict
+    from (select *, row_number() over () as row from t) u left join m on u.row = m.row
+    """,
+)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cascade.judge(read(spark, sf_dir, "pages"), cascade.rules_frame(spark, URL_RULES))
