@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from traceless.llm import ann, bpe, cascade, chat, exact, merkle, mixing, pii, simhash, suffix, toxicity, warc
+from traceless.llm import ann, bpe, cascade, chat, exact, merkle, mixing, pii, repair, simhash, suffix, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -260,3 +260,61 @@ URL_RULES = [
 )
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cascade.judge(read(spark, sf_dir, "pages"), cascade.rules_frame(spark, URL_RULES))
+
+
+@register(
+    "op12_conversation_repair",
+    f"""
+    with recursive base as (
+        select coalesce('=' || conv_id, '') as ck, conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+            {_crc32("(coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' '))")} % 20 as draw
+        from conversations),
+    hurt as (
+        select ck, turn, case when draw = 4 then 'user' else role end as role,
+            case draw when 1 then '' when 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text,
+            unnest(case when draw = 3 then [0, 1] else [0] end) as copy
+        from base where draw <> 0),
+    seq as (select *, row_number() over (partition by ck order by turn nulls first, role, sha256(text), copy) as pos from hurt),
+    f as (
+        select ck, pos, turn, role, text, substr(role, 1, 1) as initial,
+            case when tail = '' then 'b' when again then 'd' when right(tail, 1) not in ('.', '!', '?') then 't' else 'o' end as kind,
+            lag(substr(role, 1, 1)) over (partition by ck order by pos) as before
+        from (select *, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) as tail,
+                row_number() over (partition by ck, role, text order by pos) > 1 as again from seq)),
+    ins as (select * from (values (0, 0, '', []::varchar[]), (0, 2, 'I', ['user:']), (0, 3, 'II', ['user:', 'assistant:']), (1, 1, '', []),
+        (1, 2, 'I', ['user:']), (1, 3, 'II', ['user:', 'assistant:']), (2, 2, '', []), (2, 3, 'I', ['assistant:']),
+        (3, 3, '', []), (3, 2, 'I', ['user:'])) v(a, b, letters, lines)),
+    edits as (
+        select * from (values (0, 0, 'D', '', 4), (1, 1, 'D', '', 4), (2, 2, 'D', '', 4), (3, 3, 'D', '', 4),
+            (0, 2, 'R', '', 3), (1, 2, 'R', '', 3), (3, 2, 'R', '', 3), (2, 3, 'R', '', 3),
+            (0, 1, 'K', 's', 0), (0, 2, 'K', 'u', 0), (1, 2, 'K', 'u', 0), (3, 2, 'K', 'u', 0), (2, 3, 'K', 'a', 0)) v(b, c, letter, need, price)),
+    walk as (
+        select ck, 0::bigint as pos, 0 as st, 0::bigint as cost, '' as audit, []::varchar[] as lines from (select distinct ck from f)
+        union all
+        select ck, pos, st, best.cost, best.audit, best.lines from (
+            select w.ck, w.pos + 1 as pos, c as st, min(struct_pack(
+                cost := w.cost + 3 * length(letters) + price + case when letter <> 'D' and kind = 't' then 3 else 0 end,
+                audit := w.audit || letters || letter,
+                lines := w.lines || ins.lines || case letter when 'D' then []::varchar[] when 'K' then [role || ':' || text]
+                    else [case c when 2 then 'user:' else 'assistant:' end || text] end)) as best
+            from walk w join f on f.ck = w.ck and f.pos = w.pos + 1 join ins on a = w.st
+            join edits on edits.b = ins.b and (need = '' or need = initial) and (letter = 'D' or kind in ('o', 't'))
+            group by w.ck, w.pos, c)),
+    ends as (select ck, max(pos) as last from f group by ck),
+    won as (
+        select w.ck, min(struct_pack(cost := w.cost + 3 * length(letters), audit := w.audit || letters, lines := w.lines || ins.lines)) as best
+        from walk w join ends on ends.ck = w.ck and w.pos = last join ins on a = w.st where ins.b in (0, 3) group by w.ck),
+    counts as (
+        select ck, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (kind = 'b') as blank,
+            count(*) filter (kind = 'd') as duplicate, count(*) filter (kind = 't') as truncated,
+            count(*) filter (before is not null and (before || ',' || initial) not in ('s,u', 'u,a', 'a,u')) as illegal
+        from f group by ck)
+    select i.conv_id, coalesce(gaps, 0) as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate,
+        coalesce(truncated, 0) as truncated, coalesce(illegal, 0) as illegal, coalesce(best.cost, 0) as cost,
+        coalesce(best.audit, '') as audit, sha256(coalesce(array_to_string(best.lines, chr(10)), '')) as repaired_sha256
+    from (select distinct ck, conv_id from base) i left join won on won.ck = i.ck left join counts on counts.ck = i.ck
+    """,
+)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "conversations")
+    return repair.repair(repair.damage(rows), rows)[0]
