@@ -141,7 +141,7 @@ def test_closing_actions_match_enumeration(spark):
     base = {r.request_id: r for r in G.evaluate_requests(graph).collect()}
     exact = {r.request_id: r for r in P.min_cost_actions(graph, actions, transitions, channels).collect()}
     greedy = {r.request_id: r for r in P.greedy_actions(graph, actions, transitions, channels).collect()}
-    mixed = {r.request_id: r for r in P.min_cost_actions(graph, actions, transitions, channels, limit=2).collect()}
+    mixed = {r.request_id: r for r in P.min_cost_actions(graph, actions, transitions, channels, limit=2, max_exact=2).collect()}
     for request, (nodes, edges, own, sources, sinks, required, prices, effects, results) in cases.items():
         judge = lambda s: _evaluate(nodes, edges, own, sources, sinks, required, s, effects, results)  # noqa: E731, B023
         verdict, _, shortest = judge(())

@@ -7,6 +7,7 @@ different masks first, so a row holds a case whatever the number of its demands.
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
+from heapq import heappop, heappush
 
 
 def reduced(masks: Iterable[int]) -> list[int]:
@@ -100,3 +101,33 @@ def all_smallest(masks: Iterable[int]) -> list[list[int]] | None:
 
     visit((), 0, demands)
     return [list(s) for s in sorted(found)]
+
+
+def least_assignment(clauses: Iterable[tuple[int, int]], costs: Sequence[int], budget: int) -> tuple[list[int], str]:
+    """Cheapest choices that satisfy every clause, least by (cost, size, numbers).
+
+    A clause ``(add, drop)`` holds if a choice of ``add`` is taken or one of ``drop`` is
+    not.  Returns the choices with OPTIMAL, no choices with INFEASIBLE, or, after
+    ``budget`` nodes, the cheapest start of a set that is still open with LIMIT: its cost
+    bounds that of every set from below.
+    """
+    rules = sorted(set(clauses), key=lambda c: (c[0].bit_count(), c))
+    order = 0
+    # best first, so that the first complete set is the least one
+    queue: list[tuple] = [((0, 0, ()), order, 0, 0)]
+    weight = [(costs[i], 1) for i in range(len(costs))]
+    while queue:
+        if order > budget:
+            return list(queue[0][0][2]), "LIMIT"
+        (cost, size, numbers), _, taken, barred = heappop(queue)
+        broken = [add for add, drop in rules if not add & taken and drop & ~taken == 0]
+        if not broken:
+            return list(numbers), "OPTIMAL"
+        pick = min(broken, key=lambda m: (m & ~barred).bit_count())
+        for i in bits(pick & ~barred):
+            more, one = weight[i]
+            order += 1
+            key = (cost + more, size + one, tuple(sorted((*numbers, i))))
+            heappush(queue, (key, order, taken | 1 << i, barred))
+            barred |= 1 << i
+    return [], "INFEASIBLE"

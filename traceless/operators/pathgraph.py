@@ -74,6 +74,20 @@ def classify_reachability(graph: PathGraph) -> DataFrame:
     that a walk over an uncertain node or edge reaches the sink, whether or not it
     repeats a node.  The shortest walk of a sink never repeats one.
     """
+    sinks = graph.request_nodes.where(F.col("role") == "sink").select("request_id", "node_id")
+    return (
+        reached_nodes(graph).join(sinks, ["request_id", "node_id"], "left_semi")
+        .groupBy("request_id", "node_id")
+        .agg(
+            F.bool_or(~F.col("uncertain")).alias("has_active"),
+            F.bool_or("uncertain").alias("has_unknown"),
+            F.min(F.struct(F.size("path").alias("length"), "path")).alias("shortest"),
+        )
+    )
+
+
+def reached_nodes(graph: PathGraph) -> DataFrame:
+    """``request_id, node_id, uncertain, path``: every open node with its shortest certain and uncertain walk."""
     keys = ["request_id", "node_id", "uncertain"]
     edges = Adjacency(open_edges(graph), ["request_id", "source_id"], "target_id")
     seed = (
@@ -96,17 +110,7 @@ def classify_reachability(graph: PathGraph) -> DataFrame:
             .withColumn("path", F.concat("path", F.array("node_id")))
         )
 
-    reached = union_stored(levels(seed, step, keys, "reach"))
-    sinks = graph.request_nodes.where(F.col("role") == "sink").select("request_id", "node_id")
-    return (
-        reached.join(sinks, ["request_id", "node_id"], "left_semi")
-        .groupBy("request_id", "node_id")
-        .agg(
-            F.bool_or(~F.col("uncertain")).alias("has_active"),
-            F.bool_or("uncertain").alias("has_unknown"),
-            F.min(F.struct(F.size("path").alias("length"), "path")).alias("shortest"),
-        )
-    )
+    return union_stored(levels(seed, step, keys, "reach"))
 
 
 def enumerate_paths(graph: PathGraph) -> DataFrame:

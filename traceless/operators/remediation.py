@@ -11,11 +11,14 @@ from pyspark.sql.window import Window
 
 from traceless.functions.choices import all_smallest, cheapest
 from traceless.functions.lattice import blocks, chosen, has, membership, shift_left, subset_key, subsets_in_block
+from traceless.operators.closing import closing_sets
 from traceless.operators.pathgraph import PathGraph, Variants, apply_actions, bit_counts, evaluate_requests
 from traceless.operators.ranking import group_rank
 from traceless.plans.workspace import Stored, union_stored
 
 MAX_EXACT = 12
+#: Permitted actions of a request up to which its closing set is exact if it names no limit.
+MAX_CLOSING = 24
 #: Permitted actions of a subject up to which a cover is solved exactly.
 MAX_COVER = 30
 
@@ -172,13 +175,14 @@ def _lattice(graph: PathGraph, actions: DataFrame, limit: int) -> tuple[DataFram
 
 
 def min_cost_actions(
-    graph: PathGraph, actions: DataFrame, transitions: DataFrame, channels: DataFrame, limit: int = MAX_EXACT
+    graph: PathGraph, actions: DataFrame, transitions: DataFrame, channels: DataFrame, limit: int = MAX_EXACT, max_exact: int = MAX_CLOSING
 ) -> DataFrame:
     """Cheapest permitted action set that closes each request.
 
-    All subsets of a request are evaluated together as 64-bit labels.  Requests
-    that no subset closes get the subset with the fewest violations; requests
-    beyond ``limit`` permitted actions go to :func:`greedy_actions`.
+    Up to ``limit`` permitted actions all subsets of a request are evaluated together as
+    64-bit labels, and requests that no subset closes get the subset with the fewest
+    violations.  Up to the request's ``max_exact_actions`` (``max_exact`` where it names
+    none) :func:`closing_sets` searches by clauses; beyond that, :func:`greedy_actions`.
     """
     arrays, spread, members = _lattice(graph, actions, limit)
     variants = Variants(graph, spread.select("request_id", "block"), members, transitions, channels)
@@ -222,16 +226,43 @@ def min_cost_actions(
         F.lit(None).cast("long").alias("upper_bound"),
     )
     exact = optimal.unionByName(worst)
-    over = actions.where("permitted").groupBy("request_id").count().where(F.col("count") > limit).select("request_id")
-    if over.isEmpty():
+    counts = actions.where("permitted").groupBy("request_id").count().where(F.col("count") > limit)
+    if counts.isEmpty():
         return exact
-    over = Stored(over, "large-requests").df
-    rest = greedy_actions(_restricted(graph, over), actions.join(over, "request_id", "left_semi"), transitions, channels)
+    own = F.col("max_exact_actions") if "max_exact_actions" in graph.requests.columns else F.lit(None)
+    searched = F.col("count") <= F.coalesce(own.cast("long"), F.lit(max_exact))
+    large = Stored(counts.join(graph.requests, "request_id").select("request_id", searched.alias("searched")), "large-requests").df
+    return exact.unionByName(_large_requests(graph, large, actions, transitions, channels))
+
+
+def _large_requests(graph: PathGraph, large: DataFrame, actions: DataFrame, transitions: DataFrame, channels: DataFrame) -> DataFrame:
+    """Plans of the requests beyond the lattice: exact where ``searched``, else greedy.
+
+    A request that no set closes has its greedy set with the status INFEASIBLE; one
+    whose search ran out of its budget has it as APPROXIMATE, with the search's bound.
+    """
+    wanted = large.where("searched").select("request_id")
+    some = actions.join(wanted, "request_id", "left_semi")
+    numbered = Stored(numbered_choices(some, "request_id", (1 << 31) - 1), "large-choices").df
+    sets = closing_sets(_restricted(graph, wanted), numbered, choice_arrays(numbered, "request_id"), transitions, channels)
+    sets = Stored(sets, "closing-sets").df
+    optimal = sets.where("state = 'OPTIMAL'")
+    zero = F.lit(0).cast("long")
+    solved = optimal.select(
+        "request_id", "action_ids", "total_cost", F.lit("COMPLETE").alias("verdict"), F.lit("OPTIMAL").alias("solver_status"),
+        zero.alias("violations"), F.col("total_cost").alias("lower_bound"), F.col("total_cost").alias("upper_bound"),
+    )
+    rest = Stored(large.select("request_id").join(optimal, "request_id", "left_anti"), "unsolved-requests").df
+    if rest.isEmpty():
+        return solved
+    greedy = greedy_actions(_restricted(graph, rest), actions.join(rest, "request_id", "left_semi"), transitions, channels)
+    joined = greedy.join(sets.select("request_id", "state", "bound"), "request_id", "left")
     done = F.col("verdict") == "COMPLETE"
-    return exact.unionByName(
-        rest.select(
-            "request_id", "action_ids", "total_cost", "verdict", "solver_status", "violations",
-            F.lit(0).cast("long").alias("lower_bound"), F.when(done, F.col("total_cost")).alias("upper_bound"),
+    return solved.unionByName(
+        joined.select(
+            "request_id", "action_ids", "total_cost", "verdict",
+            F.when(F.col("state") == "INFEASIBLE", "INFEASIBLE").otherwise(F.col("solver_status")).alias("solver_status"),
+            "violations", F.coalesce("bound", zero).alias("lower_bound"), F.when(done, F.col("total_cost")).alias("upper_bound"),
         )
     )
 
