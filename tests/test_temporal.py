@@ -4,6 +4,8 @@ import random
 from collections import deque
 from itertools import combinations
 
+from pyspark.sql import functions as F
+
 from traceless.operators import temporal as E
 
 
@@ -155,13 +157,104 @@ def test_more_controls_than_a_word_has_bits(spark):
     assert (row.status, row.control_ids, row.total_cost) == ("OPTIMAL", ["k068", "k069"], 63)
 
 
-def test_changing_case_beyond_the_limit_is_a_row(spark):
-    cases, t, i, r, c = _monotone(random.Random(5), 13, 2)
-    frames = list(_frames(spark, cases, t, i, r, c))
-    removes = "case when case_id = 'm00' then array('a') else cast(array() as array<string>) end as removes"
-    frames[0] = frames[0].selectExpr("*", removes)
-    rows = {r.case_id: r.status for r in E.min_cost_controls(*frames).collect()}
-    assert rows["m00"] == "LIMIT_EXCEEDED" and rows["m01"] in ("OPTIMAL", "INFEASIBLE")
+def _changing_case(rng, n_controls):
+    """A random case whose transitions remove and forbid facts, and its controls."""
+    facts = "abcdefgh"
+    steps = []
+    for s in range(9):
+        need, adds = (frozenset(rng.sample(facts[: 2 + s // 2], 1)), frozenset(rng.sample(facts[2:], 1)))
+        removes = frozenset(rng.sample(facts[:6], 1)) - adds if rng.random() < 0.4 else frozenset()
+        forbids = frozenset(rng.sample(facts[:6], 1)) - need if rng.random() < 0.3 else frozenset()
+        steps.append((f"t{s}", need, adds, removes, forbids))
+    options = [(f"k{j:02d}", rng.randint(1, 6), frozenset(rng.sample([s[0] for s in steps], rng.randint(1, 2)))) for j in range(n_controls)]
+    return frozenset("ab"), frozenset("h"), steps, options
+
+
+def _changing_frames(spark, cases, scenario=False):
+    """Frames of cases; with ``scenario`` a case is ``name/number`` and keeps the first one's controls."""
+    split = (lambda c: tuple(c.split("/"))) if scenario else (lambda c: (c,))
+    key = "case_id string, scenario_id string" if scenario else "case_id string"
+    t, i, r, c = [], [], [], {}
+    for case, (start, bad, steps, options) in cases.items():
+        t += [(*split(case), n, *(sorted(x) for x in rest)) for n, *rest in steps]
+        i += [(*split(case), f) for f in start]
+        r += [(*split(case), f) for f in bad]
+        c.setdefault(split(case)[0], [(split(case)[0], n, cost, True, sorted(g)) for n, cost, g in options])
+    return (
+        spark.createDataFrame(t, f"{key}, transition_id string, requires array<string>, adds array<string>, removes array<string>, forbids array<string>"),
+        spark.createDataFrame(i, f"{key}, fact string"),
+        spark.createDataFrame(r, f"{key}, fact string"),
+        spark.createDataFrame([(*split(case), True) for case in cases], f"{key}, complete boolean"),
+        spark.createDataFrame([x for rows in c.values() for x in rows], "case_id string, control_id string, cost long, permitted boolean, guarded array<string>"),
+    )
+
+
+def _least_safe(worlds, options):
+    """Key of the cheapest control set that is safe in all worlds, by trying all sets."""
+    safe, best = {}, None
+    for n in range(len(options) + 1):
+        for s in combinations(options, n):
+            key = (sum(x[1] for x in s), n, [x[0] for x in s])
+            guards = frozenset().union(*(g for _, _, g in s))
+            if best is not None and key >= best:
+                continue
+            if guards not in safe:
+                safe[guards] = all(_search(start, steps, bad, guards)[0] == "RSE_VERIFIED" for start, bad, steps, _ in worlds)
+            if safe[guards]:
+                best = key
+    return best
+
+
+def test_many_controls_of_changing_cases_match_enumeration(spark):
+    rng = random.Random(9)
+    cases = {f"c{k}": _changing_case(rng, 14) for k in range(4)}
+    plans = {r.case_id: r for r in E.min_cost_controls(*_changing_frames(spark, cases)).collect()}
+    taken = 0
+    for case, world in cases.items():
+        best, row = _least_safe([world], world[3]), plans[case]
+        assert (row.status == "INFEASIBLE") if best is None else (row.total_cost, len(row.control_ids), row.control_ids) == best
+        taken += len(row.control_ids)
+    assert taken > 1
+
+
+def test_many_controls_over_changing_scenarios(spark):
+    rng = random.Random(31)
+    options = _changing_case(rng, 14)[3]
+    worlds = {f"c/{k}": (*_changing_case(rng, 1)[:3], options) for k in range(3)}
+    row = E.robust_controls(*_changing_frames(spark, worlds, scenario=True)).first()
+    best = _least_safe(list(worlds.values()), options)
+    assert (row.status == "INFEASIBLE") if best is None else (row.total_cost, len(row.control_ids), row.control_ids) == best
+
+
+def test_large_and_hard_changing_cases_are_rows(spark, monkeypatch):
+    # 24 controls, one of a pair for each of twelve ways; "undo" removes what a way needs, too late
+    steps = [(f"t{k:02}", frozenset("a"), frozenset([f"w{k}"]), frozenset(), frozenset(["gone"])) for k in range(12)]
+    steps += [(f"u{k:02}", frozenset([f"w{k}"]), frozenset(["h"]), frozenset("a"), frozenset()) for k in range(12)]
+    options = [(f"k{k:02}", 2 + j, frozenset([f"{'tu'[j]}{k:02}"])) for k in range(12) for j in (0, 1)]
+    options = [(f"{name}{'ab'[j % 2]}", cost, g) for j, (name, cost, g) in enumerate(options)]
+    cases = {"large": (frozenset("a"), frozenset("h"), steps, options)}
+    t, i, r, covered, c = _changing_frames(spark, cases)
+    row = E.min_cost_controls(t, i, r, covered, c).first()
+    assert (row.status, row.control_ids, row.total_cost) == ("OPTIMAL", [f"k{k:02}a" for k in range(12)], 24)
+    # with guards on all ways but few states allowed the search sees no end
+    few = covered.withColumn("max_states", F.lit(0))
+    assert E.min_cost_controls(t, i, r.where("false"), few, c).first().status == "LIMIT_EXCEEDED"
+    reports = E.regeneration(t, i, r.where("false"), few)
+    assert reports.first().verdict == "UNVERIFIED" and reports.first().limit_exceeded
+    found, beyond = E.hitting_controls(t, i, r, c, covered, (), True, max_rounds=1)
+    assert found.count() == 0 and [x.case_id for x in beyond.collect()] == ["large"]
+
+
+def test_search_budget():
+    from traceless.functions.choices import BudgetExceeded, cheapest
+
+    masks = [(1 << k) | (1 << (k + 1) % 21) for k in range(21)]
+    assert len(cheapest(masks, [1] * 21, 200_000)) == 11
+    try:
+        cheapest(masks, [1] * 21, 5)
+    except BudgetExceeded:
+        return
+    raise AssertionError("a search beyond its budget must say so")
 
 
 def test_robust_controls_with_removals(spark):

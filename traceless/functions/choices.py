@@ -37,11 +37,18 @@ def parts(masks: list[int]) -> list[list[int]]:
     return [sorted(group, key=lambda m: (m.bit_count(), m)) for _, group in groups]
 
 
-def cheapest(masks: Iterable[int], costs: Sequence[int]) -> list[int]:
-    """Choices that meet every demand, least by (cost, size, numbers); empty masks are left out."""
+class BudgetExceeded(Exception):
+    """A search that took more nodes than it may."""
+
+
+def cheapest(masks: Iterable[int], costs: Sequence[int], budget: int | None = None) -> list[int]:
+    """Choices that meet every demand, least by (cost, size, numbers); empty masks are left out.
+
+    With a ``budget`` a search that needs more nodes raises :class:`BudgetExceeded`.
+    """
     found: list[int] = []
     for group in parts(reduced(m for m in masks if m)):
-        found += _search(group, costs)
+        found += _search(group, costs, budget)
     return sorted(found)
 
 
@@ -56,11 +63,15 @@ def _bound(open_masks: list[int], costs: Sequence[int]) -> tuple[int, int]:
     return cost, size
 
 
-def _search(masks: list[int], costs: Sequence[int]) -> list[int]:
+def _search(masks: list[int], costs: Sequence[int], budget: int | None = None) -> list[int]:
     best: tuple | None = None
+    visited = 0
 
     def visit(taken: tuple[int, ...], cost: int, barred: int, open_masks: list[int]) -> None:
-        nonlocal best
+        nonlocal best, visited
+        visited += 1
+        if budget is not None and visited > budget:
+            raise BudgetExceeded
         if not open_masks:
             key = (cost, len(taken), tuple(sorted(taken)))
             best = key if best is None or key < best else best

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from traceless.functions.choices import cheapest
+from traceless.functions.choices import BudgetExceeded, cheapest
 from traceless.functions.lattice import ALL, blocks, chosen, has, membership, subset_key, subsets_in_block, without
 from traceless.operators.remediation import MAX_EXACT, choice_arrays, numbered_choices
 from traceless.plans.workspace import Stored, union_stored
@@ -20,6 +20,10 @@ from traceless.plans.workspace import Stored, union_stored
 NO_TEXT = "array<string>"
 #: Monotone cases are searched whatever the number of their controls.
 ANY_NUMBER = (1 << 31) - 1
+#: Search nodes of a case in one round, and rounds of the whole search.
+MAX_NODES, MAX_ROUNDS = 200_000, 200
+#: Sets of a case that may exceed its state limit before its search ends.
+MAX_UNSEEN = 8
 
 
 def _empty() -> Column:
@@ -57,20 +61,18 @@ def _meets(a: str, b: str) -> Column:
     return F.size(F.array_intersect(a, b)) > 0
 
 
-def regeneration(
+def explored_states(
     transitions: DataFrame,
     initial: DataFrame,
     residual: DataFrame,
-    coverage_complete: DataFrame,
-    keys: Sequence[str] = ("case_id",),
+    cases: DataFrame,
+    keys: Sequence[str],
     guards: DataFrame | None = None,
     max_states: int = 4096,
 ) -> DataFrame:
-    """Breadth-first search over fact sets with the smallest shortest witness.
+    """``keys, state, residual, path, cap, hit``: the fact sets of every case, level by level.
 
-    ``initial`` and ``residual`` hold one fact per row; ``coverage_complete``
-    lists every case with its flag.  A case stops at its first level that holds
-    a residual fact, or once it has more than ``max_states`` states.
+    ``cap`` is the case's own ``max_states`` where the frame of cases has one.
     """
     keys = list(keys)
     steps = transitions
@@ -81,8 +83,9 @@ def regeneration(
         steps = steps.join(guards.select(*keys, "transition_id").distinct(), [*keys, "transition_id"], "left_anti")
     steps = Stored(steps.select(*keys, "transition_id", "requires", "adds", "removes", "forbids"), "steps").df
     residuals = residual.groupBy(*keys).agg(F.array_sort(F.collect_set("fact")).alias("residual"))
+    own = F.col("max_states") if "max_states" in cases.columns else F.lit(None)
     first = (
-        coverage_complete.select(*keys, "complete")
+        cases.select(*keys, F.coalesce(own.cast("long"), F.lit(max_states)).alias("cap"))
         .join(initial.groupBy(*keys).agg(F.array_sort(F.collect_set("fact")).alias("state")), keys, "left")
         .join(residuals, keys, "left")
         .select(
@@ -90,6 +93,7 @@ def regeneration(
             F.coalesce("state", _empty()).alias("state"),
             F.coalesce("residual", _empty()).alias("residual"),
             _empty().alias("path"),
+            "cap",
         )
         .withColumn("hit", _meets("state", "residual"))
     )
@@ -98,8 +102,8 @@ def regeneration(
         everything = union_stored(found)
         closed = (
             everything.groupBy(*keys)
-            .agg(F.bool_or("hit").alias("over"), F.count(F.lit(1)).alias("n"))
-            .where(F.col("over") | (F.col("n") > max_states))
+            .agg(F.bool_or("hit").alias("over"), F.count(F.lit(1)).alias("n"), F.first("cap").alias("cap"))
+            .where(F.col("over") | (F.col("n") > F.col("cap")))
         )
         open_states = found[-1].df.join(closed.select(*keys), keys, "left_anti")
         enabled = (F.size(F.array_except("requires", "state")) == 0) & ~_meets("forbids", "state")
@@ -107,29 +111,49 @@ def regeneration(
         grown = (
             open_states.join(steps, keys)
             .where(enabled)
-            .select(*keys, after.alias("state"), "residual", F.concat("path", F.array("transition_id")).alias("path"))
+            .select(*keys, after.alias("state"), "residual", "cap", F.concat("path", F.array("transition_id")).alias("path"))
             .groupBy(*keys, "state")
-            .agg(F.min("path").alias("path"), F.first("residual").alias("residual"))
+            .agg(F.min("path").alias("path"), F.first("residual").alias("residual"), F.first("cap").alias("cap"))
             .join(everything.select(*keys, "state"), [*keys, "state"], "left_anti")
             .withColumn("hit", _meets("state", "residual"))
-            .select(*keys, "state", "residual", "path", "hit")
+            .select(*keys, "state", "residual", "path", "cap", "hit")
         )
         level = Stored(grown, f"states-{len(found)}")
         if level.is_empty():
             break
         found.append(level)
-    states = union_stored(found)
+    return union_stored(found)
+
+
+def regeneration(
+    transitions: DataFrame,
+    initial: DataFrame,
+    residual: DataFrame,
+    coverage_complete: DataFrame,
+    keys: Sequence[str] = ("case_id",),
+    guards: DataFrame | None = None,
+    max_states: int = 4096,
+) -> DataFrame:
+    """Breadth-first search over fact sets with the smallest shortest witness.
+
+    ``initial`` and ``residual`` hold one fact per row; ``coverage_complete``
+    lists every case with its flag.  A case stops at its first level that holds
+    a residual fact, or once it has more than ``max_states`` states; a column
+    ``max_states`` of ``coverage_complete`` sets a case's own limit.
+    """
+    keys = list(keys)
+    states = explored_states(transitions, initial, residual, coverage_complete, keys, guards, max_states)
     place = F.struct(F.size("path").alias("length"), F.col("path").alias("path"))
     witness = states.where("hit").groupBy(*keys).agg(F.min(F.struct(place.alias("place"), "state")).alias("w"))
     counts = (
         states.join(witness, keys, "left")
         .groupBy(*keys)
-        .agg(F.count_if(F.col("w").isNull() | (place <= F.col("w.place"))).alias("states"))
+        .agg(F.count_if(F.col("w").isNull() | (place <= F.col("w.place"))).alias("states"), F.first("cap").alias("cap"))
     )
     joined = coverage_complete.select(*keys, "complete").join(witness, keys, "left").join(counts, keys, "left")
     snapshot = F.col("w").isNotNull() & (F.col("w.place.length") == 0)
     risky = F.col("w").isNotNull() & ~snapshot
-    exceeded = F.when(risky, F.col("states") - 1).otherwise(F.col("states")) > max_states
+    exceeded = F.when(risky, F.col("states") - 1).otherwise(F.col("states")) > F.col("cap")
     verdict = (
         F.when(snapshot, "SNAPSHOT_INCOMPLETE")
         .when(exceeded, "UNVERIFIED")
@@ -301,14 +325,12 @@ def _best_controls(
 ) -> tuple[DataFrame, DataFrame]:
     """Cheapest safe control set per case, and the cases that no search covers.
 
-    Monotone cases up to ``limit`` permitted controls use the label lattice, larger
-    ones hitting sets of the ways to a residual fact.  A case that removes or
-    forbids facts is searched once per subset; beyond ``limit`` it is refused.
+    Monotone cases up to ``limit`` permitted controls use the label lattice; larger
+    ones, and cases that remove or forbid facts, hitting sets of the ways to a residual fact.
     """
     changing = Stored(_changing(transitions), "changing-cases").df
     counts = controls.where("permitted").groupBy("case_id").count()
     large = Stored(counts.where(F.col("count") > limit).select("case_id"), "large-cases").df
-    refused = changing.join(large, "case_id", "left_semi")
 
     def only(keep: list[DataFrame], drop: list[DataFrame]) -> list[DataFrame]:
         frames = [transitions, initial, residual, controls, cases]
@@ -319,14 +341,16 @@ def _best_controls(
         return frames
 
     if changing.isEmpty() and large.isEmpty():
-        return ControlLattice(transitions, initial, residual, controls, scenario, limit).best(), refused
+        return ControlLattice(transitions, initial, residual, controls, scenario, limit).best(), large
     t, i, r, c, _ = only([], [changing, large])
-    best = ControlLattice(t, i, r, c, scenario, limit).best()
-    if not large.isEmpty():
-        best = best.unionByName(hitting_controls(*only([large], [changing]), scenario))
-    if not changing.isEmpty():
-        best = best.unionByName(_searched_controls(*only([changing], [large]), scenario, limit))
-    return best, refused
+    best, refused = ControlLattice(t, i, r, c, scenario, limit).best(), []
+    for parts, moves in ((only([large], [changing]), False), (only([changing], []), True)):
+        if not (changing if moves else large).isEmpty():
+            found, beyond = hitting_controls(*parts, scenario, moves)
+            best, refused = best.unionByName(found), [*refused, beyond]
+    for other in refused[1:]:
+        refused[0] = refused[0].unionByName(other)
+    return best, refused[0]
 
 
 def _no_numbers() -> Column:
@@ -363,15 +387,61 @@ def _supports(steps: DataFrame, initial: DataFrame, keys: list[str]) -> DataFram
     return union_stored(found)
 
 
-def hitting_controls(
-    transitions: DataFrame, initial: DataFrame, residual: DataFrame, controls: DataFrame, cases: DataFrame, scenario: Sequence[str] = ()
+def _open_ways(steps: DataFrame, initial: DataFrame, residual: DataFrame, taken: DataFrame, keys: list[str]) -> DataFrame:
+    """Demands of monotone cases: the controls on one open way to each residual fact."""
+    open_steps = steps.join(taken, "case_id").where(~F.arrays_overlap("guard", "taken"))
+    facts = _supports(open_steps, initial.join(taken.select("case_id"), "case_id", "left_semi"), keys)
+    ways = facts.join(residual, [*keys, "fact"], "left_semi")
+    return ways.select("case_id", F.col("support").alias("demand"), F.lit(False).alias("unseen"))
+
+
+def _open_searches(
+    steps: DataFrame, initial: DataFrame, residual: DataFrame, taken: DataFrame, keys: list[str], cases: DataFrame, numbers: DataFrame, max_states: int
 ) -> DataFrame:
-    """Cheapest guard sets of monotone cases with many controls, exactly.
+    """Demands of cases that remove or forbid facts: the controls on each shortest way to a residual fact.
+
+    Guards only take transitions away, so what is reached under a set is reached under
+    each part of it.  Where the states exceed the limit, every safe set must therefore
+    have a control that the searched set lacks.
+    """
+    mine = lambda df: df.join(taken.select("case_id"), "case_id", "left_semi")
+    guards = steps.join(taken, "case_id").where(F.arrays_overlap("guard", "taken")).select(*keys, "transition_id")
+    limit = ["max_states"] if "max_states" in cases.columns else []
+    some = mine(cases.select(*keys, *limit).distinct())
+    states = Stored(explored_states(mine(steps), mine(initial), mine(residual), some, keys, guards, max_states), "guarded-states").df
+    hits = states.where("hit").select(*keys, "path")
+    marked = hits.select(*keys, "path", F.explode_outer("path").alias("transition_id")).join(
+        steps.select(*keys, "transition_id", "guard"), [*keys, "transition_id"], "left"
+    )
+    demand = F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.coalesce("guard", _no_numbers()))))).alias("demand")
+    ways = marked.groupBy(*keys, "path").agg(demand).select("case_id", "demand", F.lit(False).alias("unseen"))
+    sizes = states.groupBy(*keys).agg(F.bool_or("hit").alias("hit"), F.count(F.lit(1)).alias("n"), F.first("cap").alias("cap"))
+    over = sizes.where(~F.col("hit") & (F.col("n") > F.col("cap"))).select("case_id").distinct()
+    rest = over.join(taken, "case_id").join(numbers, "case_id").select(
+        "case_id", F.array_except("numbers", "taken").alias("demand"), F.lit(True).alias("unseen")
+    )
+    return ways.unionByName(rest)
+
+
+def hitting_controls(
+    transitions: DataFrame,
+    initial: DataFrame,
+    residual: DataFrame,
+    controls: DataFrame,
+    cases: DataFrame,
+    scenario: Sequence[str] = (),
+    changing: bool = False,
+    max_states: int = 4096,
+    max_rounds: int = MAX_ROUNDS,
+) -> tuple[DataFrame, DataFrame]:
+    """Cheapest guard sets, exactly, for any number of controls, and the cases beyond a budget.
 
     A way to a residual fact is a demand: one of the controls on it must be taken.
     Each round takes the cheapest set that meets a case's demands so far and looks
     for a way that is still open.  Sets only grow dearer, so the first one that
-    leaves no way is the cheapest safe set.
+    leaves no way is the cheapest safe set.  ``changing`` cases, in which transitions
+    remove or forbid facts, are searched by their fact sets.  A case whose demands
+    need more than ``MAX_NODES`` search nodes, or more rounds, ends in the second frame.
     """
     keys = ["case_id", *scenario]
     named = controls.withColumnRenamed("control_id", "action_id")
@@ -389,26 +459,40 @@ def hitting_controls(
         ),
         "control-arrays",
     ).df
+    places = F.transform("costs", lambda _, i: i)
+    numbers = arrays.select("case_id", F.coalesce(places, _no_numbers()).cast("array<int>").alias("numbers"))
     taken = Stored(arrays.select("case_id", _no_numbers().alias("taken")), "taken").df
+    kind = cases.schema["case_id"].dataType.simpleString()
     demands: list[Stored] = []
     done: list[Stored] = []
+    over: list[Stored] = []
     while True:
-        open_steps = steps.join(taken, "case_id").where(~F.arrays_overlap("guard", "taken"))
-        facts = _supports(open_steps, initial.join(taken.select("case_id"), "case_id", "left_semi"), keys)
-        ways = facts.join(residual, [*keys, "fact"], "left_semi").select("case_id", F.col("support").alias("demand")).distinct()
-        demands.append(Stored(ways, f"demands-{len(demands)}"))
+        if changing:
+            found = _open_searches(steps, initial, residual, taken, keys, cases, numbers, max_states)
+        else:
+            found = _open_ways(steps, initial, residual, taken, keys)
+        demands.append(Stored(found.distinct(), f"demands-{len(demands)}"))
         done.append(Stored(taken.join(demands[-1].df.select("case_id"), "case_id", "left_anti"), f"safe-cases-{len(done)}"))
         if demands[-1].is_empty():
             break
-        # a way without a control on it can't be closed
-        hopeless = demands[-1].df.where("size(demand) = 0").select("case_id")
-        still = taken.join(demands[-1].df.select("case_id"), "case_id", "left_semi").join(hopeless, "case_id", "left_anti")
+        still = taken.join(demands[-1].df.select("case_id"), "case_id", "left_semi")
+        if len(demands) >= max_rounds:
+            over.append(Stored(still.select("case_id"), "late-cases"))
+            break
+        # a way without a control on it can't be closed; a case that can't be searched is not known to be open
+        hopeless = demands[-1].df.where("size(demand) = 0").groupBy("case_id").agg(F.bool_and("unseen").alias("unseen"))
+        tries = union_stored(demands).where("unseen").groupBy("case_id").count().where(F.col("count") >= MAX_UNSEEN)
+        unsearched = tries.select("case_id").unionByName(hopeless.where("unseen").select("case_id")).join(still, "case_id", "left_semi")
+        over.append(Stored(unsearched.distinct(), "unsearched-cases"))
+        ended = hopeless.select("case_id").unionByName(over[-1].df)
+        still = still.join(ended, "case_id", "left_anti")
         listed = union_stored(demands).join(still.select("case_id"), "case_id", "left_semi").groupBy("case_id").agg(
             F.collect_set("demand").alias("demands")
         )
         rows = listed.join(arrays, "case_id").select("case_id", "demands", "costs")
-        kind = cases.schema["case_id"].dataType.simpleString()
-        taken = Stored(rows.mapInArrow(_solve_demands, f"case_id {kind}, taken array<int>"), f"taken-{len(demands)}").df
+        solved = Stored(rows.mapInArrow(_solve_demands, f"case_id {kind}, taken array<int>"), f"taken-{len(demands)}").df
+        over.append(Stored(solved.where("taken is null").select("case_id"), "hard-cases"))
+        taken = solved.where("taken is not null")
 
     def picked(column: str) -> Column:
         return F.filter(column, lambda _, i: F.array_contains("taken", i))
@@ -417,50 +501,25 @@ def hitting_controls(
         "case_id", picked("ids").alias("control_ids"), picked("costs").alias("picked")
     )
     total = F.aggregate("picked", F.lit(0).cast("long"), lambda a, x: a + x)
-    return plans.select("case_id", "control_ids", total.alias("total_cost"))
+    beyond = union_stored(over).distinct() if over else cases.select("case_id").limit(0)
+    return plans.select("case_id", "control_ids", total.alias("total_cost")), beyond
 
 
 def _solve_demands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The cheapest choices of every row; null where the search needs more than its budget."""
+
+    def solve(demands: list[list[int]], costs: list[int]) -> list[int] | None:
+        try:
+            return cheapest([sum(1 << i for i in demand) for demand in demands], costs, MAX_NODES)
+        except BudgetExceeded:
+            return None
+
     for batch in batches:
         rows = zip(batch.column("demands").to_pylist(), batch.column("costs").to_pylist())
-        taken = [cheapest([sum(1 << i for i in demand) for demand in demands], costs) for demands, costs in rows]
+        taken = [solve(demands, costs) for demands, costs in rows]
         yield pa.RecordBatch.from_arrays([batch.column("case_id"), pa.array(taken, pa.list_(pa.int32()))], ["case_id", "taken"])
 
 
-def _searched_controls(
-    transitions: DataFrame, initial: DataFrame, residual: DataFrame, controls: DataFrame, cases: DataFrame, scenario: Sequence[str], limit: int
-) -> DataFrame:
-    keys = ["case_id", *scenario]
-    named = controls.withColumnRenamed("control_id", "action_id")
-    numbered = Stored(numbered_choices(named, "case_id", limit), "controls").df
-    arrays = cases.select("case_id").distinct().join(choice_arrays(numbered, "case_id"), "case_id", "left").select(
-        "case_id",
-        F.coalesce("choices", F.lit(0)).alias("choices"),
-        F.coalesce("ids", _empty()).alias("ids"),
-        F.coalesce("costs", F.array().cast("array<bigint>")).alias("costs"),
-    )
-    every = F.sequence(F.lit(0).cast("long"), F.expr("shiftleft(1L, choices) - 1"))
-    subsets = Stored(arrays.withColumn("mask", F.explode(every)), "control-subsets").df
-    per_mask = subsets.select("case_id", "mask")
-    spread = lambda df: df.join(per_mask, "case_id")
-    guards = (
-        subsets.select("case_id", "mask", F.explode(chosen(F.col("ids"), F.col("mask"))).alias("action_id"))
-        .join(named.select("case_id", "action_id", F.explode("guarded").alias("transition_id")), ["case_id", "action_id"])
-        .select("case_id", "mask", "transition_id")
-    )
-    if scenario:
-        guards = guards.join(cases.select(*keys).distinct(), "case_id")
-    reports = regeneration(
-        spread(transitions), spread(initial), spread(residual),
-        spread(cases.select(*keys).distinct().withColumn("complete", F.lit(True))), [*keys, "mask"], guards,
-    )
-    # a set must be safe in every scenario of its case
-    held = reports.groupBy("case_id", "mask").agg(F.bool_and(F.col("verdict") == "RSE_VERIFIED").alias("safe"))
-    key = F.struct(*subset_key(F.col("costs"), F.col("mask"), limit))
-    best = subsets.join(held.where("safe"), ["case_id", "mask"]).groupBy("case_id").agg(F.min(key).alias("b"), F.first("ids").alias("ids"))
-    return best.select("case_id", chosen(F.col("ids"), F.col("b.mask")).alias("control_ids"), "b.total_cost")
-
-
 def robust_controls(
     transitions: DataFrame, initial: DataFrame, residual: DataFrame, coverage_complete: DataFrame, controls: DataFrame, limit: int = MAX_EXACT
 ) -> DataFrame:
