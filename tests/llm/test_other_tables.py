@@ -42,6 +42,32 @@ def test_nearest_neighbours(spark):
     assert all(dict(want[q]).get(v, s) == pytest.approx(s, abs=1e-12) for q in got for v, s in got[q])
 
 
+@pytest.mark.parametrize("parts,n", [(1, 4000), (2, 4000), (3, 800)])
+def test_recall_of_unstructured_vectors(parts, n):
+    """The buckets that a query probes hold its nearest, whatever the number of hash parts."""
+    unit = ann._unit(np.random.default_rng(parts).normal(size=(n, 64)))
+    hasher, q = ann.Hasher(64, ann.TABLES, parts, ann.SEED), unit[: 40 if parts < 3 else 6]
+    truth = np.argsort(-(q @ unit.T), axis=1)[:, 1:6]
+    met = np.zeros((len(q), n), bool)
+    for table in range(ann.TABLES):
+        own = hasher.buckets(unit, table)[:, 0]
+        probes = hasher.buckets(q, table, int(np.ceil(128**parts * ann.PROBED[parts - 1])))
+        for i in range(len(q)):
+            met[i] |= np.isin(own, probes[i])
+    assert np.take_along_axis(met, truth, 1).mean() >= 0.9
+
+
+def test_few_vectors_and_great_ones(spark):
+    for n in (2, 4, 9):
+        rows = [(50 * k, [float(x) * 1e200 for x in v]) for k, (_, v) in enumerate(vectors()[:n])]
+        frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+        got = defaultdict(list)
+        for r in sorted(ann.nearest(frame, F.col("vec_id") % 50 == 0).collect()):
+            got[r.query_id].append((r.vec_id, pytest.approx(r.score, abs=1e-12)))
+        want = brute.cosine_neighbours([(k, [x / 1e200 for x in v]) for k, v in rows], [k for k, _ in rows])
+        assert dict(got) == want
+
+
 def test_split_buckets_and_parts(spark, monkeypatch):
     monkeypatch.setattr(ann, "MEMBER_ROWS", 7)
     rows = vectors(300)
@@ -52,7 +78,11 @@ def test_split_buckets_and_parts(spark, monkeypatch):
     for r in full.collect():
         got[r.query_id].add(r.vec_id)
     assert all({v for v, _ in want[q]} == got[q] for q in want)
-    assert ann.nearest(frame, F.col("vec_id") % 50 == 0, parts=2).count() > 0
+    monkeypatch.setattr(ann, "QUERY_ROWS", 2)
+    many = ann.nearest(frame, F.col("vec_id") % 10 == 0, parts=2).collect()
+    want = brute.cosine_neighbours(rows, range(0, 300, 10))
+    assert len(many) == 5 * 30
+    assert sum(r.vec_id in {v for v, _ in want[r.query_id]} for r in many) >= 0.9 * len(many)
     assert ann.nearest(frame.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 

@@ -5,16 +5,20 @@ and hashed to its nearest signed axis, ``parts`` times per table; several tables
 hold every vector.  A query probes the buckets of its own axes and of the next
 nearest ones, and all vectors found there are ranked by their exact cosine in
 double precision.  Work meets per bucket: queries and members of a bucket form
-one matrix product, and only the best of each query leave the task.
+one matrix product, and only the best of each query leave the task.  A query that met fewer
+than ``k`` others is compared with all entries, block by block.
 
 Equal vectors are one entry with the smallest ids that can matter, so a vector
 that a third of the rows share costs one entry.  Buckets with more than
-``MEMBER_ROWS`` entries are split, with the queries sent to all parts.
+``MEMBER_ROWS`` entries are split, with the queries sent to all parts, and so are
+buckets with more than ``QUERY_ROWS`` queries.
 
 Defined cases: rows with a null id, and vectors that are null, empty, zero or
 hold a null or non-finite component, take no part; vectors of different length
 are never compared; rows that repeat an id and its vector count once, and no row
-with the query's own id is its neighbour; an empty table gives no rows.
+with the query's own id is its neighbour; equal cosines go by the smaller id; a query
+with fewer than ``k`` candidates has all of them; components of any finite size are
+compared without overflow; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -32,9 +36,12 @@ from traceless.operators.ranking import group_rank
 from traceless.plans.workspace import Stored
 
 TABLES = 12
-#: Share of a table's buckets that a query probes.
-PROBED = 1 / 16
+#: Share of a table's buckets that a query probes, by the number of hash parts: finer buckets
+#: are probed in a better order, so a smaller share finds as many of the nearest.
+PROBED = (1 / 16, 1 / 40, 1 / 80)
 MEMBER_ROWS = 8192
+#: Queries of a bucket that meet its members in one task.
+QUERY_ROWS = 2048
 #: Entries per bucket beyond which a further hash part is used.
 BUCKET_ROWS = 16_384
 SEED = 5
@@ -75,7 +82,7 @@ class Hasher:
         return np.concatenate([turned, -turned], axis=1)
 
     def buckets(self, vectors: np.ndarray, table: int, probes: int = 1) -> np.ndarray:
-        """The ``probes`` best buckets per vector, the own one first."""
+        """The ``probes`` best buckets per vector; of one, the own one."""
         best = np.zeros((len(vectors), 1))
         number = np.zeros((len(vectors), 1), np.int64)
         for part in range(self.parts):
@@ -85,7 +92,12 @@ class Hasher:
             gain = np.take_along_axis(near, top, 1)
             best = (best[:, :, None] + gain[:, None, :]).reshape(len(vectors), -1)
             number = (number[:, :, None] * near.shape[1] + top[:, None, :]).reshape(len(vectors), -1)
-            keep = np.argsort(-best, axis=1, kind="stable")[:, :probes]
+            if probes == 1:
+                keep = best.argmax(axis=1)[:, None]
+            elif best.shape[1] > probes:
+                keep = np.argpartition(-best, probes - 1, axis=1)[:, :probes]
+            else:
+                keep = np.argsort(-best, axis=1, kind="stable")
             best, number = np.take_along_axis(best, keep, 1), np.take_along_axis(number, keep, 1)
         return number
 
@@ -127,6 +139,11 @@ def _vectors(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
     return found
 
 
+def _tamed(matrix: np.ndarray) -> np.ndarray:
+    """Vectors times a power of two each, which changes no cosine and lets no square overflow."""
+    return np.ldexp(matrix, -np.frexp(np.abs(matrix).max(axis=1, keepdims=True))[1])
+
+
 def _unit(matrix: np.ndarray) -> np.ndarray:
     scaled = matrix / np.abs(matrix).max(axis=1, keepdims=True)
     return scaled / np.sqrt((scaled * scaled).sum(axis=1, keepdims=True))
@@ -140,8 +157,7 @@ def _posted(entries: DataFrame, columns: str, tables: int, parts: int, probed: f
         for batch in batches:
             for at, matrix in _vectors(batch.column("embedding")):
                 hasher = Hasher(matrix.shape[1], tables, parts, seed)
-                # finer buckets are probed in a better order: eight times as many per further part
-                probes = max(1, math.ceil(2 * hasher.size * probed * 8 ** (parts - 1))) if probed else 1
+                probes = max(1, math.ceil((2 * hasher.size) ** parts * probed)) if probed else 1
                 unit = _unit(matrix)
                 for table in range(tables):
                     buckets = hasher.buckets(unit, table, probes)
@@ -161,8 +177,8 @@ def _best(k: int):
         schema = pa.schema([("qkey", pa.string()), ("vkey", pa.string()), ("ids", pa.list_(pa.int64())), ("score", pa.float64())])
         if not left.num_rows or not right.num_rows:
             return schema.empty_table()
-        q = _vectors(left.column("embedding").combine_chunks())[0][1]
-        x = _vectors(right.column("embedding").combine_chunks())[0][1]
+        q = _tamed(_vectors(left.column("embedding").combine_chunks())[0][1])
+        x = _tamed(_vectors(right.column("embedding").combine_chunks())[0][1])
         ids = right.column("ids").combine_chunks()
         first = np.array([i[0].as_py() for i in ids], np.int64)
         unit = _unit(x).T
@@ -184,8 +200,39 @@ def _best(k: int):
     return run
 
 
+def _met(members: DataFrame, probes: DataFrame, k: int, label: str) -> Stored:
+    """``qkey, vkey, ids, score`` of each query's ``k`` nearest among the members of its buckets.
+
+    Buckets with many members or queries are split both ways, so no task holds one whole.
+    """
+    place = ["dim", "place", "bucket"]
+
+    def sized(frame: DataFrame, rows: int, name: str) -> DataFrame:
+        return frame.groupBy(*place).agg(F.ceil(F.count(F.lit(1)) / F.lit(rows)).cast("int").alias(name))
+
+    sizes = sized(members, MEMBER_ROWS, "n_parts").join(sized(probes, QUERY_ROWS, "n_sets"), place)
+    sizes = Stored(sizes, "bucket-sizes")
+
+    def dealt(frame: DataFrame, own: str, other: str, names: tuple[str, str]) -> DataFrame:
+        mine = F.pmod(F.xxhash64("vkey"), F.col(own)).cast("int").alias(names[0])
+        met = F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(names[1])
+        return frame.join(maybe_broadcast(sizes), place).select("*", mine).select("*", met)
+
+    group = [*place, "part", "set"]
+    left = dealt(probes, "n_sets", "n_parts", ("set", "part"))
+    right = dealt(members, "n_parts", "n_sets", ("part", "set"))
+    found = left.groupBy(*group).cogroup(right.groupBy(*group)).applyInArrow(
+        _best(k), "qkey string, vkey string, ids array<bigint>, score double"
+    )
+    once = found.groupBy("qkey", "vkey").agg(F.max("score").alias("score"), F.first("ids").alias("ids"))
+    order = [F.col("score").desc(), F.col("ids")[0]]
+    # a query has at most k rows per table, probe and bucket part
+    best = once.withColumn("nth", F.row_number().over(Window.partitionBy("qkey").orderBy(*order)))
+    return Stored(best.where(F.col("nth") <= k).drop("nth"), label)
+
+
 def nearest(
-    rows: DataFrame, queries, k: int = 5, tables: int = TABLES, probed: float = PROBED, parts: int | None = None, seed: int = SEED
+    rows: DataFrame, queries, k: int = 5, tables: int = TABLES, probed: float | None = None, parts: int | None = None, seed: int = SEED
 ) -> DataFrame:
     """``query_id, rank, vec_id, score`` of the ``k`` nearest rows found for each query row.
 
@@ -196,27 +243,30 @@ def nearest(
     total = entries.df.count()
     if parts is None:
         width = 2 * (entries.df.agg(F.max(F.size("embedding"))).first()[0] or 1)
-        parts = 1 + max(0, math.ceil(math.log(max(1, total) / BUCKET_ROWS, width) - 1))
+        parts = min(len(PROBED), 1 + max(0, math.ceil(math.log(max(1, total) / BUCKET_ROWS, width) - 1)))
+    share = PROBED[min(parts, len(PROBED)) - 1] if probed is None else probed
     query_ids = Stored(ids.df.where(queries).withColumnRenamed("vec_id", "query_id"), "query-ids")
     wanted = entries.df.join(query_ids.df.select("vkey").distinct(), "vkey", "left_semi")
-    place = ["dim", "place", "bucket"]
     kind = entries.df.schema["embedding"].dataType.simpleString()
-    members = Stored(_posted(entries.df, f"vkey string, ids array<bigint>, embedding {kind}", tables, parts, 0, seed), "members")
-    sizes = members.df.groupBy(*place).agg(F.ceil(F.count(F.lit(1)) / F.lit(MEMBER_ROWS)).cast("int").alias("n_parts"))
-    sizes = Stored(sizes, "bucket-sizes")
-    placed = members.df.join(maybe_broadcast(sizes), place).withColumn("part", F.pmod(F.xxhash64("vkey"), F.col("n_parts")).cast("int"))
-    probes = _posted(wanted, f"vkey string, embedding {kind}", tables, parts, probed, seed)
-    probes = probes.join(maybe_broadcast(sizes), place)
-    sent = probes.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("n_parts") - 1)))
-    group = [*place, "part"]
-    met = sent.groupBy(*group).cogroup(placed.groupBy(*group)).applyInArrow(
-        _best(k + 1), "qkey string, vkey string, ids array<bigint>, score double"
-    )
-    once = met.groupBy("qkey", "vkey").agg(F.max("score").alias("score"), F.first("ids").alias("ids"))
-    order = [F.col("score").desc(), F.col("ids")[0]]
-    # a query has at most k + 1 rows per table, probe and bucket part
-    best = once.withColumn("nth", F.row_number().over(Window.partitionBy("qkey").orderBy(*order)))
-    expanded = best.where(F.col("nth") <= k + 1).select(F.col("qkey").alias("vkey"), F.explode("ids").alias("vec_id"), "score")
+    columns = f"vkey string, ids array<bigint>, embedding {kind}"
+    members = _posted(entries.df, columns, tables, parts, 0, seed)
+    probes = _posted(wanted, f"vkey string, embedding {kind}", tables, parts, share, seed)
+    best = _met(members, probes, k + 1, "met")
+    # a query that met too few others is compared with all entries, block by block
+    others = F.filter(F.flatten(F.collect_list("ids")), lambda i: i != F.col("query_id"))
+    counted = query_ids.df.join(best.df.select("qkey", "ids"), F.col("vkey") == F.col("qkey"), "left").groupBy("vkey", "query_id").agg(others.alias("others"))
+    short = Stored(counted.where(F.size(F.coalesce("others", F.array())) < k).select("vkey").distinct(), "short-queries")
+    if not short.is_empty():
+        blocks = max(1, math.ceil(total / MEMBER_ROWS))
+        own = F.pmod(F.xxhash64("vkey"), F.lit(blocks)).cast("bigint")
+        head = [F.size("embedding").alias("dim"), F.lit(-1).alias("place")]
+        every = entries.df.select(*head, own.alias("bucket"), "vkey", "ids", "embedding")
+        again = wanted.join(maybe_broadcast(short), "vkey", "left_semi")
+        to_all = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))).alias("bucket")
+        exact = _met(every, again.select(*head, to_all, "vkey", "embedding"), k + 1, "met-exactly")
+        kept = best.df.join(maybe_broadcast(short).withColumnRenamed("vkey", "qkey"), "qkey", "left_anti")
+        best = Stored(kept.unionByName(exact.df), "met-all")
+    expanded = best.df.select(F.col("qkey").alias("vkey"), F.explode("ids").alias("vec_id"), "score")
     first = Window.partitionBy("vkey").orderBy(F.col("score").desc(), "vec_id")
     listed = expanded.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= k + 1)
     found = listed.groupBy("vkey").agg(F.sort_array(F.collect_list(F.struct("nth", "vec_id", "score"))).alias("found"))
