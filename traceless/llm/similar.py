@@ -7,17 +7,25 @@ bytes of each (28 lists a fingerprint) and under ``BANDS`` hashes of least shing
 and takes pairs that meet in a list and differ in ``MAX_BITS`` of 128 bits at most
 as candidates.  The shingle sets of candidates are compared, so only true pairs link.
 
-A list first yields a spanning tree of its closest pairs.  Where a pair of a tree
-is refused, the parts it should have joined are searched again: every member names
-its nearest partners in other parts, eight times as many per round, until no pair
-within reach is left untried between two parts.  Fingerprints are taken over the
-different shingles, as the comparison is.  Texts with the same shingles are one entry;
-others are entries of their own even with equal fingerprints.  A list longer than ``LIST_ROWS`` is worked off in pairs of slices,
+A list yields a spanning tree of its closest pairs and, for a longer list, each member's
+pair with the one nearest to the list's centre, since edited copies are closer to their
+original than to each other.  Of all these a row's nearest one and the one of its longest
+list are compared, two pairs a row at most.  Where parts that lists hold together are still
+apart, their members are searched again: each names its nearest partners in other parts, eight
+times as many per round, until no pair within reach is left untried between two parts.
+There the count filter comes in: of ``MARKS`` positional bytes, each of the least shingle
+in an order of its own, two texts with a similarity of s share s of all in the mean, and
+pairs that share fewer than four deviations under the mean of 0.8 are not named.
+
+Fingerprints are taken over the different shingles, as the comparison is.  Texts with the
+same shingles are one entry; others are entries of their own even with equal
+fingerprints.  A list longer than ``LIST_ROWS`` is worked off in pairs of slices,
 whatever its length.
 
 Defined cases: a null or blank text has no shingles and is similar to every other
 such text; repeated rows are copies; an empty table gives no rows; of a group, the
-row with the smallest ``doc_id`` stays, rows without one only if all lack it.
+row with the smallest ``doc_id`` stays, rows without one only if all lack it; a text
+of any length is hashed whole, alone in its batch.
 """
 
 from __future__ import annotations
@@ -44,24 +52,34 @@ _SPREAD = np.uint64(0xD6E8FEB86659FD93)
 #: Lists by the least of ``BAND_ROWS`` orders of the shingles each; at 0.8 one list is shared with 41 %.
 BANDS, BAND_ROWS = 12, 4
 _ORDERS = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * BAND_ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
+#: Positional bytes of a text, and how many of them a pair named by the search shares at least.
+MARKS = 96
+SHARED_MARKS = int(0.8 * MARKS - 4 * (0.16 * MARKS) ** 0.5)
+_MORE_ORDERS = np.random.default_rng(SEED + 1).integers(0, 1 << 63, MARKS - BANDS * BAND_ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
+#: Members of a list from which on its centre is used.
+CENTRE_ROWS = 8
 #: Partners that a member names in the first search after the trees, and their growth per round.
 PARTNERS = 8
 
 
-def least_bands(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """``BANDS`` hashes per text of the least of its hashes in several orders."""
+def least_bands(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``BANDS`` hashes per text of the least of its hashes in several orders, and ``MARKS`` bytes of these."""
+    marks = np.zeros((len(counts), MARKS), np.uint8)
     result = np.zeros((len(counts), BANDS), np.uint64)
     some = np.flatnonzero(counts)
     if len(some):
         firsts = np.cumsum(counts[some]) - counts[some]
-        for n, order in enumerate(_ORDERS):
-            band = result[some, n // BAND_ROWS] * _SPREAD
-            result[some, n // BAND_ROWS] = (band ^ (band >> np.uint64(32))) + np.minimum.reduceat(hashes * order, firsts)
-    return result
+        for n, order in enumerate([*_ORDERS, *_MORE_ORDERS]):
+            least = np.minimum.reduceat(hashes * order, firsts)
+            marks[some, n] = ((least ^ (least >> np.uint64(31))) * _SPREAD) >> np.uint64(56)
+            if n < len(_ORDERS):
+                band = result[some, n // BAND_ROWS] * _SPREAD
+                result[some, n // BAND_ROWS] = (band ^ (band >> np.uint64(32))) + least
+    return result, marks
 
 
 def two_fingerprints(rows: DataFrame, width: int) -> DataFrame:
-    """``row, fp0, fp1, whole, bands`` of every whole text's different shingles.
+    """``row, fp0, fp1, whole, bands, marks`` of every whole text's different shingles.
 
     ``fp1`` has bits of the remixed hashes; ``whole`` is a hash of the shingle set.
     """
@@ -79,11 +97,13 @@ def two_fingerprints(rows: DataFrame, width: int) -> DataFrame:
             if len(some):
                 sums[some] = np.add.reduceat(again * _ORDERS[0] ^ (again >> np.uint64(32)), np.cumsum(counts[some]) - counts[some])
             bits.append(pa.array(sums.view(np.int64)))
-            flat_bands = pa.array(least_bands(flat, counts).view(np.int64).ravel())
+            found, marks = least_bands(flat, counts)
+            flat_bands = pa.array(found.view(np.int64).ravel())
             bands = pa.ListArray.from_arrays(pa.array(np.arange(len(counts) + 1, dtype=np.int32) * BANDS), flat_bands)
-            yield pa.RecordBatch.from_arrays([batch.column("row"), *bits, bands], ["row", "fp0", "fp1", "whole", "bands"])
+            columns = [batch.column("row"), *bits, bands, pa.array([m.tobytes() for m in marks], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["row", "fp0", "fp1", "whole", "bands", "marks"])
 
-    return rows.mapInArrow(run, "row bigint, fp0 bigint, fp1 bigint, whole bigint, bands array<bigint>")
+    return rows.mapInArrow(run, "row bigint, fp0 bigint, fp1 bigint, whole bigint, bands array<bigint>, marks binary")
 
 
 def _postings(entries: DataFrame, columns: list[str]) -> DataFrame:
@@ -101,10 +121,10 @@ def _postings(entries: DataFrame, columns: list[str]) -> DataFrame:
     return entries.select("*", F.explode(F.array(*places)).alias("p")).select("p.block", "p.key", *columns)
 
 
-def _trees(first: np.ndarray, second: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _trees(first: np.ndarray, second: np.ndarray, max_bits: int) -> tuple[np.ndarray, ...]:
     """Spanning trees of closest pairs (Prim's method) of lists of one length.
 
-    Returns list number, member and its partner for all tree edges within reach.
+    Returns list number, member, its partner and their distance for all tree edges within reach.
     """
     count, m = first.shape
     lists = np.arange(count)
@@ -124,59 +144,85 @@ def _trees(first: np.ndarray, second: np.ndarray, max_bits: int) -> tuple[np.nda
         node = np.where(done, far, near).argmin(axis=1)
         # nodes all done give the first one again; the loop ends before that
         hit = near[lists, node] <= max_bits
-        found.append((lists[hit], node[hit], partner[lists, node][hit]))
+        found.append((lists[hit], node[hit], partner[lists, node][hit], near[lists, node][hit]))
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
-def _partners(first: np.ndarray, second: np.ndarray, root: np.ndarray, max_bits: int, most: int) -> Iterator[tuple]:
-    """Members of one list, each with its ``most`` nearest partners of other parts within reach.
+def _centre(words: np.ndarray) -> np.uint64:
+    """The word whose bits most of ``words`` have."""
+    ones = np.unpackbits(words.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * ones > len(words)).view(np.uint64)[0]
 
-    Yields members, their partners, and the members that have more of them.
+
+def _distances(words: tuple[np.ndarray, np.ndarray], others: tuple) -> np.ndarray:
+    return sum(np.bitwise_count(mine ^ other).astype(np.int16) for mine, other in zip(words, others))
+
+
+def _partners(words: tuple, marks: list[bytes | None], root: np.ndarray, max_bits: int, most: int) -> Iterator[tuple]:
+    """Members of one list, each with its ``most`` nearest partners of other parts that share enough marks.
+
+    Yields members, their partners, the distances, and the members that have more of them.
     """
-    m = len(first)
+    m = len(root)
+    plain = np.array([x is None for x in marks])
+    own = np.frombuffer(b"".join(x or bytes(MARKS) for x in marks), np.uint8).reshape(m, MARKS)
     step = max(1, (1 << 20) // m)
     for at in range(0, m, step):
-        distance = np.bitwise_count(first[at : at + step, None] ^ first).astype(np.int16)
-        distance += np.bitwise_count(second[at : at + step, None] ^ second)
-        distance[root[at : at + step, None] == root] = 1000
-        near = distance <= max_bits
-        more = near.sum(axis=1) > most
-        if more.any():
-            nearest = np.argsort(distance[more], axis=1, kind="stable")[:, :most]
-            kept = np.zeros((len(nearest), m), bool)
-            np.put_along_axis(kept, nearest, True, axis=1)
-            near[more] &= kept
-        a, b = np.nonzero(near)
-        yield a + at, b, np.flatnonzero(more) + at
+        part = slice(at, at + step)
+        distance = _distances([w[part, None] for w in words], words)
+        distance[root[part, None] == root] = 1000
+        row, col = np.nonzero(distance <= max_bits)
+        alike = np.empty(len(row), bool)
+        for k in range(0, len(row), 1 << 14):
+            some = slice(k, k + (1 << 14))
+            alike[some] = (own[row[some] + at] == own[col[some]]).sum(axis=1) >= SHARED_MARKS
+        alike |= plain[row + at] | plain[col]
+        row, col = row[alike], col[alike]
+        near = distance[row, col]
+        order = np.lexsort((near, row))
+        row, col, near = row[order], col[order], near[order]
+        place = np.arange(len(row)) - np.searchsorted(row, row)
+        first = place < most
+        yield row[first] + at, col[first], near[first], np.unique(row[~first]) + at
 
 
 def _searcher(max_bits: int, most: int):
-    """Pairs ``a < b`` between parts; a row with ``b`` null says that ``a`` has further partners."""
+    """Rows ``a, b, d``: a member names a partner; one with ``b`` null says that ``a`` has further partners."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = batch.column("members")
-            row, fp0, fp1, root = (f.to_numpy(zero_copy_only=False) for f in column.flatten().flatten())
+            fields = dict(zip(("row", "fp0", "fp1", "root", "marks"), column.flatten().flatten()))
+            row, fp0, fp1, root = (fields[f].to_numpy(zero_copy_only=False) for f in ("row", "fp0", "fp1", "root"))
             offsets = column.offsets.to_numpy() - column.offsets[0].as_py()
             for start, stop in zip(offsets[:-1], offsets[1:]):
                 own = slice(start, stop)
-                names = row[own]
-                for a, b, more in _partners(fp0[own].view(np.uint64), fp1[own].view(np.uint64), root[own], max_bits, most):
-                    pair = np.sort(np.stack([names[a], names[b]]), axis=0)
-                    pair = np.unique(pair, axis=1) if pair.size else pair
-                    ends = pa.concat_arrays([pa.array(pair[1]), pa.nulls(len(more), pa.int64())])
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([pair[0], names[more]])), ends], ["a", "b"])
+                names, marks = row[own], fields["marks"].slice(start, stop - start).to_pylist()
+                words = (fp0[own].view(np.uint64), fp1[own].view(np.uint64))
+                for a, b, d, more in _partners(words, marks, root[own], max_bits, most):
+                    none = pa.nulls(len(more), pa.int64())
+                    ends = pa.concat_arrays([pa.array(names[b]), none])
+                    far = pa.concat_arrays([pa.array(d.astype(np.int32)), pa.nulls(len(more), pa.int32())])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([names[a], names[more]])), ends, far], ["a", "b", "d"])
 
     return run
 
 
 def _linker(max_bits: int):
+    """Rows ``a < b, d, member, size``: tree edges, and with ``member`` its edge to the list's centre."""
+    names = ["a", "b", "d", "member", "size"]
+
+    def edges(one: np.ndarray, other: np.ndarray, d: np.ndarray, member: pa.Array, size: int) -> pa.RecordBatch:
+        pair = np.sort(np.stack([one, other]), axis=0)
+        sizes = pa.array(np.full(len(one), size, np.int32))
+        return pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1]), pa.array(d.astype(np.int32)), member, sizes], names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = batch.column("members")
             fields = column.flatten().flatten()
             row = fields[0].to_numpy(zero_copy_only=False)
-            fp0, fp1 = (f.to_numpy(zero_copy_only=False).view(np.uint64) for f in fields[1:])
+            words = tuple(f.to_numpy(zero_copy_only=False).view(np.uint64) for f in fields[1:])
             sizes = np.diff(column.offsets.to_numpy())
             starts = np.cumsum(sizes) - sizes
             for m in np.unique(sizes):
@@ -184,21 +230,28 @@ def _linker(max_bits: int):
                 step = max(1, (1 << 18) // int(m))
                 for at in range(0, len(chosen), step):
                     index = chosen[at : at + step, None] + np.arange(m)
-                    which, a, b = _trees(fp0[index], fp1[index], max_bits)
+                    which, a, b, d = _trees(words[0][index], words[1][index], max_bits)
                     if len(which):
-                        pair = np.sort(np.stack([row[index[which, a]], row[index[which, b]]]), axis=0)
-                        yield pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1])], ["a", "b"])
+                        yield edges(row[index[which, a]], row[index[which, b]], d, pa.nulls(len(which), pa.int64()), m)
+                for start in chosen if m >= CENTRE_ROWS else ():
+                    own = slice(start, start + m)
+                    mine = [w[own] for w in words]
+                    centre = int(_distances(mine, [_centre(w) for w in mine]).argmin())
+                    d = _distances(mine, [w[centre] for w in mine])
+                    near = np.flatnonzero((d <= max_bits) & (np.arange(m) != centre))
+                    members = row[own][near]
+                    yield edges(members, np.full(len(near), row[start + centre]), d[near], pa.array(members), m)
 
     return run
 
 
 def candidates(entries: DataFrame, max_bits: int = MAX_BITS, most: int = 0) -> DataFrame:
-    """Pairs ``a < b`` of rows that meet in a list and lie within ``max_bits``.
+    """Pairs of rows that meet in a list and lie within ``max_bits``.
 
-    Without ``most``, those of the lists' spanning trees; else what :func:`_searcher`
+    Without ``most``, what :func:`_linker` finds in the lists; else what :func:`_searcher`
     finds between the parts in the column ``root``.
     """
-    columns = ["row", "fp0", "fp1", "root"] if most else ["row", "fp0", "fp1"]
+    columns = ["row", "fp0", "fp1", "root", "marks"] if most else ["row", "fp0", "fp1"]
     counted = _postings(entries.where(F.pmod(F.xxhash64("row"), F.lit(COUNTED)) == 0), ["row"])
     sizes = counted.groupBy("block", "key").agg((F.count(F.lit(1)) * COUNTED).alias("n"))
     long_lists = Stored(sizes.where(F.col("n") > LIST_ROWS), "long-lists")
@@ -216,8 +269,12 @@ def candidates(entries: DataFrame, max_bits: int = MAX_BITS, most: int = 0) -> D
     else:
         marked = marked.withColumns({"i": F.lit(0), "j": F.lit(0)})
     listed = marked.groupBy("block", "key", "i", "j").agg(F.collect_list(F.struct(*columns)).alias("members"))
-    run = _searcher(max_bits, most) if most else _linker(max_bits)
-    return listed.where(F.size("members") > 1).select("members").mapInArrow(run, "a bigint, b bigint").distinct()
+    listed = listed.where(F.size("members") > 1).select("members")
+    if most:
+        return listed.mapInArrow(_searcher(max_bits, most), "a bigint, b bigint, d int").distinct()
+    kind = "a bigint, b bigint, d int, member bigint, size int"
+    found = listed.mapInArrow(_linker(max_bits), kind)
+    return found.groupBy("a", "b", "member").agg(F.min("d").alias("d"), F.max("size").alias("size"))
 
 
 def verified(pairs: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
@@ -236,13 +293,47 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, similarity: float)
     return pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a bigint, b bigint")
 
 
+def _both_ways(pairs: DataFrame) -> DataFrame:
+    """Every pair from either end: ``row, other`` and the rest."""
+    rest = [c for c in pairs.columns if c not in ("a", "b")]
+    there = pairs.select(F.col("a").alias("row"), F.col("b").alias("other"), *rest)
+    return there.unionByName(pairs.select(F.col("b").alias("row"), F.col("a").alias("other"), *rest))
+
+
+def _pairs(named: DataFrame) -> DataFrame:
+    return named.select(F.least("row", "other").alias("a"), F.greatest("row", "other").alias("b")).distinct()
+
+
+def _first_pairs(found: DataFrame) -> DataFrame:
+    """Of the lists' pairs each row's nearest one and that with the centre of its longest list."""
+    nearest = _both_ways(found).groupBy("row").agg(F.min(F.struct("d", "other")).alias("p")).select("row", "p.other")
+    own = found.where("member is not null").select(
+        F.col("member").alias("row"), F.when(F.col("member") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("other"), "size", "d"
+    )
+    centre = own.groupBy("row").agg(F.min(F.struct((-F.col("size")).alias("size"), "d", "other")).alias("p")).select("row", "p.other")
+    return _pairs(nearest.unionByName(centre))
+
+
+def _named(found: DataFrame, most: int) -> tuple[Stored, Stored]:
+    """The ``most`` nearest partners of each member over all its lists, and the members that have more."""
+    each = found.groupBy("a").agg(
+        F.sort_array(F.collect_set(F.when(F.col("b").isNotNull(), F.struct("d", "b")))).alias("near"), F.bool_or(F.col("b").isNull()).alias("cut")
+    )
+    each = Stored(each, "named-partners")
+    pairs = each.df.select(F.col("a").alias("row"), F.explode(F.slice("near", 1, most)).alias("p")).select("row", F.col("p.b").alias("other"))
+    more = each.df.where(F.col("cut") | (F.size("near") > most)).select(F.col("a").alias("row"))
+    return Stored(_pairs(pairs), "named-pairs"), Stored(more, "open-rows")
+
+
 def _linked(found: Stored, entries: Stored, texts: DataFrame, width: int, similarity: float) -> Stored:
-    """``node, root`` of the rows that true pairs link, from the pairs of the trees on."""
+    """``node, root`` of the rows that true pairs link, from what the lists yield on."""
+    plain = entries.df
+    if "marks" not in plain.columns:
+        plain = plain.withColumn("marks", F.lit(None).cast("binary"))
     tried: list[Stored] = []
     links: list[Stored] = []
-    most = PARTNERS
+    pairs, most, more = _first_pairs(found.df), PARTNERS, None
     while True:
-        pairs = found.df.where("b is not null")
         for earlier in tried:
             pairs = pairs.join(earlier.df, ["a", "b"], "left_anti")
         tried.append(Stored(pairs, f"pairs-{len(tried)}"))
@@ -251,19 +342,23 @@ def _linked(found: Stored, entries: Stored, texts: DataFrame, width: int, simila
         some = texts.join(maybe_broadcast(Stored(wanted, "candidate-rows")), "row", "left_semi")
         links.append(Stored(verified(pairs, some, width, similarity), f"similar-{len(links)}"))
         roots = Stored(components(union_stored(links), "similar"), "similar-roots")
-        rooted = entries.df.join(roots.df.withColumnRenamed("node", "row"), "row", "left").withColumn("root", F.coalesce("root", "row"))
-        if len(tried) == 1:
-            # an untried pair between two parts has a refused pair of a tree at either part
-            refused = pairs.join(links[0].df, ["a", "b"], "left_anti")
-            rows = refused.select(F.explode(F.array("a", "b")).alias("row")).distinct()
-            parts = Stored(rooted.join(rows, "row").select("root").distinct(), "open-parts")
-            active = Stored(rooted.join(maybe_broadcast(parts), "root", "left_semi"), "open-entries")
+        rooted = plain.join(roots.df.withColumnRenamed("node", "row"), "row", "left").withColumn("root", F.coalesce("root", "row"))
+        if more is None:
+            # lists whose trees lie within one part have no further pair to try
+            ends = rooted.select(F.col("row").alias("node"), "root")
+            apart = found.df.select("a", "b").distinct()
+            for end in ("a", "b"):
+                apart = apart.join(ends.select(F.col("node").alias(end), F.col("root").alias(f"{end}_root")), end)
+            apart = apart.where("a_root <> b_root").select(F.explode(F.array("a_root", "b_root")).alias("root")).distinct()
+            active = rooted.join(maybe_broadcast(Stored(apart, "open-parts")), "root", "left_semi")
         else:
-            rows = Stored(found.df.where("b is null").select(F.col("a").alias("row")), "open-rows")
-            active = Stored(rooted.join(maybe_broadcast(rows), "row", "left_semi"), "open-entries")
+            # a row that is not open has named all its partners, so untried pairs lie between open ones
+            active = rooted.join(maybe_broadcast(more), "row", "left_semi")
+        active = Stored(active, "open-entries")
         if active.is_empty():
             return roots
-        found = Stored(candidates(active.df, most=most), f"candidates-{len(tried)}")
+        pairs, more = _named(candidates(active.df, most=most), most)
+        pairs = pairs.df
         most *= PARTNERS
 
 
@@ -275,12 +370,14 @@ def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFr
     numbered = Stored(bound_batches(docs).withColumn(mark, F.monotonically_increasing_id()), "numbered")
     texts = numbered.df.select(F.col(mark).alias("row"), text_of("text").alias("text"))
     prints = Stored(two_fingerprints(texts, width), "two-fingerprints")
-    least = F.min_by("bands", "row").alias("bands")
-    entries = Stored(prints.df.groupBy("fp0", "fp1", "whole").agg(F.min("row").alias("row"), F.count(F.lit(1)).alias("n"), least), "fp-entries")
+    least = [F.min_by(c, "row").alias(c) for c in ("bands", "marks")]
+    entries = Stored(prints.df.groupBy("fp0", "fp1", "whole").agg(F.min("row").alias("row"), F.count(F.lit(1)).alias("n"), *least), "fp-entries")
     shared = Stored(entries.df.where("n > 1").select("fp0", "fp1", "whole", F.col("row").alias("first")), "fp-shared")
     same = prints.df.join(maybe_broadcast(shared), ["fp0", "fp1", "whole"]).where("row <> first")
     near = candidates(entries.df)
-    found = Stored(near.unionByName(same.select(F.col("first").alias("a"), F.col("row").alias("b"))), "candidates")
+    none = F.lit(None).cast("bigint").alias("member")
+    copies = same.select(F.col("first").alias("a"), F.col("row").alias("b"), none, F.lit(0).alias("d"), F.lit(2).alias("size"))
+    found = Stored(near.unionByName(copies), "candidates")
     roots = _linked(found, entries, texts, width, similarity)
     ids = numbered.df.select(F.col(mark).alias("node"), "doc_id")
     grouped = roots.df.join(ids, "node")
