@@ -390,7 +390,7 @@ def test_window_hashes(monkeypatch):
     suffix._powers.cache_clear()
     data = np.frombuffer(bytes(np.random.default_rng(1).integers(0, 3, 500, np.uint8)), np.uint8)
     at = np.arange(0, 470)
-    for base in suffix._BASES:
+    for base in suffix.drawn_bases():
         hashes = suffix.window_hashes(data, at, 7, base)
         strings = [data[i : i + 7].tobytes() for i in at]
         assert len({*zip(strings, hashes.tolist())}) == len(set(strings)) == len(set(hashes.tolist()))
@@ -429,3 +429,21 @@ def test_similar_texts_in_long_lists(spark, docs, none, monkeypatch):
     monkeypatch.setattr(similar, "LIST_ROWS", 4)
     monkeypatch.setattr(similar, "COUNTED", 1)
     test_similar_texts(spark, docs, none)
+
+
+def thue_morse(letters: str, length: int) -> str:
+    return "".join(letters[k.bit_count() % 2] for k in range(length))
+
+
+def test_repeats_at_the_registered_width(spark):
+    """Width 400 and cover 2, with texts longer than a block and made pairs that weak hashes confuse."""
+    rng = random.Random(6)
+    passage = "".join(rng.choice("abcdefgh ") for _ in range(900))
+    tail = "".join(rng.choice("xyz ") for _ in range(272))
+    texts = [prose(40 + k, 60) + passage[k * 30 : k * 30 + 420] + prose(80 + k, 70) for k in range(12)]
+    texts += [thue_morse("ab", 128) + tail, thue_morse("ba", 128) + tail, thue_morse("ab", 2048), thue_morse("cd", 2048) + thue_morse("dc", 2048)]
+    texts += ["q" * 1500, passage[:399], passage[:400], prose(3, 1500) + passage + prose(4, 1500) + passage[100:700]]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: tuple(r)[1:] for r in suffix.remove_repeats(frame, block_bytes=4000, bucket_keys=300).collect()}
+    assert got == dict(enumerate(brute.repeats([t.encode() for t in texts], 400)))
+    assert got[12][1] == got[13][1] == 0 < got[19][1]

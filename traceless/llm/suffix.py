@@ -16,8 +16,10 @@ Texts are packed into blocks of ``BLOCK_BYTES``.  A block sends each different
 key once, as sorted numbers per bucket, and gets one bit per key back, so a
 passage that a third of the documents share costs one key per block and bucket.
 Whole texts that occur more than once are repeated from end to end; one of each
-takes part for the others' sake.  Keys have 63 bits within a bucket that a second
-hash chooses, so the effective length grows with the table.
+takes part for the others' sake.  Keys have 61 bits within a bucket that a second
+hash chooses, so the effective length grows with the table.  Both hashes are
+polynomials modulo a prime with a base drawn for the search: two different strings agree
+with a chance below ``width`` in 2^61, whatever their bytes.
 
 Defined cases: a null text is the empty text; texts shorter than ``width`` lose
 nothing; repeated rows are copies of each other; an empty table gives no rows.
@@ -27,6 +29,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import secrets
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -50,8 +53,14 @@ BLOCK_BYTES = 2 << 20
 BUCKET_KEYS = 1 << 20
 #: Positions hashed at once.
 CHUNK = 1 << 18
-#: Fixed odd bases of the two hashes.
-_BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
+_PRIME = np.uint64((1 << 61) - 1)
+_HALF, _LOW, _LOW_29 = np.uint64(32), np.uint64((1 << 32) - 1), np.uint64((1 << 29) - 1)
+
+
+def drawn_bases() -> tuple[int, int]:
+    """Bases of the two hashes, drawn anew for every search, so that no text can be made to fit them."""
+    draw = secrets.SystemRandom()
+    return tuple(draw.randrange(1 << 32, int(_PRIME) - 1) for _ in range(2))
 
 
 def difference_cover(r: int) -> tuple[int, np.ndarray]:
@@ -60,42 +69,61 @@ def difference_cover(r: int) -> tuple[int, np.ndarray]:
     return 24 * r * r + 36 * r + 13, np.concatenate([[0], np.cumsum(steps)])
 
 
+def times(a: np.ndarray, b: np.ndarray | np.uint64) -> np.ndarray:
+    """Products modulo the prime of numbers below it, by halves of 32 bits."""
+    a1, a0, b1, b0 = a >> _HALF, a & _LOW, b >> _HALF, b & _LOW
+    middle, low = a1 * b0 + a0 * b1, a0 * b0
+    total = ((a1 * b1) << np.uint64(3)) + (middle >> np.uint64(29)) + ((middle & _LOW_29) << _HALF) + (low >> np.uint64(61)) + (low & _PRIME)
+    return _reduced(total)
+
+
+def _reduced(total: np.ndarray) -> np.ndarray:
+    total = (total >> np.uint64(61)) + (total & _PRIME)
+    return np.where(total >= _PRIME, total - _PRIME, total)
+
+
 @lru_cache(maxsize=8)
 def _powers(base: int, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2^64, and a number for each byte."""
+    """Halves of the base's powers, and the powers of its inverse."""
     numbers = []
-    for b in (base, pow(base, -1, 1 << 64)):
-        steps = np.full(length, b, np.uint64)
-        steps[0] = 1
-        numbers.append(np.cumprod(steps, dtype=np.uint64))
-    rng = np.random.default_rng(base & 0xFFFFFFFF)
-    return numbers[0], numbers[1], rng.integers(1, 1 << 63, 256, np.uint64)
+    for b in (base, pow(base, -1, int(_PRIME))):
+        powers = np.ones(1, np.uint64)
+        while len(powers) < length:
+            powers = np.concatenate([powers, times(powers, np.uint64(pow(b, len(powers), int(_PRIME))))])
+        numbers.append(powers[:length])
+    return numbers[0] >> _HALF, numbers[0] & _LOW, numbers[1]
 
 
 def window_hashes(data: np.ndarray, at: np.ndarray, width: int, base: int) -> np.ndarray:
-    """Hash of ``data[i:i + width]`` for the sorted positions ``at``."""
-    up, down, letters = _powers(base, CHUNK + width)
+    """Polynomial hash modulo 2^61 - 1 of ``data[i:i + width]`` for the sorted positions ``at``.
+
+    Two different strings agree for at most ``width`` of all bases, whatever their bytes.
+    """
+    high, low, down = _powers(base, CHUNK + width)
     found = np.empty(len(at), np.uint64)
     cuts = np.searchsorted(at, np.arange(0, len(data) + CHUNK, CHUNK))
-    for k, (low, high) in enumerate(zip(cuts, cuts[1:])):
-        if low == high:
+    for k, (first, last) in enumerate(zip(cuts, cuts[1:])):
+        if first == last:
             continue
         start = k * CHUNK
-        piece = data[start : start + CHUNK + width]
-        sums = np.zeros(len(piece) + 1, np.uint64)
-        np.cumsum(letters[piece] * up[: len(piece)], out=sums[1:])
-        i = at[low:high] - start
-        found[low:high] = (sums[i + width] - sums[i]) * down[i]
-    found ^= found >> np.uint64(32)
-    found *= np.uint64(0xD6E8FEB86659FD93)
-    return found ^ (found >> np.uint64(32))
+        letters = data[start : start + CHUNK + width].astype(np.uint64) + np.uint64(1)
+        i = at[first:last] - start
+        # sums may wrap; a window's own are exact for widths below 2^20
+        halves = []
+        for half in (high, low):
+            sums = np.zeros(len(letters) + 1, np.uint64)
+            np.cumsum(letters * half[: len(letters)], out=sums[1:])
+            halves.append(sums[i + width] - sums[i])
+        value = (halves[0] >> np.uint64(29)) + ((halves[0] & _LOW_29) << _HALF) + halves[1]
+        found[first:last] = times(_reduced(value), down[i])
+    return found
 
 
 class Block:
     """Texts of one block side by side, with the sample and candidate positions of each."""
 
-    def __init__(self, texts: list[bytes], width: int, cover: int) -> None:
-        self.width = width
+    def __init__(self, texts: list[bytes], width: int, cover: int, bases: tuple[int, int]) -> None:
+        self.width, self.bases = width, bases
         self.period, self.cover = difference_cover(cover)
         if self.period > width:
             raise ValueError("the cover's period must not exceed the width")
@@ -128,8 +156,8 @@ class Block:
 
         The lowest bit of a key says that the block holds it more than once.
         """
-        key = window_hashes(self.data, at, width, _BASES[0]) & ~np.uint64(1)
-        bucket = (window_hashes(self.data, at, width, _BASES[1]) % np.uint64(buckets)).astype(np.int64)
+        key = window_hashes(self.data, at, width, self.bases[0]) << np.uint64(1)
+        bucket = (window_hashes(self.data, at, width, self.bases[1]) % np.uint64(buckets)).astype(np.int64)
         order = np.lexsort((key, bucket))
         key, bucket = key[order], bucket[order]
         fresh = np.ones(len(at), bool)
@@ -199,6 +227,7 @@ class Plan:
     cover: int
     sample_buckets: int
     suffix_buckets: int
+    bases: tuple[int, int]
 
     @property
     def reach(self) -> int:
@@ -206,7 +235,7 @@ class Plan:
         return self.width - difference_cover(self.cover)[0] + 1
 
     def block(self, row: dict) -> Block:
-        return Block([d["text"] for d in row["texts"]], self.width, self.cover)
+        return Block([d["text"] for d in row["texts"]], self.width, self.cover, self.bases)
 
     def candidates(self, block: Block, answers: list | None) -> np.ndarray:
         tied = block.repeated(block.sample(), self.reach, self.sample_buckets, answers)
@@ -217,7 +246,7 @@ def plan(total: int, width: int, cover: int, bucket_keys: int) -> Plan:
     period, positions = difference_cover(cover)
     sample = total * len(positions) / period
     # candidates lie near tied sample positions, a part of all positions
-    return Plan(width, cover, max(1, math.ceil(sample / bucket_keys)), max(1, math.ceil(total / (4 * bucket_keys))))
+    return Plan(width, cover, max(1, math.ceil(sample / bucket_keys)), max(1, math.ceil(total / (4 * bucket_keys))), drawn_bases())
 
 
 def _sent(blocks: DataFrame, sizes: Plan, second: bool) -> DataFrame:
