@@ -311,3 +311,11 @@ def stats_delta(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.join(other, ["i", "j"], "full_outer").agg(
         F.max(F.abs(F.coalesce("value", F.lit(0.0)) - F.coalesce("other", F.lit(0.0)))).alias("max_delta")
     )
+
+
+def pair_metrics(pairs: DataFrame, far_target: float, by: Sequence[str] = ()) -> DataFrame:
+    """AUC, true accepts at a rate of false ones, and counts of a table ``score, is_member`` of pairs."""
+    keys = list(by) or ["_all"]
+    keyed = pairs if by else pairs.withColumn("_all", F.lit(0))
+    auc = roc_auc(keyed, keys).select(*keys, "auc", F.col("members").alias("positive_pairs"), F.col("others").alias("negative_pairs"))
+    return auc.join(tpr_at_fpr(keyed, keys, far_target).withColumnRenamed("tpr", "tar_at_far"), keys).drop("_all")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from traceless.functions.statistics import draw
 from traceless.functions.vectors import dot
-from traceless.operators.ranking import group_rank
+from traceless.operators.ranking import group_rank, running_sum
 from traceless.plans.workspace import Stored
 
 
@@ -155,17 +155,91 @@ def verification_pairs(vectors: DataFrame, id_col: str, label: str, column: str,
     return positive.unionByName(negative).withColumnsRenamed({"_pos": "left_place", "_to": "right_place"})
 
 
-def sample_pairs(
-    vectors: DataFrame, id_col: str, label: str, column: str, max_pairs: int, seed: int, strides: int = 4
-) -> DataFrame:
-    """At most ``max_pairs`` positive pairs in hash order and equally many negatives."""
-    pairs = verification_pairs(vectors, id_col, label, column, seed, strides)
-    keyed = pairs.withColumn("_h", draw(F.lit(seed), F.col("left_place"), F.col("right_place")))
-    ranked = Stored(
-        group_rank(keyed, ["is_member"], ["_h", "left_place", "right_place", "score"], "_pos"), "pair-order"
+def wide_draw(*parts: Column) -> Column:
+    """Deterministic integer in [0, 10^18) from integer columns."""
+    low, middle, high = (draw(*parts, F.lit(n)) for n in (2, 1, 0))
+    return high * 1_000_000_000_000 + middle * 1_000_000 + low
+
+
+def pair_ranks(spark, total: int, wanted: int, seed: int) -> DataFrame:
+    """``order, rank``: ``wanted`` different ranks below ``total``, or all if there are no more.
+
+    Draws are numbered and a rank counts at its first draw; where more than half of all
+    ranks are wanted, all of them are put in hash order instead.
+    """
+    if wanted * 2 >= total:
+        ranks = spark.range(total).select(wide_draw(F.lit(seed), F.col("id")).alias("order"), F.col("id").alias("rank"))
+        return group_rank(ranks.withColumn("all", F.lit(0)), ["all"], ["order", "rank"], "place").where(F.col("place") <= wanted).select("order", "rank")
+    draws = wanted
+    while True:
+        draws *= 2
+        numbered = spark.range(draws).select("id", (wide_draw(F.lit(seed), F.col("id")) % total).alias("rank"))
+        fresh = Stored(numbered.groupBy("rank").agg(F.min("id").alias("order")), "pair-ranks").df
+        if fresh.count() >= wanted:
+            break
+    ranked = group_rank(fresh.withColumn("all", F.lit(0)), ["all"], ["order"], "place")
+    return ranked.where(F.col("place") <= wanted).select("order", "rank")
+
+
+def _unranked(rank: Column) -> tuple[Column, Column]:
+    """The pair ``i < j`` (from 0) that has this rank when pairs go by j, then i."""
+    guess = F.floor((F.sqrt(rank * 8.0 + 1.0) + 1.0) / 2.0).cast("long")
+    below = lambda j: F.shiftright(j * (j - 1), 1)
+    j = F.when(below(guess) > rank, guess - 1).when(below(guess + 1) <= rank, guess + 1).otherwise(guess)
+    return rank - below(j), j
+
+
+def sample_pairs(vectors: DataFrame, id_col: str, label: str, column: str, max_pairs: int, seed: int) -> DataFrame:
+    """``max_pairs`` pairs of one identity, or all if there are fewer, and as many of two identities.
+
+    The first are drawn from all ``n (n - 1) / 2`` pairs of every identity: a rank is drawn
+    and turned into an identity and a pair by arithmetic, so no table of pairs exists.  The
+    others are pairs of drawn vectors, as often as it takes.  Rows without a label take no
+    part; a table of one identity has no pairs of two.
+    """
+    spark = vectors.sparkSession
+    labelled = vectors.where(F.col(label).isNotNull()).select(id_col, label, column)
+    mine = Stored(_hash_ranked(labelled, [label], id_col, seed), "identity-order").df
+    sizes = Stored(
+        mine.groupBy(label).agg(F.count(F.lit(1)).alias("n")).withColumn("pairs", (F.col("n") * (F.col("n") - 1) / 2).cast("long")).withColumn("all", F.lit(0)),
+        "identity-sizes",
     ).df
-    limits = ranked.agg(F.least(F.lit(max_pairs), F.count_if("is_member"), F.count_if(~F.col("is_member"))).alias("cap"))
-    return ranked.crossJoin(F.broadcast(limits)).where(F.col("_pos") <= F.col("cap")).drop("_h", "_pos", "cap")
+    rows, pairs, labels, squares = sizes.agg(F.sum("n"), F.sum("pairs"), F.count(F.lit(1)), F.sum(F.col("n").cast("double") ** 2)).first()
+    wanted = min(max_pairs, pairs or 0)
+    kind = f"left_id {dict(vectors.dtypes)[id_col]}, right_id {dict(vectors.dtypes)[id_col]}, score double, is_member boolean"
+    if not wanted:
+        return spark.createDataFrame([], kind)
+    # every identity owns a stretch of the ranks; equal steps of them find it by equality
+    step = -(-pairs // max(4096, labels))
+    stretch = running_sum(sizes.where("pairs > 0"), ["all"], [label], {"until": "pairs"}).withColumn("start", F.col("until") - F.col("pairs"))
+    steps = F.sequence(F.floor(F.col("start") / step), F.floor((F.col("until") - 1) / step))
+    owned = stretch.select(label, "start", "until", F.explode(steps).alias("step"))
+    ranks = pair_ranks(spark, pairs, wanted, seed).withColumn("step", F.floor(F.col("rank") / step))
+    within = ranks.join(owned, "step").where("rank >= start and rank < until").withColumn("rank", F.col("rank") - F.col("start"))
+    first, second = _unranked(F.col("rank"))
+    ends = within.select(label, (first + 1).alias("_left"), (second + 1).alias("_right"))
+    left = mine.select(label, F.col("_pos").alias("_left"), F.col(id_col).alias("left_id"), F.col(column).alias("_x"))
+    right = mine.select(label, F.col("_pos").alias("_right"), F.col(id_col).alias("right_id"), F.col(column).alias("_y"))
+    score = dot(F.col("_x"), F.col("_y")).alias("score")
+    same = ends.join(left, [label, "_left"]).join(right, [label, "_right"]).select("left_id", "right_id", score, F.lit(True).alias("is_member"))
+    if labels < 2:
+        return same
+    wheel = Stored(_hash_ranked(labelled.withColumn("_all", F.lit(0)), ["_all"], id_col, seed + 1), "wheel").df
+    draws = int(wanted / (1 - squares / rows**2) * 1.5) + 64
+    left = wheel.select(F.col("_pos").alias("_left"), F.col(id_col).alias("left_id"), F.col(label).alias("_a"))
+    right = wheel.select(F.col("_pos").alias("_right"), F.col(id_col).alias("right_id"), F.col(label).alias("_b"))
+    while True:
+        places = [(wide_draw(F.lit(seed + n), F.col("id")) % rows + 1).alias(c) for n, c in ((1, "_left"), (2, "_right"))]
+        drawn = spark.range(draws).select("id", *places).join(left, "_left").join(right, "_right").where(F.col("_a") != F.col("_b"))
+        drawn = Stored(drawn.select("id", "left_id", "right_id", "_left", "_right"), "drawn-pairs").df
+        if drawn.count() >= wanted:
+            break
+        draws *= 2
+    kept = group_rank(drawn.withColumn("all", F.lit(0)), ["all"], ["id"], "place").where(F.col("place") <= wanted)
+    x = wheel.select(F.col("_pos").alias("_left"), F.col(column).alias("_x"))
+    y = wheel.select(F.col("_pos").alias("_right"), F.col(column).alias("_y"))
+    other = kept.join(x, "_left").join(y, "_right").select("left_id", "right_id", score, F.lit(False).alias("is_member"))
+    return same.unionByName(other)
 
 
 def symmetric_difference(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -266,6 +266,51 @@ def verification_metrics(spark, sf):
     return rounded(auc.join(tpr, "g").drop("g"))
 
 
+def _duck_wide(*parts: str) -> str:
+    high, middle, low = (duck_draw(*parts, str(n)) for n in (0, 1, 2))
+    return f"({high} * 1000000000000 + {middle} * 1000000 + {low})"
+
+
+_SAMPLED = {
+    "vec": _VEC,
+    "norm": _NORM,
+    "ordered": f"select *, row_number() over (partition by label order by {duck_draw('9', 'vec_id')}, vec_id) as pos from {{norm}} where label is not null",
+    "wheel": f"select *, row_number() over (order by {duck_draw('10', 'vec_id')}, vec_id) as pos from {{norm}} where label is not null",
+    "sizes": "select label, n, n * (n - 1) // 2 as pairs, sum(n * (n - 1) // 2) over (order by label) as until from (select label, count(*) as n from {ordered} group by label)",
+    "total": "select sum(pairs)::bigint as p, sum(n)::bigint as vectors, least(200, sum(pairs))::bigint as wanted from {sizes}",
+    "ranks": f"""select rank from (select {_duck_wide('9', 'i')} % p as rank, min(i) as first from {{total}}, (select unnest(range(0, 1600)) as i) where 2 * wanted < p group by 1 order by first limit 200)
+        union all select rank from (select i as rank from {{total}}, (select unnest(range(0, 400)) as i) where i < p and 2 * wanted >= p order by {_duck_wide('9', 'i')}, i limit 200)""",
+    "places": """select label, rank - (until - pairs) as r, floor((1 + sqrt(1 + 8 * (rank - (until - pairs)))) / 2)::bigint as j from {ranks} join {sizes} on rank >= until - pairs and rank < until""",
+    "same": """select a.vec_id as left_id, b.vec_id as right_id, list_dot_product(a.v, b.v) as score, true as is_member from {places} s
+        join {ordered} a on a.label = s.label and a.pos = r - j * (j - 1) // 2 + 1 join {ordered} b on b.label = s.label and b.pos = j + 1""",
+    "other": f"""select left_id, right_id, score, false as is_member from (
+        select a.vec_id as left_id, b.vec_id as right_id, list_dot_product(a.v, b.v) as score, wanted, row_number() over (order by i) as place
+        from (select i, wanted, {_duck_wide('10', 'i')} % vectors + 1 as x, {_duck_wide('11', 'i')} % vectors + 1 as y from {{total}}, (select unnest(range(0, 3000)) as i))
+        join {{wheel}} a on a.pos = x join {{wheel}} b on b.pos = y where a.label <> b.label) where place <= wanted""",
+    "sampled": "select * from {same} union all select * from {other}",
+    "pairs": "select 0 as g, is_member, round(score, 7) as score from {sampled}",
+    "a": duck_auc("g", "pairs"),
+    "t": _TPR.replace("{by}", "g").replace("{source}", "{pairs}"),
+}
+
+
+@query("sampled_similarity_pairs", "select left_id, right_id, round(score, 6) as score, is_member from {sampled}", _SAMPLED)
+def sampled_similarity_pairs(spark, sf):
+    unit = M.l2_normalize(vectors(spark, sf), "embedding")
+    return rounded(W.sample_pairs(unit, "vec_id", "label", "embedding", 200, 9))
+
+
+@query(
+    "sampled_pair_metrics",
+    "select round(auc, 6) as auc, round(tpr, 6) as tar_at_far, members as positive_pairs, others as negative_pairs from {a} join {t} using (g)",
+    _SAMPLED,
+)
+def sampled_pair_metrics(spark, sf):
+    unit = M.l2_normalize(vectors(spark, sf), "embedding")
+    pairs = W.sample_pairs(unit, "vec_id", "label", "embedding", 200, 9)
+    return rounded(M.pair_metrics(pairs.withColumn("score", F.round("score", 7)), 0.1))
+
+
 @query(
     "release_difference_attack",
     "select statistic, round(auc, 6) as auc, round(2 * (greatest(auc, 1 - auc) - 0.5), 6) as advantage from {a}",

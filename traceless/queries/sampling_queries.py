@@ -101,14 +101,6 @@ def balanced_shadow_membership(spark, sf):
     return W.balanced_membership(table(spark, sf, "embeddings"), "vec_id", 8, 4, 3)
 
 
-@query("sampled_similarity_pairs")
-def sampled_similarity_pairs(spark, sf):
-    from traceless.operators.influence import l2_normalize
-
-    unit = l2_normalize(table(spark, sf, "embeddings"), "embedding")
-    return rounded(W.sample_pairs(unit, "vec_id", "label", "embedding", 200, 9))
-
-
 @query(
     "order_set_operations",
     """select (select count(*) from (select o_custkey from {a} union select o_custkey from {b})) as union_size, (select count(*) from (select o_custkey from {a} intersect select o_custkey from {b})) as intersection_size,
