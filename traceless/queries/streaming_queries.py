@@ -110,6 +110,26 @@ def stream_request_lifecycles(spark, sf):
     return rows.groupBy("request_id").agg(F.count_if("legal").alias("stage_no"), F.count_if(~F.col("legal")).alias("illegal_events"))
 
 
+_ORDERED = {"passed": "select e.* from {request_events} e where e.ts <= (select max(ts) from events) - interval 1 hour"}
+_ORDERED |= {name: sql.replace("{request_events}", "{passed}") for name, sql in _lifecycle_ctes().items()}
+
+
+@query(
+    "stream_ordered_lifecycles",
+    "select request_id, stage_no, illegal_events from {life}",
+    _ORDERED,
+)
+def stream_ordered_lifecycles(spark, sf):
+    """The same lines by event time, up to the watermark."""
+    names = ["create-request", "delete-visible", "simulate-recovery", "run-probes", "apply-exact-cut", "verify-replay", "create-request", "delete-visible"]
+    k = F.pmod(F.col("event_id") * 7, F.lit(11))
+    action = F.coalesce(F.get(F.array(*[F.lit(n) for n in names]), k.cast("int")), F.lit("verify-replay"))
+    events = event_stream(spark, sf).select(F.col("user_id").alias("request_id"), _ts().alias("ts"), "event_id", action.alias("action"))
+    with K.rocksdb_state(spark):
+        rows = K.run_available(K.stream_ordered_lifecycle(events, "1 hour"), "ordered-lifecycle")
+    return rows.groupBy("request_id").agg(F.count_if("legal").alias("stage_no"), F.count_if(~F.col("legal")).alias("illegal_events"))
+
+
 @query(
     "stream_expired_items",
     """select item_id, deadline_ms from (select 'i' || (event_id % 50) as item_id, max(epoch_us(ts) // 1000 + (event_id % 5) * 3600000) as deadline_ms from events group by 1)

@@ -138,6 +138,101 @@ def stream_lifecycle(events: DataFrame) -> DataFrame:
     )
 
 
+class OrderedLifecycleProcessor(StatefulProcessor):
+    """Line of stages per request in event-time order, whatever the order of arrival.
+
+    Events wait in a list until the watermark has passed them; then nothing older can
+    come any more, and they are applied by (time, event id).  A finished request is
+    forgotten once the watermark is ``keep_ms`` past its last event.
+    """
+
+    RESULT = "request_id bigint, event_id bigint, stage string, legal boolean"
+
+    def __init__(self, keep_ms: int | None) -> None:
+        self.keep_ms = keep_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.pending = handle.getListState("pending", "at bigint, event_id bigint, action string")
+        self.line = handle.getValueState("line", "stage int, last_ms bigint")
+        self.timer = handle.getValueState("timer", "due_ms bigint")
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        events = pd.concat(list(rows))
+        columns = (events["at"], events["event_id"], events["action"])
+        self.pending.appendList([(int(at), int(event), action) for at, event, action in zip(*columns, strict=True)])
+        self._arm(_whole_ms(int(events["at"].min())))
+        yield self._reported(key, [])
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        now = max(int(timerValues.getCurrentWatermarkInMs()), int(expiredTimerInfo.getExpiryTimeInMs()))
+        self.timer.clear()
+        waiting = [(int(at), int(event), action) for at, event, action in self.pending.get()]
+        ready = sorted((e for e in waiting if _whole_ms(e[0]) <= now), key=lambda e: (e[0], e[1], e[2] or ""))
+        later = [e for e in waiting if _whole_ms(e[0]) > now]
+        known = self.line.get()
+        stage, last = (int(known[0]), int(known[1])) if known is not None else (0, 0)
+        out = []
+        for at, event_id, action in ready:
+            if self._forgotten(stage, last, _whole_ms(at)):
+                stage = 0
+            legal = stage < len(ACTIONS) and action == ACTIONS[stage]
+            stage, last = stage + legal, _whole_ms(at)
+            out.append((key[0], event_id, STAGES[stage], bool(legal)))
+        if later:
+            self.pending.put(later)
+        else:
+            self.pending.clear()
+        if self._forgotten(stage, last, now):
+            self.line.clear()
+        else:
+            self.line.update((stage, last))
+            if stage == len(ACTIONS) and self.keep_ms is not None:
+                self._arm(last + self.keep_ms)
+        if later:
+            self._arm(min(_whole_ms(e[0]) for e in later))
+        yield self._reported(key, out)
+
+    def _forgotten(self, stage: int, last_ms: int, now_ms: int) -> bool:
+        return stage == len(ACTIONS) and self.keep_ms is not None and now_ms >= last_ms + self.keep_ms
+
+    def _arm(self, due_ms: int) -> None:
+        """Keep one timer, at the earliest time at which something is to be done."""
+        known = self.timer.get()
+        if known is not None and int(known[0]) <= due_ms:
+            return
+        if known is not None:
+            self.handle.deleteTimer(int(known[0]))
+        self.handle.registerTimer(due_ms)
+        self.timer.update((due_ms,))
+
+    def _reported(self, key: Any, rows: list) -> pd.DataFrame:
+        kinds = {"request_id": "int64", "event_id": "int64", "stage": "object", "legal": "bool"}
+        return pd.DataFrame(rows, columns=list(kinds)).astype(kinds)
+
+    def close(self) -> None:
+        pass
+
+
+def _whole_ms(micros: int) -> int:
+    """The first millisecond that is not before the time."""
+    return -(-micros // 1000)
+
+
+def stream_ordered_lifecycle(events: DataFrame, delay: str, keep: str | None = None) -> DataFrame:
+    """Stage after every event of every request, in order of ``ts``, once the watermark has passed it.
+
+    ``delay`` is how late an event may come; later ones are dropped.  ``keep`` is an interval
+    in days, hours or minutes after which a finished request's state goes; events that come
+    for it afterwards begin a new line.
+    """
+    narrow = events.select("request_id", "ts", F.unix_micros("ts").alias("at"), "event_id", "action").withWatermark("ts", delay)
+    keep_ms = int(pd.Timedelta(keep).total_seconds() * 1000) if keep is not None else None
+    return narrow.groupBy("request_id").transformWithStateInPandas(
+        OrderedLifecycleProcessor(keep_ms), OrderedLifecycleProcessor.RESULT, "Append", "EventTime"
+    )
+
+
 class ExpiryProcessor(StatefulProcessor):
     """Latest deadline per item; fires one row when event time passes it."""
 
