@@ -294,9 +294,9 @@ def manifest(
     groups = crown.paths(crown.tops.df.select("key", F.col("position").alias("block"), none.alias("path")), -1, "name")
     tops = groups.df.select(F.col("name").alias("key"), F.lit(0).cast("long").alias("block"), "path")
     paths = tree.paths(tops, 0)
-    roots = crown.tops.df.select(F.col("digest").alias("root"), F.lit(0).alias("one"))
-    known = tree.tops.df.select("key", F.col("digest").alias("subroot"), F.lit(0).alias("one")).join(F.broadcast(roots), "one").drop("one")
-    known = Stored(known, "merkle-roots")
+    top = crown.tops.df.first()  # the one root, None for an empty table
+    root = F.lit(top.digest if top else None).cast("string").alias("root")
+    known = Stored(tree.tops.df.select("key", F.col("digest").alias("subroot"), root), "merkle-roots")
     blocks = tree.rounds[0].df.join(maybe_broadcast(paths), ["key", "block"]).join(maybe_broadcast(known), "key")
     kind = docs.schema[order].dataType
     return _checked(blocks, arity, depth, kind).withColumnRenamed("id", order)

@@ -289,11 +289,13 @@ def added_spans(text: str, base: list[Span], model: dict) -> list[Span]:
     x = np.array([describe(*_around(text, s, e), k) for s, k, e in offered])
     raw = model["slope"] * margin(model["trees"], x) + model["shift"]
     p = 1 / (1 + np.exp(-np.clip(raw, -30, 30)))
-    taken, found = sorted((s, e) for s, _, e in base), []
+    taken, found = bytearray(len(text)), []  # a byte per character that a span covers
+    for start, _, end in base:
+        taken[start:end] = b"\1" * (end - start)
     for i in np.argsort(-p, kind="stable"):
         start, kind, end = offered[i]
-        if p[i] >= model["limits"][kind] and not any(s < end and start < e for s, e in taken):
-            taken.append((start, end))
+        if p[i] >= model["limits"][kind] and not any(taken[start:end]):
+            taken[start:end] = b"\1" * (end - start)
             found.append(offered[i])
     return found
 

@@ -76,6 +76,16 @@ def attach(rows: Stored, groups: Stored, keys: list[str], size: str) -> DataFram
     return rows.df.join(hot, keys).unionByName(rest.join(cold, keys))
 
 
+def attach_left(rows: DataFrame, groups: Stored, keys: list[str], size: str) -> DataFrame:
+    """Left join of rows with the groups that some of them have, safe for groups of any size."""
+    if small(groups):
+        return rows.join(F.broadcast(groups.df), keys, "left")
+    fair = max(1, rows.count() // partitions(groups.spark))
+    hot = F.broadcast(groups.df.where(F.col(size) > fair))
+    rest = rows.join(F.broadcast(groups.df.where(F.col(size) > fair).select(*keys)), keys, "left_anti")
+    return rows.join(hot, keys).unionByName(rest.join(groups.df.where(F.col(size) <= fair), keys, "left"))
+
+
 def slices(
     batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES
 ) -> Iterator[pa.RecordBatch]:

@@ -31,7 +31,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from traceless.llm.shared import column_or_null, maybe_broadcast, text_of
+from traceless.llm.shared import attach_left, column_or_null, text_of
 from traceless.plans.workspace import Stored, checkpoint_root
 
 CHUNK = 1 << 16
@@ -60,7 +60,7 @@ def records(pages: DataFrame, min_revisit_bytes: int = 0) -> DataFrame:
         F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("copies")
     )
     shared = Stored(found.where("copies > 1").select("sha", "first_id", "copies"), "payloads")
-    rows = rows.join(maybe_broadcast(shared), "sha", "left")
+    rows = attach_left(rows, shared, ["sha"], "copies")
     revisit = F.col("copies").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
     http = F.concat(
         F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "),
