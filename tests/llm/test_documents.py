@@ -77,6 +77,37 @@ def test_directory_splits_full_buckets(spark):
     assert sum(2.0**-r.depth for r in leaves) <= 1.0 and len({r.depth for r in leaves}) > 1
 
 
+def test_keys_meet_in_their_bucket(spark, monkeypatch):
+    """Owners hold the keys of their prefix; colliding texts of a key form a chain of links."""
+    monkeypatch.setattr(exact, "SHARD_ROWS", 8)
+    rows = [(d, f"text {d % 60}") for d in range(240)] + [(1000 + d, "hot  text") for d in range(90)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    plain = exact.F.xxhash64
+    few = lambda *c: exact.F.shiftleft(exact.F.pmod(plain(*c), exact.F.lit(16)), 59)
+    monkeypatch.setattr(exact.F, "xxhash64", few)
+    index = exact.build_index(docs, capacity=3)
+    chains = index.chains.df.collect()
+    leaves = {(r.depth, r.prefix) for r in index.directory.collect()}
+    assert len(leaves) > 4
+    for r in chains:
+        bits = r.key & (1 << 64) - 1
+        assert (r.depth, r.prefix) in leaves and bits >> 64 - r.depth == r.prefix
+    links = defaultdict(list)
+    for r in chains:
+        links[r.key].append(r.link)
+    assert max(map(len, links.values())) > 1
+    assert all(sorted(v) == list(range(1, len(v) + 1)) for v in links.values())
+    sizes = {r.text_sha256: (r.keep_id, r.group_size) for r in chains}
+    assert sizes == {brute.sha(f"text {d}"): (d, 4) for d in range(60)} | {brute.sha("hot text"): (1000, 90)}
+
+
+def test_repeated_ids_keep_the_same_row(spark):
+    rows = [(7, "same text", f"s{n}") for n in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    kept = [exact.keep_first(docs.repartition(n, "source")).collect() for n in (1, 3, 5)]
+    assert [[r.source for r in rows] for rows in kept] == [["s0"]] * 3
+
+
 def test_simhash(docs, none):
     rows = [(d, t) for d, t, *_ in awkward()]
     known = [(k, t) for k, (_, t) in enumerate(rows)]
@@ -244,6 +275,8 @@ def test_mix(docs, none):
     assert applied.columns == docs.columns
     words = sum(len(brute.WORD.findall(r.text or "")) for r in applied.collect())
     assert words == sum(r.taken for r in got)
+    again = mixing.apply_mix(docs.repartition(7, "text").sortWithinPartitions("lang"), block_words=16)
+    assert sorted(map(str, applied.collect())) == sorted(map(str, again.collect()))
     assert mixing.mix(none).count() == 0 and mixing.apply_mix(none).count() == 0
 
 
@@ -258,6 +291,24 @@ def test_schedule_mixes_every_stretch(spark):
     assert len({(r.source_index, r.block, r.epoch) for r in slots}) == len(slots)
 
 
+def test_documents_come_in_slot_order(spark):
+    """A stretch of the result holds the sources in their proportions, whatever the input's order."""
+    rows = [(d, f"{'abc'[d * 3 // 900]} {d} " + prose(d, 30), "abc"[d * 3 // 900]) for d in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").coalesce(2)
+    taken = {r.doc_id: r for r in mixing.mix(docs, block_words=8).collect()}
+    plan = mixing.schedule(mixing.targets(docs.groupBy("source").agg(F.sum(mixing.word_count()).alias("size"))).df, 8)
+    every = {r.slot for r in plan.select("slot").collect()}
+    assert all(set(r.slots) <= every and len(r.slots) == -(-r.taken // r.size) for r in taken.values())
+    times = sorted((s, r.doc_id) for r in taken.values() for s in r.slots)
+    applied = [r.doc_id for r in mixing.apply_mix(docs, block_words=8).collect()]
+    assert len(applied) == len(times)
+    sources = ["abc"[d * 3 // 900] for d in applied]
+    share = Counter(sources)
+    for start in range(0, len(sources) - 90, 90):
+        some = Counter(sources[start : start + 90])
+        assert all(abs(some[s] - 90 * n / len(sources)) <= 9 for s, n in share.items())
+
+
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
 

@@ -3,12 +3,15 @@
 Every text has a 64-bit key.  The directory holds buckets, each a prefix of the
 key space; a bucket with more distinct keys than its capacity is split by one
 more bit, which doubles the directory where its depth is reached.  A bucket is
-a key range with one owner, so no two tasks decide about one key.  Within a key
-the different texts form a chain: whole texts are compared, not their digests.
+a key range with one owner, so no two tasks decide about one key: rows look their
+bucket up and go to its owner.  Within a key the different texts form a chain:
+whole texts are compared, not their digests.
 
 Copies never crowd a bucket, because they share one key and are combined before
-the shuffle.  Results of defined cases: a null text is the empty text; rows that
-repeat both text and ``doc_id`` count each, but one of them stays; a null
+they go to the owner; a key of very many copies is combined in shards first.  Very
+long texts are cells of a row, up to Spark's 2 GB.  Results of defined cases: a null
+text is the empty text; rows that repeat both text and ``doc_id`` count each, but one
+of them stays (the least by all columns as JSON, where the others differ); a null
 ``doc_id`` counts as larger than any other; an empty table gives no rows.
 """
 
@@ -17,7 +20,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from traceless.llm.shared import SPACE, attach, maybe_broadcast, text_of
@@ -26,6 +29,9 @@ from traceless.plans.workspace import Stored, union_stored
 #: Distinct keys a bucket holds before it is split.
 CAPACITY = 16_384
 KEY_BITS = 64
+#: Copies of one key that are combined in one shard, and the most shards of a key.
+SHARD_ROWS = 1024
+MAX_SHARDS = 64
 
 
 def normalised(text: str | Column = "text") -> Column:
@@ -42,7 +48,11 @@ def prefix(key: str, depth: int) -> Column:
 
 @dataclass
 class ExtendibleIndex:
-    """Buckets ``(depth, prefix, n_keys)``, rows ``entries`` and ``chains`` of equal texts."""
+    """Buckets ``(depth, prefix, n_keys)``, rows ``entries`` and ``chains`` of equal texts.
+
+    A chain row is one text of a bucket: ``link`` is its place among the different
+    texts of its key, 1 unless keys collide.
+    """
 
     directory: DataFrame
     entries: Stored
@@ -77,8 +87,21 @@ def bucket_of(directory: DataFrame) -> Column:
     return F.array(*tests) if tests else F.array(F.struct(F.lit(0).alias("depth"), prefix("key", 0).alias("prefix")))
 
 
+def placed(keys: DataFrame, directory: Stored) -> DataFrame:
+    """The keys with the bucket that holds them: ``depth`` and ``prefix`` as in the directory."""
+    slots = keys.select("*", F.explode(bucket_of(directory.df)).alias("slot"))
+    slots = slots.select("*", "slot.depth", "slot.prefix").drop("slot")
+    return slots.join(maybe_broadcast(directory).drop("n_keys"), ["depth", "prefix"])
+
+
 def build_index(docs: DataFrame, capacity: int = CAPACITY) -> ExtendibleIndex:
-    """Index of all documents; chains exist for keys that more than one row has."""
+    """Index of all documents; chains exist for keys that more than one row has.
+
+    Keys look up their bucket first.  Copies are combined in shards of about
+    ``SHARD_ROWS`` rows, so an owner gets at most ``MAX_SHARDS`` rows of any text; then
+    rows move to the task that owns their bucket, which compares whole texts and chains
+    those that differ.
+    """
     texts = docs.select("doc_id", normalised().alias("norm"))
     entries = Stored(
         texts.select(
@@ -88,27 +111,41 @@ def build_index(docs: DataFrame, capacity: int = CAPACITY) -> ExtendibleIndex:
     )
     counted = Stored(entries.df.groupBy("key").agg(F.count(F.lit(1)).alias("n_rows")), "keys")
     directory = Stored(build_directory(counted.df.select("key"), capacity), "directory")
-    shared_keys = Stored(counted.df.where(F.col("n_rows") > 1).select("key"), "shared-keys")
-    rows = texts.withColumn("key", F.xxhash64("norm")).join(
-        maybe_broadcast(shared_keys), "key", "left_semi"
+    shared_keys = Stored(placed(counted.df.where(F.col("n_rows") > 1), directory), "shared-keys")
+    rows = texts.withColumn("key", F.xxhash64("norm")).join(maybe_broadcast(shared_keys), "key")
+    shards = F.least(F.ceil(F.col("n_rows") / SHARD_ROWS), F.lit(MAX_SHARDS))
+    bucket, text = ["depth", "prefix"], ["key", "norm"]
+    shard = F.pmod(F.xxhash64("doc_id"), shards).alias("shard")
+    combined = rows.groupBy(*bucket, *text, shard).agg(
+        F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("n")
     )
-    # the owner of a key compares whole texts: they are grouping columns
-    per_id = rows.groupBy("key", "norm", "doc_id").agg(F.count(F.lit(1)).alias("m"))
-    order = F.struct(F.col("doc_id").isNull(), "doc_id", "m")
-    chain = per_id.groupBy("key", "norm").agg(
-        F.min(order).alias("first"), F.sum("m").alias("group_size")
+    owned = combined.repartition(*bucket).groupBy(*bucket, *text).agg(
+        F.min("keep_id").alias("keep_id"), F.sum("n").alias("group_size")
     )
-    chain = chain.select(
-        "key",
-        F.sha2("norm", 256).alias("text_sha256"),
-        F.col("first.doc_id").alias("keep_id"),
-        F.col("first.m").alias("m_keep"),
-        "group_size",
+    in_chain = Window.partitionBy(*bucket, "key").orderBy("norm")
+    chain = Stored(
+        owned.select(
+            *bucket,
+            "key",
+            F.row_number().over(in_chain).alias("link"),
+            F.sha2("norm", 256).alias("text_sha256"),
+            "keep_id",
+            "group_size",
+        ),
+        "chain",
+    )
+    # rows of a chain that repeat their doc_id, too: one of them stays
+    member = entries.df.join(maybe_broadcast(Stored(shared_keys.df.select("key"), "shared")), "key", "left_semi")
+    again = member.groupBy(
+        F.col("key").alias("again_key"), F.col("text_sha256").alias("again_sha"), F.col("doc_id").alias("again_id")
+    ).agg(F.count(F.lit(1)).alias("m"))
+    repeated = Stored(again.where("m > 1"), "repeated")
+    same_row = (F.col("key") == F.col("again_key")) & (F.col("text_sha256") == F.col("again_sha"))
+    same_row &= F.col("keep_id").eqNullSafe(F.col("again_id"))
+    chains = chain.df.join(maybe_broadcast(repeated), same_row, "left").select(
+        *chain.schema.names, F.coalesce("m", F.lit(1)).cast("long").alias("m_keep")
     )
-    slot = F.explode(bucket_of(directory.df)).alias("slot")
-    placed = chain.select("*", slot).select("*", "slot.depth", "slot.prefix").drop("slot")
-    owned = placed.join(maybe_broadcast(directory), ["depth", "prefix"]).drop("n_keys")
-    return ExtendibleIndex(directory.df, entries, Stored(owned, "chains"))
+    return ExtendibleIndex(directory.df, entries, Stored(chains, "chains"))
 
 
 def group_rows(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
@@ -159,6 +196,9 @@ def keep_first(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         marked["doc_id"].eqNullSafe(F.col(keep))
     )
     once = first.where(F.col(ties) == 1)
-    tied = first.where(F.col(ties) > 1).dropDuplicates([sha])
-    parts = [part.select(*docs.columns) for part in (single, once, tied)]
+    # rows that share id and text may differ elsewhere: the least by all columns stays
+    whole = F.struct(*[marked[c] for c in docs.columns])
+    tied = first.where(F.col(ties) > 1).groupBy(sha).agg(F.min_by(whole, F.to_json(whole)).alias(mark))
+    parts = [part.select(*docs.columns) for part in (single, once)]
+    parts.append(tied.select(f"{mark}.*").select(*docs.columns))
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
