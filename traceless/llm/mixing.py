@@ -12,7 +12,8 @@ range join.
 Defined cases: a null text has no words; a null source is a source of its own,
 last in order; documents without words are returned with ``taken`` 0; an empty
 table gives no rows.  Repeated rows are documents of their own.  Equal hashes are
-ordered by ``doc_id`` and size, so reruns agree.
+ordered by ``doc_id`` and size, so reruns agree.  Long texts are counted whole and
+span as many blocks as they fill.
 """
 
 from __future__ import annotations
@@ -133,16 +134,23 @@ def mix(
     block_words: int = BLOCK_WORDS,
     seed: int = SEED,
     id_column: str = "doc_id",
+    draw_by: tuple[str, ...] = (),
 ) -> DataFrame:
-    """``id_column, size, source_size, target, taken`` of every document."""
+    """``id_column, size, source_size, target, taken, slots`` of every document.
+
+    A source's documents come in the order of a hash of ``draw_by`` (else of the id), so
+    neither files nor partitions matter.  ``slots`` are the schedule's slots at which the
+    document is taken, one for each time; empty where it is not.
+    """
     source = column_or_null(docs, "source", "string").alias("source")
-    sizes = Stored(docs.select(F.col(id_column).alias("id"), source, word_count().alias("size")), "sizes")
+    draw = F.xxhash64(F.lit(seed), *[F.col(c) for c in draw_by or (id_column,)]).alias("draw")
+    sizes = Stored(docs.select(F.col(id_column).alias("id"), draw, source, word_count().alias("size")), "sizes")
     sources = targets(sizes.df, share, limit, weights)
     named = maybe_broadcast(sources).withColumnRenamed("source", "named")
     rows = sizes.df.join(named, F.col("source").eqNullSafe(F.col("named"))).select(
-        "id", "size", "source_index", "source_size", "target"
+        "id", "draw", "size", "source_index", "source_size", "target"
     )
-    order = [F.xxhash64(F.lit(seed), "id"), "id", "size"]
+    order = ["draw", "id", "size"]
     filled = Stored(rows.where("size > 0"), "filled")
     placed = running_sum(filled.df, ["source_index"], order, {"stop": "size"})
     start = F.col("stop") - F.col("size")
@@ -153,46 +161,57 @@ def mix(
     taken_blocks = (
         schedule(sources.df, block_words)
         .groupBy("source_index", "block")
-        .agg(F.collect_list("limit").alias("limits"))  # one per epoch, so three at most
+        # one per epoch, so three at most
+        .agg(F.sort_array(F.collect_list(F.struct("epoch", "slot", "limit"))).alias("turns"))
     )
     offset = F.col("block") * block_words
     begin = F.greatest(F.col("start") - offset, F.lit(0).cast("long"))
     end = F.col("stop") - offset
     words = F.aggregate(
-        "limits",
+        "turns",
         F.lit(0).cast("long"),
-        lambda acc, lim: acc + F.greatest(F.least(end, lim) - begin, F.lit(0).cast("long")),
+        lambda acc, turn: acc + F.greatest(F.least(end, turn["limit"]) - begin, F.lit(0).cast("long")),
     )
+    # slots of a source rise with its blocks, so a document starts where its first block does
+    met = F.filter("turns", lambda turn: turn["limit"] > begin)
+    first_block = F.col("block") == F.floor(F.col("start") / block_words)
+    at = F.when(first_block, F.transform(met, lambda turn: turn["slot"]))
     joined = pieces.join(taken_blocks, ["source_index", "block"], "left")
     keys = ["source_index", "start", "id", "size", "source_size", "target"]
-    mixed = joined.groupBy(*keys).agg(F.coalesce(F.sum(words), F.lit(0)).alias("taken"))
-    blank = rows.where("size = 0").withColumn("taken", F.lit(0).cast("long"))
-    columns = [F.col("id").alias(id_column), "size", "source_size", "target", "taken"]
+    none = F.array().cast("array<bigint>")
+    mixed = joined.groupBy(*keys).agg(
+        F.coalesce(F.sum(words), F.lit(0)).alias("taken"), F.coalesce(F.max(at), none).alias("slots")
+    )
+    blank = rows.where("size = 0").withColumns({"taken": F.lit(0).cast("long"), "slots": none})
+    columns = [F.col("id").alias(id_column), "size", "source_size", "target", "taken", "slots"]
     return mixed.select(*columns).unionByName(blank.select(*columns))
 
 
 def apply_mix(docs: DataFrame, **options) -> DataFrame:
-    """The documents as often as the mix takes them, all columns as they are.
+    """The documents as often as the mix takes them, all columns as they are, in slot order.
 
-    The one document of a source where the mix ends comes with the words that are
-    still taken, joined by single spaces, and with its own ``n_chars``.
+    Rows are sorted by the slot at which each time begins, in ranges over the partitions,
+    so a stretch of the result holds the sources in their proportions.  The one document
+    of a source where the mix ends comes with the words that are still taken, joined by
+    single spaces, and with its own ``n_chars``.
     """
     row = "__row"
     while row in docs.columns:
         row += "_"
     numbered = Stored(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
-    counts = Stored(
-        mix(numbered.df, id_column=row, **options).select(row, "size", "taken").where("taken > 0"), "taken"
-    )
-    size, taken, nth, words = (f"{row}_{c}" for c in ("size", "taken", "nth", "words"))
-    counted = maybe_broadcast(counts).toDF(row, size, taken)
-    copies = F.explode(F.sequence(F.lit(1).cast("long"), F.ceil(F.col(taken) / F.col(size)).cast("long")))
-    rows = numbered.df.join(counted, row).withColumn(nth, copies)
-    cut = F.col(taken) < F.col(nth) * F.col(size)
-    some = F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), (F.col(taken) % F.col(size)).cast("int"))
-    rows = rows.withColumn(words, F.when(cut, F.array_join(some, " ")))
+    hashed = [f.name for f in docs.schema if "map" not in f.dataType.simpleString() and f.dataType.simpleString() != "variant"]
+    drawn = mix(numbered.df, id_column=row, draw_by=tuple(hashed), **options)
+    counts = Stored(drawn.select(row, "size", "taken", "slots").where("taken > 0"), "taken")
+    size, taken, slots, nth, slot, words = (f"{row}_{c}" for c in ("size", "taken", "slots", "nth", "slot", "words"))
+    counted = maybe_broadcast(counts).toDF(row, size, taken, slots)
+    rows = numbered.df.join(counted, row).select("*", F.posexplode(slots).alias(nth, slot))
+    left = F.col(taken) - F.col(nth) * F.col(size)
+    some = F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), left.cast("int"))
+    rows = rows.withColumn(words, F.when(left < F.col(size), F.array_join(some, " ")))
     replaced = {"text": F.coalesce(F.col(words), F.col("text"))}
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
         replaced["n_chars"] = F.coalesce(F.length(words).cast(kind), F.col("n_chars"))
-    return rows.withColumns(replaced).select(*docs.columns)
+    order = [slot, *(c for c in ("doc_id",) if c in docs.columns)]
+    ordered = rows.withColumns(replaced).repartitionByRange(*order).sortWithinPartitions(*order)
+    return ordered.select(*docs.columns)
