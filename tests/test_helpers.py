@@ -8,6 +8,7 @@ import pytest
 
 from traceless.operators import discovery as D
 from traceless.operators import ledger as H
+from traceless.operators import passages as P
 from traceless.operators import stores as X
 from traceless.operators.ranking import group_rank, running_sum
 from traceless.sources import documents as S
@@ -54,6 +55,23 @@ def test_corpus_scan_finds_every_containment(spark):
     assert got == {(p, d) for p, s in passages if s for d, t in docs if s in t}
 
 
+@pytest.mark.parametrize("limit", [1 << 25, -1])
+def test_corpus_scan_of_short_passages(spark, monkeypatch, limit):
+    """Byte grams find passages of any length, with broadcasts and with shuffles and shards."""
+    monkeypatch.setattr(P, "BROADCAST_BYTES", limit)
+    rng = random.Random(6)
+    letters = "ab\u00e9\u4e16 \n"
+    docs = [(i, "".join(rng.choices(letters, k=rng.randint(0, 40)))) for i in range(80)] + [(90, None), (91, ""), (92, "ab" * 3000)]
+    passages = [(i, "".join(rng.choices(letters, k=rng.randint(1, 12)))) for i in range(40)] + [(98, None), (99, ""), (97, "ba" * 9)]
+    frames = [spark.createDataFrame(docs, "doc_id long, text string").repartition(5), spark.createDataFrame(passages, "passage_id long, passage string")]
+    got = [tuple(r) for r in X.scan_corpus_text(*frames).collect()]
+    want = [(p, d) for p, s in passages if s for d, t in docs if t and s in t]
+    assert sorted(got) == sorted(want) and len(want) > 60
+    plan = X.scan_corpus_text(*frames)._jdf.queryExecution().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    assert X.scan_corpus_text(frames[0], frames[1].limit(0)).count() == 0 and X.scan_corpus_text(frames[0].limit(0), frames[1]).count() == 0
+
+
 def test_active_discovery_matches_a_simulation(spark):
     rng = random.Random(9)
     graphs, probes = [f"g{i}" for i in range(9)], {f"p{i}": rng.randint(1, 4) for i in range(5)}

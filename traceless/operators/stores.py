@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from traceless.operators.audit import Audit
+from traceless.operators.passages import scan_corpus_text  # noqa: F401
 from traceless.plans.workspace import Stored
 
 # Artifact type and edge kind of each registered store kind.
@@ -195,51 +196,6 @@ def scan_corpus_tokens(documents: DataFrame, identifiers: DataFrame, text: str =
     return tokens.join(wanted, "token").select("identifier", "doc_id").distinct()
 
 
-ANCHOR_EVERY = 8
-
-
-def _anchors(text: str, inner: bool) -> Column:
-    """Distinct hashes of the word triples in the anchor class; ``inner`` skips the edge words.
-
-    The triples come from zipping the word array with its own shifts, so the
-    text is split a fixed number of times, not once per triple.
-    """
-    words = F.split(text, r"\s+")
-    if inner:
-        words = F.slice(words, F.lit(2), F.greatest(F.size(words) - 2, F.lit(0)))
-    shifted = [F.slice(words, F.lit(n), F.size(words)) for n in (2, 3)]
-    pairs = F.zip_with(words, shifted[0], lambda x, y: F.concat(x, F.lit(" "), y))
-    triples = F.zip_with(pairs, shifted[1], lambda x, y: F.xxhash64(F.concat(x, F.lit(" "), y)))
-    complete = F.slice(triples, F.lit(1), F.greatest(F.size(words) - 2, F.lit(0)))
-    return F.array_distinct(F.filter(complete, lambda h: F.pmod(h, F.lit(ANCHOR_EVERY)) == 0))
-
-
-def scan_corpus_text(documents: DataFrame, passages: DataFrame, text: str = "text") -> DataFrame:
-    """(passage_id, doc_id) of documents that contain a passage verbatim.
-
-    The inner words of a contained passage are whole words of the document, so
-    both sides share the passage's inner word triples.  One anchor triple per
-    passage is the join key; only documents with that triple are compared in
-    full.  Passages without an anchor (too short) are tested directly.
-    """
-    keyed = passages.withColumn("key", F.array_min(_anchors("passage", True)))
-    keyed = Stored(keyed.where(F.length("passage") > 0), "passages").df
-    emitted = documents.select("doc_id", F.explode(_anchors(text, False)).alias("key"))
-    anchored = keyed.where(F.col("key").isNotNull())
-    candidates = emitted.join(anchored.select("key", "passage_id"), "key").select("doc_id", "passage_id").distinct()
-    found = (
-        candidates.join(documents.select("doc_id", text), "doc_id")
-        .join(anchored.select("passage_id", "passage"), "passage_id")
-        .where(F.contains(F.col(text), F.col("passage")))
-        .select("passage_id", "doc_id")
-    )
-    short = keyed.where(F.col("key").isNull()).drop("key")
-    if short.isEmpty():
-        return found
-    direct = documents.select("doc_id", text).join(short, F.contains(F.col(text), F.col("passage")))
-    return found.unionByName(direct.select("passage_id", "doc_id"))
-
-
 def corpus_residuals(subjects: DataFrame, hits: DataFrame, root_present: bool) -> DataFrame:
     """Tri-state residue per identifier; unknown (null) when the corpus root is missing."""
     found = hits.select("identifier").distinct().withColumn("hit", F.lit(True))
