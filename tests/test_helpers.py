@@ -4,9 +4,11 @@ import hashlib
 import random
 from itertools import groupby
 
+import numpy as np
 import pytest
 
 from traceless.operators import discovery as D
+from traceless.operators import influence as M
 from traceless.operators import ledger as H
 from traceless.operators import passages as P
 from traceless.operators import stores as X
@@ -72,6 +74,30 @@ def test_corpus_scan_of_short_passages(spark, monkeypatch, limit):
     assert X.scan_corpus_text(frames[0], frames[1].limit(0)).count() == 0 and X.scan_corpus_text(frames[0].limit(0), frames[1]).count() == 0
 
 
+@pytest.mark.parametrize("spread, share", [(0.02, 0.4), (5.0, 1.01)])
+def test_nearest_member_by_pivot_cells(spark, spread, share):
+    """Equal to all products, of which vectors with structure need a fraction."""
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(12, 8))
+    values = centres[rng.integers(12, size=600)] + spread * rng.normal(size=(600, 8))
+    values[5] = 0.0
+    values[7] = values[6]
+    member = rng.random(600) < 0.5
+    rows = [(i, v.tolist(), bool(m)) for i, (v, m) in enumerate(zip(values, member))]
+    df = spark.createDataFrame(rows, "vec_id long, v array<double>, member boolean")
+    got = {r.vec_id: r for r in M.nearest_member_work(df, "vec_id", "v", "member", 16).collect()}
+    unit = values / np.maximum(np.linalg.norm(values, axis=1), 1e-12)[:, None]
+    cosine = unit @ unit.T
+    np.fill_diagonal(cosine, -np.inf)
+    want = cosine[:, member].max(axis=1)
+    assert sorted(got) == list(range(600))
+    assert all(abs(got[i].cosine - want[i]) < 1e-9 for i in got)
+    assert sum(r.products for r in got.values()) <= share * 600 * member.sum()
+    assert M.nearest_member(df.where("vec_id < 0"), "vec_id", "v", "member").count() == 0
+    alone = df.where("vec_id < 3").withColumn("member", M.F.col("vec_id") == 1)
+    assert {r.vec_id for r in M.nearest_member(alone, "vec_id", "v", "member").collect()} == {0, 2}
+
+
 def test_active_discovery_matches_a_simulation(spark):
     rng = random.Random(9)
     graphs, probes = [f"g{i}" for i in range(9)], {f"p{i}": rng.randint(1, 4) for i in range(5)}

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from traceless.functions.statistics import ratio
 from traceless.functions.vectors import as_vector, component_sums, dot, doubles, squared_distance, total, unit
-from traceless.operators.ranking import running_sum
+from traceless.operators.ranking import group_rank, running_sum
+from traceless.plans.workspace import Stored
 
 
 def score_statistics(df: DataFrame, logits: str) -> DataFrame:
@@ -137,36 +138,125 @@ def l2_normalize(df: DataFrame, column: str) -> DataFrame:
     return df.withColumn(column, unit(doubles(column)))
 
 
-def nearest_member(vectors: DataFrame, id_col: str, column: str, member: str, block_rows: int = 2048) -> DataFrame:
-    """Largest cosine to a member, a member's own vector excluded.
+#: Most pivots, and most blocks of members, that routing tasks get.
+MAX_PIVOTS = 1024
+MAX_BLOCKS = 65_536
+#: Queries of one matrix product's group, and slack in radians for rounded angles.
+QUERY_ROWS = 65_536
+SLACK = 1e-6
 
-    Exact: rows are hashed into blocks of about ``block_rows`` and every pair of
-    a query block and a gallery block is one bounded matrix product that returns
-    one number per query, never the pairs themselves.
+
+def _angles(vectors: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(vectors @ pivots.T, -1.0, 1.0))
+
+
+def _products(queries: DataFrame, blocks: DataFrame, id_col: str, shards: int) -> DataFrame:
+    """``(id, cosine, products)``: the best of every routed query, one group per block and query shard."""
+    kind = queries.schema[id_col].dataType.simpleString()
+    every = F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard")
+    left = queries.withColumn("shard", F.pmod(F.xxhash64(id_col), F.lit(shards)).cast("int"))
+    right = blocks.select("cell", "block", id_col, "v", every)
+
+    def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if a.empty or b.empty:
+            return pd.DataFrame({id_col: a[id_col][:0], "cosine": np.zeros(0), "products": np.zeros(0, dtype=np.int64)})
+        gallery, names, top = np.stack(b["v"].to_numpy()), b[id_col].to_numpy(), []
+        for start in range(0, len(a), 1024):
+            part = a.iloc[start : start + 1024]
+            products = np.stack(part["v"].to_numpy()) @ gallery.T
+            products[part[id_col].to_numpy()[:, None] == names[None, :]] = -np.inf
+            top.append(products.max(axis=1))
+        return pd.DataFrame({id_col: a[id_col].to_numpy(), "cosine": np.concatenate(top), "products": np.int64(len(b))})
+
+    keys = ["cell", "block", "shard"]
+    met = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(best, f"`{id_col}` {kind}, cosine double, products long")
+    return met.groupBy(id_col).agg(F.max("cosine").alias("cosine"), F.sum("products").alias("products"))
+
+
+def nearest_member_work(vectors: DataFrame, id_col: str, column: str, member: str, block_rows: int = 4096) -> DataFrame:
+    """``(id, cosine, products)``: largest cosine to a member and the number of products it took.
+
+    Members fall to the nearest of some pivots (members with the least hashes) and, in the
+    order of their angle to it, into blocks of about ``block_rows``.  A query first meets
+    the block around its own angle at its nearest pivot.  The angle of the best member found
+    there bounds the others: a block whose angles to its pivot all differ by more from the
+    query's own angle to that pivot can't hold a nearer one.  Queries go to the blocks that
+    are left.  Vectors without structure leave nearly all blocks; results are exact always.
     """
-    unitised = vectors.select(id_col, member, unit(doubles(column)).alias("v"))
-    rows = unitised.count()
-    blocks = max(1, math.ceil(rows / block_rows))
-    block = F.pmod(F.xxhash64(id_col), F.lit(blocks)).cast("int")
-    marked = unitised.withColumn("block", block)
-    every = F.sequence(F.lit(0), F.lit(blocks - 1))
-    queries = marked.withColumnRenamed("block", "qb").withColumn("gb", F.explode(every))
-    gallery = marked.where(member).withColumnRenamed("block", "gb").withColumn("qb", F.explode(every))
-
-    def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return pd.DataFrame({id_col: pd.Series(dtype="int64"), "cosine": pd.Series(dtype="float64")})
-        products = np.stack(left["v"].to_numpy()) @ np.stack(right["v"].to_numpy()).T
-        same = left[id_col].to_numpy()[:, None] == right[id_col].to_numpy()[None, :]
-        products[same] = -np.inf
-        return pd.DataFrame({id_col: left[id_col], "cosine": products.max(axis=1)})
-
-    partial = (
-        queries.groupBy("qb", "gb")
-        .cogroup(gallery.groupBy("qb", "gb"))
-        .applyInPandas(best, f"{id_col} long, cosine double")
-    )
-    return partial.groupBy(id_col).agg(F.max("cosine").alias("cosine"))
+    rows = Stored(vectors.select(id_col, member, unit(doubles(column)).alias("v")).where("v is not null"), "unit-vectors")
+    total, n = rows.df.count(), rows.df.where(member).count()
+    size = max(block_rows, math.ceil(n / MAX_BLOCKS))
+    shards = max(1, math.ceil(total / QUERY_ROWS))
+    if n <= size:  # one block: nothing to route
+        one = rows.df.withColumns({"cell": F.lit(0), "block": F.lit(0)})
+        return _products(one.drop(member), one.where(member), id_col, shards).where(F.col("cosine") > float("-inf"))
+    first = rows.df.where(member).orderBy(F.xxhash64(id_col), id_col).limit(max(1, min(MAX_PIVOTS, math.ceil(n / size))))
+    pivots = np.array([row.v for row in first.select("v").collect()])
+    kind = vectors.schema[id_col].dataType.simpleString()
+
+    def place(batches):
+        for pdf in batches:
+            if len(pdf):
+                angles = _angles(np.stack(pdf["v"].to_numpy()), pivots)
+                cell = angles.argmin(axis=1)
+                yield pdf.assign(cell=cell.astype("int32"), angle=angles[np.arange(len(pdf)), cell])[[id_col, "v", "cell", "angle"]]
+
+    cells = rows.df.where(member).select(id_col, "v").mapInPandas(place, f"`{id_col}` {kind}, v array<double>, cell int, angle double")
+    cells = Stored(cells, "member-cells")
+    ranked = group_rank(cells.df.select(id_col, "cell", "angle"), ["cell"], ["angle", id_col], "nth")
+    block = F.floor((F.col("nth") - 1) / size).cast("int").alias("block")
+    named = ranked.select(F.col(id_col).alias("member_id"), F.col("cell").alias("of_cell"), "angle", block)
+    named = Stored(named, "member-blocks")
+    same = F.col(id_col) == F.col("member_id")
+    members = Stored(cells.df.select(id_col, "v", "cell").join(named.df.select("member_id", "block"), same), "blocks").df
+    bounds = named.df.groupBy(F.col("of_cell").alias("cell"), "block").agg(F.min("angle").alias("low"), F.max("angle").alias("high"))
+    bounds = bounds.orderBy("cell", "block").toPandas()  # MAX_BLOCKS + MAX_PIVOTS rows at most
+    cell, low, high = (bounds[c].to_numpy() for c in ("cell", "low", "high"))
+    number = bounds["block"].to_numpy()
+
+    def apart(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Least angle that each block allows, and the block of the first visit."""
+        angles = _angles(vectors, pivots)
+        at = angles[:, cell]
+        away = np.maximum(np.maximum(at - high, low - at), 0.0)
+        home = angles[:, np.unique(cell)].argmin(axis=1)
+        return away, np.where(cell[None, :] == np.unique(cell)[home][:, None], away, np.inf).argmin(axis=1)
+
+    routed = f"`{id_col}` {kind}, v array<double>, cell int, block int"
+
+    def send(pdf: pd.DataFrame, query: np.ndarray, target: np.ndarray) -> pd.DataFrame:
+        part = pdf.iloc[query]
+        return pd.DataFrame({id_col: part[id_col].to_numpy(), "v": part["v"].to_numpy(), "cell": cell[target], "block": number[target]})
+
+    def visit_first(batches):
+        for pdf in batches:
+            for start in range(0, len(pdf), 64):
+                part = pdf.iloc[start : start + 64]
+                yield send(part, np.arange(len(part)), apart(np.stack(part["v"].to_numpy()))[1])
+
+    def visit_rest(batches):
+        for pdf in batches:
+            for start in range(0, len(pdf), 64):
+                part = pdf.iloc[start : start + 64]
+                away, home = apart(np.stack(part["v"].to_numpy()))
+                reach = np.arccos(np.clip(part["cosine"].to_numpy(), -1.0, 1.0)) + SLACK
+                left = away <= reach[:, None]
+                left[np.arange(len(part)), home] = False
+                yield send(part, *np.nonzero(left))
+
+    queries = rows.df.select(id_col, "v")
+    near = Stored(_products(queries.mapInPandas(visit_first, routed), members, id_col, shards), "first-visit")
+    bounded = near.df.select(F.col(id_col).alias("near_id"), "cosine")
+    known = queries.join(bounded, F.col(id_col) == F.col("near_id")).select(id_col, "v", "cosine")
+    rest = _products(known.mapInPandas(visit_rest, routed), members, id_col, shards)
+    both = near.df.unionByName(rest).groupBy(id_col)
+    best = both.agg(F.max("cosine").alias("cosine"), F.sum("products").alias("products"))
+    return best.where(F.col("cosine") > float("-inf"))  # the only member has no other
+
+
+def nearest_member(vectors: DataFrame, id_col: str, column: str, member: str, block_rows: int = 4096) -> DataFrame:
+    """Largest cosine to a member, a member's own vector excluded; see ``nearest_member_work``."""
+    return nearest_member_work(vectors, id_col, column, member, block_rows).select(id_col, "cosine")
 
 
 def identity_cohesion(vectors: DataFrame, label: str, column: str, width: int) -> DataFrame:
