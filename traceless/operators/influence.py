@@ -188,8 +188,9 @@ def nearest_member_work(vectors: DataFrame, id_col: str, column: str, member: st
     size = max(block_rows, math.ceil(n / MAX_BLOCKS))
     shards = max(1, math.ceil(total / QUERY_ROWS))
     if n <= size:  # one block: nothing to route
-        one = rows.df.withColumns({"cell": F.lit(0), "block": F.lit(0)})
-        return _products(one.drop(member), one.where(member), id_col, shards).where(F.col("cosine") > float("-inf"))
+        one = {"cell": F.lit(0), "block": F.lit(0)}
+        queries, members = rows.df.drop(member).withColumns(one), rows.df.where(member).withColumns(one)
+        return _products(queries, members, id_col, shards).where(F.col("cosine") > float("-inf"))
     first = rows.df.where(member).orderBy(F.xxhash64(id_col), id_col).limit(max(1, min(MAX_PIVOTS, math.ceil(n / size))))
     pivots = np.array([row.v for row in first.select("v").collect()])
     kind = vectors.schema[id_col].dataType.simpleString()
