@@ -12,7 +12,7 @@ from traceless.operators import influence as M
 from traceless.operators import ledger as H
 from traceless.operators import passages as P
 from traceless.operators import stores as X
-from traceless.operators.ranking import group_rank, running_sum
+from traceless.operators.ranking import exact_percentile, group_rank, running_sum
 from traceless.sources import documents as S
 
 
@@ -98,6 +98,18 @@ def test_nearest_member_by_pivot_cells(spark, spread, share):
     assert {r.vec_id for r in M.nearest_member(alone, "vec_id", "v", "member").collect()} == {0, 2}
 
 
+@pytest.mark.parametrize("share", [0.0, 0.3, 0.5, 1.0])
+def test_exact_percentile_equals_the_built_in(spark, share):
+    rng = random.Random(4)
+    rows = [(rng.choice(["hot", "hot", "hot", "b", None]), rng.choice([None, rng.random(), 0.25, -3e9])) for _ in range(700)]
+    df = spark.createDataFrame(rows + [("alone", 4.5), ("void", None)], "g string, v double")
+    want = {r.g: r.p for r in df.groupBy("g").agg(M.F.percentile("v", M.F.lit(share)).alias("p")).collect()}
+    assert {r.g: r.p for r in exact_percentile(df, ["g"], "v", share, "p").collect()} == want
+    whole = df.agg(M.F.percentile("v", M.F.lit(share)).alias("p")).first().p
+    assert [r.p for r in exact_percentile(df, [], "v", share, "p").collect()] == [whole]
+    assert [r.p for r in exact_percentile(df.limit(0), [], "v", share, "p").collect()] == [None]
+
+
 def test_active_discovery_matches_a_simulation(spark):
     rng = random.Random(9)
     graphs, probes = [f"g{i}" for i in range(9)], {f"p{i}": rng.randint(1, 4) for i in range(5)}

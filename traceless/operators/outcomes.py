@@ -17,6 +17,8 @@ from traceless.functions.statistics import (
     scramble,
     wilson95,
 )
+from traceless.operators.ranking import exact_percentile
+from traceless.plans.workspace import Stored
 
 Gate = tuple[str, str, str, float]  # gate name, metric column, "<=" / ">=" / "==", threshold
 
@@ -284,9 +286,9 @@ def survey_decision(
     scores: DataFrame, answers: DataFrame, min_participants: int = 10, min_accuracy: float = 0.8
 ) -> DataFrame:
     """Sample size, median time in seconds and the overall decision."""
-    people = answers.agg(
-        F.countDistinct("participant_id").alias("participants"),
-        (F.percentile("completion_ms", F.lit(0.5)) / 1000.0).alias("median_seconds"),
+    median = exact_percentile(answers, [], "completion_ms", 0.5, "median")
+    people = answers.agg(F.countDistinct("participant_id").alias("participants")).crossJoin(
+        F.broadcast(median.select((F.col("median") / 1000.0).alias("median_seconds")))
     )
     lowest = scores.agg(F.min("accuracy").alias("lowest"))
     return people.crossJoin(F.broadcast(lowest)).select(
@@ -594,6 +596,8 @@ def temporal_metrics(trials: DataFrame) -> DataFrame:
 
 def sweep_summary(rows: DataFrame) -> DataFrame:
     """Extremes and means over a per-subject sweep."""
+    rows = Stored(rows, "sweep").df
+    median = exact_percentile(rows, [], "stale_probability", 0.5, "stale_probability_median")
     return rows.agg(
         F.count(F.lit(1)).alias("subjects"),
         F.count_if("passed").alias("passed_subjects"),
@@ -602,9 +606,8 @@ def sweep_summary(rows: DataFrame) -> DataFrame:
         F.avg("accuracy_delta").alias("accuracy_delta_mean"),
         F.min("accuracy_delta").alias("accuracy_delta_min"),
         F.max("stale_probability").alias("stale_probability_max"),
-        F.percentile("stale_probability", F.lit(0.5)).alias("stale_probability_median"),
         F.min("stale_probability").alias("stale_probability_min"),
-    )
+    ).crossJoin(F.broadcast(median))
 
 
 def failed_subjects(rows: DataFrame) -> DataFrame:

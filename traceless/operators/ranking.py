@@ -44,6 +44,32 @@ def running_sum(
     return _shift(slices, summed, keys, {name: F.sum(c) for name, c in values.items()})
 
 
+def exact_percentile(df: DataFrame, keys: list[str], value: str, share: float, name: str) -> DataFrame:
+    """``(*keys, name)``: the percentile that ``F.percentile`` gives, without a buffer per group.
+
+    Values are ranked in range slices, so a group of any size is spread over many tasks; the
+    two values around the wanted place are kept.  Null values don't count, a group without
+    values has a null, and no keys means one row for the table.
+    """
+    by = ["of"] if keys else []
+    group = [F.struct(*keys).alias("of")] if keys else []  # equal where keys are null, too
+    rows = Stored(df.select(*group, F.col(value).cast("double").alias("v")), "percentile")
+    counts = Stored(rows.df.groupBy(*by).agg(F.count("v").alias("n")), "percentile-counts")
+    place = (F.col("n") - 1) * F.lit(share)
+    wanted = counts.df.where("n > 0").select(*by, place.alias("place"))
+    ranked = group_rank(rows.df.where(F.col("v").isNotNull()), by, ["v"], "position").withColumn("at", F.col("position") - 1)
+    placed = ranked.join(wanted, by) if keys else ranked.crossJoin(F.broadcast(wanted))
+    first, last = (F.col("at") == step("place") for step in (F.floor, F.ceil))
+    found = placed.where(first | last).groupBy(*by, "place").agg(
+        F.min(F.when(first, F.col("v"))).alias("low"), F.max(F.when(last, F.col("v"))).alias("high")
+    )
+    between = (F.ceil("place") - F.col("place")) * F.col("low") + (F.col("place") - F.floor("place")) * F.col("high")
+    result = F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(between).alias(name)
+    empty = counts.df.where("n = 0").select(*by, F.lit(None).cast("double").alias(name))
+    columns = [*(f"of.{k}" for k in keys), name]
+    return found.select(*by, result).unionByName(empty).select(*columns)
+
+
 def _shift(slices: DataFrame, numbered: DataFrame, keys: list[str], totals: dict) -> DataFrame:
     """Add the totals of a group's earlier slices to the in-slice values."""
     per_slice = slices.groupBy(*keys, "slice").agg(

@@ -13,7 +13,7 @@ from traceless.functions.choices import all_smallest, cheapest
 from traceless.functions.lattice import blocks, chosen, has, membership, shift_left, subset_key, subsets_in_block
 from traceless.operators.closing import closing_sets
 from traceless.operators.pathgraph import PathGraph, Variants, apply_actions, bit_counts, evaluate_requests
-from traceless.operators.ranking import group_rank
+from traceless.operators.ranking import exact_percentile, group_rank
 from traceless.plans.workspace import Stored, union_stored
 
 MAX_EXACT = 12
@@ -441,8 +441,8 @@ def _solve_hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def calibrate_costs(measurements: DataFrame, by: str) -> DataFrame:
     """Integer cost per action: millionths of the median seconds, at least one."""
-    median = F.percentile("seconds", F.lit(0.5))
-    return measurements.groupBy(by).agg(F.greatest(F.lit(1), F.bround(median * 1e6, 0).cast("long")).alias("cost"))
+    median = exact_percentile(measurements, [by], "seconds", 0.5, "median")
+    return median.select(by, F.greatest(F.lit(1), F.bround(F.col("median") * 1e6, 0).cast("long")).alias("cost"))
 
 
 def model_remediation(checks: DataFrame, residuals: DataFrame, status: DataFrame, timings: DataFrame) -> DataFrame:
