@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from traceless.functions.lattice import both, shift_left, without
 from traceless.operators.ranking import group_rank
-from traceless.plans.workspace import Stored, union_stored
+from traceless.plans.workspace import Stored, shuffled, union_stored
 
 
 @dataclass(frozen=True)
@@ -82,7 +82,7 @@ def _positions(checkpoints: DataFrame) -> DataFrame:
 
 def pack_traces(traces: DataFrame, checkpoints: DataFrame, keys: Sequence[str], flat: bool = False) -> DataFrame:
     """One long per (keys, probe): bit (bucket-1)*width + checkpoint rank; ``flat`` keeps only "any bit"."""
-    placed = traces.join(_positions(checkpoints), ["probe_id", "node_id"])
+    placed = traces.join(F.broadcast(_positions(checkpoints)), ["probe_id", "node_id"])
     position = (F.col("bucket") - 1) * F.col("width") + F.col("place")
     too_long = F.raise_error(F.lit("a trace of more than 63 bits does not fit")).cast("long")
     position = F.when(position > 62, too_long).otherwise(position)
@@ -176,7 +176,7 @@ class VersionSpace:
             "graph-index",
         ).df
         self.predicted = predicted.join(self.index, "graph_id")
-        self.observed = observed.join(cases, "case_id")
+        self.observed = observed.join(shuffled(cases), "case_id")
         self.cases = cases
         self.signatures = signatures
         self.full = self.index.groupBy("block").agg(F.bit_or("own").alias("every"))
@@ -195,10 +195,11 @@ class VersionSpace:
 
     def survivors(self) -> DataFrame:
         """Label per (case, block); untouched or unverifiable cases keep every graph."""
-        labels = self.observed.join(self.compatible(), ["probe_id", "trace", "budget"])
+        compatible = Stored(self.compatible(), "compatible").df  # written, so that its size is known
+        labels = self.observed.join(compatible, ["probe_id", "trace", "budget"])
         kept = labels.groupBy("case_id", "block").agg(F.bit_and("label").alias("label"))
         every = self.cases.select("case_id", "evidence_ok").crossJoin(F.broadcast(self.full))
-        return every.join(kept, ["case_id", "block"], "left").select(
+        return every.join(shuffled(kept), ["case_id", "block"], "left").select(
             "case_id",
             "block",
             "evidence_ok",
@@ -222,7 +223,7 @@ class VersionSpace:
         first = labels.join(self.index, "block").where(both(F.col("label"), F.col("own")) != 0)
         counts = first.groupBy("case_id").agg(F.count(F.lit(1)).alias("n"), F.min("graph_id").alias("first_graph"))
         outside = (
-            labels.join(counts, "case_id")
+            labels.join(shuffled(counts), "case_id")
             .join(self._class_labels().withColumnRenamed("graph_id", "first_graph"), ["first_graph", "block"], "left")
             .groupBy("case_id")
             .agg(
@@ -232,9 +233,9 @@ class VersionSpace:
         seen = self.observed.groupBy("case_id").agg(F.bool_or(F.col("trace") != 0).alias("any_bit"))
         joined = (
             self.cases.select("case_id", "evidence_ok")
-            .join(counts, "case_id", "left")
-            .join(outside, "case_id", "left")
-            .join(seen, "case_id", "left")
+            .join(shuffled(counts), "case_id", "left")
+            .join(shuffled(outside), "case_id", "left")
+            .join(shuffled(seen), "case_id", "left")
         )
         verdict = (
             F.when(~F.col("evidence_ok"), "UNVERIFIED")
@@ -257,7 +258,7 @@ class VersionSpace:
         nearest = pairs.groupBy("probe_id", "trace").agg(
             F.min(F.struct(trace_distance(F.col("trace"), F.col("guess")).alias("distance"), "graph_id")).alias("near")
         )
-        joined = self.observed.join(lost, "case_id", "left_semi").join(nearest, ["probe_id", "trace"])
+        joined = self.observed.join(shuffled(lost), "case_id", "left_semi").join(nearest, ["probe_id", "trace"])
         key = F.struct("near.distance", "near.graph_id", "probe_id")
         return joined.groupBy("case_id").agg(F.min(key).alias("m")).select(
             "case_id", "m.distance", "m.graph_id", "m.probe_id"
@@ -309,7 +310,7 @@ def knowledge_states(survivors: DataFrame, used: DataFrame) -> DataFrame:
     """(case_id, graphs, used, state_id) from surviving graphs and used probes."""
     graphs = survivors.groupBy("case_id").agg(F.array_sort(F.collect_set("graph_id")).alias("graphs"))
     probes = used.groupBy("case_id").agg(F.array_sort(F.collect_set("probe_id")).alias("used"))
-    joined = graphs.join(probes, "case_id", "left").withColumn("used", F.coalesce("used", F.array().cast("array<string>")))
+    joined = graphs.join(shuffled(probes), "case_id", "left").withColumn("used", F.coalesce("used", F.array().cast("array<string>")))
     return joined.withColumn("state_id", _state_id())
 
 
@@ -344,14 +345,14 @@ def discover(
     for step in count(1) if max_steps is None else range(1, max_steps + 1):
         keyed = state.df.withColumn("state_id", _state_id())
         distinct = keyed.select("state_id", "graphs", "used").distinct()
-        choice = select_probe(distinct, predicted, probes, strategy)
+        choice = Stored(select_probe(distinct, predicted, probes, strategy), f"choice-{step}").df
         chosen_case = keyed.join(choice.select("state_id", "probe_id", "candidates"), "state_id")
         if strategy == "random":
             pick = F.pmod(F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(seed), "case_id", F.lit(step)), 256), 1, 8), 16, 10).cast("long"), F.size("candidates"))
             chosen_case = chosen_case.withColumn("probe_id", F.element_at("candidates", pick.cast("int") + 1))
         asked = chosen_case.select("case_id", "probe_id", "budget", "graphs", "used")
         answers = trace_oracle(asked.select("case_id", "probe_id")) if callable(trace_oracle) else trace_oracle
-        seen = asked.join(answers.select("case_id", "probe_id", "trace"), ["case_id", "probe_id"])
+        seen = asked.join(shuffled(answers.select("case_id", "probe_id", "trace")), ["case_id", "probe_id"])
         # Graphs ruled in by (probe, trace, budget): few distinct rows, joined back to the cases.
         fits = (
             seen.select("probe_id", "trace", "budget").distinct().join(guesses, "probe_id")
@@ -432,7 +433,7 @@ def replay_policy(policy: DataFrame, branches: DataFrame, cases: DataFrame, trac
         done.append(Stored(ended, f"policy-done-{step}"))
         asked = (
             here.where(F.col("action").isNull() & F.col("probe_id").isNotNull())
-            .join(trace_oracle.select("case_id", "probe_id", "trace"), ["case_id", "probe_id"], "left")
+            .join(shuffled(trace_oracle.select("case_id", "probe_id", "trace")), ["case_id", "probe_id"], "left")
             .join(branches, ["state", "trace"], "left")
             .select(
                 "case_id", F.col("next_state").alias("state"),
@@ -444,7 +445,7 @@ def replay_policy(policy: DataFrame, branches: DataFrame, cases: DataFrame, trac
             break
         current = moved
     ended = union_stored(done).withColumn("status", F.lit("ENDED"))
-    last = current.df.join(ended.select("case_id"), "case_id", "left_anti")
+    last = current.df.join(shuffled(ended.select("case_id")), "case_id", "left_anti")
     open_cases = last.select("case_id", F.lit(None).cast("string").alias("action"), "cost", "probes", F.lit("OPEN_AT_LIMIT").alias("status"))
     return ended.unionByName(open_cases)
 
@@ -478,7 +479,7 @@ def verify_discovery_log(
     ``log(case_id, step, probe_id, trace, before_graphs, after_graphs)``; the
     prefix of earlier observations is recomputed from the traces, not trusted.
     """
-    observations = log.join(cases.select("case_id", "budget"), "case_id")
+    observations = log.join(shuffled(cases.select("case_id", "budget")), "case_id")
     fits = (
         observations.select("probe_id", "trace", "budget").distinct()
         .join(predicted.select("probe_id", "graph_id", F.col("trace").alias("guess")), "probe_id")

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from traceless.functions.choices import BudgetExceeded, cheapest
 from traceless.functions.lattice import ALL, blocks, chosen, has, membership, subset_key, subsets_in_block, without
 from traceless.operators.remediation import MAX_EXACT, choice_arrays, numbered_choices
-from traceless.plans.workspace import Stored, union_stored
+from traceless.plans.workspace import Stored, shuffled, union_stored
 
 NO_TEXT = "array<string>"
 #: Monotone cases are searched whatever the number of their controls.
@@ -36,9 +36,9 @@ def coverage(transitions: DataFrame, sensors: DataFrame, observations: DataFrame
     seen = observations.where("verified")
     known = transitions.select(*keys, "transition_id").distinct()
     gaps = [
-        ("missing_sensors", sensors.select(*keys, "sensor_id").distinct().join(seen.select(*keys, "sensor_id"), [*keys, "sensor_id"], "left_anti"), "sensor_id"),
-        ("unobserved", known.join(seen.select(*keys, "transition_id"), [*keys, "transition_id"], "left_anti"), "transition_id"),
-        ("unregistered", observations.select(*keys, "transition_id").distinct().join(known, [*keys, "transition_id"], "left_anti"), "transition_id"),
+        ("missing_sensors", sensors.select(*keys, "sensor_id").distinct().join(shuffled(seen.select(*keys, "sensor_id")), [*keys, "sensor_id"], "left_anti"), "sensor_id"),
+        ("unobserved", known.join(shuffled(seen.select(*keys, "transition_id")), [*keys, "transition_id"], "left_anti"), "transition_id"),
+        ("unregistered", observations.select(*keys, "transition_id").distinct().join(shuffled(known), [*keys, "transition_id"], "left_anti"), "transition_id"),
         ("unverified", observations.where(~F.col("verified")), "obs_id"),
     ]
     rows = None
@@ -49,7 +49,7 @@ def coverage(transitions: DataFrame, sensors: DataFrame, observations: DataFrame
         *[F.array_sort(F.collect_list(F.when(F.col("gap") == n, F.col("item")))).alias(n) for n, _, _ in gaps]
     )
     cases = known.select(*keys).unionByName(sensors.select(*keys)).distinct()
-    out = cases.join(grouped, keys, "left")
+    out = cases.join(shuffled(grouped), keys, "left")
     lists = [F.coalesce(n, _empty()).alias(n) for n, _, _ in gaps]
     complete = F.lit(True)
     for n, _, _ in gaps:
@@ -80,14 +80,14 @@ def explored_states(
         if name not in steps.columns:
             steps = steps.withColumn(name, _empty())
     if guards is not None:
-        steps = steps.join(guards.select(*keys, "transition_id").distinct(), [*keys, "transition_id"], "left_anti")
+        steps = steps.join(shuffled(guards.select(*keys, "transition_id").distinct()), [*keys, "transition_id"], "left_anti")
     steps = Stored(steps.select(*keys, "transition_id", "requires", "adds", "removes", "forbids"), "steps").df
     residuals = residual.groupBy(*keys).agg(F.array_sort(F.collect_set("fact")).alias("residual"))
     own = F.col("max_states") if "max_states" in cases.columns else F.lit(None)
     first = (
         cases.select(*keys, F.coalesce(own.cast("long"), F.lit(max_states)).alias("cap"))
-        .join(initial.groupBy(*keys).agg(F.array_sort(F.collect_set("fact")).alias("state")), keys, "left")
-        .join(residuals, keys, "left")
+        .join(shuffled(initial.groupBy(*keys).agg(F.array_sort(F.collect_set("fact")).alias("state"))), keys, "left")
+        .join(shuffled(residuals), keys, "left")
         .select(
             *keys,
             F.coalesce("state", _empty()).alias("state"),
@@ -105,16 +105,16 @@ def explored_states(
             .agg(F.bool_or("hit").alias("over"), F.count(F.lit(1)).alias("n"), F.first("cap").alias("cap"))
             .where(F.col("over") | (F.col("n") > F.col("cap")))
         )
-        open_states = found[-1].df.join(closed.select(*keys), keys, "left_anti")
+        open_states = found[-1].df.join(shuffled(closed.select(*keys)), keys, "left_anti")
         enabled = (F.size(F.array_except("requires", "state")) == 0) & ~_meets("forbids", "state")
         after = F.array_sort(F.array_union(F.array_except("state", "removes"), "adds"))
         grown = (
-            open_states.join(steps, keys)
+            open_states.join(shuffled(steps), keys)
             .where(enabled)
             .select(*keys, after.alias("state"), "residual", "cap", F.concat("path", F.array("transition_id")).alias("path"))
             .groupBy(*keys, "state")
             .agg(F.min("path").alias("path"), F.first("residual").alias("residual"), F.first("cap").alias("cap"))
-            .join(everything.select(*keys, "state"), [*keys, "state"], "left_anti")
+            .join(shuffled(everything.select(*keys, "state")), [*keys, "state"], "left_anti")
             .withColumn("hit", _meets("state", "residual"))
             .select(*keys, "state", "residual", "path", "cap", "hit")
         )
@@ -146,11 +146,11 @@ def regeneration(
     place = F.struct(F.size("path").alias("length"), F.col("path").alias("path"))
     witness = states.where("hit").groupBy(*keys).agg(F.min(F.struct(place.alias("place"), "state")).alias("w"))
     counts = (
-        states.join(witness, keys, "left")
+        states.join(shuffled(witness), keys, "left")
         .groupBy(*keys)
         .agg(F.count_if(F.col("w").isNull() | (place <= F.col("w.place"))).alias("states"), F.first("cap").alias("cap"))
     )
-    joined = coverage_complete.select(*keys, "complete").join(witness, keys, "left").join(counts, keys, "left")
+    joined = coverage_complete.select(*keys, "complete").join(shuffled(witness), keys, "left").join(shuffled(counts), keys, "left")
     snapshot = F.col("w").isNotNull() & (F.col("w.place.length") == 0)
     risky = F.col("w").isNotNull() & ~snapshot
     exceeded = F.when(risky, F.col("states") - 1).otherwise(F.col("states")) > F.col("cap")

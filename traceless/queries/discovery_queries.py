@@ -9,8 +9,8 @@ from traceless.operators import pathgraph as G
 from traceless.operators import remediation as P
 from traceless.operators import temporal as E
 from traceless.plans import probe_tables  # noqa: F401
-from traceless.plans.catalog import data_state, table
-from traceless.plans.workspace import Stored
+from traceless.plans.catalog import data_state, sources_of, table
+from traceless.plans.workspace import Stored, shuffled
 from traceless.queries.outcome_queries import rounded
 from traceless.queries.registry import query
 from traceless.queries.request_queries import BASE_CTES, path_graph
@@ -47,9 +47,16 @@ def version_space(spark, sf, flat: bool = False) -> D.VersionSpace:
     return D.VersionSpace(flattened(predicted) if flat else predicted, observed, cases, signatures)
 
 
+_TRUTH: dict = {}
+
+
 def truth(spark, sf):
-    c = catalogue(spark, sf)
-    return D.pack_traces(table(spark, sf, "truth_traces"), c.checkpoints, ["case_id"])
+    """True traces, packed once; every step of a discovery reads them."""
+    key = (spark.sparkContext.applicationId, sf, data_state(spark, sf, sources_of("truth_traces")))
+    if key not in _TRUTH:
+        c = catalogue(spark, sf)
+        _TRUTH[key] = Stored(D.pack_traces(table(spark, sf, "truth_traces"), c.checkpoints, ["case_id"]), "truth")
+    return _TRUTH[key].df
 
 
 @query(
@@ -214,7 +221,7 @@ def discovery_log_check(spark, sf):
     every = F.array(*[F.lit(g) for g in sorted(probe_tables.GRAPHS)])
     log = run_discovery(spark, sf, "minimax")
     previous = log.select("case_id", (F.col("step") + 1).alias("step"), F.col("graphs").alias("before_graphs"))
-    recorded = log.join(previous, ["case_id", "step"], "left").select(
+    recorded = log.join(shuffled(previous), ["case_id", "step"], "left").select(
         "case_id", "step", "probe_id", "trace",
         F.coalesce("before_graphs", every).alias("before_graphs"),
         # A forged record: the version space after the step is left unchanged.

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from traceless.operators import temporal as E
 from traceless.plans.catalog import projection, table
 from traceless.plans.recovery_tables import names, required_sensors, workflow
+from traceless.plans.workspace import shuffled
 from traceless.queries.registry import query
 
 _COVERAGE = {
@@ -137,9 +138,9 @@ def scenarios(spark, sf):
     t = E.fan_out_scenarios(transitions, 3)
     i = E.fan_out_scenarios(initial, 3)
     ids = t.select("case_id", "scenario_id", "mutation_count").distinct()
-    r = residual.join(ids.select("case_id", "scenario_id"), "case_id")
+    r = residual.join(shuffled(ids.select("case_id", "scenario_id")), "case_id")
     base = case_coverage(spark, sf).select("case_id", "complete")
-    return t, i, r, ids.join(base, "case_id"), controls
+    return t, i, r, ids.join(shuffled(base), "case_id"), controls
 
 
 _SCENARIO = {
@@ -176,7 +177,7 @@ def scenario_fan_out(spark, sf):
 def adversarial_witness(spark, sf):
     t, i, r, c, _ = scenarios(spark, sf)
     reports = E.regeneration(t, i, r, c, ["case_id", "scenario_id"])
-    joined = reports.join(c.select("case_id", "scenario_id", "mutation_count"), ["case_id", "scenario_id"])
+    joined = reports.join(shuffled(c.select("case_id", "scenario_id", "mutation_count")), ["case_id", "scenario_id"])
     return E.shortest_adversarial_witness(joined).withColumn("witness", F.array_join("witness", ">"))
 
 
