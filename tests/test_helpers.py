@@ -43,6 +43,29 @@ def test_ordered_digest_folds_large_groups(spark, monkeypatch):
         assert got[g] == "sha256:" + level[0]
 
 
+def test_flat_digest_hashes_large_groups_as_one_text(spark, monkeypatch):
+    monkeypatch.setattr(H, "FAN", 4)
+    sizes = [("a", 3), ("b", 2100), (None, 9)]
+    rows = [(g, i, None if i == 5 else hashlib.sha256(f"{g}{i}".encode()).hexdigest()) for g, n in sizes for i in range(n)]
+    rows += [("empty", i, None) for i in range(9)] + [("none", 0, None)]
+    got = {r.g: r.root for r in H.ordered_digest(spark.createDataFrame(rows, "g string, o long, d string").repartition(5), ["g"], ["o"], "d", flat=True).collect()}
+    for g, _ in sizes:
+        text = ",".join(d for x, _, d in rows if x == g and d is not None)
+        assert got[g] == "sha256:" + hashlib.sha256(text.encode()).hexdigest()
+    assert got["empty"] is None and got["none"] is None and len(got) == 5
+
+
+def test_small_groups_of_commitments_take_one_shuffle(spark, monkeypatch):
+    written = []
+    kept = H.Stored
+    monkeypatch.setattr(H, "Stored", lambda df, label: written.append(label) or kept(df, label))
+    rows = [(g, i, "sha256:" + hashlib.sha256(f"{g}{i}".encode()).hexdigest()) for g in "ab" for i in range(30)]
+    got = {r.g: r.root for r in H.ordered_digest(spark.createDataFrame(rows, "g string, o long, d string"), ["g"], ["o"], "d").collect()}
+    for g in "ab":
+        assert got[g] == "sha256:" + hashlib.sha256(",".join(d for x, _, d in rows if x == g).encode()).hexdigest()
+    assert written == ["digest-large", "digest-roots"]  # no table of the rows themselves
+
+
 def test_corpus_scan_finds_every_containment(spark):
     rng = random.Random(5)
     words = ["ab", "cd", "ef", "gh", "ij", "kl"]

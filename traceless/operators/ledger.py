@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from traceless.functions.digests import PREFIX, commitment
 from traceless.operators.audit import Audit
@@ -16,34 +18,78 @@ from traceless.plans.workspace import Stored, union_stored
 FAN = 1024
 
 
-def ordered_digest(rows: DataFrame, by: Sequence[str], order: Sequence[str], digest: str, name: str = "root") -> DataFrame:
-    """One digest per group over its rows' digests in order.
+def ordered_digest(rows: DataFrame, by: Sequence[str], order: Sequence[str], digest: str, name: str = "root", flat: bool = False) -> DataFrame:
+    """One digest per group over its rows' digests in order; null digests don't count.
 
-    Groups larger than ``FAN`` rows are folded level by level in blocks of
-    ``FAN``, so no task ever holds more than one block of a group.
+    Groups up to ``FAN`` rows are collected and hashed in one shuffle.  Larger ones are folded
+    level by level in blocks of ``FAN``, so no task ever holds more than one block of a group.
+    ``flat`` hashes the comma-joined digests of a group of any size: SHA-256 of one text has to
+    go through it in order, so the sorted digests of a large group stream through a task.
     """
     by = list(by)
-    level = Stored(
-        group_rank(rows.select(*by, *order, digest), by, list(order), "place").select(
-            *by, "place", F.col(digest).alias("d")
-        ),
-        "digests",
-    ).df
+    keyed = rows.select(F.struct(*by).alias("of"), *[F.col(c).alias(f"o{i}") for i, c in enumerate(order)], F.col(digest).alias("d"))
+    places = [f"o{i}" for i in range(len(order))]
+    large = Stored(keyed.groupBy("of").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > FAN).select("of"), "digest-large")
+    several = not large.is_empty()
+    small = keyed.join(large.df, "of", "left_anti") if several else keyed
+    # Commitments travel as 32 bytes, other texts as they are.
+    known = F.col("d").rlike(f"^{PREFIX}[0-9a-f]{{64}}$")
+    packed = F.struct(*places, F.when(known, F.unhex(F.substring("d", len(PREFIX) + 1, 64))).alias("raw"), F.when(~known, F.col("d")).alias("text"))
+    sorted_rows = small.groupBy("of").agg(F.array_sort(F.collect_list(packed)).alias("o"))
+    texts = F.transform("o", lambda x: F.coalesce(x["text"], F.concat(F.lit(PREFIX), F.lower(F.hex(x["raw"])))))
+    texts = F.filter(texts, lambda x: x.isNotNull())
+    done = sorted_rows.select("of", F.when(F.size(texts) > 0, F.sha2(F.array_join(texts, ","), 256)).alias("d"))
+    if several:
+        rest = keyed.join(large.df, "of", "left_semi")
+        done = done.unionByName(_streamed(rest, places) if flat else _folded(rest, places))
+    return Stored(done.select("of.*", F.concat(F.lit(PREFIX), "d").alias(name)), "digest-roots").df
+
+
+def _streamed(rows: DataFrame, order: list[str]) -> DataFrame:
+    """``(of, d)``: the digest of every group's comma-joined digests, in constant memory."""
+    of = rows.schema["of"].dataType
+
+    def hashed(batches):
+        import hashlib
+
+        state = key = None
+        for batch in batches:
+            keys, digests = batch.column("key").to_pylist(), batch.column("d").to_pylist()
+            groups = batch.column("of")
+            for i, (k, d) in enumerate(zip(keys, digests)):
+                if state is None or k != key:
+                    if state is not None:
+                        yield pa.RecordBatch.from_arrays([kept, pa.array([state.hexdigest()])], ["of", "d"])
+                    state, key, kept = hashlib.sha256(d.encode()), k, groups.slice(i, 1)
+                else:
+                    state.update(b"," + d.encode())
+        if state is not None:
+            yield pa.RecordBatch.from_arrays([kept, pa.array([state.hexdigest()])], ["of", "d"])
+
+    present = rows.where(F.col("d").isNotNull()).select("of", F.to_json("of", {"ignoreNullFields": "false"}).alias("key"), *order, "d")
+    dealt = present.repartition("of").sortWithinPartitions("of", *order, "d").select("of", "key", "d")
+    schema = StructType([StructField("of", of), StructField("d", StringType())])
+    streamed = dealt.mapInArrow(hashed, schema)
+    return rows.select("of").distinct().join(streamed, "of", "left")
+
+
+def _folded(rows: DataFrame, order: list[str]) -> DataFrame:
+    """``(of, d)``: digests of groups as trees with ``FAN`` children."""
+    level = Stored(group_rank(rows, ["of"], order, "place").select("of", "place", "d"), "digests").df
     finished: list[Stored] = []
     while True:
         block = F.floor((F.col("place") - 1) / FAN)
         folded = (
             level.withColumn("block", block)
-            .groupBy(*by, "block")
+            .groupBy("of", "block")
             .agg(F.array_sort(F.collect_list(F.struct("place", "d"))).alias("o"))
-            .select(*by, (F.col("block") + 1).alias("place"), F.sha2(F.array_join("o.d", ","), 256).alias("d"))
+            .select("of", (F.col("block") + 1).alias("place"), F.sha2(F.array_join("o.d", ","), 256).alias("d"))
         )
         level = Stored(folded, "digest-blocks").df
         # Only groups with several blocks go on, so a root never depends on other groups.
-        open_groups = level.where(F.col("place") > 1).select(*by).distinct()
-        root = F.concat(F.lit(PREFIX), "d").alias(name)
-        finished.append(Stored(level.join(open_groups, by, "left_anti").select(*by, root), "digest-roots"))
-        rest = Stored(level.join(open_groups, by, "left_semi"), "digest-open")
+        open_groups = level.where(F.col("place") > 1).select("of").distinct()
+        finished.append(Stored(level.join(open_groups, "of", "left_anti").select("of", "d"), "digest-done"))
+        rest = Stored(level.join(open_groups, "of", "left_semi"), "digest-open")
         if rest.is_empty():
             return union_stored(finished)
         level = rest.df
