@@ -58,6 +58,25 @@ def test_exact_cover_matches_enumeration_beyond_one_block(spark):
         assert greedy[case].uncovered == len(left)
 
 
+def test_greedy_cover_of_small_subjects_needs_no_rounds(spark, monkeypatch):
+    rng = random.Random(8)
+    required = [(f"s{i}", f"a{i}-{j}") for i in range(12) for j in range(9)]
+    actions = [(f"s{i}", f"m{i}-{j}", rng.randint(1, 9), j != 3) for i in range(12) for j in range(7)]
+    covers = [(m, f"a{s[1:]}-{j}") for s, m, _, _ in actions for j in range(9) if rng.random() < 0.4]
+    frames = (
+        spark.createDataFrame(required, "subject_id string, artifact_id string"),
+        spark.createDataFrame(actions, "subject_id string, action_id string, cost long, permitted boolean"),
+        spark.createDataFrame(covers + covers[:5], "action_id string, artifact_id string"),
+    )
+    labels, kept = [], P.Stored
+    monkeypatch.setattr(P, "Stored", lambda df, label: labels.append(label) or kept(df, label))
+    at_once = sorted(P.greedy_cover(*frames).collect())
+    assert len(at_once) == 12 and not [x for x in labels if x.startswith(("greedy-", "uncovered-"))]
+    monkeypatch.setattr(P, "MAX_PAIRS", 20)
+    assert sorted(P.greedy_cover(*frames).collect()) == at_once
+    assert [x for x in labels if x.startswith("uncovered-")]
+
+
 def _evaluate(nodes, edges, channels, starts_static, sinks, required, chosen, effects, results):
     """Plain walk over one request; returns (verdict, violations, shortest)."""
     state = {**nodes, **{e[0]: e[3] for e in edges}}

@@ -14,13 +14,15 @@ from traceless.functions.lattice import blocks, chosen, has, membership, shift_l
 from traceless.operators.closing import closing_sets
 from traceless.operators.pathgraph import PathGraph, Variants, apply_actions, bit_counts, evaluate_requests
 from traceless.operators.ranking import exact_percentile, group_rank
-from traceless.plans.workspace import Stored, union_stored
+from traceless.plans.workspace import Stored, shuffled, union_stored
 
 MAX_EXACT = 12
 #: Permitted actions of a request up to which its closing set is exact if it names no limit.
 MAX_CLOSING = 24
 #: Permitted actions of a subject up to which a cover is solved exactly.
 MAX_COVER = 30
+#: Pairs of action and artifact of a subject up to which its greedy cover is solved as one row.
+MAX_PAIRS = 4096
 
 
 def required_artifacts(audit) -> DataFrame:
@@ -108,15 +110,75 @@ def _solve_covers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def greedy_cover(required: DataFrame, actions: DataFrame, covers: DataFrame) -> DataFrame:
-    """Repeatedly take the action with the least cost per newly covered artifact."""
+    """Repeatedly take the action with the least cost per newly covered artifact.
+
+    Subjects up to ``MAX_PAIRS`` pairs of action and artifact are a row each, solved where
+    they are after one shuffle.  Larger ones take a round of joins for each action.
+    """
     permitted = actions.where("permitted").select("subject_id", "action_id", "cost")
-    pairs = Stored(
-        covers.join(permitted, "action_id").join(required, ["subject_id", "artifact_id"], "left_semi"), "cover-pairs"
-    ).df
+    joined = covers.join(shuffled(permitted), "action_id").join(shuffled(required), ["subject_id", "artifact_id"], "left_semi")
+    pairs = Stored(joined.select("subject_id", "action_id", "cost", "artifact_id"), "cover-pairs").df
+    large = Stored(pairs.groupBy("subject_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > MAX_PAIRS).select("subject_id"), "cover-large")
+    several = not large.is_empty()
+    small = pairs.join(large.df, "subject_id", "left_anti") if several else pairs
+    rows = small.groupBy("subject_id").agg(F.collect_list(F.struct("action_id", "cost", "artifact_id")).alias("pairs"))
+    cost_type = {"bigint": "bigint", "int": "bigint", "smallint": "bigint", "tinyint": "bigint"}.get(pairs.schema["cost"].dataType.simpleString(), "double")
+    schema = f"{_typed(pairs, 'subject_id')}, action_ids array<string>, total_cost {cost_type}, covered bigint"
+    taken = rows.mapInArrow(_take_greedily(cost_type), schema)
+    if several:
+        taken = taken.unionByName(_cover_rounds(pairs.join(large.df, "subject_id", "left_semi")))
+    need = required.groupBy("subject_id").agg(F.count(F.lit(1)).alias("required"))
+    return need.join(shuffled(taken), "subject_id", "left").select(
+        "subject_id",
+        F.coalesce("action_ids", F.array().cast("array<string>")).alias("action_ids"),
+        F.coalesce("total_cost", F.lit(0)).alias("total_cost"),
+        F.coalesce("covered", F.lit(0)).alias("covered"),
+        (F.col("required") - F.coalesce("covered", F.lit(0))).alias("uncovered"),
+    )
+
+
+def _greedy_choice(pairs: list[dict]) -> tuple[list[str], float | int, int]:
+    """Actions, their cost and the number of artifacts they cover, for one subject."""
+    offers: dict[tuple, set] = {}
+    by_action: dict[str, set] = {}
+    for p in pairs:
+        if p["artifact_id"] is not None:
+            offers.setdefault((p["action_id"], p["cost"]), set()).add(p["artifact_id"])
+            by_action.setdefault(p["action_id"], set()).add(p["artifact_id"])
+    chosen_ids, total, covered = [], 0, 0
+    while offers:
+        (action, cost), gain = min(
+            offers.items(), key=lambda o: (o[0][1] is not None, 0 if o[0][1] is None else float(o[0][1]) / len(o[1]), o[0][0], o[0][1] or 0)
+        )
+        chosen_ids.append(action)
+        total += cost or 0
+        covered += len(gain)
+        gone = by_action[action]
+        offers = {o: kept for o, items in offers.items() if (kept := items - gone)}
+    return sorted(chosen_ids), total, covered
+
+
+def _take_greedily(cost_type: str):
+    """Greedy covers of a batch of subjects."""
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [_greedy_choice(pairs) for pairs in batch.column("pairs").to_pylist()]
+            ids, costs, covered = zip(*found) if found else ((), (), ())
+            columns = [
+                pa.array(ids, pa.list_(pa.string())), pa.array(costs, pa.int64() if cost_type == "bigint" else pa.float64()), pa.array(covered, pa.int64()),
+            ]
+            yield pa.RecordBatch.from_arrays([batch.column("subject_id"), *columns], ["subject_id", "action_ids", "total_cost", "covered"])
+
+    return solve
+
+
+def _cover_rounds(pairs: DataFrame) -> DataFrame:
+    """Greedy covers by one round of joins for each action, for subjects of any size."""
     chosen_rounds: list[Stored] = []
-    left = pairs
+    left = Stored(pairs.distinct(), "cover-left").df
     while True:
-        gains = left.groupBy("subject_id", "action_id", "cost").agg(F.countDistinct("artifact_id").alias("gain"))
+        gains = left.groupBy("subject_id", "action_id", "cost").agg(F.count("artifact_id").alias("gain"))
         pick = gains.groupBy("subject_id").agg(
             F.min(F.struct((F.col("cost") / F.col("gain")).alias("r"), "action_id", "cost", "gain")).alias("p")
         )
@@ -124,30 +186,16 @@ def greedy_cover(required: DataFrame, actions: DataFrame, covers: DataFrame) ->
         if round_.is_empty():
             break
         chosen_rounds.append(round_)
-        done = pairs.join(union_stored(chosen_rounds).select("subject_id", "action_id"), ["subject_id", "action_id"], "left_semi")
+        done = left.join(round_.df.select("subject_id", "action_id"), ["subject_id", "action_id"], "left_semi")
         left = Stored(
-            left.join(done.select("subject_id", "artifact_id"), ["subject_id", "artifact_id"], "left_anti"),
+            left.join(shuffled(done.select("subject_id", "artifact_id")), ["subject_id", "artifact_id"], "left_anti"),
             f"uncovered-{len(chosen_rounds)}",
         ).df
-    need = required.groupBy("subject_id").agg(F.count(F.lit(1)).alias("required"))
-    none = F.array().cast("array<string>")
-    if not chosen_rounds:
-        return need.select(
-            "subject_id", none.alias("action_ids"), F.lit(0).cast("long").alias("total_cost"),
-            F.lit(0).cast("long").alias("covered"), F.col("required").alias("uncovered"),
-        )
-    taken = union_stored(chosen_rounds).groupBy("subject_id").agg(
+    return union_stored(chosen_rounds).groupBy("subject_id").agg(
         F.array_sort(F.collect_list("action_id")).alias("action_ids"),
         F.sum("cost").alias("total_cost"),
         F.sum("gain").alias("covered"),
     )
-    return need.join(taken, "subject_id", "left").select(
-        "subject_id",
-        F.coalesce("action_ids", none).alias("action_ids"),
-        F.coalesce("total_cost", F.lit(0)).alias("total_cost"),
-        F.coalesce("covered", F.lit(0)).alias("covered"),
-        (F.col("required") - F.coalesce("covered", F.lit(0))).alias("uncovered"),
-    )
 
 
 # --- closing action sets -----------------------------------------------------
