@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 from traceless.functions.choices import all_smallest, cheapest
 from traceless.functions.lattice import blocks, chosen, has, membership, shift_left, subset_key, subsets_in_block
 from traceless.operators.closing import closing_sets
-from traceless.operators.pathgraph import PathGraph, Variants, apply_actions, bit_counts, evaluate_requests
+from traceless.operators.pathgraph import PathGraph, Variants, apply_actions, bit_counts, evaluate_requests, openable
 from traceless.operators.ranking import exact_percentile, group_rank
 from traceless.plans.workspace import Stored, shuffled, union_stored
 
@@ -233,7 +233,8 @@ def min_cost_actions(
     none) :func:`closing_sets` searches by clauses; beyond that, :func:`greedy_actions`.
     """
     arrays, spread, members = _lattice(graph, actions, limit)
-    variants = Variants(graph, spread.select("request_id", "block"), members, transitions, channels)
+    usable = openable(graph, transitions)
+    variants = Variants(usable, spread.select("request_id", "block"), members, transitions, channels)
     verdicts = Stored(variants.verdicts(), "verdicts").df
     subsets = spread.join(verdicts, ["request_id", "block"]).withColumn(
         "bit", F.explode(subsets_in_block(F.col("choices")))
@@ -343,6 +344,7 @@ def greedy_actions(graph: PathGraph, actions: DataFrame, transitions: DataFrame,
     picked: list[Stored] = []
     history: list[Stored] = []
     active = graph.requests.select("request_id")
+    graph = openable(graph, transitions)
     while True:
         taken = union_stored(picked).select("request_id", "action_id") if picked else none
         # Bit 63 stands for the chosen set itself.
