@@ -206,6 +206,39 @@ def test_groups_of_edited_copies(spark):
     assert {r.doc_id for r in similar.keep_one(frame).collect()} == want
 
 
+def one_chained_group(copies: int) -> list[str]:
+    """Texts around one base, most pairs below 0.8, all close enough to meet in lists."""
+    rng = random.Random(17)
+    base = prose(940, 60).split()
+    texts = []
+    for copy in range(copies):
+        words = list(base)
+        for place in rng.sample(range(5, 55), 1 + copy % 2):
+            words[place] = f"edit{copy}x{place}"
+        texts.append(" ".join(words))
+    return texts
+
+
+def test_a_large_group_names_no_pairs(spark, monkeypatch):
+    compared = []
+    real = similar.verified
+
+    def counted(pairs, *rest):
+        compared.append(pairs.count())
+        return real(pairs, *rest)
+
+    monkeypatch.setattr(similar, "verified", counted)
+    monkeypatch.setattr(similar, "GROUP_ROWS", 20, raising=False)
+    monkeypatch.setattr(similar, "SPREAD_ROWS", 30, raising=False)
+    monkeypatch.setattr(similar, "COUNTS", 4096, raising=False)
+    texts = one_chained_group(160)
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    want = {k for k, g in enumerate(brute.jaccard_groups(texts)) if k == g}
+    assert {r.doc_id for r in similar.keep_one(frame).collect()} == want
+    # two pairs a row at most; before, every pair of the group was a row
+    assert 10 < len(want) and sum(compared) <= 2 * len(texts)
+
+
 def test_repeated_shingles_weigh_once(spark):
     line = prose(900, 20)
     texts = []

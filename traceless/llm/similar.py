@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from traceless.llm.components import components
 from traceless.llm.shared import bound_batches, maybe_broadcast, slices, text_of
 from traceless.llm.simhash import POSITIONS, SEED, majority_bits, shingle_hashes
-from traceless.plans.workspace import Stored, union_stored
+from traceless.plans.workspace import Stored, shuffled, union_stored
 
 #: Mean distance of texts with similarity 0.8 is 19 of 128 bits; this is over three deviations more.
 MAX_BITS = 34
@@ -60,6 +60,12 @@ _MORE_ORDERS = np.random.default_rng(SEED + 1).integers(0, 1 << 63, MARKS - BAND
 CENTRE_ROWS = 8
 #: Partners that a member names in the first search after the trees, and their growth per round.
 PARTNERS = 8
+#: Rows of a group up to which its pairs are rows; larger groups are compared slice by slice.
+GROUP_ROWS = 64
+#: Rows and characters of a group's slice at most, and the rows from which on up to ``SPREAD`` slices share a group.
+SLICE_ROWS, SLICE_CHARS, SPREAD_ROWS, SPREAD = 4096, 4 << 20, 512, 8
+#: Counts, and shingles met, that are held at once.
+COUNTS = 1 << 21
 
 
 def least_bands(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -293,6 +299,90 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, similarity: float)
     return pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a bigint, b bigint")
 
 
+def _shared_counts(own: list[np.ndarray], others: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
+    """Blocks of rows of the matrix of shared hashes, each with the number of its first row."""
+    lengths, m = np.array([len(h) for h in own], np.int64), len(others)
+    _, ids = np.unique(np.concatenate([*own, *others]), return_inverse=True)
+    mine, theirs = ids[: lengths.sum()], ids[lengths.sum() :]
+    order = np.argsort(theirs, kind="stable")
+    holders = np.repeat(np.arange(m), [len(h) for h in others])[order]
+    low, high = (np.searchsorted(theirs[order], mine, side) for side in ("left", "right"))
+    row = np.repeat(np.arange(len(own)), lengths)
+    met = np.cumsum(high - low)
+    step = max(1, COUNTS // m)
+    for first in range(0, len(own), step):
+        last = min(first + step, len(own))
+        counts = np.zeros((last - first) * m, np.int64)
+        at, stop = np.searchsorted(row, [first, last])
+        while at < stop:
+            to = min(stop, max(at + 1, int(np.searchsorted(met, (met[at - 1] if at else 0) + COUNTS, "right"))))
+            many = high[at:to] - low[at:to]
+            inside = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+            cells = np.repeat((row[at:to] - first) * m, many) + holders[np.repeat(low[at:to], many) + inside]
+            counts += np.bincount(cells, minlength=len(counts))
+            at = to
+        yield first, counts.reshape(-1, m)
+
+
+def _joining(root: np.ndarray, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[int, int]]:
+    """Those of the pairs that join two parts, in order; ``root`` names each row's part at the start."""
+    _, label = np.unique(root, return_inverse=True)
+    for a, b in pairs:
+        for at in range(0, len(a), COUNTS >> 9):
+            x, y = a[at : at + (COUNTS >> 9)], b[at : at + (COUNTS >> 9)]
+            apart = label[x] != label[y]
+            for one, other in zip(x[apart].tolist(), y[apart].tolist()):
+                if label[one] != label[other]:
+                    label[label == label[other]] = label[one]
+                    yield one, other
+
+
+def _compared(width: int, similarity: float):
+    """Two slices of a group (or one with itself): the links that join parts, fewer than rows."""
+
+    def run(table: pa.Table) -> pa.Table:
+        first, second = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        slice_of, names, root = (table.column(c).to_numpy() for c in ("own", "row", "root"))
+        texts = table.column("text")
+        hashes = [np.array(list(set(shingle_hashes(texts[k].as_py(), width, SEED))), np.uint64) for k in range(len(names))]
+        lengths = np.array([len(h) for h in hashes], np.int64)
+        left, right = (np.flatnonzero(slice_of == s) for s in (first, second))
+
+        def alike() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            for start, both in _shared_counts([hashes[k] for k in left], [hashes[k] for k in right]):
+                total = lengths[left[start : start + len(both)], None] + lengths[right]
+                a, b = np.nonzero(both >= similarity * (total - both))
+                yield left[a + start], right[b]
+
+        links = list(_joining(root, alike())) if len(left) and len(right) else []
+        pair = np.sort(names[np.array(links, np.int64).reshape(-1, 2)], axis=1)
+        return pa.table({"a": pair[:, 0], "b": pair[:, 1]})
+
+    return run
+
+
+def compared_whole(rows: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
+    """Links ``a, b`` that join parts within the groups of ``rows(row, root, group, parts)``."""
+    own = F.pmod(F.xxhash64("row"), F.col("parts")).cast("int")
+    met = F.transform(
+        F.sequence(F.lit(0), F.col("parts") - 1), lambda k: F.struct(F.least("own", k).alias("i"), F.greatest("own", k).alias("j"))
+    )
+    dealt = rows.join(texts, "row").withColumn("own", own).withColumn("s", F.explode(met))
+    blocks = dealt.select("group", "s.i", "s.j", "own", "row", "root", "text").groupBy("group", "i", "j")
+    return blocks.applyInArrow(_compared(width, similarity), "a bigint, b bigint").distinct()
+
+
+def _groups(apart: DataFrame, rooted: DataFrame, texts: DataFrame) -> Stored:
+    """``row, root, group, m, parts`` of rows whose part a list holds together with another part."""
+    group = Stored(components(apart, "groups"), "open-groups").df.toDF("root", "group")
+    rows = Stored(rooted.select("row", "root").join(shuffled(group), "root"), "group-rows")
+    sizes = texts.join(maybe_broadcast(rows), "row").groupBy("group").agg(F.count(F.lit(1)).alias("m"), F.sum(F.length("text")).alias("chars"))
+    at_most = lambda column, most: F.ceil(F.col(column) / F.lit(most))
+    parts = F.greatest(at_most("m", SLICE_ROWS), at_most("chars", SLICE_CHARS), F.least(at_most("m", SPREAD_ROWS), F.lit(SPREAD)))
+    sizes = Stored(sizes.select("group", "m", parts.cast("int").alias("parts")), "group-sizes")
+    return Stored(rows.df.join(maybe_broadcast(sizes), "group"), "grouped-rows")
+
+
 def _both_ways(pairs: DataFrame) -> DataFrame:
     """Every pair from either end: ``row, other`` and the rest."""
     rest = [c for c in pairs.columns if c not in ("a", "b")]
@@ -343,20 +433,26 @@ def _linked(found: Stored, entries: Stored, texts: DataFrame, width: int, simila
         links.append(Stored(verified(pairs, some, width, similarity), f"similar-{len(links)}"))
         roots = Stored(components(union_stored(links), "similar"), "similar-roots")
         rooted = plain.join(roots.df.withColumnRenamed("node", "row"), "row", "left").withColumn("root", F.coalesce("root", "row"))
+        whole = None
         if more is None:
             # lists whose trees lie within one part have no further pair to try
             ends = rooted.select(F.col("row").alias("node"), "root")
             apart = found.df.select("a", "b").distinct()
             for end in ("a", "b"):
                 apart = apart.join(ends.select(F.col("node").alias(end), F.col("root").alias(f"{end}_root")), end)
-            apart = apart.where("a_root <> b_root").select(F.explode(F.array("a_root", "b_root")).alias("root")).distinct()
-            active = rooted.join(maybe_broadcast(Stored(apart, "open-parts")), "root", "left_semi")
+            apart = apart.where("a_root <> b_root").select(F.col("a_root").alias("a"), F.col("b_root").alias("b")).distinct()
+            grouped = _groups(apart, rooted, texts)
+            large = grouped.df.where(F.col("m") > GROUP_ROWS).select("row", "root", "group", "parts")
+            whole = Stored(compared_whole(large, texts, width, similarity), "compared-whole")
+            links.append(whole)
+            few = Stored(grouped.df.where(F.col("m") <= GROUP_ROWS).select("row"), "few-rows")
+            active = rooted.join(maybe_broadcast(few), "row", "left_semi")
         else:
             # a row that is not open has named all its partners, so untried pairs lie between open ones
             active = rooted.join(maybe_broadcast(more), "row", "left_semi")
         active = Stored(active, "open-entries")
         if active.is_empty():
-            return roots
+            return roots if whole is None else Stored(components(union_stored(links), "similar"), "similar-roots")
         pairs, more = _named(candidates(active.df, most=most), most)
         pairs = pairs.df
         most *= PARTNERS
