@@ -239,6 +239,44 @@ def test_a_large_group_names_no_pairs(spark, monkeypatch):
     assert 10 < len(want) and sum(compared) <= 2 * len(texts)
 
 
+def linked_lists(words: list[list[int]], own: list[list[int]] | None = None) -> list[dict]:
+    """What the linker yields for lists of members with one word and, for two slices, their slice."""
+    import pyarrow as pa
+
+    each = own or [[None] * len(one) for one in words]
+    fields = [("row", pa.int64()), ("fp0", pa.int64()), ("fp1", pa.int64()), *([("own", pa.int32())] if own else [])]
+    lists = [[{"row": 100 * k + n, "fp0": w, "fp1": 0, "own": o} for n, (w, o) in enumerate(zip(one, side))] for k, (one, side) in enumerate(zip(words, each))]
+    column = pa.array(lists, pa.list_(pa.struct(fields)))
+    return [r for b in similar._linker(similar.MAX_BITS)([pa.RecordBatch.from_arrays([column], ["members"])]) for r in b.to_pylist()]
+
+
+def test_a_list_yields_a_row_a_member():
+    # 40 copies around one centre, and 5 others out of reach of them but not of each other
+    copies = [0, *(1 << k for k in range(39))]
+    others = [(1 << 60) - 1 ^ 1 << k for k in range(5)]
+    rows = linked_lists([copies + others, [0, 1, 3]])
+    first = [r for r in rows if r["size"] == 45]
+    assert len(first) <= 45 and len(rows) - len(first) == 2  # before, 82 and 2
+    to_centre = {r["member"]: (r["centre"], r["away"]) for r in first if r["member"] is not None}
+    assert to_centre == {k: (0, 1) for k in range(1, 40)}
+    trees = [(r["a"], r["b"]) for r in rows if r["a"] is not None]
+    assert all(a < b for a, b in trees)
+    groups = {frozenset(range(40)), frozenset(range(40, 45)), frozenset(range(100, 103))}
+    ends = {k: {k} for g in groups for k in g}
+    for a, b in trees:
+        both = ends[a] | ends[b]
+        ends |= dict.fromkeys(both, both)
+    assert {frozenset(g) for g in ends.values()} == groups and len(trees) == 39 + 4 + 2
+
+
+def test_two_slices_yield_what_joins_them():
+    copies = [1 << k for k in range(40)]
+    rows = linked_lists([[*copies, -1, -2]], [[k % 2 for k in range(40)] + [0, 1]])
+    # 40 copies and a pair apart from them: one edge each; before, all edges of the tree and of the centre
+    assert len(rows) == 2 and all(r["a"] % 2 != r["b"] % 2 and r["member"] is None for r in rows)
+    assert [(r["a"] < 40, r["b"] < 40) for r in sorted(rows, key=lambda r: r["a"])] == [(True, True), (False, False)]
+
+
 def test_repeated_shingles_weigh_once(spark):
     line = prose(900, 20)
     texts = []

@@ -9,8 +9,8 @@ as candidates.  The shingle sets of candidates are compared, so only true pairs
 
 A list yields a spanning tree of its closest pairs and, for a longer list, each member's
 pair with the one nearest to the list's centre, since edited copies are closer to their
-original than to each other.  Of all these a row's nearest one and the one of its longest
-list are compared, two pairs a row at most.  Where parts that lists hold together are still
+original than to each other: one row a member, with both pairs.  Of all these a row's
+nearest one and the one of its longest list are compared, two pairs a row at most.  Where parts that lists hold together are still
 apart, their members are searched again: each names its nearest partners in other parts, eight
 times as many per round, until no pair within reach is left untried between two parts.
 There the count filter comes in: of ``MARKS`` positional bytes, each of the least shingle
@@ -20,7 +20,7 @@ pairs that share fewer than four deviations under the mean of 0.8 are not named.
 Fingerprints are taken over the different shingles, as the comparison is.  Texts with the
 same shingles are one entry; others are entries of their own even with equal
 fingerprints.  A list longer than ``LIST_ROWS`` is worked off in pairs of slices,
-whatever its length.
+whatever its length; two different slices yield only what joins their trees.
 
 Defined cases: a null or blank text has no shingles and is similar to every other
 such text; repeated rows are copies; an empty table gives no rows; of a group, the
@@ -214,39 +214,80 @@ def _searcher(max_bits: int, most: int):
     return run
 
 
+def _crossing(words: list[np.ndarray], own: np.ndarray, max_bits: int) -> tuple[np.ndarray, ...]:
+    """Two slices of a list: those tree edges between them that join what trees within a slice leave apart."""
+    label = np.arange(len(own))
+    for side in np.unique(own):
+        index = np.flatnonzero(own == side)
+        if len(index) > 1:
+            _, node, partner, _ = _trees(*(w[None, index] for w in words), max_bits)
+            for one, other in zip(index[node].tolist(), index[partner].tolist()):
+                label[label == label[one]] = label[other]
+    _, node, partner, d = _trees(*(w[None] for w in words), max_bits)
+    across = own[node] != own[partner]
+    joins = list(_joining(label, iter([(node[across], partner[across])])))
+    a, b = np.array(joins, np.int64).reshape(-1, 2).T
+    return a, b, _distances([w[a] for w in words], [w[b] for w in words])
+
+
 def _linker(max_bits: int):
-    """Rows ``a < b, d, member, size``: tree edges, and with ``member`` its edge to the list's centre."""
-    names = ["a", "b", "d", "member", "size"]
+    """Rows ``a < b, d, member, centre, away, size``: a tree edge, and the distance of its member to the list's centre.
 
-    def edges(one: np.ndarray, other: np.ndarray, d: np.ndarray, member: pa.Array, size: int) -> pa.RecordBatch:
+    A list has a row for each member at most.  Without a centre within reach ``member`` is
+    null; ``a``, ``b`` and ``d`` are null for a member that has an edge to the centre only.
+    Two slices of a long list (members with ``own``) have fewer: what the lists of either
+    slice do not join already.
+    """
+    names = ["a", "b", "d", "member", "centre", "away", "size"]
+
+    def edges(one: np.ndarray, other: np.ndarray, d: np.ndarray, size: int, centre: tuple | None = None) -> pa.RecordBatch:
         pair = np.sort(np.stack([one, other]), axis=0)
-        sizes = pa.array(np.full(len(one), size, np.int32))
-        return pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1]), pa.array(d.astype(np.int32)), member, sizes], names)
+        none, longs, ints = np.zeros(len(one), bool), pa.int64(), pa.int32()
+        blank, member, to, away, near = centre or (none, one, one, d, none)
+        columns = [(pair[0], longs, blank), (pair[1], longs, blank), (d, ints, blank), (member, longs, ~near), (to, longs, ~near), (away, ints, ~near)]
+        arrays = [pa.array(values, kind, mask=mask) for values, kind, mask in columns]
+        return pa.RecordBatch.from_arrays([*arrays, pa.array(np.full(len(one), size, np.int32))], names)
+
+    def with_centre(row: np.ndarray, words: list[np.ndarray], node: np.ndarray, partner: np.ndarray, d: np.ndarray) -> pa.RecordBatch:
+        m = len(row)
+        other, distance, blank = np.arange(m), np.zeros(m, np.int64), np.ones(m, bool)
+        other[node], distance[node], blank[node] = partner, d, False
+        centre = int(_distances(words, [_centre(w) for w in words]).argmin())
+        away = _distances(words, [w[centre] for w in words]).astype(np.int64)
+        near = (away <= max_bits) & (np.arange(m) != centre)
+        use = near | ~blank
+        found = (blank[use], row[use], np.full(use.sum(), row[centre]), away[use], near[use])
+        return edges(row[use], row[other[use]], distance[use], m, found)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = batch.column("members")
-            fields = column.flatten().flatten()
-            row = fields[0].to_numpy(zero_copy_only=False)
-            words = tuple(f.to_numpy(zero_copy_only=False).view(np.uint64) for f in fields[1:])
+            row, *fields = (f.to_numpy(zero_copy_only=False) for f in column.flatten().flatten())
+            words = [f.view(np.uint64) for f in fields[:2]]
             sizes = np.diff(column.offsets.to_numpy())
             starts = np.cumsum(sizes) - sizes
-            for m in np.unique(sizes):
-                chosen = starts[sizes == m]
+            plain = np.ones(len(sizes), bool)
+            if len(fields) > 2 and len(sizes):
+                plain = np.minimum.reduceat(fields[2], starts) == np.maximum.reduceat(fields[2], starts)
+            for k in np.flatnonzero(~plain):
+                own = slice(starts[k], starts[k] + sizes[k])
+                a, b, d = _crossing([w[own] for w in words], fields[2][own], max_bits)
+                yield edges(row[own][a], row[own][b], d.astype(np.int64), sizes[k])
+            for m in np.unique(sizes[plain]):
+                chosen = starts[plain & (sizes == m)]
                 step = max(1, (1 << 18) // int(m))
                 for at in range(0, len(chosen), step):
                     index = chosen[at : at + step, None] + np.arange(m)
                     which, a, b, d = _trees(words[0][index], words[1][index], max_bits)
-                    if len(which):
-                        yield edges(row[index[which, a]], row[index[which, b]], d, pa.nulls(len(which), pa.int64()), m)
-                for start in chosen if m >= CENTRE_ROWS else ():
-                    own = slice(start, start + m)
-                    mine = [w[own] for w in words]
-                    centre = int(_distances(mine, [_centre(w) for w in mine]).argmin())
-                    d = _distances(mine, [w[centre] for w in mine])
-                    near = np.flatnonzero((d <= max_bits) & (np.arange(m) != centre))
-                    members = row[own][near]
-                    yield edges(members, np.full(len(near), row[start + centre]), d[near], pa.array(members), m)
+                    d = d.astype(np.int64)
+                    if m < CENTRE_ROWS:
+                        yield edges(row[index[which, a]], row[index[which, b]], d, m)
+                        continue
+                    order = np.argsort(which, kind="stable")
+                    cut = np.searchsorted(which[order], np.arange(len(index) + 1))
+                    for k, own in enumerate(index):
+                        mine = order[cut[k] : cut[k + 1]]
+                        yield with_centre(row[own], [w[own] for w in words], a[mine], b[mine], d[mine])
 
     return run
 
@@ -274,13 +315,17 @@ def candidates(entries: DataFrame, max_bits: int = MAX_BITS, most: int = 0) -> D
         marked = marked.withColumn("own", own).withColumn("s", F.explode(met)).select("*", "s.i", "s.j")
     else:
         marked = marked.withColumns({"i": F.lit(0), "j": F.lit(0)})
+    if not most and "own" in marked.columns:
+        columns = [*columns, "own"]
     listed = marked.groupBy("block", "key", "i", "j").agg(F.collect_list(F.struct(*columns)).alias("members"))
     listed = listed.where(F.size("members") > 1).select("members")
     if most:
         return listed.mapInArrow(_searcher(max_bits, most), "a bigint, b bigint, d int").distinct()
-    kind = "a bigint, b bigint, d int, member bigint, size int"
+    kind = "a bigint, b bigint, d int, member bigint, centre bigint, away int, size int"
     found = listed.mapInArrow(_linker(max_bits), kind)
-    return found.groupBy("a", "b", "member").agg(F.min("d").alias("d"), F.max("size").alias("size"))
+    longest = F.when(F.col("centre").isNotNull(), F.struct((-F.col("size")).alias("size"), "away", "centre"))
+    found = found.groupBy("a", "b", "member").agg(F.min("d").alias("d"), F.min(longest).alias("longest"))
+    return found.select("a", "b", "member", "d", "longest.size", "longest.away", "longest.centre")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
@@ -396,11 +441,10 @@ def _pairs(named: DataFrame) -> DataFrame:
 
 def _first_pairs(found: DataFrame) -> DataFrame:
     """Of the lists' pairs each row's nearest one and that with the centre of its longest list."""
-    nearest = _both_ways(found).groupBy("row").agg(F.min(F.struct("d", "other")).alias("p")).select("row", "p.other")
-    own = found.where("member is not null").select(
-        F.col("member").alias("row"), F.when(F.col("member") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("other"), "size", "d"
-    )
-    centre = own.groupBy("row").agg(F.min(F.struct((-F.col("size")).alias("size"), "d", "other")).alias("p")).select("row", "p.other")
+    trees = found.where("a is not null").select("a", "b", "d")
+    nearest = _both_ways(trees).groupBy("row").agg(F.min(F.struct("d", "other")).alias("p")).select("row", "p.other")
+    own = found.where("centre is not null").groupBy(F.col("member").alias("row"))
+    centre = own.agg(F.min(F.struct("size", "away", "centre")).alias("p")).select("row", F.col("p.centre").alias("other"))
     return _pairs(nearest.unionByName(centre))
 
 
@@ -437,7 +481,7 @@ def _linked(found: Stored, entries: Stored, texts: DataFrame, width: int, simila
         if more is None:
             # lists whose trees lie within one part have no further pair to try
             ends = rooted.select(F.col("row").alias("node"), "root")
-            apart = found.df.select("a", "b").distinct()
+            apart = found.df.where("a is not null").select("a", "b").distinct()
             for end in ("a", "b"):
                 apart = apart.join(ends.select(F.col("node").alias(end), F.col("root").alias(f"{end}_root")), end)
             apart = apart.where("a_root <> b_root").select(F.col("a_root").alias("a"), F.col("b_root").alias("b")).distinct()
@@ -471,9 +515,8 @@ def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFr
     shared = Stored(entries.df.where("n > 1").select("fp0", "fp1", "whole", F.col("row").alias("first")), "fp-shared")
     same = prints.df.join(maybe_broadcast(shared), ["fp0", "fp1", "whole"]).where("row <> first")
     near = candidates(entries.df)
-    none = F.lit(None).cast("bigint").alias("member")
-    copies = same.select(F.col("first").alias("a"), F.col("row").alias("b"), none, F.lit(0).alias("d"), F.lit(2).alias("size"))
-    found = Stored(near.unionByName(copies), "candidates")
+    copies = same.select(F.col("first").alias("a"), F.col("row").alias("b"), F.lit(0).alias("d"))
+    found = Stored(near.unionByName(copies, allowMissingColumns=True), "candidates")
     roots = _linked(found, entries, texts, width, similarity)
     ids = numbered.df.select(F.col(mark).alias("node"), "doc_id")
     grouped = roots.df.join(ids, "node")
