@@ -63,8 +63,9 @@ def exact_cover(required: DataFrame, actions: DataFrame, covers: DataFrame, limi
     """
     numbered = Stored(numbered_choices(actions, "subject_id", limit), "choices").df
     arrays = choice_arrays(numbered, "subject_id")
-    over = actions.where("permitted").groupBy("subject_id").count().where(F.col("count") > limit)
-    needed = required.join(over, "subject_id", "left_anti")
+    over = Stored(actions.where("permitted").groupBy("subject_id").count().where(F.col("count") > limit), "cover-over")
+    several = not over.is_empty()
+    needed = required.join(over.df, "subject_id", "left_anti") if several else required
     useful = covers.join(numbered, "action_id").select("subject_id", "artifact_id", shift_left(F.lit(1).cast("long"), F.col("idx")).alias("bit"))
     masks = useful.groupBy("subject_id", "artifact_id").agg(F.bit_or("bit").alias("mask"))
     signed = needed.join(masks, ["subject_id", "artifact_id"], "left").select(
@@ -84,9 +85,9 @@ def exact_cover(required: DataFrame, actions: DataFrame, covers: DataFrame, limi
     exact = rows.mapInArrow(_solve_covers, _typed(required, "subject_id") + ", action_ids array<string>, total_cost bigint, covered bigint, uncovered bigint").withColumn(
         "solver_status", F.lit("OPTIMAL")
     )
-    if over.isEmpty():
+    if not several:
         return exact
-    rest = required.join(over, "subject_id", "left_semi")
+    rest = required.join(over.df, "subject_id", "left_semi")
     greedy = greedy_cover(rest, actions, covers).withColumn("solver_status", F.lit("APPROXIMATE"))
     return exact.unionByName(greedy)
 
