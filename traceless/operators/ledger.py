@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections.abc import Iterator, Sequence
+from urllib.parse import unquote
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
@@ -16,6 +19,9 @@ from traceless.operators.ranking import group_rank
 from traceless.plans.workspace import Stored, union_stored
 
 FAN = 1024
+#: Bytes of a file up to which it is hashed as one value; larger ones are streamed.
+WHOLE_BYTES = 64 << 20
+BOM = b"\xef\xbb\xbf"
 
 
 def ordered_digest(rows: DataFrame, by: Sequence[str], order: Sequence[str], digest: str, name: str = "root", flat: bool = False) -> DataFrame:
@@ -234,11 +240,80 @@ def check_alignment(direct: DataFrame, perturbed: DataFrame, key: str, columns:
     )
 
 
+def file_digests(files: DataFrame) -> DataFrame:
+    """``(name, digest)``: SHA-256 of each file of a ``binaryFile`` scan, in bounded memory.
+
+    A row holds a file whole and at most 2 GB, so files over ``WHOLE_BYTES`` are read as lines of
+    bytes, through Spark's text reader and so from any store that Spark reads: a file is one
+    split, whose lines stream through a task in order.  Its digest is that of all its bytes, or
+    the job fails.  A stretch of 2 GB without a line feed is an error of the reader.
+    """
+    name = F.element_at(F.split("path", "/"), -1).alias("name")
+    whole = files.where(F.col("length") <= WHOLE_BYTES).select(name, F.sha2("content", 256).alias("digest"))
+    large = files.where(F.col("length") > WHOLE_BYTES).select("path", "length").collect()
+    if not large:
+        return whole
+    # A session of its own, so that its reader never cuts a file into splits.
+    apart = files.sparkSession.newSession()
+    settings = {
+        "spark.sql.files.maxPartitionBytes": max(r.length for r in large),
+        "spark.sql.files.minPartitionNum": 1,
+        "spark.sql.execution.arrow.maxRecordsPerBatch": 1000,
+        "spark.sql.files.ignoreCorruptFiles": "false",
+        "spark.sql.files.ignoreMissingFiles": "false",
+    }
+    for key, value in settings.items():
+        apart.conf.set(key, str(value))
+    literal = [re.sub(r"([\[\]{}*?\\])", r"\\\1", r.path) for r in large]
+    lines = apart.read.option("lineSep", "\n").text(literal).select(
+        "_metadata.file_path", "_metadata.file_name", "_metadata.file_size",
+        F.concat(F.col("value").cast("binary"), F.lit(b"\n")).alias("bytes"),
+    )
+    digests = Stored(lines.mapInArrow(_line_digests(), "name string, digest string"), "file-digests")
+    return whole.unionByName(files.sparkSession.read.schema(digests.schema).parquet(digests.path))
+
+
+def _line_digests():
+    """Digests of files whose lines, each with a line feed, come one file after another."""
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import hashlib
+
+        def done() -> pa.RecordBatch:
+            # The reader drops a byte order mark and the last line feed; the size tells which were there.
+            missing = size - seen
+            if missing not in (-1, 0, len(BOM) - 1, len(BOM)):
+                raise ValueError(f"{name}: {seen} bytes read of {size}")
+            state = marked if missing > 0 else plain
+            if missing in (0, len(BOM)):
+                state.update(b"\n")
+            return pa.RecordBatch.from_arrays([pa.array([unquote(name)]), pa.array([state.hexdigest()])], ["name", "digest"])
+
+        path = None
+        for batch in batches:
+            runs = pc.run_end_encode(batch.column("file_path"))
+            start = 0
+            for of, end in zip(runs.values.to_pylist(), runs.run_ends.to_pylist()):
+                if of != path:
+                    if path is not None:
+                        yield done()
+                    path, name, size = of, batch.column("file_name")[start].as_py(), batch.column("file_size")[start].as_py()
+                    plain, marked, seen = hashlib.sha256(), hashlib.sha256(BOM), 0
+                # The line feed of the last line so far waits for the next one.
+                data = (b"\n" if seen else b"") + b"".join(batch.column("bytes").slice(start, end - start).to_pylist())
+                for state in (plain, marked):
+                    state.update(memoryview(data)[:-1])
+                seen += len(data) - (seen > 0)
+                start = end
+        if path is not None:
+            yield done()
+
+    return hashed
+
+
 def verify_manifest(manifest: DataFrame, files: DataFrame) -> DataFrame:
     """Declared against actual digests; ``files`` is a ``binaryFile`` scan."""
-    actual = files.select(
-        F.element_at(F.split("path", "/"), -1).alias("name"), F.sha2("content", 256).alias("actual")
-    )
+    actual = file_digests(files).withColumnRenamed("digest", "actual")
     joined = manifest.join(actual, "name", "full_outer")
     outcome = (
         F.when(F.col("actual").isNull(), "missing file")
