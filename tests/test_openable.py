@@ -82,3 +82,25 @@ def test_changed_nodes_are_written_once(spark):
                            spark.createDataFrame([], "request_id string, action_id string, name string, stratum string, mandatory boolean, decision string"))
     # before, every reader joined nodes and effects again
     assert shut.nodes.inputFiles() and "Join" not in shut.nodes._jdf.queryExecution().executedPlan().toString()
+
+
+def test_greedy_plans_of_one_block_are_labelled_once(spark, monkeypatch):
+    from traceless.queries.request_queries import actions as given
+    from traceless.queries.request_queries import path_graph
+
+    labels = []
+
+    class Spy(G.Stored):
+        def __init__(self, df, label):
+            labels.append(label)
+            super().__init__(df, label)
+
+    sf = "/root/testdata/sf0.001"
+    acts, moves, channels = given(spark, sf)
+    monkeypatch.setattr(G, "Stored", Spy)
+    once = sorted(P.greedy_actions(path_graph(spark, sf), acts, moves, channels).collect())
+    assert labels.count("variant-nodes") == 1
+    assert max(len(r.action_ids) for r in once) > 1
+    # In rounds, as requests with more actions are planned.
+    assert sorted(P.greedy_actions(path_graph(spark, sf), acts, moves, channels, limit=2).collect()) == once
+    assert labels.count("variant-nodes") > 3

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from traceless.functions.choices import all_smallest, cheapest
-from traceless.functions.lattice import blocks, chosen, has, membership, shift_left, subset_key, subsets_in_block
+from traceless.functions.lattice import BLOCK_BITS, blocks, chosen, either, has, membership, shift_left, subset_key, subsets_in_block
 from traceless.operators.closing import closing_sets
 from traceless.operators.pathgraph import PathGraph, Variants, apply_actions, bit_counts, evaluate_requests, openable
 from traceless.operators.ranking import exact_percentile, group_rank
@@ -317,9 +317,78 @@ def _large_requests(graph: PathGraph, large: DataFrame, actions: DataFrame, tran
     )
 
 
-def greedy_actions(graph: PathGraph, actions: DataFrame, transitions: DataFrame, channels: DataFrame) -> DataFrame:
+def greedy_actions(graph: PathGraph, actions: DataFrame, transitions: DataFrame, channels: DataFrame, limit: int = BLOCK_BITS) -> DataFrame:
     """Add the action with the largest violation drop per cost until nothing improves.
 
+    All subsets of up to ``limit`` permitted actions (``BLOCK_BITS`` at most) are one block, so
+    these requests are labelled once and the choices made along their counts.  Requests with
+    more actions take a round of labels for each choice.
+    """
+    graph = openable(graph, transitions)
+    arrays, spread, members = _lattice(graph, actions, min(limit, BLOCK_BITS))
+    variants = Variants(graph, spread.select("request_id", "block"), members, transitions, channels)
+    scored = spread.join(_scores(variants), ["request_id", "block"])
+    walked = scored.withColumn("mask", _greedy_mask(F.col("ids"), F.col("costs"), F.col("complete"), F.col("v")))
+    at = F.col("mask").cast("int")
+    verdict = _verdict(at)
+    taken = chosen(F.col("costs"), F.col("mask"))
+    zero = F.lit(0).cast(arrays.schema["costs"].dataType.elementType)
+    plans = walked.select(
+        "request_id",
+        chosen(F.col("ids"), F.col("mask")).alias("action_ids"),
+        F.aggregate(taken, zero, lambda total, cost: total + F.coalesce(cost, zero)).alias("total_cost"),
+        verdict.alias("verdict"),
+        _greedy_status(verdict).alias("solver_status"),
+        F.element_at("v", at + 1).alias("violations"),
+    )
+    over = actions.where("permitted").groupBy("request_id").count().where(F.col("count") > min(limit, BLOCK_BITS)).select("request_id")
+    rest = Stored(graph.requests.select("request_id").join(over, "request_id", "left_semi"), "greedy-large")
+    if rest.is_empty():
+        return plans
+    some = actions.join(rest.df, "request_id", "left_semi")
+    return plans.unionByName(_greedy_rounds(_restricted(graph, rest.df), some, transitions, channels))
+
+
+def _scores(variants: Variants) -> DataFrame:
+    """Labels ``complete`` and ``incomplete`` and the violations ``v`` of each action set."""
+    walks = variants.walks()
+    return variants.verdicts(walks).join(variants.violations(walks), ["request_id", "block"], "left").select(
+        "request_id", "block", "complete", "incomplete",
+        F.coalesce("violations", F.array_repeat(F.lit(0).cast("long"), 64)).alias("v"),
+    )
+
+
+def _verdict(at: Column) -> Column:
+    return F.when(has(F.col("complete"), at), "COMPLETE").when(has(F.col("incomplete"), at), "INCOMPLETE").otherwise("UNVERIFIED")
+
+
+def _greedy_status(verdict: Column) -> Column:
+    return F.when(verdict == "COMPLETE", "APPROXIMATE").otherwise("INFEASIBLE")
+
+
+def _greedy_rate(gain: Column, cost: Column) -> Column:
+    return F.when(cost == 0, F.lit(float("-inf"))).otherwise(-gain / cost)
+
+
+def _greedy_mask(ids: Column, costs: Column, complete: Column, counts: Column) -> Column:
+    """The subset at which the choices end: at most one step for each action."""
+    bit = lambda i: shift_left(F.lit(1).cast("long"), i)
+    count = lambda mask: F.element_at(counts, mask.cast("int") + 1)
+
+    def step(mask: Column, _: Column) -> Column:
+        def option(action: Column, i: Column) -> Column:
+            gain, cost = count(mask) - count(either(mask, bit(i))), F.get(costs, i)
+            return F.struct(_greedy_rate(gain, cost).alias("r"), cost.alias("cost"), action.alias("action_id"), gain.alias("gain"), i.alias("i"))
+
+        best = F.array_min(F.filter(F.transform(ids, option), lambda o: o["gain"] > 0))
+        return F.when(has(complete, mask.cast("int")) | best.isNull(), mask).otherwise(either(mask, bit(best["i"])))
+
+    return F.aggregate(ids, F.lit(0).cast("long"), step)
+
+
+def _greedy_rounds(graph: PathGraph, actions: DataFrame, transitions: DataFrame, channels: DataFrame) -> DataFrame:
+    """:func:`greedy_actions` of an openable graph, for any number of actions.
+
     Each round scores every remaining action of every open request at once: bit
     ``i`` of a block stands for "the chosen set plus the i-th action".
     """
@@ -345,7 +414,6 @@ def greedy_actions(graph: PathGraph, actions: DataFrame, transitions: DataFrame,
     picked: list[Stored] = []
     history: list[Stored] = []
     active = graph.requests.select("request_id")
-    graph = openable(graph, transitions)
     while True:
         taken = union_stored(picked).select("request_id", "action_id") if picked else none
         # Bit 63 stands for the chosen set itself.
@@ -362,18 +430,11 @@ def greedy_actions(graph: PathGraph, actions: DataFrame, transitions: DataFrame,
         )
         live = block_table.join(active, "request_id", "left_semi")
         variants = Variants(_restricted(graph, active), live, members, transitions, channels)
-        walks = variants.walks()
-        scored = variants.verdicts(walks).join(variants.violations(walks), ["request_id", "block"], "left").select(
-            "request_id", "block", "complete", "incomplete",
-            F.coalesce("violations", F.array_repeat(F.lit(0).cast("long"), 64)).alias("v"),
-        )
-        scored = Stored(scored, f"greedy-scores-{len(picked)}").df
+        scored = Stored(_scores(variants), f"greedy-scores-{len(picked)}").df
         now = scored.where(F.col("block") == 0).select(
             "request_id",
             has(F.col("complete"), F.lit(63)).alias("done"),
-            F.when(has(F.col("complete"), F.lit(63)), "COMPLETE")
-            .when(has(F.col("incomplete"), F.lit(63)), "INCOMPLETE")
-            .otherwise("UNVERIFIED").alias("verdict"),
+            _verdict(F.lit(63)).alias("verdict"),
             F.element_at("v", 64).alias("current"),
             F.lit(len(history)).alias("round"),
         )
@@ -385,8 +446,8 @@ def greedy_actions(graph: PathGraph, actions: DataFrame, transitions: DataFrame,
             .withColumn("gain", F.col("current") - F.element_at("v", F.col("bit") + 1))
             .where(F.col("gain") > 0)
         )
-        rate = F.when(F.col("cost") == 0, F.lit(float("-inf"))).otherwise(-F.col("gain") / F.col("cost"))
-        choice = options.groupBy("request_id").agg(F.min(F.struct(rate.alias("r"), "cost", "action_id")).alias("p"))
+        rate = _greedy_rate(F.col("gain"), F.col("cost")).alias("r")
+        choice = options.groupBy("request_id").agg(F.min(F.struct(rate, "cost", "action_id")).alias("p"))
         level = Stored(choice.select("request_id", "p.action_id", "p.cost"), f"greedy-pick-{len(picked)}")
         if level.is_empty():
             break
@@ -407,7 +468,7 @@ def greedy_actions(graph: PathGraph, actions: DataFrame, transitions: DataFrame,
         F.coalesce("action_ids", F.array().cast("array<string>")).alias("action_ids"),
         F.coalesce("total_cost", F.lit(0)).alias("total_cost"),
         F.col("last.verdict").alias("verdict"),
-        F.when(F.col("last.verdict") == "COMPLETE", "APPROXIMATE").otherwise("INFEASIBLE").alias("solver_status"),
+        _greedy_status(F.col("last.verdict")).alias("solver_status"),
         F.col("last.current").alias("violations"),
     )
 
